@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from lumasift.llm import exact_dedup, mixing, url_filter
+from lumasift.llm import exact_dedup, langid, mixing, nearest, packing, secrets, token_files, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.query,
+        "op2_nearest": nearest.query,
+        "op3_language": langid.query,
+        "op4_pack": packing.query,
+        "op5_token_files": token_files.query,
+        "op7_toxicity": toxicity.query,
+        "op8_secrets": secrets.query,
         "op9_mix_sources": mixing.query,
         "op10_url_filter": url_filter.query,
     }
