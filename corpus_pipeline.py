@@ -1,10 +1,64 @@
-"""The corpus pipeline: documents through five operators, in order."""
+"""The corpus pipeline: documents through five operators, in order.
+
+``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir),
+works on all rows that its predecessor kept, and returns a DataFrame with the
+columns of documents, but for the last, which returns packed pieces.  ``run``
+writes each stage's rows as Parquet and reads them for the next one.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from lumasift.llm import exact_dedup, mixing, ngram_join, packing, toxicity
+from lumasift.llm.common import saved, table
+from lumasift.session import ship
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labelled ones among them, rejects go."""
+    ship(spark)
+    return toxicity.clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id stays."""
+    ship(spark)
+    return exact_dedup.survivors(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are linked the one with the smallest id stays."""
+    ship(spark)
+    return ngram_join.representatives(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, each with its place in a sequence."""
+    ship(spark)
+    return packing.pack(packing.pieces(docs))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing to target weights", mix_sources),
+    ("best-fit packing", pack),
+]
+
+#: A learned classifier and hash-drawn copies: SQL can't express these stages.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumasift.llm import exact_dedup, langid, mixing, nearest, packing, secrets, token_files, toxicity, url_filter
+from lumasift.llm import exact_dedup, langid, mixing, nearest, ngram_join, packing, secrets, token_files, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_language": langid.query,
         "op4_pack": packing.query,
         "op5_token_files": token_files.query,
+        "op6_ngram_join": ngram_join.query,
         "op7_toxicity": toxicity.query,
         "op8_secrets": secrets.query,
         "op9_mix_sources": mixing.query,
