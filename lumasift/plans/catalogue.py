@@ -1,11 +1,19 @@
-"""All queries by name, with their DuckDB oracles."""
+"""All queries by name, with their DuckDB oracles (None where SQL can't express one)."""
 
 from __future__ import annotations
 
+from lumasift.plans import decision
+
+_MODULES = (decision,)
+
+
+def _all() -> dict:
+    return {name: pair for module in _MODULES for name, pair in module.QUERIES.items()}
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in _all().items()}
 
 
 def oracles() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
