@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumasift.plans import decision
+from lumasift.plans import decision, urls_text
 
-_MODULES = (decision,)
+_MODULES = (decision, urls_text)
 
 
 def _all() -> dict:
