@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumasift.plans import decision, urls_text
+from lumasift.plans import decision, queue, urls_text
 
-_MODULES = (decision, urls_text)
+_MODULES = (decision, urls_text, queue)
 
 
 def _all() -> dict:
