@@ -180,7 +180,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, max_languages: int = MAX_LANGUA
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(x)), pa.array([v.tobytes() for v in x.astype(np.float16)], pa.binary())], names=["lang", "x"])
 
     names, xs = [], []
-    for r in rows.mapInArrow(vectors, "lang string, x binary").toLocalIterator():
+    for r in rows.mapInArrow(vectors, "lang string, x binary").collect():
         names.append(r["lang"])
         xs.append(np.frombuffer(r["x"], np.float16))
     if not names:

@@ -115,8 +115,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features:
             n += np.bincount(y, minlength=2)
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(n, pa.int64()), pa.array([c.tobytes() for c in df], pa.binary())], names=["y", "n", "df"])
 
+    # one pair of rows a part of the sample: 32 MB in all
     df, n = np.zeros((2, 1 << BITS)), np.zeros(2)
-    for r in rows.mapInArrow(count, "y int, n long, df binary").toLocalIterator():
+    for r in rows.mapInArrow(count, "y int, n long, df binary").collect():
         df[r["y"]] += np.frombuffer(r["df"], np.uint32)
         n[r["y"]] += r["n"]
     if n.min() == 0:
@@ -140,9 +141,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[a:b].astype(np.uint16).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["y", "f"])
 
     ys, fs = [], []
-    for row in rows.mapInArrow(sparse, "y int, f binary").toLocalIterator():
+    for row in rows.mapInArrow(sparse, "y int, f binary").collect():
         ys.append(row["y"])
         fs.append(np.frombuffer(row["f"], np.uint16).astype(np.int64))
+    order = sorted(range(len(ys)), key=lambda k: (ys[k], fs[k].tobytes()))  # sums in one order give one model
+    ys, fs = [ys[k] for k in order], [fs[k] for k in order]
     y = np.array(ys, np.float64)
     at = np.repeat(np.arange(len(ys)), [len(f) for f in fs])
     stands_for = np.where(y == 1, totals.get(1, 1) / max(1.0, n[1]), totals.get(0, 1) / max(1.0, n[0]))
