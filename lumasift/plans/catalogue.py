@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumasift.plans import decision, queue, urls_text
+from lumasift.plans import decision, graphs, queue, stats, urls_text
 
-_MODULES = (decision, urls_text, queue)
+_MODULES = (decision, urls_text, queue, stats, graphs)
 
 
 def _all() -> dict:
