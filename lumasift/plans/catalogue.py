@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumasift.plans import decision, graphs, queue, stats, urls_text
+from lumasift.plans import decision, graphs, queue, stats, streams, urls_text
 
-_MODULES = (decision, urls_text, queue, stats, graphs)
+_MODULES = (decision, urls_text, queue, stats, graphs, streams)
 
 
 def _all() -> dict:
