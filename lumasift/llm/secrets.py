@@ -2,7 +2,9 @@
 
 Novelty: a candidate is a run of at least ``MIN_CHARS`` key-like characters with
 a letter and a digit, not longer than ``MAX_CHARS``, behind a sensitive word on
-the same stretch of text.  A zstandard compressor primed with a dictionary of
+the same stretch of text.  Its characters must change between small letters,
+capitals, digits and signs at least at every ``1 / CHANGES``-th place, unlike
+words and dates joined by signs.  A zstandard compressor primed with a dictionary of
 common identifiers packs the surrounding text with and without the candidate;
 the extra bytes for each of its own are its novelty.  Names, words and numbers
 that the dictionary or the neighbourhood explains cost little; a random key
@@ -53,6 +55,7 @@ MAYBE_NOVEL = r"[A-Za-z0-9+/_-]{16}"
 MAYBE_SENSITIVE = r"(?i)key|secret|token|passw|passphrase|credential|authori[sz]ation|bearer|signature|client[ _-]?id"
 MIN_CHARS, MAX_CHARS, NOVEL = 16, 512, 0.55
 BEFORE, AROUND = 64, 256
+CHANGES = 0.2
 
 #: Words that make up identifiers; the dictionary has them in three spellings.
 IDENTIFIERS = (
@@ -92,12 +95,18 @@ def base_spans(text: str, kinds=tuple(BASE)) -> list[tuple[int, int, str]]:
     return found
 
 
+def changes(piece: str) -> float:
+    """Share of neighbouring characters of unlike kinds."""
+    kinds = ["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "_" for c in piece]
+    return sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, len(piece) - 1)
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty, threshold: float = NOVEL) -> list[tuple[int, int, str]]:
     found = []
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
         piece = m[0]
-        if e - s > MAX_CHARS or not re.search("[0-9]", piece) or not re.search("[A-Za-z]", piece):
+        if e - s > MAX_CHARS or not re.search("[0-9]", piece) or not re.search("[A-Za-z]", piece) or changes(piece) < CHANGES:
             continue
         if any(a < e and s < b for a, b, _ in taken) or not SENSITIVE.search(text, max(0, s - BEFORE), s):
             continue
