@@ -1,8 +1,7 @@
 """Secret scans: three plain patterns, and dictionary-primed zstandard novelty.
 
 Novelty: a candidate is a run of at least ``MIN_CHARS`` key-like characters with
-a letter and a digit, not longer than ``MAX_CHARS``, behind a sensitive word on
-the same stretch of text.  Its characters must change between small letters,
+a letter and a digit, behind a sensitive word on the same stretch of text.  Its characters must change between small letters,
 capitals, digits and signs at least at every ``1 / CHANGES``-th place, unlike
 words and dates joined by signs.  A zstandard compressor primed with a dictionary of
 common identifiers packs the surrounding text with and without the candidate;
@@ -49,24 +48,25 @@ MAYBE = {
     "hex": r"[0-9a-f]{24}",
 }
 
+MIN_CHARS, NOVEL = 16, 0.55
 SENSITIVE = re.compile(r"(?:api|access|private|secret|signing|encryption|account)[ _-]?key|secret|token|passw|passphrase|credential|authori[sz]ation|bearer|signature|client[ _-]?id", re.ASCII | re.IGNORECASE)
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
-MAYBE_NOVEL = r"[A-Za-z0-9+/_-]{16}"
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{{{MIN_CHARS},}}={{0,2}}(?![A-Za-z0-9+/_=-])", re.ASCII)
+MAYBE_NOVEL = rf"[A-Za-z0-9+/_-]{{{MIN_CHARS}}}"
 MAYBE_SENSITIVE = r"(?i)key|secret|token|passw|passphrase|credential|authori[sz]ation|bearer|signature|client[ _-]?id"
-MIN_CHARS, MAX_CHARS, NOVEL = 16, 512, 0.55
 BEFORE, AROUND = 64, 256
 CHANGES = 0.2
 
 #: Words that make up identifiers; the dictionary has them in three spellings.
 IDENTIFIERS = (
-    "access account action address admin algorithm apply argument array assert async author await balance base batch begin binary block body boolean branch "
-    "buffer build byte cache call callback cancel card catch category channel char check child class client close cluster code collection column command commit "
-    "common compare component config connect constant container content context control convert copy count create cursor data database date debug default define "
-    "delete description device dict directory document domain double driver element email encode entity enum error event example exception execute export extend "
-    "factory false field file filter final find first float flush folder format function global group handler hash header height host html http identifier image "
-    "implement import index info init input insert instance int integer interface internal invoke item iterator json key label language last length level library "
-    "list listener load local location lock log long loop main manager map match max memory message method min mode model module name network next node null number "
-    "object offset open operator option order output package page parameter parent parse password path pattern payload point policy pool port position prefix print"
+    "access account action address admin algorithm apply argument array assert async author await balance base batch begin binary block body "
+    "branch buffer build byte cache call callback cancel card catch category channel check child class client close cluster code collection "
+    "column command commit common compare component config connect constant container content context control convert copy count create cursor "
+    "data database date default define delete description device directory document domain driver element email encode entity error event example "
+    "exception execute export extend factory field file filter final find first float flush folder format function global group handler hash "
+    "header height host http identifier image implement import index info init input insert instance interface internal invoke item iterator "
+    "label language last length level library list listener load local location lock log loop main manager map match memory message method model "
+    "module name network node number object offset open operator option order output package page parameter parent parse password path pattern "
+    "payload point policy pool port position prefix"
 ).split()
 
 
@@ -106,7 +106,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty,
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
         piece = m[0]
-        if e - s > MAX_CHARS or not re.search("[0-9]", piece) or not re.search("[A-Za-z]", piece) or changes(piece) < CHANGES:
+        if not re.search("[0-9]", piece) or not re.search("[A-Za-z]", piece) or changes(piece) < CHANGES:
             continue
         if any(a < e and s < b for a, b, _ in taken) or not SENSITIVE.search(text, max(0, s - BEFORE), s):
             continue
