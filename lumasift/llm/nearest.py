@@ -238,7 +238,7 @@ def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, sure: float =
                 if len(near):
                     yield pd.DataFrame({"v": [df["v"].iloc[i]] * len(near), "q": df["q"].iloc[i], "leaf": near, "bound": df["bound"].iloc[i]})
 
-    def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = ["q", "d", "vec_id"]
         if not len(left) or not len(right):
             return pd.DataFrame({c: [] for c in columns})

@@ -454,7 +454,7 @@ def _sets_of(texts: list[str]) -> list[np.ndarray]:
 def _verify(percent: int) -> Callable:
     """Pairs of one task that are linked, as stars."""
 
-    def apply(key, pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+    def apply(key: tuple, pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
         sets = dict(zip(texts["node"].tolist(), _sets_of(texts["text"].tolist())))
         union = Union()
         for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist()):
@@ -497,7 +497,7 @@ def _links(docs: DataFrame, pairs: DataFrame, percent: int, cluster: int) -> Dat
 def _tile(percent: int) -> Callable:
     """Links between components in a tile of two blocks, or in one block."""
 
-    def apply(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def apply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["node", "side"])
         union = Union()
         first = {}
@@ -606,3 +606,18 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')))
+                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w
+), n AS (SELECT doc_id, len(sh) AS n FROM s),
+x AS (SELECT doc_id, unnest(sh) AS t FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM x a JOIN x b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * o >= 80 * (p.n + q.n - o)),
+r AS (SELECT doc_id AS node, doc_id AS reach FROM n UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a)
+SELECT n.doc_id, n.n AS n_shingles, min(reach) AS component_id FROM n JOIN r ON n.doc_id = r.node GROUP BY n.doc_id, n.n
+"""

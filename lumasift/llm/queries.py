@@ -23,5 +23,6 @@ def queries() -> dict:
 def oracles() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
+        "op6_ngram_join": ngram_join.ORACLE,
         "op10_url_filter": url_filter.ORACLE,
     }
