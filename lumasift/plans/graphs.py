@@ -28,7 +28,7 @@ def hamming_multi_table(spark, sf):
 
 def hash_distance_topk(spark, sf):
     prints = V.fingerprints(spark, sf).select("sha", "h")
-    return H.find_similar(prints, prints.filter(F.pmod("sha", F.lit(50)) == 0), 22, 5).select("sha", "other", "distance", "place")
+    return H.find_similar(prints, prints, D_NEAR, 5).select("sha", "other", "distance", "place")
 
 
 _PAIRS = "SELECT a.sha, b.sha AS other, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM fingerprints a JOIN fingerprints b ON a.sha < b.sha"
@@ -82,15 +82,15 @@ def edge_changes(spark, sf):
 
 
 def _kinds(spark, sf):
-    strong = G.shared_media(V.media(spark, sf)).filter(F.col("shared") >= 1)
-    return strong.select("a", "b", F.when((F.col("a") + F.col("b")) % 3 == 0, "shared_template").otherwise("shared_image").alias("kind"), "weight").filter((F.col("a") * 7 + F.col("b")) % 5 == 0)
+    strong = G.shared_media(V.media(spark, sf))
+    return strong.select("a", "b", F.when((F.col("a") + F.col("b")) % 3 == 0, "shared_template").otherwise("shared_image").alias("kind"), "weight")
 
 
-_KINDS = f"SELECT a, b, CASE WHEN (a + b) % 3 = 0 THEN 'shared_template' ELSE 'shared_image' END AS kind, weight FROM ({_SHARED}) WHERE (a * 7 + b) % 5 = 0"
+_KINDS = f"SELECT a, b, CASE WHEN (a + b) % 3 = 0 THEN 'shared_template' ELSE 'shared_image' END AS kind, weight FROM ({_SHARED})"
 
 
 def related_sites(spark, sf):
-    starts = V.table(spark, sf, "supplier").filter(F.pmod("s_suppkey", F.lit(25)) == 1).select(F.col("s_suppkey").alias("site"))
+    starts = V.media(spark, sf).agg(F.min("site").alias("site"))
     r = G.related(_kinds(spark, sf), starts, 2)
     return r.select("start", "site", F.concat_ws(",", "via").alias("via"), q6(F.col("weight")).alias("weight"))
 
@@ -107,7 +107,7 @@ def graph_stats(spark, sf):
 
 
 def components(spark, sf):
-    """Documents that share a source and a length class, as components of pairs of near fingerprints."""
+    """Components of pairs of near fingerprints."""
     near = H.self_join(V.fingerprints(spark, sf).select("sha", "h"), 19)
     return connected_components(near, "sha", "other")
 
@@ -120,7 +120,7 @@ SELECT node, min(reach) AS component FROM r GROUP BY node
 
 
 def gangs_connectivity(spark, sf):
-    edges = _kinds(spark, sf).filter(F.col("weight") >= 0.05).withColumn("kind", F.when(F.col("a") % 11 == 0, "mirror_near").otherwise(F.col("kind")))
+    edges = _kinds(spark, sf).filter(F.col("weight") >= 0.02).withColumn("kind", F.when(F.col("a") % 11 == 0, "mirror_near").otherwise(F.col("kind")))
     return G.gangs(edges)
 
 
@@ -160,7 +160,7 @@ def merge_reasons(spark, sf):
     """Whether pairs of sites should merge, and by which rule."""
     e = G.shared_media(V.media(spark, sf))
     a, b = F.col("a"), F.col("b")
-    reason = G.merge_reason(a % 10 == b % 10, F.col("weight"), F.when(F.col("shared") >= 2, 1).otherwise(0), F.when((a + b) % 4 == 0, 1).otherwise(0), 0.1)
+    reason = G.merge_reason(a % 10 == b % 10, F.col("weight"), F.when(F.col("shared") >= 2, 1).otherwise(0), F.when((a + b) % 4 == 0, 1).otherwise(0), 0.02)
     return e.select("a", "b", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
@@ -178,8 +178,7 @@ SELECT {sql6('sum(coalesce(inside, 0) / m - pow(degree / (2 * m), 2))')} AS modu
 
 
 def louvain(spark, sf):
-    e = G.shared_media(V.media(spark, sf)).filter(F.col("weight") >= 0.03).select("a", "b", "weight")
-    return G.louvain(e)
+    return G.louvain(G.shared_media(V.media(spark, sf)).select("a", "b", "weight"))
 
 
 def redirect_chains(spark, sf):
@@ -202,7 +201,7 @@ def _media(sql: str, **more: str) -> str:
 
 def _recursive(tail: str) -> str:
     views = with_views("", "MEDIA", kinds=_KINDS).replace("WITH ", "WITH RECURSIVE ", 1).strip()
-    return f"{views}, e0 AS (SELECT a, b FROM kinds WHERE weight >= 0.05 AND a % 11 <> 0), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a) {tail}"
+    return f"{views}, e0 AS (SELECT a, b FROM kinds WHERE weight >= 0.02 AND a % 11 <> 0), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a) {tail}"
 
 
 def _prints(sql: str) -> str:
@@ -215,20 +214,20 @@ QUERIES = {
     "hamming_join_exact": (hamming_join_exact, _prints(f"SELECT * FROM ({_PAIRS}) WHERE distance <= {D_NEAR}")),
     "hamming_join_lsh": (hamming_join_lsh, None),
     "hamming_multi_table": (hamming_multi_table, None),
-    "hash_distance_topk": (hash_distance_topk, _prints("SELECT sha, other, distance, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY distance, other) AS place FROM (SELECT a.sha, b.sha AS other, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM fingerprints a JOIN fingerprints b ON a.sha <> b.sha WHERE a.sha % 50 = 0) WHERE distance <= 22) WHERE place <= 5")),
+    "hash_distance_topk": (hash_distance_topk, _prints("SELECT sha, other, distance, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY distance, other) AS place FROM (SELECT a.sha, b.sha AS other, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM fingerprints a JOIN fingerprints b ON a.sha <> b.sha WHERE true) WHERE distance <= 20) WHERE place <= 5")),
     "near_dup_weights": (near_dup_weights, _prints(f"SELECT x.site, x.other_site, hits, {sql6('least(1.0::DOUBLE, hits::DOUBLE / n)')} AS weight FROM (SELECT a.site, b.site AS other_site, count(DISTINCT a.sha) AS hits FROM fingerprints a JOIN fingerprints b ON a.sha <> b.sha AND a.site <> b.site WHERE bit_count(xor(a.h, b.h)) <= {D_NEAR} GROUP BY ALL) x JOIN (SELECT site, count(*) AS n FROM fingerprints GROUP BY site) s ON x.site = s.site")),
     "hash_registry": (hash_registry, "SELECT count(*) AS n, count(DISTINCT label) AS sites FROM embeddings"),
     "image_hashes": (image_hashes, None),
     "shared_media_edges": (shared_media_edges, _media(f"SELECT a, b, shared, {sql6('weight')} AS weight FROM sm", sm=_SHARED)),
     "shared_media_touched": (shared_media_touched, _media(f"SELECT a, b, shared, {sql6('weight')} AS weight FROM sm WHERE a % 10 = 3 OR b % 10 = 3", sm=_SHARED)),
     "edge_changes": (edge_changes, _media("SELECT a, b, 'new' AS change FROM sm WHERE (a + b) % 10 = 0 UNION ALL SELECT -r_regionkey - 1, r_regionkey, 'stale' FROM region", sm=_SHARED)),
-    "related_sites": (related_sites, _media(_RELATED, kinds=_KINDS, two="SELECT a, b, kind, weight FROM kinds UNION ALL SELECT b, a, kind, weight FROM kinds", st="SELECT s_suppkey AS s FROM supplier WHERE s_suppkey % 25 = 1")),
+    "related_sites": (related_sites, _media(_RELATED, kinds=_KINDS, two="SELECT a, b, kind, weight FROM kinds UNION ALL SELECT b, a, kind, weight FROM kinds", st="SELECT min(site) AS s FROM media")),
     "graph_stats": (graph_stats, _media("SELECT kind, count(*) AS edges FROM kinds GROUP BY kind", kinds=_KINDS)),
     "components": (components, _COMPONENTS.replace("{prints}", FINGERPRINTS)),
     "gangs_connectivity": (gangs_connectivity, _recursive(_GANGS)),
     "fingerprint_groups": (fingerprint_groups, _FPG.strip() + f" SELECT a, b, shared, {sql6('weight')} AS weight FROM ({_SHARED}) WHERE weight >= 0.25"),
     "merged_groups": (merged_groups, _MERGED.replace("{entries}", ENTRIES)),
-    "merge_reasons": (merge_reasons, _media("SELECT a, b, reason FROM (SELECT a, b, CASE WHEN a % 10 = b % 10 THEN 'same_site' WHEN weight >= 0.1 THEN 'overlap' WHEN shared >= 2 THEN 'shared_image' WHEN (a + b) % 4 = 0 THEN 'template' END AS reason FROM sm) WHERE reason IS NOT NULL", sm=_SHARED)),
+    "merge_reasons": (merge_reasons, _media("SELECT a, b, reason FROM (SELECT a, b, CASE WHEN a % 10 = b % 10 THEN 'same_site' WHEN weight >= 0.02 THEN 'overlap' WHEN shared >= 2 THEN 'shared_image' WHEN (a + b) % 4 = 0 THEN 'template' END AS reason FROM sm) WHERE reason IS NOT NULL", sm=_SHARED)),
     "modularity": (modularity, _media(_MODULARITY, sm=_SHARED)),
     "louvain": (louvain, None),
     "redirect_chains": (redirect_chains, _CHAINS),

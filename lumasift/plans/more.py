@@ -59,7 +59,7 @@ _CALIBRATED = "CASE " + " ".join(f"WHEN x <= {x1}::DOUBLE THEN {y0}::DOUBLE + (x
 
 
 def significant_digits(spark, sf):
-    return V.table(spark, sf, "lineitem").filter("l_orderkey < 500").select("l_orderkey", "l_linenumber", M.significant(F.col("l_extendedprice") / F.lit(7.0), 12).alias("x"))
+    return V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", M.significant(F.col("l_extendedprice") / F.lit(7.0), 12).alias("x"))
 
 
 def matmul_counts(spark, sf):
@@ -197,7 +197,7 @@ QUERIES = {
     "decision_candidates": (decision_candidates, with_views("SELECT site, count(*) AS candidates, count(DISTINCT path) AS images FROM image_score WHERE width >= 200 OR height >= 200 GROUP BY site", "IMAGE_SCORE")),
     "run_rows": (run_rows, with_views("SELECT run_id, CAST(sum(n) AS BIGINT) AS calls, string_agg(provider || ':' || n, ' ' ORDER BY provider) AS dist FROM (SELECT run_id, provider, count(*) AS n FROM cost_rows WHERE run_id IS NOT NULL GROUP BY ALL) GROUP BY run_id", "COST_ROWS")),
     "calibrated_probs": (calibrated_probs, with_views(f"SELECT seq, {sql6(_CALIBRATED)} AS p FROM (SELECT seq, {_X} AS x FROM image_score)", "IMAGE_SCORE")),
-    "significant_digits": (significant_digits, "SELECT l_orderkey, l_linenumber, CAST(printf('%.12g', l_extendedprice / 7.0::DOUBLE) AS DOUBLE) AS x FROM lineitem WHERE l_orderkey < 500"),
+    "significant_digits": (significant_digits, "SELECT l_orderkey, l_linenumber, CAST(printf('%.12g', l_extendedprice / 7.0::DOUBLE) AS DOUBLE) AS x FROM lineitem"),
     "matmul_counts": (matmul_counts, "WITH e AS (SELECT user_id % 30 AS u, CAST(length(event_type) AS INTEGER) AS t, count(*) AS v FROM events GROUP BY 1, 2) SELECT a.t AS i, b.t AS j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM e a JOIN e b ON a.u = b.u GROUP BY 1, 2"),
     "trapezoid_auc": (trapezoid_auc, with_views(f"SELECT model, {sql6('sum((nx - x) * (y + ny) / 2.0::DOUBLE) / 10000.0::DOUBLE')} AS area FROM (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM (SELECT model, seq % 10 AS x, sum(p4)::DOUBLE / count(*) AS y FROM image_score GROUP BY 1, 2) WINDOW w AS (PARTITION BY model ORDER BY x)) GROUP BY model", "IMAGE_SCORE")),
     "next_runs": (next_runs, with_views("SELECT site, strftime(last + to_hours(CASE WHEN v >= 0.5 THEN 24 WHEN v <= 0.1 AND n >= 3 THEN 96 ELSE 48 END), '%Y-%m-%d %H:%M') AS due FROM (SELECT site, max(created_at) AS last, count(*) AS n, coalesce(sum(CASE WHEN verdict <> prev THEN 1 ELSE 0 END)::DOUBLE / nullif(count(*) - 1, 0), 0) AS v FROM (SELECT *, lag(verdict) OVER (PARTITION BY site ORDER BY id) AS prev FROM entries) GROUP BY site)", "ENTRIES")),

@@ -250,7 +250,7 @@ def merkle_root(spark, sf):
 
 def span_tree(spark, sf):
     """Orders as roots, their lines as children of the line before."""
-    line = V.table(spark, sf, "lineitem").filter(F.col("l_orderkey") < 2000).select("l_orderkey", "l_linenumber")
+    line = V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
     spans = line.select(
         F.col("l_orderkey").alias("trace_id"),
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("span_id"),
@@ -260,7 +260,7 @@ def span_tree(spark, sf):
 
 
 _SPANS = """
-WITH RECURSIVE spans AS (SELECT DISTINCT l_orderkey AS trace_id, l_orderkey || '-' || l_linenumber AS span_id, CASE WHEN l_linenumber > 1 THEN l_orderkey || '-' || (l_linenumber - 1) END AS parent FROM lineitem WHERE l_orderkey < 2000),
+WITH RECURSIVE spans AS (SELECT DISTINCT l_orderkey AS trace_id, l_orderkey || '-' || l_linenumber AS span_id, CASE WHEN l_linenumber > 1 THEN l_orderkey || '-' || (l_linenumber - 1) END AS parent FROM lineitem),
 tree AS (SELECT trace_id, span_id, 0 AS depth, span_id AS root FROM spans s WHERE NOT EXISTS (SELECT 1 FROM spans p WHERE p.trace_id = s.trace_id AND p.span_id = s.parent)
   UNION ALL SELECT s.trace_id, s.span_id, depth + 1, root FROM tree t JOIN spans s ON s.trace_id = t.trace_id AND s.parent = t.span_id)
 SELECT * FROM tree

@@ -26,7 +26,7 @@ SELECT CASE WHEN l_orderkey % 53 <> 0 THEN 'run-' || (l_orderkey % 50) END AS ru
 FROM lineitem
 """
 
-MEDIA = "SELECT DISTINCT l_suppkey AS site, l_partkey AS media FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 5"
+MEDIA = "SELECT DISTINCT user_id AS site, CAST(floor(value * 100 + 0.5) AS BIGINT) AS media FROM events"
 
 FINGERPRINTS = """
 SELECT vec_id AS sha, label AS site,

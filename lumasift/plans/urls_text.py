@@ -133,12 +133,12 @@ SELECT item_id, gram, count(*) AS c FROM (
 def bm25_topk(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return search.bm25(docs, asked, T.words(F.col("text")), F.slice(T.words(F.col("text")), 1, 8))
+    return search.bm25(docs, asked, T.words(F.col("text")), T.words(F.col("text")))
 
 
 _BM25 = """
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS terms FROM documents),
-q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')[1:8]) AS term FROM benchmark),
+q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS term FROM benchmark),
 p AS (SELECT doc_id, dl, term, count(*) AS f FROM (SELECT doc_id, len(terms) AS dl, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY doc_id, dl, term),
 s AS (SELECT count(*) AS n, sum(len(terms))::DOUBLE / count(*) AS avgdl FROM d),
 i AS (SELECT term, ln(1.0::DOUBLE + (n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf, avgdl FROM p, s GROUP BY term, n, avgdl),

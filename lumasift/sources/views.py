@@ -62,9 +62,9 @@ def cost_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bipartite site-media rows, distinct."""
-    line = table(spark, sf_dir, "lineitem").filter((F.col("l_linenumber") == 1) & (F.col("l_quantity") < 5))
-    return line.select(F.col("l_suppkey").alias("site"), F.col("l_partkey").alias("media")).distinct()
+    """Bipartite site-media rows, distinct: an event's value in hundredths stands for an image."""
+    events = table(spark, sf_dir, "events")
+    return events.select(F.col("user_id").alias("site"), F.floor(F.col("value") * 100 + 0.5).cast("long").alias("media")).distinct()
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
