@@ -155,3 +155,20 @@ def redirect_chain(hops: DataFrame, starts: DataFrame, most: int = 5) -> DataFra
         go = F.col("dst").isNotNull() & ~F.array_contains("seen", F.col("dst"))
         at = moved.select("start", F.when(go, F.col("dst")).otherwise(F.col("last")).alias("last"), (F.col("n") + F.when(go, 1).otherwise(0)).alias("n"), F.when(go, F.array_append("seen", F.col("dst"))).otherwise(F.col("seen")).alias("seen"))
     return at.select("start", "last", "n")
+
+
+def crawl(links: DataFrame, starts: DataFrame, depth: int, most: int) -> DataFrame:
+    """start, url, level: breadth first along links (src, dst), each url once, at most ``most`` urls a start.
+
+    One join a level; urls seen before are left out by an anti join.
+    """
+    from pyspark.sql import Window
+
+    level = starts.select(F.col("url").alias("start"), "url", F.lit(0).alias("level")).distinct()
+    seen = level
+    for k in range(1, depth + 1):
+        reached = level.join(links, F.col("url") == F.col("src")).select("start", F.col("dst").alias("url")).distinct()
+        level = saved(reached.join(seen.select("start", "url"), ["start", "url"], "left_anti").withColumn("level", F.lit(k)), f"crawl-{k}")
+        seen = seen.unionByName(level)
+    place = F.row_number().over(Window.partitionBy("start").orderBy("level", "url"))
+    return seen.withColumn("place", place).filter(F.col("place") <= most).drop("place")

@@ -277,3 +277,34 @@ def send_gate(images: DataFrame, site: str, order: str, least_px: int = 200, nea
     return images.groupBy(site).applyInPandas(apply, f"{site} {types[site]}, {order} {types[order]}, sha {types['sha']}, decision string")
 
 
+
+
+def drift_interval(hist: DataFrame, rounds: int = 200, seed: int = 17, eps: float = 1e-6) -> DataFrame:
+    """source, lo and hi of PSI when current rows are drawn again (``hist`` as for histogram_drift)."""
+    import random
+
+    def psi(ref: list[float], cur: list[int]) -> float:
+        shares = []
+        for counts in (ref, cur):
+            raw = [max(eps, c / max(1, sum(counts))) for c in counts]
+            shares.append([x / sum(raw) for x in raw])
+        return sum((c - r) * math.log(c / r) for r, c in zip(*shares))
+
+    @F.pandas_udf("lo double, hi double")
+    def interval(source: pd.Series, ref: pd.Series, cur: pd.Series) -> pd.DataFrame:
+        out = []
+        for s, r, c in zip(source, ref, cur):
+            rng = random.Random(f"{seed}-{s}")
+            r, c = list(r), list(c)
+            n = int(sum(c))
+            found = []
+            for _ in range(rounds if n else 0):
+                drawn = [0] * len(c)
+                for k in rng.choices(range(len(c)), c, k=n):
+                    drawn[k] += 1
+                found.append(psi(r, drawn))
+            found.sort()
+            out.append((found[int(0.025 * len(found))], found[min(len(found) - 1, int(0.975 * len(found)))]) if found else (None, None))
+        return pd.DataFrame(out, columns=["lo", "hi"])
+
+    return hist.select("source", interval("source", "ref", "cur").alias("x")).select("source", "x.lo", "x.hi")

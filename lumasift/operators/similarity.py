@@ -135,3 +135,55 @@ def image_hashes(images: DataFrame, id_col: str, pixels_col: str) -> DataFrame:
 
     kind = images.schema[id_col].dataType.simpleString()
     return images.select(id_col, pixels_col).mapInArrow(apply, f"{id_col} {kind}, phash long, mirror_hash long, ahash long")
+
+
+def low_bits(gray: np.ndarray, k: int) -> int:
+    """k x k low frequencies of a square image above their median (without the first), first bit highest."""
+    n = len(gray)
+    basis = np.cos((2 * np.arange(n)[None, :] + 1) * np.arange(k)[:, None] * np.pi / (2 * n))
+    f = (basis @ gray @ basis.T).ravel()
+    return int("".join("1" if b else "0" for b in f > np.median(f[1:])), 2)
+
+
+def _halved(gray: np.ndarray) -> np.ndarray:
+    n = len(gray) // 2
+    return gray.reshape(n, 2, n, 2).mean((1, 3))
+
+
+def wide_hashes(images: DataFrame, id_col: str, pixels_col: str) -> DataFrame:
+    """id, quads (64 bits of each quarter) and pyramid (36 bits of each of three scales) from 1024 gray values a row.
+
+    Scales are means of 2 x 2 pixels.  Other rows give null.
+    """
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            quads, pyramids = [], []
+            for pixels in batch.column(1).to_pylist():
+                if pixels is None or len(pixels) != 1024 or any(x is None for x in pixels):
+                    quads.append(None)
+                    pyramids.append(None)
+                    continue
+                g = np.array(pixels, float).reshape(32, 32)
+                quads.append([signed(low_bits(g[y : y + 16, x : x + 16], 8)) for y in (0, 16) for x in (0, 16)])
+                pyramids.append([low_bits(v, 6) for v in (g, _halved(g), _halved(_halved(g)))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(quads, pa.list_(pa.int64())), pa.array(pyramids, pa.list_(pa.int64()))], names=[id_col, "quads", "pyramid"])
+
+    kind = images.schema[id_col].dataType.simpleString()
+    return images.select(id_col, pixels_col).mapInArrow(apply, f"{id_col} {kind}, quads array<long>, pyramid array<long>")
+
+
+def summed_distance(a: Column, b: Column) -> Column:
+    """Differing bits of all parts of two hashes."""
+    return F.aggregate(F.zip_with(a, b, hamming), F.lit(0), lambda s, d: s + d)
+
+
+def least_distance(a: Column, b: Column) -> Column:
+    """Differing bits of the part that agrees best: scales of a pyramid, tiles."""
+    return F.array_min(F.zip_with(a, b, hamming))
+
+
+def narrow_view(quads: Column) -> Column:
+    """64 bits: the highest 16 of each quarter."""
+    parts = [F.shiftleft(F.shiftrightunsigned(quads[k], 48), 48 - 16 * k) for k in range(4)]
+    return parts[0].bitwiseOR(parts[1]).bitwiseOR(parts[2]).bitwiseOR(parts[3])

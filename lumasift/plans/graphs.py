@@ -56,6 +56,25 @@ def image_hashes(spark, sf):
     return H.image_hashes(emb.select("vec_id", pixels.alias("pixels")), "vec_id", "pixels")
 
 
+def image_hash_family(spark, sf):
+    """Distances of each image to the next one by quarters, by the best scale, and by the narrow view."""
+    emb = V.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    pixels = F.flatten(F.transform(F.slice("v", 1, 32), lambda a: F.transform(F.slice("v", 33, 32), lambda b: a * b)))
+    hashed = H.wide_hashes(emb.select("vec_id", pixels.alias("pixels")), "vec_id", "pixels")
+    other = hashed.select((F.col("vec_id") - 1).alias("vec_id"), F.col("quads").alias("quads2"), F.col("pyramid").alias("pyramid2"))
+    a, b = F.col("quads"), F.col("quads2")
+    return hashed.join(other, "vec_id").select("vec_id", H.summed_distance(a, b).alias("quarters"), H.least_distance(F.col("pyramid"), F.col("pyramid2")).alias("scales"), H.hamming(H.narrow_view(a), H.narrow_view(b)).alias("narrow"))
+
+
+def site_bfs(spark, sf):
+    """Urls within two hops of each page along links that stay on its host."""
+    from lumasift.plans.urls_text import page_links
+
+    pages = V.table(spark, sf, "pages").select("page_id", "url")
+    links = page_links(spark, sf).join(pages, "page_id").select(F.col("url").alias("src"), F.col("link").alias("dst"))
+    return G.crawl(links, pages.select("url"), 2, 8)
+
+
 def shared_media_edges(spark, sf):
     e = G.shared_media(V.media(spark, sf))
     return e.select("a", "b", "shared", q6(F.col("weight")).alias("weight"))
@@ -218,6 +237,8 @@ QUERIES = {
     "near_dup_weights": (near_dup_weights, _prints(f"SELECT x.site, x.other_site, hits, {sql6('least(1.0::DOUBLE, hits::DOUBLE / n)')} AS weight FROM (SELECT a.site, b.site AS other_site, count(DISTINCT a.sha) AS hits FROM fingerprints a JOIN fingerprints b ON a.sha <> b.sha AND a.site <> b.site WHERE bit_count(xor(a.h, b.h)) <= {D_NEAR} GROUP BY ALL) x JOIN (SELECT site, count(*) AS n FROM fingerprints GROUP BY site) s ON x.site = s.site")),
     "hash_registry": (hash_registry, "SELECT count(*) AS n, count(DISTINCT label) AS sites FROM embeddings"),
     "image_hashes": (image_hashes, None),
+    "image_hash_family": (image_hash_family, None),
+    "site_bfs": (site_bfs, None),
     "shared_media_edges": (shared_media_edges, _media(f"SELECT a, b, shared, {sql6('weight')} AS weight FROM sm", sm=_SHARED)),
     "shared_media_touched": (shared_media_touched, _media(f"SELECT a, b, shared, {sql6('weight')} AS weight FROM sm WHERE a % 10 = 3 OR b % 10 = 3", sm=_SHARED)),
     "edge_changes": (edge_changes, _media("SELECT a, b, 'new' AS change FROM sm WHERE (a + b) % 10 = 0 UNION ALL SELECT -r_regionkey - 1, r_regionkey, 'stale' FROM region", sm=_SHARED)),

@@ -155,14 +155,22 @@ def conformal_selected(spark, sf):
     return V.labelled(spark, sf).filter(F.col("p4") >= 9000).select("doc_id", "p4")
 
 
-def drift_psi_kl(spark, sf):
+def _drift_histograms(spark, sf):
     e = V.image_score(spark, sf)
     half = e.groupBy("model").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY seq)").alias("mid"))
     k = F.least(F.floor(F.col("p4") / 1000), F.lit(9))
     rows = e.join(half, "model").withColumn("bin", k).withColumn("late", F.col("seq") > F.col("mid"))
     cells = lambda late: F.array(*[F.count(F.when((F.col("late") == late) & (F.col("bin") == b), 1)) for b in range(10)])
-    hist = rows.groupBy(F.col("model").alias("source")).agg(cells(False).alias("ref"), cells(True).alias("cur"))
-    d = S.histogram_drift(hist)
+    return rows.groupBy(F.col("model").alias("source")).agg(cells(False).alias("ref"), cells(True).alias("cur"))
+
+
+def drift_interval(spark, sf):
+    d = S.drift_interval(_drift_histograms(spark, sf), rounds=60)
+    return d.select("source", q6(F.col("lo")).alias("lo"), q6(F.col("hi")).alias("hi"))
+
+
+def drift_psi_kl(spark, sf):
+    d = S.histogram_drift(_drift_histograms(spark, sf))
     return d.select("source", q6(F.col("psi")).alias("psi"), q6(F.col("kl")).alias("kl"), "grade")
 
 
@@ -332,6 +340,7 @@ QUERIES = {
     "auc": (auc, _on_labels(f"SELECT {sql6('(SELECT sum(CASE WHEN a.p4 > b.p4 THEN 1.0::DOUBLE WHEN a.p4 = b.p4 THEN 0.5::DOUBLE ELSE 0 END) FROM labelled a, labelled b WHERE a.label = 1 AND b.label = 0) / (count(*) FILTER (WHERE label = 1) * count(*) FILTER (WHERE label = 0))')} AS auc, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM labelled")),
     "conformal_prefix": (conformal_prefix, _on_labels("SELECT p4, CAST(selected AS BIGINT) AS selected, CAST(hits AS BIGINT) AS hits FROM suf WHERE hits >= 0.14::DOUBLE * selected ORDER BY selected DESC LIMIT 1", suf=_SUFFIX)),
     "conformal_selected": (conformal_selected, _on_labels("SELECT doc_id, p4 FROM labelled WHERE p4 >= 9000")),
+    "drift_interval": (drift_interval, None),
     "drift_psi_kl": (drift_psi_kl, _iv(_DRIFT)),
     "wilson_ci": (wilson_ci, _iv(_WILSON)),
     "grouping_purity": (grouping_purity, f"SELECT count(*) AS n_groups, {sql6('sum(top)::DOUBLE / sum(size)')} AS purity, {sql6('sum(sq::DOUBLE / size) / sum(size)')} AS completeness FROM (SELECT grp, sum(c) AS size, max(c) AS top, sum(c * c) AS sq FROM (SELECT user_id % 20 AS grp, event_type, count(*) AS c FROM events GROUP BY ALL) GROUP BY grp)"),
