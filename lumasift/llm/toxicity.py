@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lumasift.llm.common import flat, fold_of, gram_hashes, held_out, letters_only, saved, table, windows
 
 GRAMS, BITS = (3, 4, 5), 18
-SAMPLE, FEATURES, MIN_DOCS, ALPHA = 8000, 6000, 4, 1.0
+SAMPLE, FEATURES, MIN_DOCS, ALPHA = 4000, 3000, 4, 1.0
 THRESHOLD = 0.7
 _SAMPLE_PARTS = 16
 _ROUNDS, _RIDGE = 150, 1.0
@@ -140,16 +140,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features:
             cuts = np.searchsorted(d, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[a:b].astype(np.uint16).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["y", "f"])
 
-    ys, fs = [], []
-    for row in rows.mapInArrow(sparse, "y int, f binary").collect():
-        ys.append(row["y"])
-        fs.append(np.frombuffer(row["f"], np.uint16).astype(np.int64))
-    order = sorted(range(len(ys)), key=lambda k: (ys[k], fs[k].tobytes()))  # sums in one order give one model
-    ys, fs = [ys[k] for k in order], [fs[k] for k in order]
-    y = np.array(ys, np.float64)
-    at = np.repeat(np.arange(len(ys)), [len(f) for f in fs])
+    found = [(row["y"], row["f"]) for row in rows.mapInArrow(sparse, "y int, f binary").collect()]
+    found.sort()  # sums in one order give one model
+    y = np.array([v for v, _ in found], np.float64)
+    at = np.repeat(np.arange(len(found), dtype=np.int32), [len(f) // 2 for _, f in found])
+    grams = np.frombuffer(b"".join(f for _, f in found), np.uint16)
+    del found
     stands_for = np.where(y == 1, totals.get(1, 1) / max(1.0, n[1]), totals.get(0, 1) / max(1.0, n[0]))
-    weights, bias = fit_weights(at, np.concatenate(fs), y, stands_for, r)
+    weights, bias = fit_weights(at, grams, y, stands_for, r)
     return Model(place, weights, bias)
 
 

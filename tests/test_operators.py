@@ -114,7 +114,7 @@ def test_louvain_two_cliques(spark):
 
 def test_bursts(spark):
     assert S.burst_states([1.0]) == []
-    times = [0.0, 10, 20, 30, 30.1, 30.2, 30.3, 30.4, 30.5, 40, 50]
+    times = [0.0, 10.0, 20.0, 30.0, 30.1, 30.2, 30.3, 30.4, 30.5, 40.0, 50.0]
     states = S.burst_states(times, s=3.0)
     assert states[:3] == [0, 0, 0] and max(states[3:8]) == 1 and states[-1] == 0
     df = spark.createDataFrame([("k", t) for t in times] + [("one", 1.0)], "k string, t double")
