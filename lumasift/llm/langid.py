@@ -31,7 +31,7 @@ from lumasift.llm.common import flat, fold_of, gram_hashes, held_out, letters_on
 
 GRAMS, BITS = (1, 2, 3, 4), 12
 SAMPLE, MAX_LANGUAGES = 4000, 100
-_SAMPLE_PARTS = 8
+_SAMPLE_PARTS, SALTS = 8, 16
 
 #: Families of common languages by their ISO 639-1 codes.
 FAMILIES = {
@@ -168,8 +168,11 @@ def train(docs: DataFrame, sample: int = SAMPLE, max_languages: int = MAX_LANGUA
     if not langs:
         return Model()
     each = max(1, sample // len(langs))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = known.filter(F.col("lang").isin(langs)).withColumn("nth", nth).filter(F.col("nth") <= each).select(F.col("doc_id").alias("id"), F.col("lang").alias("of")).distinct()
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id")) <= each
+    # the first of each salt hold the first of the language, so its task gets at most SALTS x ``each`` rows
+    salted = known.filter(F.col("lang").isin(langs)).withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
+    few = salted.withColumn("taken", first("lang", "salt")).filter("taken")
+    picked = few.withColumn("taken", first("lang")).filter("taken").select(F.col("doc_id").alias("id"), F.col("lang").alias("of")).distinct()
     # at most ``sample`` pairs of an id and a language
     rows = docs.join(F.broadcast(picked), (F.col("doc_id").cast("long") == F.col("id")) & (F.col("lang") == F.col("of"))).select(F.col("of").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = saved(rows.limit(2 * sample).repartition(_SAMPLE_PARTS), "lang-sample")
