@@ -16,12 +16,13 @@ Which nodes meet:
 2. Nodes that share an indexed shingle: up to ``PAIRS_UP_TO`` nodes meet in
    pairs of fitting sizes.  A larger group is a star: each node meets
    ``LEADERS`` leaders only.  A shingle that the counts call hot is dealt to
-   several groups by node, and their leaders meet in one further group.
+   several groups by node, and some nodes of each meet in one further group.
 3. Bitmaps drop pairs; the others are verified in tasks that hold a cluster of
    them, or a hub and some of its neighbours, skipping pairs that are connected
    already.  Components of the links follow.
 4. Stars may have missed links between nodes of one group that are still in
-   different components.  All groups that share nodes are a *family*; a family
+   different components, and so may have dealing, however few nodes a group
+   has.  All such groups that share nodes are a *family*; a family
    of several components is compared in full, in tiles of two blocks of close
    size bands, by bitmaps first and then exactly, skipping connected pairs.
 
@@ -56,6 +57,8 @@ HOT, PART = 1 << 16, 1 << 15
 #: Documents, or shingles, of a verifying task; shingles of a block in a tile.
 CLUSTER, BLOCK_SHINGLES = 256, 400_000
 FLUSH = 1 << 20
+#: Bit of the groups that a hot shingle's nodes are dealt to, and of the parts' own group.
+_DEALT = np.uint64(1 << 63)
 _BLOOM_BITS = 23
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -293,16 +296,16 @@ def _prefixes(classes, n_buckets: int, percent: int, hot: int, part: int) -> Cal
             tokens = np.concatenate([t for t, _, _ in held])
             nodes = np.repeat(np.array([x for _, x, _ in held], np.int64), lengths)
             sizes = np.repeat(np.array([x for _, _, x in held], np.int32), lengths)
-            group = _mix(tokens)
+            group = _mix(tokens) & ~_DEALT
             common = np.flatnonzero((tokens >> np.uint64(56)).astype(np.int64) >= limit)
             if len(common):  # deal a hot shingle's nodes to parts; a part's least node here joins the parts' own group
                 estimate = 2.0 ** ((tokens[common] >> np.uint64(56)).astype(np.float64) / 2)
                 parts = np.maximum(1, np.ceil(estimate / part)).astype(np.uint64)
                 ranks = _mix(nodes[common].view(np.uint64))
-                dealt = _mix(group[common] + np.uint64(1) + ranks % parts)
+                dealt = _mix(group[common] + np.uint64(1) + ranks % parts) | _DEALT
                 order = np.lexsort((ranks, dealt))
                 first = order[np.append(True, dealt[order][1:] != dealt[order][:-1])]
-                root = group[common][first]
+                root = group[common][first] | _DEALT
                 group[common] = dealt
                 group = np.append(group, root)
                 nodes, sizes = np.append(nodes, nodes[common][first]), np.append(sizes, sizes[common][first])
@@ -356,6 +359,9 @@ def _group_pairs(n_buckets: int, percent: int, pairs_up_to: int, leaders: int) -
                 some = at[lo : lo + max(1, FLUSH // len(one)), None]
                 put((some + one).ravel(), (some + two).ravel())
         large = lengths > pairs_up_to
+        tied = ~large & (group[begins] >= _DEALT)  # its pairs are whole, but not with other parts
+        first, inside = np.repeat(begins[tied], lengths[tied]), np.flatnonzero(np.repeat(tied, lengths))
+        put(inside[first != inside], first[first != inside], family=True)
         if large.any():
             inside = np.flatnonzero(np.repeat(large, lengths))
             mine = np.repeat(np.arange(large.sum()), lengths[large])

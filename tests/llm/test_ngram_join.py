@@ -74,6 +74,18 @@ def test_components(spark, rows, options):
     assert got == brute(rows)
 
 
+def test_links_across_the_parts_of_hot_shingles(spark):
+    """Two linked texts hold nothing but a passage of many documents, and unlike texts rank before them in their parts."""
+    rows = []
+    for at in range(0, 12000, 1000):
+        passage = [f"p{at}x{k}" for k in range(12)]
+        rows += [(at + 1, " ".join(passage)), (at + 2, " ".join(passage[:-1]))]
+        rows += [(at + 10 * n + lo, " ".join(passage[lo : lo + n])) for n in (5, 6, 7) for lo in range(13 - n)]
+        rows += [(at + 100 + k, " ".join([*(f"u{at}x{k}x{j}" for j in range(60)), *passage])) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted((tuple(r) for r in J.join(df, hot=16, part=8).collect()), key=repr) == brute(rows)
+
+
 def test_representatives(spark, rows):
     df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, label string")
     kept = J.representatives(df)
