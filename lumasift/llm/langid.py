@@ -5,9 +5,10 @@ one-versus-one linear support vector machines separate the languages of that
 family, by votes and then by summed margins.  Features are square roots of the
 shares of hashed 1- to 4-grams (of UTF-8 bytes) of the lower-cased letters.
 
-Learning takes at most ``SAMPLE`` labelled rows in all, dealt evenly to the
-languages, the first of each by a hash of the id: a stated bound.  Prediction
-is one narrow pass over all whole texts.
+Learning takes at most ``SAMPLE`` labelled rows in all, or one of each language
+if there are more languages, dealt evenly to the languages, the first of each by
+a hash of the id: a stated bound.  Prediction is one narrow pass over all whole
+texts.
 
 Defined results: null text, or text without a letter, gets ``und`` with score
 0; with no labelled rows every other text gets ``und`` too; a null id counts as
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from lumasift.llm.common import flat, fold_of, gram_hashes, held_out, letters_only, saved, table, windows
 
 GRAMS, BITS = (1, 2, 3, 4), 12
-SAMPLE, MAX_LANGUAGES = 4000, 100
+SAMPLE = 4000
 _SAMPLE_PARTS, SALTS = 8, 16
 
 #: Families of common languages by their ISO 639-1 codes.
@@ -158,24 +159,21 @@ def _logistic(margin: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-3 * np.clip(margin.astype(np.float64), -50, 50)))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, max_languages: int = MAX_LANGUAGES) -> Model:
-    """Learn from rows with a language whose fold isn't 1.
-
-    Beyond ``max_languages`` labels the rarest aren't learned.
-    """
+def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
+    """Learn from rows with a language whose fold isn't 1; every language has a row at least."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & (fold_of(F.col("doc_id")) != 1))
-    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    if not langs:
+    n_langs = known.select("lang").distinct().count()
+    if not n_langs:
         return Model()
-    each = max(1, sample // len(langs))
+    each = max(1, sample // n_langs)
     first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id")) <= each
     # the first of each salt hold the first of the language, so its task gets at most SALTS x ``each`` rows
-    salted = known.filter(F.col("lang").isin(langs)).withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
+    salted = known.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
     few = salted.withColumn("taken", first("lang", "salt")).filter("taken")
     picked = few.withColumn("taken", first("lang")).filter("taken").select(F.col("doc_id").alias("id"), F.col("lang").alias("of")).distinct()
-    # at most ``sample`` pairs of an id and a language
+    # at most ``sample`` pairs of an id and a language, or one of each language
     rows = docs.join(F.broadcast(picked), (F.col("doc_id").cast("long") == F.col("id")) & (F.col("lang") == F.col("of"))).select(F.col("of").alias("lang"), F.col("text").cast("string").alias("text"))
-    rows = saved(rows.limit(2 * sample).repartition(_SAMPLE_PARTS), "lang-sample")
+    rows = saved(rows.limit(2 * max(sample, n_langs)).repartition(_SAMPLE_PARTS), "lang-sample")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

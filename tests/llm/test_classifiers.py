@@ -34,6 +34,13 @@ def test_language(spark, corpus):
     assert by[1003]["lang_pred"] == "en" and by[None]["held_out"] is False
 
 
+def test_language_learns_every_label(spark):
+    names = ["".join(chr(97 + (k * m + m) % 26) for m in (1, 3, 7, 11)) + chr(97 + k // 26) for k in range(120)]
+    rows = [(10 * k + j, f"{n} " * 20, f"x{k:03}") for k, n in enumerate(names) for j in range(9)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=60)
+    assert sorted(x for of in model.languages.values() for x in of) == [f"x{k:03}" for k in range(120)]
+
+
 def test_language_without_labels(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert langid.predict(df, langid.train(df)).first()["lang_pred"] == "und"
