@@ -1,5 +1,10 @@
 import hashlib
+import random
 import re
+import string
+
+import pytest
+from pyspark.sql import functions as F
 
 from lumasift.llm import secrets as S
 
@@ -43,12 +48,89 @@ def test_base_spans_and_query_columns(spark, tmp_path):
     assert "novel" in got[8]["spans"] and "novel" not in got[9]["spans"]
 
 
-def test_novelty_orders_strings():
-    n = S.Novelty()
+@pytest.fixture(scope="module")
+def novelty():
+    return S.Novelty()
+
+
+def test_novelty_orders_strings(novelty):
     text = "the access key is {} ok"
-    known, random = "get_account_balance_batch_1", "x7Kq9ZpL2mVb4Rt8Ws1Yc6Nd3Fg"
     at = text.index("{}")
-    assert n.of(text.format(random), at, at + len(random)) > S.NOVEL > n.of(text.format(known), at, at + len(known))
+    share = lambda piece: novelty.of(text.format(piece), at, at + len(piece))[0]
+    for random_key in ("x7Kq9ZpL2mVb4Rt8Ws1Yc6Nd3Fg", "qlmzrwtxkvbnphsjdfgc", "aZbYcXdWeVfUgThSiRjQ", "84930271650493827105"):
+        assert share(random_key) >= S.NOVEL, random_key
+    for name in ("get_account_balance_batch_1", "request_session_user_token_string_2024_version", "applicationServerResponseHandler"):
+        assert share(name) < S.NOVEL, name
+
+
+def planted(seed, n):
+    """(text, start, end, whether it is a key): n random keys of several kinds and n names, half of them with the context behind."""
+    rng = random.Random(seed)
+    words = "account action batch build cache client column config context count data default device error event export field filter format handler header image index input key length limit list load local message method model module name network number object option order output page parse path point query queue read record request response result row schema search server service session size source state status stream string system table target task text thread time token type update user value version view write".split()
+    alphabets = (string.ascii_lowercase, string.ascii_letters, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits)
+    for i in range(2 * n):
+        key = i < n
+        if key:
+            piece = "".join(rng.choices(alphabets[i % 5], k=rng.choice((20, 24, 32, 40))))
+        else:
+            some = rng.choices(words, k=rng.randrange(3, 7))
+            piece = ("_".join(some), "-".join(some), some[0] + "".join(w.title() for w in some[1:]), "_".join(some).upper(), "_".join(some[:3]) + "_2024_07")[i % 5]
+        head = "we found the bearer " if i % 2 else "it reads "
+        text = head + piece + (" here" if i % 2 else " as credential")
+        yield text, len(head), len(head) + len(piece), key
+
+
+def test_precision_and_recall_on_planted_strings(novelty):
+    right = wrong = missed = 0
+    for text, start, end, key in planted(5, 400):
+        found = S.novel_spans(text, [], novelty)
+        right += key and found == [(start, end, "novel")]
+        missed += key and not found
+        wrong += not key and bool(found)
+    assert right / 400 >= 0.97 and missed / 400 <= 0.03 and right / (right + wrong) >= 0.97, (right, missed, wrong)
+
+
+def brute_novel(text, novelty):
+    """Every stretch of the text is looked at, character by character."""
+    signs = set(string.ascii_letters + string.digits + "+/_-")
+    base = S.base_spans(text)
+    out, i = [], 0
+    glued = lambda c: c.isalnum() or c in "+/_-="
+    while i < len(text):
+        if text[i] not in signs or (i and glued(text[i - 1])):
+            i += 1
+            continue
+        j = i
+        while j < len(text) and text[j] in signs:
+            j += 1
+        end = j
+        while end < len(text) and text[end] == "=" and end < j + 2:
+            end += 1
+        whole = end == len(text) or not glued(text[end])
+        near = [m.span() for m in S.SENSITIVE.finditer(text[max(0, i - S.BEFORE) : i])] + [m.span() for m in S.SENSITIVE.finditer(text[end : end + S.BEHIND])]
+        if whole and j - i >= S.MIN_CHARS and near and not any(a < end and i < b for a, b, _ in base):
+            share, bits = novelty.of(text, i, end)
+            if share >= S.NOVEL and bits >= S.LEAST_BITS:
+                out.append((i, end, "novel"))
+        i = max(j, i + 1)
+    return out
+
+
+def test_novel_spans_against_brute_force(novelty):
+    rng = random.Random(9)
+    pieces = ["token", "api key", "secret", "bearer", " ", "\n", ", ", "= ", "password = hunter22", "plain words of prose", "é", "request_session_user", "AKIA" + "Q" * 16, "deadbeef" * 4, "x="]
+    for _ in range(60):
+        text = " ".join(rng.choice(pieces) if rng.random() < 0.7 else "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=rng.randrange(8, 40))) for _ in range(25))
+        assert S.novel_spans(text, S.base_spans(text), novelty) == brute_novel(text, novelty), text
+
+
+def test_very_long_text_and_repeated_rows(spark, novelty):
+    long = "plain prose, nothing else here. " * 40_000 + "the bearer zQ8xK2pL9vR4tY7wN3mB6cF1 and " + "token = abcdefgh1 " * 3000
+    many = "secret " + " ".join("".join(random.Random(i).choices(string.ascii_letters, k=24)) for i in range(200))
+    rows = [(1, long), (1, long), (2, many), (2, None)]
+    got = [r["spans"] for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id", F.desc(F.size("spans"))).collect()]
+    assert got[0] == got[1] and [s["text"] for s in got[0] if s["kind"] == "novel"] == ["zQ8xK2pL9vR4tY7wN3mB6cF1"] and sum(s["kind"] == "assign" for s in got[0]) == 3000
+    assert [s["kind"] for s in got[2]] and got[3] == []
 
 
 def test_empty_table(spark):
