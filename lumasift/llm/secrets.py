@@ -7,9 +7,9 @@ of, packs the surrounding text with and without the candidate; the extra bytes
 are what it costs.  It is packed as it stands and as the words that an
 identifier of its form would have (``userTokenId`` as ``user token id``), and
 the cheaper form counts.  Its *novelty* is that cost against the mean cost of
-random strings of its length and kinds of characters: about 1 for a random key
-of any kind, and less for names, words and dates that the dictionary or the
-neighbourhood explains.  A candidate is reported as ``novel`` if its novelty is
+random strings of its length and kinds of characters in such a place: about 1
+for a random key of any kind, and less for names, words and dates that the
+dictionary or the neighbourhood explains.  A candidate is reported as ``novel`` if its novelty is
 ``NOVEL`` or more, its measured information (novelty, at most 1, times the bits
 of a random string) is ``LEAST_BITS`` or more, and no plain pattern has covered
 any of it.  No rule on single characters takes part.
@@ -107,21 +107,33 @@ class Novelty:
         without = len(self._packer.compress(before + behind))
         return min(len(self._packer.compress(before + x.encode() + behind)) for x in (piece, read_as_words(piece))) - without
 
+    def _mean_cost(self, before: bytes, alphabet: str, n: int, behind: bytes) -> float:
+        rng = random.Random(f"{alphabet} {n}")
+        return sum(self.cost(before, "".join(rng.choices(alphabet, k=n)), behind) for _ in range(_DRAWS)) / _DRAWS
+
     def random_cost(self, alphabet: str, n: int) -> float:
-        """Mean cost of random strings, drawn with a fixed seed; beyond ``_LONG`` characters it goes on in proportion."""
+        """Mean cost of random strings in plain prose, drawn with a fixed seed; beyond ``_LONG`` characters it goes on in proportion."""
         if n > _LONG:
             return self.random_cost(alphabet, _LONG) * n / _LONG
         if (alphabet, n) not in self._random:
-            rng = random.Random(f"{alphabet} {n}")
-            self._random[alphabet, n] = sum(self.cost(_BEFORE, "".join(rng.choices(alphabet, k=n)), _BEHIND) for _ in range(_DRAWS)) / _DRAWS
+            self._random[alphabet, n] = self._mean_cost(_BEFORE, alphabet, n, _BEHIND)
         return self._random[alphabet, n]
 
-    def of(self, text: str, start: int, end: int) -> tuple[float, float]:
-        """Novelty of text[start:end] (ASCII) and its bits of information."""
+    def of(self, text: str, start: int, end: int, threshold: float = NOVEL) -> tuple[float, float]:
+        """Novelty of text[start:end] (ASCII) and its bits of information.
+
+        Among many random strings all of them cost less, since their letters
+        have codes of their own.  So where plain prose leaves it open whether
+        the threshold is met, random strings are measured in the same place.
+        """
         before, behind = (x.encode("utf-8", "surrogatepass") for x in (text[max(0, start - AROUND) : start], text[end : end + AROUND]))
-        alphabet = alphabet_of(text[start:end])
-        novelty = self.cost(before, text[start:end], behind) / self.random_cost(alphabet, end - start)
-        return novelty, min(1.0, novelty) * (end - start) * math.log2(max(2, len(alphabet)))
+        n, alphabet = end - start, alphabet_of(text[start:end])
+        whole = n * math.log2(max(2, len(alphabet)))
+        cost = self.cost(before, text[start:end], behind)
+        novelty = cost / self.random_cost(alphabet, n)
+        if novelty < threshold <= 8 * cost / whole:
+            novelty = cost / max(whole / 8, self._mean_cost(before, alphabet, n, behind))
+        return novelty, min(1.0, novelty) * whole
 
 
 def base_spans(text: str, kinds=tuple(BASE)) -> list[tuple[int, int, str]]:
@@ -145,7 +157,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty,
             continue
         if not SENSITIVE.search(text, max(0, s - BEFORE), s) and not SENSITIVE.search(text, e, e + BEHIND):
             continue
-        share, bits = novelty.of(text, s, e)
+        share, bits = novelty.of(text, s, e, threshold)
         if share >= threshold and bits >= LEAST_BITS:
             found.append((s, e, "novel"))
     return found
