@@ -10,7 +10,10 @@ from above.  What the bound leaves is intersected exactly.
 Which nodes meet:
 
 1. Common shingles come last.  A count-min row of fixed size, summed over all
-   documents, gives shingles their order: by class of frequency, then by hash.
+   documents and less what a cell of its part holds at the median, gives
+   shingles their order: by class of frequency, then by hash.  The median is
+   what chance puts in a cell, so a shingle is common only if it stands out,
+   however large the input is.
    Linked sets share one of their first n - ceil(0.8 n) + 1 shingles in any
    order, so only these prefixes are indexed.
 2. Nodes that share an indexed shingle: up to ``PAIRS_UP_TO`` nodes meet in
@@ -21,10 +24,12 @@ Which nodes meet:
    them, or a hub and some of its neighbours, skipping pairs that are connected
    already.  Components of the links follow.
 4. Stars may have missed links between nodes of one group that are still in
-   different components, and so may have dealing, however few nodes a group
-   has.  All such groups that share nodes are a *family*; a family
-   of several components is compared in full, in tiles of two blocks of close
-   size bands, by bitmaps first and then exactly, skipping connected pairs.
+   different components, and so may have dealing, however few nodes a part has.
+   The nodes of such groups (all parts of a hot shingle are one) go to blocks of
+   few nodes and shingles and of one size band; two blocks of close bands that
+   share a group, unless both are of one component, make a tile, which is
+   compared in full: by bitmaps first, as matrices, and then exactly, skipping
+   connected pairs.
 
 So no link between components is lost, no task holds a whole group, and no
 group's pairs are listed.
@@ -54,12 +59,13 @@ CELL_BITS, PIECES = 21, 64
 PAIRS_UP_TO, LEADERS = 24, 4
 #: Estimated nodes of a shingle beyond which its group is dealt, and nodes of each part.
 HOT, PART = 1 << 16, 1 << 15
-#: Documents, or shingles, of a verifying task; shingles of a block in a tile.
-CLUSTER, BLOCK_SHINGLES = 256, 400_000
+#: Documents of a verifying task; shingles and nodes of a block in a tile.
+CLUSTER, BLOCK_SHINGLES, BLOCK_NODES = 256, 400_000, 512
 FLUSH = 1 << 20
-#: Bit of the groups that a hot shingle's nodes are dealt to, and of the parts' own group.
-_DEALT = np.uint64(1 << 63)
-_BLOOM_BITS = 23
+#: Bit of the groups that a hot shingle's nodes are dealt to, whose low bits are the part's number (0: some nodes of each part).
+_DEALT, _PARTS = np.uint64(1 << 63), np.uint64(0xFFFF)
+#: Least and most bits of a Bloom filter (most: 32 MB); ten a node between them.
+_BLOOM_BITS = 20, 28
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -256,6 +262,7 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = np.frombuffer(counts, "<u2").astype(np.int64)
             sums[piece] = sums[piece] + c if piece in sums else c
     for piece, c in sums.items():
+        c = np.maximum(0, c - int(np.median(c)))
         classes = np.floor(2 * np.log2(1 + c)).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([classes.tobytes()], pa.binary())], names=["piece", "classes"])
 
@@ -300,16 +307,16 @@ def _prefixes(classes, n_buckets: int, percent: int, hot: int, part: int) -> Cal
             common = np.flatnonzero((tokens >> np.uint64(56)).astype(np.int64) >= limit)
             if len(common):  # deal a hot shingle's nodes to parts; a part's least node here joins the parts' own group
                 estimate = 2.0 ** ((tokens[common] >> np.uint64(56)).astype(np.float64) / 2)
-                parts = np.maximum(1, np.ceil(estimate / part)).astype(np.uint64)
+                parts = np.clip(np.ceil(estimate / part), 1, int(_PARTS) - 1).astype(np.uint64)
                 ranks = _mix(nodes[common].view(np.uint64))
-                dealt = _mix(group[common] + np.uint64(1) + ranks % parts) | _DEALT
+                root = (group[common] & ~_PARTS) | _DEALT
+                dealt = root + np.uint64(1) + ranks % parts
                 order = np.lexsort((ranks, dealt))
                 first = order[np.append(True, dealt[order][1:] != dealt[order][:-1])]
-                root = group[common][first] | _DEALT
                 group[common] = dealt
-                group = np.append(group, root)
+                group = np.append(group, root[first])
                 nodes, sizes = np.append(nodes, nodes[common][first]), np.append(sizes, sizes[common][first])
-            yield from _blobs((group % np.uint64(n_buckets)).astype(np.int64), n_buckets, [group, nodes, sizes])
+            yield from _blobs((_mix(group) % np.uint64(n_buckets)).astype(np.int64), n_buckets, [group, nodes, sizes])
 
         for batch in batches:
             for h in shingle_sets(texts_of(batch.column(1))):
@@ -343,10 +350,7 @@ def _group_pairs(n_buckets: int, percent: int, pairs_up_to: int, leaders: int) -
         lengths = np.diff(np.append(begins, len(group)))
         left, right, kinds = [], [], []
 
-        def put(i: np.ndarray, j: np.ndarray, family: bool = False) -> None:
-            if family:
-                left.append(nodes[i]), right.append(nodes[j]), kinds.append(np.ones(len(i), np.int8))
-                return
+        def put(i: np.ndarray, j: np.ndarray) -> None:
             lo, hi = np.minimum(sizes[i], sizes[j]).astype(np.int64), np.maximum(sizes[i], sizes[j]).astype(np.int64)
             fits = 100 * lo >= percent * hi
             left.append(np.minimum(nodes[i], nodes[j])[fits]), right.append(np.maximum(nodes[i], nodes[j])[fits])
@@ -359,9 +363,9 @@ def _group_pairs(n_buckets: int, percent: int, pairs_up_to: int, leaders: int) -
                 some = at[lo : lo + max(1, FLUSH // len(one)), None]
                 put((some + one).ravel(), (some + two).ravel())
         large = lengths > pairs_up_to
-        tied = ~large & (group[begins] >= _DEALT)  # its pairs are whole, but not with other parts
-        first, inside = np.repeat(begins[tied], lengths[tied]), np.flatnonzero(np.repeat(tied, lengths))
-        put(inside[first != inside], first[first != inside], family=True)
+        dealt = group >= _DEALT
+        unsure = np.flatnonzero(np.repeat(large, lengths) | dealt)  # a small part's pairs are whole, but not with other parts
+        left.append(np.where(dealt, group & ~_PARTS, group)[unsure].view(np.int64)), right.append(nodes[unsure]), kinds.append(np.ones(len(unsure), np.int8))
         if large.any():
             inside = np.flatnonzero(np.repeat(large, lengths))
             mine = np.repeat(np.arange(large.sum()), lengths[large])
@@ -371,8 +375,6 @@ def _group_pairs(n_buckets: int, percent: int, pairs_up_to: int, leaders: int) -
                 lead = inside[np.lexsort((rank, mine))[starts]][mine]
                 other = lead != inside
                 put(inside[other], lead[other])
-                if k == 0:
-                    put(inside[other], lead[other], family=True)
         a, b, kind = np.concatenate(left), np.concatenate(right), np.concatenate(kinds)
         order = np.lexsort((kind, b, a))
         a, b, kind = a[order], b[order], kind[order]
@@ -388,7 +390,7 @@ def _distinct_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     order = np.lexsort((kind, b, a))
     a, b, kind = a[order], b[order], kind[order]
     fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (kind[1:] != kind[:-1])) if len(a) else np.zeros(0, bool)
-    yield pa.RecordBatch.from_arrays([pa.array(a[fresh], pa.int64()), pa.array(b[fresh], pa.int64()), pa.array(kind[fresh] > 0, pa.bool_())], names=["a", "b", "family"])
+    yield pa.RecordBatch.from_arrays([pa.array(a[fresh], pa.int64()), pa.array(b[fresh], pa.int64()), pa.array(kind[fresh] > 0, pa.bool_())], names=["a", "b", "grouped"])
 
 
 # -- step 3: bitmaps, then exact intersection -----------------------------------------------------
@@ -405,14 +407,15 @@ def _bounded(percent: int) -> Callable:
 
 
 def _texts_of_nodes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) of at least the ``wanted`` nodes: a Bloom filter of fixed size picks them where they are read."""
+    """(node, text) of at least the ``wanted`` nodes: a Bloom filter of bounded size picks them where they are read."""
+    width = min(max(_BLOOM_BITS[0], (10 * wanted.count()).bit_length()), _BLOOM_BITS[1])
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = np.zeros(1 << _BLOOM_BITS, bool)
+        bloom = np.zeros(1 << width, bool)
         for batch in batches:
-            for at in _bloom_places(batch.column(0).to_numpy()):
+            for at in _bloom_places(batch.column(0).to_numpy(), width):
                 bloom[at] = True
-        packed = np.packbits(bloom).reshape(16, -1)
+        packed = np.packbits(bloom, bitorder="little").reshape(16, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([p.tobytes() for p in packed], pa.binary())], names=["piece", "bits"])
 
     def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,20 +427,20 @@ def _texts_of_nodes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for piece, x in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["piece", "bits"])
 
-    # 1 MB in all, whatever the input
+    # 32 MB in all at most
     pieces = {r["piece"]: r["bits"] for r in wanted.select("node").mapInArrow(bits, "piece int, bits binary").repartition(16, "piece").mapInArrow(united, "piece int, bits binary").toLocalIterator()}
-    size = (1 << _BLOOM_BITS) // 8 // 16
+    size = (1 << width) // 8 // 16
     bloom = docs.sparkSession.sparkContext.broadcast(b"".join(pieces.get(k, bytes(size)) for k in range(16)))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe = np.unpackbits(np.frombuffer(bloom.value, np.uint8)).astype(bool)
+        maybe = np.frombuffer(bloom.value, np.uint8)
         seen: set[int] = set()
         for batch in batches:
             texts = texts_of(batch.column(1))
             nodes = np.array([node_of(h) if len(h) else 0 for h in shingle_sets(texts)], np.int64)
             keep = np.ones(len(nodes), bool)
-            for at in _bloom_places(nodes):
-                keep &= maybe[at]
+            for at in _bloom_places(nodes, width):
+                keep &= (maybe[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
             rows = []
             for i in np.flatnonzero(keep).tolist():
                 if (node := int(nodes[i])) not in seen:
@@ -448,9 +451,9 @@ def _texts_of_nodes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return _source(docs).mapInArrow(pick, "node long, text string").dropDuplicates(["node"])
 
 
-def _bloom_places(nodes: np.ndarray) -> list[np.ndarray]:
+def _bloom_places(nodes: np.ndarray, width: int) -> list[np.ndarray]:
     h = _mix(nodes.astype(np.int64).view(np.uint64))
-    return [((h >> np.uint64(s)) & np.uint64((1 << _BLOOM_BITS) - 1)).astype(np.int64) for s in (0, 20, 40)]
+    return [((h >> np.uint64(s)) & np.uint64((1 << width) - 1)).astype(np.int64) for s in (0, 18, 36)]
 
 
 def _sets_of(texts: list[str]) -> list[np.ndarray]:
@@ -497,7 +500,51 @@ def _links(docs: DataFrame, pairs: DataFrame, percent: int, cluster: int) -> Dat
     return saved(tasks.groupBy("task").cogroup(texts.groupBy("job")).applyInPandas(_verify(percent), "a long, b long"), "join-links")
 
 
-# -- step 4: families of several components -------------------------------------------------------
+# -- step 4: groups of several components ---------------------------------------------------------
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Rows of bitmaps as those of ``words`` words."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+class _Side:
+    """Nodes of one width of bitmap: their places in the tile, sizes and bitmaps."""
+
+    def __init__(self, at: np.ndarray, n: np.ndarray, bits: list[bytes]):
+        self.at, self.n = at, n
+        self.bits = np.frombuffer(b"".join(bits), "<u8").reshape(len(at), -1)
+
+    @classmethod
+    def by_width(cls, at: np.ndarray, n: np.ndarray, bits: list[bytes]) -> list[_Side]:
+        widths = np.array([len(x) for x in bits], np.int64)
+        return [cls(at[k], n[k], [bits[i] for i in k]) for w in np.unique(widths) for k in [np.flatnonzero(widths == w)]]
+
+
+def tile_links(ns: np.ndarray, bits: list[bytes], sets: list[np.ndarray], labels: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs (of ``left`` and ``right``, places) that link and connect what ``labels`` and the pairs before leave apart."""
+    comp = np.unique(labels, return_inverse=True)[1]
+    out = []
+    pick = lambda at: _Side.by_width(at, ns[at], [bits[i] for i in at])
+    for one in pick(left):
+        for two in pick(right):
+            words = min(one.bits.shape[1], two.bits.shape[1])
+            a_bits, b_bits = _folded(one.bits, words), _folded(two.bits, words)
+            for i, n_a, row in zip(one.at.tolist(), one.n.tolist(), a_bits):
+                fits = (100 * np.minimum(n_a, two.n) >= percent * np.maximum(n_a, two.n)) & (comp[two.at] != comp[i])
+                some = np.flatnonzero(fits)
+                if not len(some):
+                    continue
+                differ = np.bitwise_count(b_bits[some] ^ row).sum(1, dtype=np.int64)
+                some = some[(n_a + two.n[some] - differ) // 2 >= overlap_needed(n_a, two.n[some], percent)]
+                for j in two.at[some].tolist():
+                    if comp[i] != comp[j] and linked(sets[i], sets[j], percent):
+                        out.append((i, j))
+                        comp[comp == comp[j]] = comp[i]
+    return out
 
 
 def _tile(percent: int) -> Callable:
@@ -505,63 +552,53 @@ def _tile(percent: int) -> Callable:
 
     def apply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["node", "side"])
-        union = Union()
-        first = {}
-        for node, label in zip(rows["node"].tolist(), rows["label"].tolist()):
-            union.join(node, first.setdefault(label, node))
         own = rows.drop_duplicates("node")
-        sets = dict(zip(own["node"].tolist(), _sets_of(own["text"].tolist())))
-        table = {node: (n, bits) for node, n, bits in zip(own["node"].tolist(), own["n"].tolist(), own["bits"].tolist())}
-        left = rows.loc[rows["side"] == 0, "node"].tolist()
-        right = rows.loc[rows["side"] == 1, "node"].tolist() if (rows["side"] == 1).any() else None
-        out = []
-        for i, a in enumerate(left):
-            n_a, bits_a = table[a]
-            for b in left[i + 1 :] if right is None else right:
-                n_b, bits_b = table[b]
-                if union.root(a) == union.root(b) or 100 * min(n_a, n_b) < percent * max(n_a, n_b):
-                    continue
-                if overlap_bound(n_a, bits_a, n_b, bits_b) < overlap_needed(n_a, n_b, percent):
-                    continue
-                if linked(sets[a], sets[b], percent):
-                    union.join(a, b)
-                    out.append((a, b))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        nodes = own["node"].to_numpy()
+        place = dict(zip(nodes.tolist(), range(len(nodes))))
+        side = lambda k: np.array([place[x] for x in rows.loc[rows["side"] == k, "node"].tolist()], np.int64)
+        left, right = side(0), side(1)
+        found = tile_links(own["n"].to_numpy(), own["bits"].tolist(), _sets_of(own["text"].tolist()), own["label"].to_numpy(), left, right if len(right) else left, percent)
+        return pd.DataFrame([(int(nodes[i]), int(nodes[j])) for i, j in found], columns=["a", "b"]).astype("int64")
 
     return apply
 
 
-def _missed(docs: DataFrame, family_edges: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame | None:
-    """Links between components of a family that stars have not met; None if every family is one component."""
-    families = connected_components(family_edges).withColumnRenamed("component", "family")
-    known = saved(families.join(labels, "node", "left").select("node", "family", F.coalesce("component", "node").alias("label")), "join-families")
-    mixed = known.groupBy("family").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter(F.col("lo") != F.col("hi")).select("family")
+def _missed(docs: DataFrame, grouped: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, block_nodes: int) -> DataFrame | None:
+    """Links between components that share a group (group, node) and that stars have not met; None if every group is of one component."""
+    known = saved(grouped.join(labels, "node", "left").select("group", "node", F.coalesce("component", "node").alias("label")), "join-grouped")
+    sizes = known.groupBy("group").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    mixed = saved(sizes.filter(F.col("lo") != F.col("hi")).select("group", "size"), "join-mixed")
     if not mixed.take(1):
         return None
-    members = known.join(mixed, "family").join(nodes.select("node", "n", "bits"), "node")
-    main = members.groupBy("family", "label").agg(F.count("*").alias("size")).groupBy("family").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
+    shared = saved(known.join(mixed, "group"), "join-shared")
+    main = shared.groupBy("group", "label").agg(F.count("*").alias("size")).groupBy("group").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
+    # a node is in the blocks of its largest group
+    home = shared.groupBy("node").agg(F.max(F.struct("size", "group"))["group"].alias("group"), F.min("label").alias("label"))
     band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)) + F.lit(1e-9))
-    members = saved(members.join(main, "family").withColumn("band", band).withColumn("major", F.col("label") == F.col("main")), "join-members")
-    sizes = members.groupBy("family", "band", "major").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).alias("parts"))
-    blocks = sizes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("family", "band", "major", "part")
-    blocks = saved(blocks.withColumn("block", F.xxhash64("family", "band", "major", "part")), "join-blocks")
-    two = blocks.select("family", *[F.col(c).alias(f"{c}_2") for c in ("band", "major", "part", "block")])
-    # bands of linked sets are at most one apart; two blocks of the main component need no tile
-    tiles = blocks.join(two, "family").filter(
-        (F.abs(F.col("band") - F.col("band_2")) <= 1) & ~(F.col("major") & F.col("major_2")) & (F.col("block") <= F.col("block_2"))
-    )
-    sides = tiles.select(F.xxhash64("block", "block_2").alias("tile"), F.explode(F.when(F.col("block") == F.col("block_2"), F.array(F.struct("block", F.lit(0).alias("side")))).otherwise(F.array(F.struct("block", F.lit(0).alias("side")), F.struct(F.col("block_2").alias("block"), F.lit(1).alias("side"))))).alias("x"))
-    sides = sides.select("tile", F.col("x.block").alias("block"), F.col("x.side").alias("side"))
-    placed = members.join(sizes, ["family", "band", "major"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("block", F.xxhash64("family", "band", "major", "part"))
-    texts = _texts_of_nodes(docs, members.select("node"))
-    filled = placed.select("node", "label", "n", "bits", "block").join(texts, "node").join(sides, "block").select("tile", "side", "node", "label", "n", "bits", "text")
+    members = home.join(main, "group").join(nodes.select("node", "n", "bits"), "node").withColumn("band", band).withColumn("major", F.col("label") == F.col("main"))
+    members = saved(members, "join-members")
+    parts = members.groupBy("group", "band", "major").agg(F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)), F.ceil(F.count("*") / F.lit(block_nodes))).alias("parts"))
+    placed = members.join(parts, ["group", "band", "major"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    placed = placed.select("node", "label", "n", "bits", "band", F.when(F.col("major"), F.col("main")).alias("pure"), F.xxhash64("group", "band", "major", "part").alias("block"))
+    placed = saved(placed, "join-placed")
+    blocks = saved(shared.select("group", "node").join(placed.select("node", "block", "band", "pure"), "node").select("group", "block", "band", "pure").distinct(), "join-blocks")
+    two = blocks.select("group", *[F.col(c).alias(f"{c}_2") for c in ("block", "band", "pure")])
+    # bands of linked sets are at most one apart; two blocks of one component need no tile
+    near = (F.abs(F.col("band") - F.col("band_2")) <= 1) & (F.col("block") <= F.col("block_2")) & ~F.coalesce(F.col("pure") == F.col("pure_2"), F.lit(False))
+    tiles = saved(blocks.join(two, "group").filter(near).select("block", "block_2").distinct(), "join-tiles")
+    one = F.struct("block", F.lit(0).alias("side"))
+    other = F.struct(F.col("block_2").alias("block"), F.lit(1).alias("side"))
+    sides = tiles.select(F.xxhash64("block", "block_2").alias("tile"), F.explode(F.when(F.col("block") == F.col("block_2"), F.array(one)).otherwise(F.array(one, other))).alias("x")).select("tile", "x.block", "x.side")
+    busy = placed.join(sides.select("block").distinct(), "block", "left_semi")
+    texts = _texts_of_nodes(docs, busy.select("node"))
+    filled = busy.select("node", "label", "n", "bits", "block").join(texts, "node").join(sides, "block").select("tile", "side", "node", "label", "n", "bits", "text")
     return saved(filled.groupBy("tile").applyInPandas(_tile(percent), "a long, b long"), "join-missed")
 
 
 # -- the join -------------------------------------------------------------------------------------
 
 
-def classes_of(docs: DataFrame, percent: int = PERCENT, pairs_up_to: int = PAIRS_UP_TO, leaders: int = LEADERS, cluster: int = CLUSTER, hot: int = HOT, part: int = PART) -> DataFrame:
+def classes_of(docs: DataFrame, percent: int = PERCENT, pairs_up_to: int = PAIRS_UP_TO, leaders: int = LEADERS, cluster: int = CLUSTER, hot: int = HOT, part: int = PART, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, text_hash, n, node, label.
 
     Rows of one label are connected by links; rows without words have no label.
@@ -576,15 +613,15 @@ def classes_of(docs: DataFrame, percent: int = PERCENT, pairs_up_to: int = PAIRS
 
     entries = _source(docs).mapInArrow(_prefixes(classes, buckets, percent, hot, part), "bucket int, c0 binary, c1 binary, c2 binary")
     grouped = entries.repartition(buckets, "bucket").mapInArrow(_group_pairs(buckets, percent, pairs_up_to, leaders), "bucket int, c0 binary, c1 binary, c2 binary")
-    met = saved(grouped.repartition(buckets, "bucket").mapInArrow(_distinct_pairs, "a long, b long, family boolean"), "join-pairs")
+    met = saved(grouped.repartition(buckets, "bucket").mapInArrow(_distinct_pairs, "a long, b long, grouped boolean"), "join-pairs")
 
     nodes = saved(rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("n").alias("n"), F.min("bits").alias("bits")), "join-nodes")
     end = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    candidates = met.filter(~F.col("family")).join(end("a"), "a").join(end("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    candidates = met.filter(~F.col("grouped")).join(end("a"), "a").join(end("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
     pairs = saved(candidates.mapInArrow(_bounded(percent), "a long, b long"), "join-bounded")
     links = _links(docs, pairs, percent, cluster)
     labels = saved(connected_components(links), "join-labels")
-    missed = _missed(docs, met.filter("family").select("a", "b"), labels, nodes, percent)
+    missed = _missed(docs, met.filter("grouped").select(F.col("a").alias("group"), F.col("b").alias("node")), labels, nodes, percent, block_nodes)
     if missed is not None:
         labels = saved(connected_components(links.unionByName(missed)), "join-labels")
     return rows.select("doc_id", "text_hash", "n", "node").join(labels, "node", "left").select("doc_id", "text_hash", "n", "node", F.coalesce("component", "node").alias("label"))
@@ -593,7 +630,8 @@ def classes_of(docs: DataFrame, percent: int = PERCENT, pairs_up_to: int = PAIRS
 def join(docs: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
     rows = saved(classes_of(docs, **options), "join-classes")
-    smallest = rows.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    # a table of its own, so that a join with a hot label can be broadcast or split
+    smallest = saved(rows.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id")), "join-smallest")
     return rows.join(smallest, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -67,7 +68,7 @@ def rows():
     return out + [(11, out[9][1]), (None, out[12][1]), (None, "lonely words of no id here")]
 
 
-@pytest.mark.parametrize("options", [{}, {"pairs_up_to": 2, "leaders": 1, "cluster": 3}, {"pairs_up_to": 2, "leaders": 1, "hot": 2, "part": 2, "cluster": 5}])
+@pytest.mark.parametrize("options", [{}, {"pairs_up_to": 2, "leaders": 1, "cluster": 3}, {"pairs_up_to": 2, "leaders": 1, "block_nodes": 2}, {"pairs_up_to": 2, "leaders": 1, "hot": 2, "part": 2, "cluster": 5}])
 def test_components(spark, rows, options):
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, node int").repartition(3)
     got = sorted((tuple(r) for r in J.join(df, **options).collect()), key=repr)
@@ -86,6 +87,30 @@ def test_links_across_the_parts_of_hot_shingles(spark):
     assert sorted((tuple(r) for r in J.join(df, hot=16, part=8).collect()), key=repr) == brute(rows)
 
 
+def test_tile_of_many_short_nodes():
+    """Matrices, not loops over pairs: 3,000 sets of 5 to 8 elements, and links as by brute force."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 63, rng.integers(5, 9), dtype=np.uint64)) for _ in range(2900)]
+    sets += [np.append(h[:-1], np.uint64(7)) if k % 2 else h[1:] for k, h in enumerate(sets[:100])]
+    sets = [np.sort(h) for h in sets]
+    ns, bits = np.array([len(h) for h in sets]), [J.bitmap_of(h) for h in sets]
+    every = np.arange(len(sets))
+    began = time.perf_counter()
+    got = J.tile_links(ns, bits, sets, every, every, every, 80)
+    assert time.perf_counter() - began < 2
+    want = {(k, 2900 + k) for k in range(100) if J.linked(sets[k], sets[2900 + k])}
+    assert {tuple(sorted(p)) for p in got} == want and want
+    assert J.tile_links(ns, bits, sets, np.zeros(len(sets), int), every, every, 80) == []
+
+
+def test_folded_bitmaps():
+    rng = np.random.default_rng(6)
+    h = np.unique(rng.integers(0, 1 << 63, 900, dtype=np.uint64))
+    wide = np.frombuffer(J.bitmap_of(h), "<u8")[None, :]
+    want = np.bincount((h & np.uint64(127)).astype(np.int64), minlength=128) & 1
+    assert (np.unpackbits(np.ascontiguousarray(J._folded(wide, 2)).view(np.uint8), bitorder="little") == want).all()
+
+
 def test_representatives(spark, rows):
     df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, label string")
     kept = J.representatives(df)
