@@ -6,14 +6,16 @@ family, by votes and then by summed margins.  Features are square roots of the
 shares of hashed 1- to 4-grams (of UTF-8 bytes) of the lower-cased letters.
 
 Learning takes at most ``SAMPLE`` labelled rows in all, or one of each language
-if there are more languages, dealt evenly to the languages, the first of each by
-a hash of the id: a stated bound.  Prediction is one narrow pass over all whole
+if there are more languages, dealt evenly to the languages, the first ids of
+each by a hash, one row an id: a stated bound.  A threshold of the hash, from the
+language's count, leaves about twice as many rows before any is shuffled.  Prediction is one narrow pass over all whole
 texts.
 
 Defined results: null text, or text without a letter, gets ``und`` with score
 0; with no labelled rows every other text gets ``und`` too; a null id counts as
 not held out and isn't learned from; a language in no known family is a family
-of its own; rows that repeat are predicted each; extra columns play no part.
+of its own; of rows that repeat an id at most one is learned from, and all are
+predicted; an empty table gives no rows; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from lumasift.llm.common import flat, fold_of, gram_hashes, held_out, letters_on
 
 GRAMS, BITS = (1, 2, 3, 4), 12
 SAMPLE = 4000
-_SAMPLE_PARTS, SALTS = 8, 16
+_SAMPLE_PARTS, _HASHES = 8, 1 << 40
 
 #: Families of common languages by their ISO 639-1 codes.
 FAMILIES = {
@@ -162,18 +164,21 @@ def _logistic(margin: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from rows with a language whose fold isn't 1; every language has a row at least."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & (fold_of(F.col("doc_id")) != 1))
-    n_langs = known.select("lang").distinct().count()
+    counts = saved(known.groupBy("lang").agg(F.count("*").alias("rows")), "lang-counts")
+    n_langs = counts.count()
     if not n_langs:
         return Model()
     each = max(1, sample // n_langs)
-    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id")) <= each
-    # the first of each salt hold the first of the language, so its task gets at most SALTS x ``each`` rows
-    salted = known.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
-    few = salted.withColumn("taken", first("lang", "salt")).filter("taken")
-    picked = few.withColumn("taken", first("lang")).filter("taken").select(F.col("doc_id").alias("id"), F.col("lang").alias("of")).distinct()
+    # the first ``each`` of a language by hash lie below a threshold that 2 x each + 50 rows are expected to meet
+    key = F.pmod(F.xxhash64("doc_id"), F.lit(_HASHES))
+    below = known.withColumn("key", key).join(counts, "lang").filter(F.col("key") < F.lit(float(_HASHES)) * (2 * each + 50) / F.col("rows"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))
+    picked = below.groupBy("lang", "key", "doc_id").agg(F.count("*")).withColumn("nth", nth).filter(F.col("nth") <= each).select(F.col("doc_id").alias("id"), F.col("lang").alias("of"))
     # at most ``sample`` pairs of an id and a language, or one of each language
-    rows = docs.join(F.broadcast(picked), (F.col("doc_id").cast("long") == F.col("id")) & (F.col("lang") == F.col("of"))).select(F.col("of").alias("lang"), F.col("text").cast("string").alias("text"))
-    rows = saved(rows.limit(2 * max(sample, n_langs)).repartition(_SAMPLE_PARTS), "lang-sample")
+    rows = docs.join(F.broadcast(picked), (F.col("doc_id").cast("long") == F.col("id")) & (F.col("lang") == F.col("of"))).select("id", F.col("of").alias("lang"), F.col("text").cast("string").alias("text"))
+    # of rows that repeat an id one is learned
+    rows = rows.groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("lang", "text")
+    rows = saved(rows.repartition(_SAMPLE_PARTS), "lang-sample")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
