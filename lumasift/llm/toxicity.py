@@ -99,6 +99,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features:
     picked = chosen[0].unionByName(chosen[1])
     # at most 2 x ``sample`` pairs of an id and a label
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    # of rows that repeat an id one is learned
+    rows = rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = saved(rows.select("y", "text").repartition(_SAMPLE_PARTS), "toxic-sample")
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     everything = np.arange(1 << BITS, dtype=np.int32)
