@@ -4,24 +4,33 @@ The longest fitting rule decides: more host labels first, then the longer
 path.  A rule fits its host and every subdomain, if the url's path starts with
 the rule's path.  Blocks and allowances are entries of the same trie.
 
+Rules of at most ``MAX_TRIE_BYTES`` in all make one trie, which each worker
+builds once from a broadcast.  More rules are a table: each distinct url asks
+for its host suffixes with the beginnings of its path, in the lengths that rules
+have, by an equi-join, and the best answer counts.
+
 Defined results: a null url, or one without ``://``, has an empty host and
 path and fits no rule; a url that no rule fits gets the default verdict; of two
-equal rules the last one given holds.  Extra columns pass through untouched;
-an output name that the input has already is replaced.
+equal rules the last one given holds; rows that repeat are judged each; an empty
+table gives no rows.  Extra columns pass through untouched; an output name that
+the input has already is replaced.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of rule text in one broadcast trie; more rules go to further tries, applied in turn.
+from lumasift.llm.common import saved
+
+#: Bytes of rule text that are broadcast; more rules are joined.
 MAX_TRIE_BYTES = 4 << 20
 
 _URL = re.compile(r"^.*?://([^/?#]*)([^?#]*)", re.S)
@@ -55,6 +64,7 @@ class Trie:
             for segment in whole:
                 node = node.setdefault(("segment", segment), {})
             node.setdefault("ends", {})[rest] = rule
+            node.setdefault("lengths", set()).add(len(rest))
 
     def find(self, host: str, path: str) -> Rule | None:
         found, node = None, self.root
@@ -71,71 +81,101 @@ class Trie:
         for i, piece in enumerate(pieces):
             if node is None:
                 break
-            fits = [end for end in node.get("ends", ()) if piece.startswith(end)]
+            # one look-up for each length that ends have here
+            fits = [n for n in node.get("lengths", ()) if n <= len(piece) and piece[:n] in node["ends"]]
             if fits:
-                found = node["ends"][max(fits, key=len)]
+                found = node["ends"][piece[: max(fits)]]
             if i + 1 < len(pieces):
                 node = node.get(("segment", piece))
         return found
 
 
-def _longer(a: Rule | None, b: Rule | None) -> Rule | None:
-    if a is None or b is None:
-        return a or b
-    size = lambda r: (r.host.count("."), len(r.path))
-    return b if size(b) >= size(a) else a
+#: The trie that this worker built last, with the token of its broadcast.
+_built: dict[str, Trie] = {}
+
 
+def _trie(token: str, rules: Iterable[Rule]) -> Trie:
+    if token not in _built:
+        _built.clear()
+        _built[token] = Trie(rules)
+    return _built[token]
 
-def _tries(rules: Sequence[Rule], max_bytes: int) -> Iterator[list[Rule]]:
-    part: list[Rule] = []
-    held = 0
-    for rule in rules:
-        cost = len(rule.host) + len(rule.path)
-        if part and held + cost > max_bytes:
-            yield part
-            part, held = [], 0
-        part.append(rule)
-        held += cost
-    yield part
+
+NAMES = ("host", "path", "rule", "verdict")
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", url_col: str = "url", max_trie_bytes: int = MAX_TRIE_BYTES) -> DataFrame:
     """``pages`` with host, path, rule and verdict.
 
-    Narrow: one pass over the rows, no shuffle, so a hot host costs nothing
-    extra.  Each broadcast holds at most ``max_trie_bytes`` of rules.
+    Up to ``max_trie_bytes`` of rules it is narrow: one pass over the rows, no
+    shuffle, so a hot host costs nothing extra.  Beyond that see judge_by_join().
     """
     spark = pages.sparkSession
-    shared = [spark.sparkContext.broadcast(part) for part in _tries(rules, max_trie_bytes)]
-    names = ("host", "path", "rule", "verdict")
-    base = pages.drop(*[n for n in names if n != url_col])
-    kept = [f for f in base.schema.fields if f.name not in names]
-    schema = T.StructType(kept + [T.StructField(n, T.StringType()) for n in names])
+    if sum(len(r.host) + len(r.path) for r in rules) > max_trie_bytes:
+        table = spark.createDataFrame([(*r, k) for k, r in enumerate(rules)], "host string, path string, verdict string, nth long")
+        return judge_by_join(pages, table, default, url_col)
+    shared, token = spark.sparkContext.broadcast(list(rules)), uuid.uuid4().hex
+    base = pages.drop(*[n for n in NAMES if n != url_col])
+    kept = [f for f in base.schema.fields if f.name not in NAMES]
+    schema = T.StructType(kept + [T.StructField(n, T.StringType()) for n in NAMES])
     own = [f.name for f in kept]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries = [Trie(b.value) for b in shared]
         seen: dict[str | None, tuple] = {}
         for batch in batches:
+            trie = _trie(token, shared.value)
             rows = []
             for url in batch.column(batch.schema.get_field_index(url_col)).to_pylist():
-                host, path = split_url(url)
-                key = (host, path)
+                key = split_url(url)
                 if key not in seen:
                     if len(seen) > 50_000:
                         seen.clear()
-                    best = None
-                    for trie in tries:
-                        best = _longer(best, trie.find(host, path))
+                    best = trie.find(*key)
                     seen[key] = (best.host + best.path, best.verdict) if best else (None, default)
                 rows.append((*key, *seen[key]))
             columns = [batch.column(batch.schema.get_field_index(n)) for n in own]
             found = list(zip(*rows)) if rows else [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(list(c), pa.string()) for c in found], names=own + list(names))
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(list(c), pa.string()) for c in found], names=own + list(NAMES))
 
     return base.mapInArrow(apply, schema)
 
 
+def host_of(url: Column) -> Column:
+    """As split_url() has it."""
+    rest = F.when(F.locate("://", url) > 0, F.substr(url, F.locate("://", url) + 3)).otherwise("")
+    return F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def path_of(url: Column) -> Column:
+    rest = F.when(F.locate("://", url) > 0, F.substr(url, F.locate("://", url) + 3)).otherwise("")
+    return F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
+
+
+def judge_by_join(pages: DataFrame, rules: DataFrame, default: str = "allow", url_col: str = "url") -> DataFrame:
+    """As judge(), with rules (host, path, verdict, nth) as a table of any size; of equal rules the greatest nth holds.
+
+    Only distinct pairs of host and path are judged.  Each asks once for each
+    host suffix and each length of path that its rules could have, so no url
+    meets all rules of a host.  Both joins are on equal keys, and the tables
+    joined are written, so that hot keys can be split or broadcast.
+    """
+    last = rules.groupBy("host", "path").agg(F.max_by("verdict", "nth").alias("verdict"))
+    last = saved(last, "url-rules")
+    lengths = F.broadcast(last.agg(F.array_sort(F.collect_set(F.length("path"))).alias("lengths")))  # one row
+    base = pages.drop(*[n for n in NAMES if n != url_col])
+    placed = base.withColumns({"__host": F.coalesce(host_of(F.col(url_col)), F.lit("")), "__path": F.coalesce(path_of(F.col(url_col)), F.lit(""))})
+    asked = placed.select("__host", "__path").distinct().crossJoin(lengths)
+    labels = F.split("__host", r"\.")
+    suffix = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.struct((F.size(labels) - k).alias("labels"), F.concat_ws(".", F.slice(labels, k, F.size(labels))).alias("host")))
+    beginning = F.transform(F.filter("lengths", lambda n: n <= F.length("__path")), lambda n: F.substr("__path", F.lit(1), n))
+    keys = asked.select("__host", "__path", F.explode(suffix).alias("s"), "lengths").select("__host", "__path", "s", F.explode(beginning).alias("path"))
+    met = keys.select("__host", "__path", F.col("s.labels").alias("labels"), F.col("s.host").alias("host"), "path").join(last, ["host", "path"])
+    best = met.groupBy("__host", "__path").agg(F.max_by(F.struct(F.concat("host", "path").alias("rule"), "verdict"), F.struct("labels", F.length("path"))).alias("best"))
+    best = saved(best, "url-verdicts")
+    own = [F.col(n) for n in base.columns if n not in NAMES]
+    return placed.join(best, ["__host", "__path"], "left").select(*own, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+
+
 #: The rules of query op10.
 RULES = (
     Rule("net", "/", "block"),

@@ -1,4 +1,5 @@
 import random
+import time
 
 from lumasift.llm import url_filter as U
 
@@ -33,3 +34,22 @@ def test_clashing_names_empty_and_no_rules(spark):
     assert (r["host"], r["verdict"], r["page_id"]) == ("a.net", "block", 1)
     assert U.judge(df.limit(0), U.RULES).count() == 0
     assert U.judge(df, []).first()["verdict"] == "allow"
+
+
+def test_many_rules_of_one_host():
+    """Look-ups by length, not a scan of all rules; and equal rules, repeated rows and very long urls by both ways."""
+    rules = [U.Rule("big.net", f"/p{k:05}", "block") for k in range(20_000)] + [U.Rule("big.net", "/p00007", "allow")]
+    trie = U.Trie(rules)
+    began = time.perf_counter()
+    for _ in range(200):
+        assert trie.find("a.big.net", "/p19999/x").path == "/p19999" and trie.find("big.net", "/q") is None
+    assert time.perf_counter() - began < 0.5 and trie.find("big.net", "/p00007").verdict == "allow"
+
+
+def test_join_equals_trie(spark):
+    urls = ["http://x.big.net/p00007?a", "http://x.big.net/p00007?a", "http://BIG.net/p1", "http://big.net/" + "y" * 100_000, None, "junk", "http://big.net/\n/p"]
+    df = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    rules = [U.Rule("big.net", f"/p{k:05}", "block") for k in range(300)] + [U.Rule("big.net", "/p00007", "allow"), U.Rule("net", "/", "block"), U.Rule("big.net", "", "allow")]
+    one, two = (sorted(map(tuple, U.judge(df, rules, max_trie_bytes=size).collect()), key=repr) for size in (1, 1 << 20))
+    assert one == two and len(one) == len(urls)
+    assert U.judge(df.limit(0), rules, max_trie_bytes=1).count() == 0
