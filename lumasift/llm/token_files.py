@@ -42,6 +42,8 @@ from lumasift.llm.encode import Encoder, default_path, grouped
 MAGIC = b"LSTOKEN1"
 END_ID = 0
 SHARD_BYTES = 32 << 20
+#: Shards that a task reads back, unless that makes more tasks than ``MAX_TASKS``; documents of one batch of them.
+SHARDS_PER_TASK, MAX_TASKS, READ_ROWS = 4, 50_000, 1 << 16
 #: Bits for each key of a level.
 SPARSE = 1.6
 _NULL = np.int64(-(1 << 63))
@@ -247,14 +249,18 @@ def read(shards: DataFrame) -> DataFrame:
                     slots = shard.find(ids, occurrences)
                     if (slots < 0).any():
                         raise ValueError(f"{path}: the index lacks a key")
-                    crcs = [zlib.crc32(shard.ids(s).tobytes()) for s in slots.tolist()]
                     null = (occurrences >> np.uint64(62)) > 0
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids, pa.int64(), mask=null), pa.array(shard.offset[slots].astype(np.int64) + base), pa.array(shard.length[slots].astype(np.int64)), pa.array(crcs, pa.int64()), pa.array([path] * len(ids), pa.string())],
-                        names=["doc_id", "start", "n_tokens", "ids_crc32", "path"],
-                    )
-
-    return placed.repartition("path").mapInArrow(apply, "doc_id long, start long, n_tokens long, ids_crc32 long, path string")
+                    for lo in range(0, len(ids), READ_ROWS):
+                        some = slots[lo : lo + READ_ROWS]
+                        crcs = [zlib.crc32(shard.ids(s).tobytes()) for s in some.tolist()]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(ids[lo : lo + READ_ROWS], pa.int64(), mask=null[lo : lo + READ_ROWS]), pa.array(shard.offset[some].astype(np.int64) + base), pa.array(shard.length[some].astype(np.int64)), pa.array(crcs, pa.int64()), pa.array([path] * len(some), pa.string())],
+                            names=["doc_id", "start", "n_tokens", "ids_crc32", "path"],
+                        )
+
+    # the list of shards is short, so its size says nothing of the work: the number of tasks is given
+    tasks = max(1, min(MAX_TASKS, -(-shards.count() // SHARDS_PER_TASK)))
+    return placed.repartition(tasks, "path").mapInArrow(apply, "doc_id long, start long, n_tokens long, ids_crc32 long, path string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
