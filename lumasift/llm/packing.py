@@ -2,18 +2,23 @@
 
 Documents become pieces of at most ``capacity`` ids.  Full pieces are sequences
 of their own.  The others are dealt by hash to blocks of about ``BLOCK`` pieces,
-and each block is packed on several islands, one task each.  An individual is a
-list of bins.  Crossover injects whole well-filled bins of one parent in the
-other, takes out the bins that hold the same documents again, and best-fits the
-displaced ones, longest first; mutation does so with the emptiest bins.  After
-each epoch the elite of every island migrates to the next one.  A block is done
-when it has as few bins as its ids need; at the end its best island counts.
+and each block is packed on several islands.  An individual is a list of bins.
+Crossover injects whole well-filled bins of one parent in the other, takes out
+the bins that hold the same documents again, and best-fits the displaced ones,
+longest first.  Mutation takes apart the emptiest bins, some with room and some
+at random, and fills new ones: each with the longest document left and those
+others that leave least room.  Worth is the number of bins, then the sum of
+squared fills, so room gathers in few bins until one is saved.  After each epoch
+the elite of every island migrates to the next one.  An island ends an epoch
+when its best has as few bins as its ids need, or has not become better for
+``PATIENCE`` generations; at the end each block's best island counts.
 
 Blocks keep each task's rows bounded; one partly filled bin a block is the price.
 
 Defined results: null text counts as empty and is one piece that holds the end
-id; rows that repeat are packed each, null ids too; empty input gives an empty
-result; extra columns play no part.
+id; rows that repeat are packed each, null ids too; pieces of one length go by
+their row numbers, so equal input in equal partitions is packed alike; empty
+input gives an empty result; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -32,8 +37,15 @@ from lumasift.llm.encode import Encoder, default_path, grouped
 
 CAPACITY, END_ID = 1024, 2
 BLOCK, ISLANDS, EPOCHS = 32768, 2, 2
-POPULATION, GENERATIONS = 4, 4
+#: Individuals; most generations of an epoch, and how many may go by without a better one.
+POPULATION, GENERATIONS, PATIENCE = 4, 6, 2
 FULL = 0.985
+#: Bins that a mutation takes apart: the emptiest, others with room, any.
+SPANS = 6, 20, 10
+#: Mutations of a child.
+STEPS = 96
+#: Most tasks of an epoch; more islands share them.
+MAX_TASKS = 20_000
 _SEED = 977
 
 
@@ -143,30 +155,69 @@ class Packer:
         share = self.random.uniform(0.1, 0.5)
         return self._rebuilt(a, self.random.sample(good, max(1, int(share * len(good)))))
 
-    def mutate(self, a: Bins) -> Bins:
-        """Take apart the emptiest bins and a few at random."""
-        order = sorted(range(len(a)), key=lambda k: self.fill(a[k]))
-        n = max(1, len(a) // 50)
-        out = set(order[:n]) | set(self.random.sample(range(len(a)), min(len(a), n)))
-        displaced = sorted(i for k in out for i in a[k])
-        return self.best_fit(displaced, [list(x) for k, x in enumerate(a) if k not in out])
+    def refill(self, items: list[int]) -> Bins:
+        """Bins of ``items`` (longest first): each the longest one left and, of the others, a set that leaves least room.
+
+        Sums that can be met are bits of a number, from the shortest item on.
+        """
+        sizes, bins, left = self.sizes, [], items
+        while left:
+            head, *rest = left
+            room = self.capacity - sizes[head]
+            mask, sums = (1 << (room + 1)) - 1, [1]
+            for i in reversed(rest):
+                sums.append((sums[-1] | sums[-1] << sizes[i]) & mask)
+            goal = sums[-1].bit_length() - 1
+            taken, left = [head], []
+            for k, i in enumerate(rest):
+                if sizes[i] <= goal and sums[len(rest) - k - 1] >> (goal - sizes[i]) & 1:
+                    taken.append(i)
+                    goal -= sizes[i]
+                else:
+                    left.append(i)
+            bins.append(taken)
+        return bins
+
+    def mutated(self, a: Bins, steps: int) -> Bins:
+        """``steps`` mutations one after the other; one that makes more bins, or fills them more evenly, is taken back."""
+        bins, fills = list(a), [self.fill(b) for b in a]
+        for step in range(steps):
+            if len(bins) <= self.least:
+                break
+            if step % 32 == 0:  # the lists may be a little behind
+                roomy = sorted((k for k, f in enumerate(fills) if f < self.capacity), key=fills.__getitem__)
+            some = {*roomy[: SPANS[0]], *self.random.sample(roomy, min(len(roomy), SPANS[1])), *self.random.sample(range(len(bins)), min(len(bins), SPANS[2]))}
+            out = sorted(k for k in some if k < len(bins))
+            made = self.refill(sorted(i for k in out for i in bins[k]))
+            new = [self.fill(b) for b in made]
+            if (len(made), -sum(f * f for f in new)) > (len(out), -sum(fills[k] * fills[k] for k in out)):
+                continue
+            for k, b, f in zip(out, made, new):
+                bins[k], fills[k] = b, f
+            for k in reversed(out[len(made) :]):
+                bins[k], fills[k] = bins[-1], fills[-1]
+                bins.pop(), fills.pop()
+        return bins
 
-    def evolve(self, newcomers: list[Bins], population: int, generations: int) -> Bins:
+    def evolve(self, newcomers: list[Bins], population: int, generations: int, patience: int = PATIENCE) -> Bins:
         pool = [(self.worth(b), b) for b in newcomers]
         k = 0
         while len(pool) < population and not any(len(b) <= self.least for _, b in pool):
             b = self.fresh(0.04 * k)
             pool.append((self.worth(b), b))
             k += 1
+        idle = 0
         for _ in range(generations):
             pool.sort(key=lambda x: x[0], reverse=True)
-            if len(pool[0][1]) <= self.least:
+            if len(pool[0][1]) <= self.least or idle >= patience:
                 break
-            for _ in range(population // 2):
-                one, two = self.random.sample(pool[:population], 2) if len(pool) > 1 else (pool[0], pool[0])
-                child = self.mutate(self.cross(one[1], two[1]))
+            before = pool[0][0]
+            one, two = self.random.sample(pool[:population], 2) if len(pool) > 1 else (pool[0], pool[0])
+            for child in (self.cross(one[1], two[1]), pool[0][1]):
+                child = self.mutated(child, STEPS)
                 pool.append((self.worth(child), child))
             pool = sorted(pool, key=lambda x: x[0], reverse=True)[:population]
+            idle = 0 if pool[0][0] > before else idle + 1
         return max(pool, key=lambda x: x[0])[1]
 
 
@@ -187,9 +238,9 @@ def _to_places(bins: Bins, n: int) -> bytes:
 def _epoch(capacity: int, population: int, generations: int, epoch: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 sizes = np.frombuffer(row["sizes"], "<i4").tolist()
-                packer = Packer(sizes, capacity, hash((_SEED, row["block"], row["island"], epoch)))
+                packer = Packer(sizes, capacity, _SEED + 1009 * row["block"] + 31 * row["island"] + epoch)
                 guests = [_to_bins(x) for x in (row["own"], row["guest"]) if x is not None]
                 bins = min(guests, key=len) if guests and min(map(len, guests)) <= packer.least else packer.evolve(guests, population, generations)
                 yield pa.RecordBatch.from_pylist(
@@ -202,24 +253,21 @@ def _epoch(capacity: int, population: int, generations: int, epoch: int):
 
 def _sizes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes = [(-np.array([x["less"] for x in items])).astype("<i4").tobytes() for items in batch.column(1).to_pylist()]
+        sizes = [(-np.asarray(batch.column(1)[k].values.field("less"))).astype("<i4").tobytes() for k in range(batch.num_rows)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.binary())], names=["block", "sizes"])
 
 
 def _places_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bin and offset of each item: a bin's items lie in the block's order."""
+    """Bin and offset of each item, a block at a time: a bin's items lie in the block's order."""
     for batch in batches:
-        bins, offsets = [], []
-        for sizes, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            where = np.frombuffer(own, "<i4").tolist()
-            filled = [0] * (max(where, default=-1) + 1)
-            at = []
-            for b, s in zip(where, np.frombuffer(sizes, "<i4").tolist()):
-                at.append(filled[b])
-                filled[b] += s
-            bins.append(where)
-            offsets.append(at)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bins, pa.list_(pa.int64())), pa.array(offsets, pa.list_(pa.int64()))], names=["block", "bins", "offsets"])
+        for block, sizes, own in zip(*(c.to_pylist() for c in batch.columns)):
+            where, lengths = np.frombuffer(own, "<i4").astype(np.int64), np.frombuffer(sizes, "<i4").astype(np.int64)
+            order = np.argsort(where, kind="stable")
+            ends = np.cumsum(lengths[order])
+            first = np.append(True, np.diff(where[order]) != 0)
+            offsets = np.empty(len(where), np.int64)
+            offsets[order] = ends - lengths[order] - np.repeat((ends - lengths[order])[first], np.diff(np.append(np.flatnonzero(first), len(where))))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([where], pa.list_(pa.int64())), pa.array([offsets], pa.list_(pa.int64()))], names=["block", "bins", "offsets"])
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS, population: int = POPULATION, generations: int = GENERATIONS) -> DataFrame:
@@ -238,7 +286,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands:
         .withColumns({"own": F.lit(None).cast("binary"), "guest": F.lit(None).cast("binary")})
     )
     for epoch in range(epochs):
-        spread = state.repartition(n_blocks * islands, "block", "island")
+        spread = state.repartition(min(n_blocks * islands, MAX_TASKS), "block", "island")
         state = saved(spread.mapInArrow(_epoch(capacity, population, generations, epoch), "block long, island int, sizes binary, own binary, bins long, done boolean"), f"epoch-{epoch}")
         if epoch + 1 == epochs or not state.groupBy("block").agg(F.max("done").alias("done")).filter(~F.col("done")).take(1):
             break

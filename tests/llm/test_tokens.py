@@ -1,4 +1,6 @@
+import random
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -117,13 +119,52 @@ def test_packing_blocks_islands_and_ids(spark, library):
     assert all(len(r["ids"]) == 4 * r["length"] for r in got.collect())
 
 
-def test_genetic_search_improves_or_keeps():
-    import random
-
-    rng = random.Random(1)
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_genetic_search_beats_best_fit(seed):
+    """Sizes that best fit, longest first, packs with bins to spare."""
+    rng = random.Random(seed)
     sizes = sorted((rng.randrange(200, 700) for _ in range(400)), reverse=True)
     p = packing.Packer(sizes, 1024, 3)
     first = p.fresh(0)
-    best = p.evolve([], 4, 6)
-    assert p.worth(best) >= p.worth(first) and sorted(i for b in best for i in b) == list(range(400)) and all(p.fill(b) <= 1024 for b in best)
+    best = p.evolve([], packing.POPULATION, packing.GENERATIONS)
+    assert len(best) < len(first) and sorted(i for b in best for i in b) == list(range(400)) and all(p.fill(b) <= 1024 for b in best)
     assert packing._to_bins(packing._to_places(best, 400)) and packing.cut_points(1025, 1024) == [0, 1, 1025] and packing.cut_points(2048, 1024) == [0, 1024, 2048]
+
+
+def test_genetic_search_finds_what_exists():
+    """Bins that are full to the brim, cut in three: the least number can be met."""
+    rng = random.Random(5)
+    sizes = []
+    for _ in range(60):
+        a, b = sorted(rng.sample(range(1, 1024), 2))
+        sizes += [a, b - a, 1024 - b]
+    p = packing.Packer(sorted(sizes, reverse=True), 1024, 7)
+    assert p.least == 60 and len(p.evolve([], packing.POPULATION, 30, 30)) <= 61
+
+
+def test_refill_against_all_subsets():
+    rng = random.Random(8)
+    for _ in range(40):
+        sizes = sorted((rng.randrange(1, 60) for _ in range(9)), reverse=True)
+        p = packing.Packer(sizes, 100, 1)
+        left = list(range(9))
+        for made in p.refill(left):
+            head, rest = left[0], left[1:]
+            best = max(sum(sizes[i] for i in some) for n in range(len(rest) + 1) for some in combinations(rest, n) if sizes[head] + sum(sizes[i] for i in some) <= 100)
+            assert made[0] == head and p.fill(made) == sizes[head] + best
+            left = [i for i in left if i not in made]
+        assert not left
+
+
+def test_packing_is_repeatable_with_ties(spark):
+    df = spark.createDataFrame([(i, "same words here " * (i % 3 + 1)) for i in range(60)], "doc_id long, text string").repartition(2, "doc_id")
+    one, two = (sorted(map(tuple, packing.pack(packing.pieces(df), block=16).collect())) for _ in range(2))
+    assert one == two and len(one) == 60
+
+
+def test_reading_in_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "SHARDS_PER_TASK", 1)
+    monkeypatch.setattr(token_files, "READ_ROWS", 2)
+    df = spark.createDataFrame([(i, f"text {i} " * 9) for i in range(40)], "doc_id long, text string")
+    back = token_files.read(token_files.write(df, f"file://{tmp_path}/ids", shard_bytes=400))
+    assert back.rdd.getNumPartitions() > 1 and sorted(r["doc_id"] for r in back.collect()) == list(range(40))
