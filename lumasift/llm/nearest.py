@@ -16,11 +16,14 @@ In Spark:
    ``BLOCK_ROWS`` points is dealt to several blocks.  The tree has at most
    ``MAX_LEAVES`` leaves, so the broadcast planes are bounded.
 3. Each query searches the blocks of its own leaf, which gives a first d_k; then
-   the blocks of all leaves whose box is nearer than the stopping distance.  In
-   a block a local kd-tree hands out its buckets by projected distance.
+   those of the ``NEXT_LEAVES`` leaves whose boxes are nearest, which lowers d_k;
+   then those of all other leaves whose box is nearer than the stopping distance.
+   A box is that of the leaf's own points.  In a block a local kd-tree hands out
+   its buckets by projected distance.
 4. Each query's best rows of all blocks are merged.
 
-Queries meet a block in batches of ``QUERY_ROWS``; a task holds a batch and a block.
+Queries meet a block in batches of ``QUERY_ROWS``; a task holds a batch and a
+block, and there are as many tasks as such meetings, up to ``MAX_TASKS``.
 
 Defined results: vectors that are null, zero, of another length than most, or
 hold null or non-finite components take no part; a query with fewer candidates
@@ -43,8 +46,9 @@ from pyspark.sql import functions as F
 from lumasift.llm.common import saved, table
 
 PROJECTED, SURE, SEED = 10, 0.97, 4711
-FIT_ROWS, BLOCK_ROWS, QUERY_ROWS, MAX_LEAVES = 20_000, 4096, 512, 4096
-BUCKET = 64
+FIT_ROWS, BLOCK_ROWS, QUERY_ROWS, MAX_LEAVES = 20_000, 4096, 256, 4096
+NEXT_LEAVES, MAX_TASKS = 4, 4096
+BUCKET = 256
 
 
 def chi_square_cdf(x: float, k: int) -> float:
@@ -98,22 +102,6 @@ def leaf_of(points: np.ndarray, planes: list[tuple[int, float]], leaves: int) ->
     return node - (leaves - 1)
 
 
-def leaf_boxes(planes: list[tuple[int, float]], leaves: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    lows, highs = [np.full(dims, -np.inf)], [np.full(dims, np.inf)]
-    k = 0
-    while len(lows) < leaves:
-        nl, nh = [], []
-        for lo, hi in zip(lows, highs):
-            axis, value = planes[k]
-            k += 1
-            left_hi, right_lo = hi.copy(), lo.copy()
-            left_hi[axis] = right_lo[axis] = value
-            nl += [lo, right_lo]
-            nh += [left_hi, hi]
-        lows, highs = nl, nh
-    return np.stack(lows), np.stack(highs)
-
-
 class Tree:
     """A kd-tree of one block whose leaves are buckets of points."""
 
@@ -202,16 +190,23 @@ def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, sure: float =
     sample = points.orderBy(F.xxhash64("point")).limit(FIT_ROWS).select("v")
     fit = np.array([r["v"] for r in sample.toLocalIterator()]).reshape(-1, dim) @ matrix
     planes = fit_planes(fit, leaves)
-    lows, highs = leaf_boxes(planes, leaves, projected)
     quantile = chi_square_quantile(sure, projected)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             if len(df):
-                df["leaf"] = leaf_of(np.stack(df["v"].to_numpy()) @ matrix, planes, leaves)
-                yield df
-
-    leafed = saved(points.mapInPandas(place, "v array<double>, point long, ids array<long>, leaf long"), "ann-leafed")
+                low = np.stack(df["v"].to_numpy()) @ matrix
+                yield df.assign(leaf=leaf_of(low, planes, leaves), low=list(low))
+
+    leafed = saved(points.mapInPandas(place, "v array<double>, point long, ids array<long>, leaf long, low array<double>"), "ann-leafed")
+    # one row a leaf
+    sides = [f(F.col("low")[k]).alias(f"{name}{k}") for name, f in (("lo", F.min), ("hi", F.max)) for k in range(projected)]
+    lows, highs = np.full((leaves, projected), np.inf), np.full((leaves, projected), -np.inf)
+    n_blocks = 0
+    for r in leafed.groupBy("leaf").agg(F.count("*").alias("n"), *sides).collect():
+        lows[r["leaf"]], highs[r["leaf"]] = ([r[f"{name}{k}"] for k in range(projected)] for name in ("lo", "hi"))
+        n_blocks += -(-r["n"] // block_rows)
+    leafed = leafed.drop("low")
     # a leaf's points are dealt to blocks by hash
     blocks = leafed.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(block_rows)).alias("blocks"))
     indexed = leafed.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("point"), F.col("blocks"))).drop("blocks")
@@ -225,18 +220,26 @@ def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, sure: float =
             if len(df):
                 yield df.assign(leaf=leaf_of(np.stack(df["v"].to_numpy()) @ matrix, planes, leaves), bound=np.inf)
 
-    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            if not len(df):
-                continue
-            low = np.stack(df["v"].to_numpy()) @ matrix
-            own = leaf_of(low, planes, leaves)
-            for i in range(len(df)):
-                gap = np.maximum(0, np.maximum(lows - low[i], low[i] - highs))
-                near = np.flatnonzero((gap * gap).sum(1) <= quantile * df["bound"].iloc[i])
-                near = near[near != own[i]]
-                if len(near):
-                    yield pd.DataFrame({"v": [df["v"].iloc[i]] * len(near), "q": df["q"].iloc[i], "leaf": near, "bound": df["bound"].iloc[i]})
+    def others(first: int, last: int | None):
+        """The leaves within the stopping distance other than its own, from ``first`` to ``last`` by distance."""
+
+        def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for df in batches:
+                if not len(df):
+                    continue
+                low = np.stack(df["v"].to_numpy()) @ matrix
+                own = leaf_of(low, planes, leaves)
+                for i in range(len(df)):
+                    gap = np.maximum(0, np.maximum(lows - low[i], low[i] - highs))
+                    far = (gap * gap).sum(1)
+                    far[own[i]] = np.inf
+                    order = np.argsort(far, kind="stable")[first:last]
+                    near = order[far[order] <= quantile * df["bound"].iloc[i]]
+                    near = near[np.isfinite(far[near])]
+                    if len(near):
+                        yield pd.DataFrame({"v": [df["v"].iloc[i]] * len(near), "q": df["q"].iloc[i], "leaf": near, "bound": df["bound"].iloc[i]})
+
+        return apply
 
     def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = ["q", "d", "vec_id"]
@@ -260,14 +263,26 @@ def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, sure: float =
         dealt = dealt.withColumn("batch", F.pmod(F.xxhash64("q"), F.col("batches"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         there = indexed.join(batches, "leaf").withColumn("batch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("batches") - 1)))
         keys = ["leaf", "block", "batch"]
-        return dealt.select(*keys, "q", "v", "bound").groupBy(*keys).cogroup(there.select(*keys, "v", "ids").groupBy(*keys)).applyInPandas(meet, "q long, d double, vec_id long")
+        # the rows are few and their work is long, so the number of tasks is given
+        left = dealt.select(*keys, "q", "v", "bound").repartition(tasks, *keys)
+        right = there.select(*keys, "v", "ids").repartition(tasks, *keys)
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "q long, d double, vec_id long")
 
-    first = saved(met(queries.mapInPandas(home, "v array<double>, q long, leaf long, bound double")), "ann-first")
     rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "vec_id"))
-    bounds = first.withColumn("n", rank).filter(F.col("n") == k + 1).select("q", F.col("d").alias("bound"))
-    bounded = queries.join(bounds, "q", "left").select("v", "q", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
-    second = met(bounded.mapInPandas(others, "v array<double>, q long, leaf long, bound double"))
-    found = first.unionByName(second).withColumn("n", rank).filter(F.col("n") <= k + 1).select("q", "d", "vec_id")
+
+    def bounded(found: DataFrame) -> DataFrame:
+        bounds = found.withColumn("n", rank).filter(F.col("n") == k + 1).select("q", F.col("d").alias("bound"))
+        return queries.join(bounds, "q", "left").select("v", "q", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+
+    sent = "v array<double>, q long, leaf long, bound double"
+    tasks = max(1, min(MAX_TASKS, n_blocks * max(1, -(-queries.count() // QUERY_ROWS))))
+    found = saved(met(queries.mapInPandas(home, sent)), "ann-first")
+    if leaves > NEXT_LEAVES + 1:
+        found = saved(found.unionByName(met(bounded(found).mapInPandas(others(0, NEXT_LEAVES), sent))), "ann-next")
+        found = found.unionByName(met(bounded(found).mapInPandas(others(NEXT_LEAVES, None), sent)))
+    else:
+        found = found.unionByName(met(bounded(found).mapInPandas(others(0, None), sent)))
+    found = found.withColumn("n", rank).filter(F.col("n") <= k + 1).select("q", "d", "vec_id")
     answers = found.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("d", "vec_id"))).alias("hits"))
 
     # each query that shares the vector leaves out one row: its own
