@@ -43,7 +43,7 @@ FULL = 0.985
 #: Bins that a mutation takes apart: the emptiest, others with room, any.
 SPANS = 6, 20, 10
 #: Mutations of a child.
-STEPS = 96
+STEPS = 48
 #: Most tasks of an epoch; more islands share them.
 MAX_TASKS = 20_000
 _SEED = 977
