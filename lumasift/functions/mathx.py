@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-import random
+import statistics
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,22 +84,52 @@ def exact_lower(k: Column, n: Column, delta: float) -> Column:
     return bound(k, n)
 
 
-def bootstrap_mean(df: DataFrame, key: str, value: str, rounds: int = 500, seed: int = 11, level: float = 0.95) -> DataFrame:
+def norm_ppf(p: float) -> float:
+    """Quantile of the standard normal distribution."""
+    return statistics.NormalDist().inv_cdf(p)
+
+
+def exact_upper(k: Column, n: Column, delta: float) -> Column:
+    """Clopper-Pearson upper bound, as exact_lower has the lower one."""
+    return 1 - exact_lower(n - k, n, delta)
+
+
+def bootstrap_mean(df: DataFrame, key: str, value: str, rounds: int = 2000, seed: int = 11, level: float = 0.95) -> DataFrame:
     """Per key the mean with a percentile interval of resampled means.
 
-    Values are counted first, so a resample draws from distinct values by
-    weight; a key's distinct values are one group.
+    Values are counted first, and a resample draws counts from a multinomial, so
+    the work goes with a key's distinct values, not its rows.
     """
     counts = df.groupBy(key, value).agg(F.count("*").alias("c"))
     kind = df.schema[key].dataType.simpleString()
 
     def apply(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(value)
-        rng = random.Random(f"{seed}-{pdf[key].iloc[0]}")
-        values, weights = pdf[value].astype(float).tolist(), pdf["c"].tolist()
-        n = sum(weights)
-        means = sorted(sum(rng.choices(values, weights, k=n)) / n for _ in range(rounds))
-        cut = lambda q: means[min(rounds - 1, int(q * rounds))]
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "mean": [sum(v * w for v, w in zip(values, weights)) / n], "lo": [cut((1 - level) / 2)], "hi": [cut((1 + level) / 2)]})
+        rng = np.random.default_rng([seed, *str(pdf[key].iloc[0]).encode()])
+        values, weights = pdf[value].to_numpy(float), pdf["c"].to_numpy()
+        n = int(weights.sum())
+        means = np.concatenate([rng.multinomial(n, weights / n, min(200, rounds - at)) @ values for at in range(0, rounds, 200)]) / n
+        lo, hi = np.percentile(means, (50 * (1 - level), 50 * (1 + level)), method="inverted_cdf")
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "mean": [float(values @ weights) / n], "lo": [lo], "hi": [hi]})
 
     return counts.groupBy(key).applyInPandas(apply, f"{key} {kind}, mean double, lo double, hi double")
+
+
+def sign_flip_test(df: DataFrame, key: str, value: str, rounds: int = 2000, seed: int = 13) -> DataFrame:
+    """key, n, mean, p: how often random signs give a mean as far from 0 (the given signs count as one round).
+
+    Values are counted by size, and flipped signs are drawn as binomial counts.
+    """
+    counts = df.groupBy(key, F.abs(F.col(value)).alias("size")).agg(F.count("*").alias("c"), F.sum(value).alias("total"))
+    kind = df.schema[key].dataType.simpleString()
+
+    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("size")
+        rng = np.random.default_rng([seed, *str(pdf[key].iloc[0]).encode()])
+        size, c = pdf["size"].to_numpy(float), pdf["c"].to_numpy()
+        seen = float(pdf["total"].sum())
+        sums = (2 * rng.binomial(c, 0.5, (rounds, len(c))) - c) @ size
+        extreme = int((np.abs(sums) >= abs(seen) - 1e-9).sum())
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "n": [int(c.sum())], "mean": [seen / c.sum()], "p": [(extreme + 1) / (rounds + 1)]})
+
+    return counts.groupBy(key).applyInPandas(apply, f"{key} {kind}, n long, mean double, p double")

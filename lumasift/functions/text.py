@@ -96,3 +96,25 @@ def hrefs(html: Column) -> Column:
 
 def image_sources(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"""(?is)<img\s[^>]*src=["']([^"']*)["']"""), F.lit(1))
+
+
+#: Ranges of characters that take two columns.
+WIDE = "ᄀ-ᅟ⺀-꓏가-힣豈-﫿︰-﹏＀-｠￠-￦"
+
+
+def display_width(text: Column) -> Column:
+    """Columns that a terminal needs: wide characters count two."""
+    return (F.length(text) + F.regexp_count(text, F.lit(f"[{WIDE}]"))).cast("long")
+
+
+def truncated(text: Column, columns: int) -> Column:
+    """``text``, or as much of it as fits before an ellipsis."""
+    signs = F.regexp_extract_all(text, F.lit("(?s)(.)"), F.lit(1))
+    start = F.struct(F.lit(0).alias("used"), F.lit("").alias("kept"), F.lit(True).alias("open"))
+
+    def add(state: Column, sign: Column) -> Column:
+        used = state["used"] + F.when(sign.rlike(f"[{WIDE}]"), 2).otherwise(1)
+        fits = state["open"] & (used <= columns - 1)
+        return F.struct(used.alias("used"), F.when(fits, F.concat(state["kept"], sign)).otherwise(state["kept"]).alias("kept"), fits.alias("open"))
+
+    return F.when(display_width(text) <= columns, text).otherwise(F.concat(F.aggregate(signs, start, add, lambda s: s["kept"]), F.lit("…")))

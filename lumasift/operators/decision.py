@@ -159,3 +159,49 @@ def sweep(images: DataFrame, steps: int = 20) -> DataFrame:
     full = grid.join(cells, "k", "left").na.fill(0, ["n", "w"])
     above = Window.orderBy(F.desc("k"))  # steps + 1 rows
     return full.select("k", F.sum("n").over(above).alias("kept"), F.sum("w").over(above).alias("wrong"))
+
+
+def scan_plan(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """``pages`` (pos, url, key, print) with a decision: duplicate of an earlier page of the key, unchanged, or scan.
+
+    ``known``: key, print.  Urls without a key stand for themselves and are
+    always scanned.
+    """
+    own = pages.withColumn("site", F.when(F.coalesce(F.col("key"), F.lit("")) != "", F.col("key")).otherwise(F.col("url")))
+    first = own.groupBy("site").agg(F.min("pos").alias("first"))
+    before = known.select("key", F.col("print").alias("known_print"))
+    kind = F.when(F.col("pos") != F.col("first"), "duplicate").when((F.col("key") != "") & (F.col("print") == F.col("known_print")), "unchanged").otherwise("scan")
+    return own.join(first, "site").join(before, "key", "left").withColumn("decision", kind).select(*pages.columns, "decision")
+
+
+def kernel_gate(labelled: DataFrame) -> DataFrame:
+    """rule, holds, digest: whether labelled rows (label, p4) allow automatic stops.
+
+    Twenty of each class, calibration error at most .10, Brier score at most .20,
+    at most a tenth of positives under .9 and of negatives at .5 or more.  An
+    approval holds for the digest of these figures (Brier score and error in
+    ten-thousandths, canonical JSON), so new rows need a new one.
+    """
+    from lumasift.operators.sequential import reliability_bins
+
+    p, y = F.col("p4") / F.lit(10000.0), F.col("label")
+    one = labelled.agg(
+        F.sum("label").alias("pos"),
+        F.count(F.when(y == 0, 1)).alias("neg"),
+        half_up(F.avg((p - y) * (p - y)), 4).alias("brier"),
+        F.count(F.when((F.col("p4") < 9000) & (y == 1), 1)).alias("fn"),
+        F.count(F.when((F.col("p4") >= 5000) & (y == 0), 1)).alias("fp"),
+    )
+    bins = reliability_bins(labelled, p, y)
+    ece = bins.agg(half_up(F.sum(F.col("n") * F.abs(F.col("avg_prob") - F.col("freq"))) / F.sum("n"), 4).alias("ece"))
+    figures = {"brier": F.floor(F.col("brier") * 10000 + 0.5), "ece": F.floor(F.col("ece") * 10000 + 0.5), **{k: F.col(k) for k in ("fn", "fp", "neg", "pos")}}
+    rules = {
+        "enough": (F.col("pos") >= 20) & (F.col("neg") >= 20),
+        "ece": F.col("ece") <= 0.1,
+        "brier": F.col("brier") <= 0.2,
+        "fn": F.col("fn") <= 0.1 * F.col("pos"),
+        "fp": F.col("fp") <= 0.1 * F.col("neg"),
+    }
+    made = F.array(*[F.struct(F.lit(k).alias("rule"), c.alias("holds")) for k, c in rules.items()])
+    digest = F.sha2(F.to_json(F.struct(*[c.cast("long").alias(k) for k, c in figures.items()])), 256)
+    return one.crossJoin(ece).select(F.explode(made).alias("x"), digest.alias("digest")).select("x.rule", "x.holds", "digest")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumasift.operators.components import connected_components
@@ -11,27 +11,43 @@ from lumasift.operators.decision import rank_of
 from lumasift.scratch import saved
 
 
-def shared_media(rows: DataFrame, site: str = "site", media: str = "media") -> DataFrame:
-    """a < b, shared, weight: Jaccard of the media of two sites that share any."""
-    own = rows.select(F.col(site).alias("a"), F.col(media).alias("m")).distinct()
+#: Sites of a block of a medium: a task meets two blocks at most.
+MEDIA_BLOCK = 512
+
+
+def _weighted(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """Pairs (a, b, shared) with the Jaccard weight of the media of a and b."""
     sizes = own.groupBy("a").agg(F.count("*").alias("n"))
-    other = own.select(F.col("a").alias("b"), "m")
-    pairs = own.join(other, "m").filter(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
     sized = pairs.join(sizes.withColumnRenamed("n", "n_a"), "a").join(sizes.select(F.col("a").alias("b"), F.col("n").alias("n_b")), "b")
-    union = F.col("n_a") + F.col("n_b") - F.col("shared")
-    return sized.select("a", "b", "shared", (F.col("shared") / union).alias("weight"))
+    return sized.select("a", "b", "shared", (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("weight"))
+
+
+def shared_media(rows: DataFrame, site: str = "site", media: str = "media", block: int = MEDIA_BLOCK) -> DataFrame:
+    """a < b, shared, weight: Jaccard of the media of two sites that share any.
+
+    The sites of a medium are dealt to blocks, and each pair of blocks is a key
+    of its own, so a medium that very many sites share is many small tasks.
+    """
+    own = saved(rows.select(F.col(site).alias("a"), F.col(media).alias("m")).distinct(), "media-own")
+    blocks = own.groupBy("m").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    cells = F.transform(others, lambda k: F.struct(F.least("mine", k).alias("lo"), F.greatest("mine", k).alias("hi")))
+    placed = own.join(blocks, "m").withColumn("mine", mine).select("a", "m", "mine", F.explode(cells).alias("cell")).select("a", "m", "mine", "cell.lo", "cell.hi")
+    right = placed.select(F.col("a").alias("b"), "m", "lo", "hi", F.col("mine").alias("mine_b"))
+    # two sites of one block meet in its own cell only
+    meets = (F.col("a") < F.col("b")) & ((F.col("lo") == F.col("hi")) == (F.col("mine") == F.col("mine_b")))
+    pairs = placed.join(right, ["m", "lo", "hi"]).filter(meets).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return _weighted(pairs, own)
 
 
 def shared_media_of(rows: DataFrame, touched: DataFrame, site: str = "site", media: str = "media") -> DataFrame:
     """As shared_media, only pairs with a touched site (column site): their media are joined, not all."""
     own = rows.select(F.col(site).alias("a"), F.col(media).alias("m")).distinct()
     mine = own.join(touched.select(F.col("site").alias("a")).distinct(), "a", "left_semi")
-    sizes = own.groupBy("a").agg(F.count("*").alias("n"))
     other = own.select(F.col("a").alias("b"), "m")
     met = mine.join(other, "m").filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "m").distinct()
-    pairs = met.groupBy("a", "b").agg(F.count("*").alias("shared"))
-    sized = pairs.join(sizes.withColumnRenamed("n", "n_a"), "a").join(sizes.select(F.col("a").alias("b"), F.col("n").alias("n_b")), "b")
-    return sized.select("a", "b", "shared", (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("weight"))
+    return _weighted(met.groupBy("a", "b").agg(F.count("*").alias("shared")), own)
 
 
 def edge_changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -71,7 +87,7 @@ def fingerprint_edges(members: DataFrame, least: float = 0.3) -> DataFrame:
 
 
 def merge_groups(groups: DataFrame, edges: DataFrame) -> DataFrame:
-    """Groups (name, size, agg4, verdict) merged along edges (a, b); the lead is the largest, then the first by name."""
+    """Groups (name, size, urls, agg4, verdict) merged along edges (a, b); the lead is the largest, then of most urls, then the first by name."""
     labels = connected_components(edges).withColumnRenamed("node", "name")
     placed = groups.join(labels, "name", "left").withColumn("component", F.coalesce("component", "name"))
     return placed.groupBy("component").agg(
@@ -79,10 +95,17 @@ def merge_groups(groups: DataFrame, edges: DataFrame) -> DataFrame:
         F.sum("size").alias("size"),
         F.max("agg4").alias("agg4"),
         F.max_by("verdict", rank_of(F.col("verdict"))).alias("verdict"),
-        F.min(F.struct((-F.col("size")).alias("s"), "name"))["name"].alias("lead"),
+        F.min(F.struct((-F.col("size")).alias("s"), (-F.col("urls")).alias("u"), "name"))["name"].alias("lead"),
+        F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"),
     )
 
 
+def site_rows(edges: DataFrame) -> DataFrame:
+    """source, target, kind, weight of the edges (src, dst, kind, weight) between nodes that are sites."""
+    bare = lambda c: F.substring(c, 6, 1 << 30)
+    return edges.filter(F.col("src").startswith("site:") & F.col("dst").startswith("site:")).select(bare("src").alias("source"), bare("dst").alias("target"), F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
+
+
 def merge_reason(same_site: Column, overlap: Column, image_kinds: Column, template: Column, least: float = 0.3) -> Column:
     """Why two groups should merge: the first rule that holds, else null."""
     return F.when(same_site, "same_site").when(overlap >= least, "overlap").when(image_kinds > 0, "shared_image").when(template > 0, "template")
@@ -100,51 +123,208 @@ def modularity(edges: DataFrame, parts: DataFrame, resolution: float = 1.0) -> D
     return degree.join(inner, "community", "left").crossJoin(F.broadcast(m)).agg(F.sum(part).alias("modularity"), F.count("*").alias("communities"))
 
 
-def louvain_part(nodes: list, links: dict, resolution: float = 1.0, least_gain: float = 1e-7) -> dict:
-    """Community of each node by sweeps in id order; strict gains, ties to the smallest community."""
-    member = {n: n for n in nodes}
-    degree = {n: sum(links[n].values()) for n in nodes}
-    total = dict(degree)
-    two_m = sum(degree.values())
-    if not two_m:
-        return member
-    while True:
-        moved, gained = False, 0.0
-        for n in nodes:
-            own = member[n]
-            total[own] -= degree[n]
-            near: dict = {}
+# -- communities ----------------------------------------------------------------------------------
+
+#: Edges of a connected component up to which one task computes it; larger ones take distributed rounds.
+EXACT_EDGES = 200_000
+#: Most sweeps and levels, and the gain in modularity below which a sweep is the last.
+MAX_SWEEPS, MAX_LEVELS, LEAST_GAIN = 100, 32, 1e-7
+
+
+def _sweeps(links: dict, loops: dict, two_m: float, resolution: float) -> dict:
+    """Community of each node: nodes move in id order to the neighbouring community of strictly best gain, the smallest on ties."""
+    degree = {n: sum(near.values()) + 2 * loops.get(n, 0.0) for n, near in links.items()}
+    label, weight_of = {n: n for n in links}, dict(degree)
+    for _ in range(MAX_SWEEPS):
+        moves, gained = 0, 0.0
+        for n in sorted(links):
+            home, pull = label[n], {}
             for other, w in links[n].items():
-                if other != n:
-                    near[member[other]] = near.get(member[other], 0.0) + w
-            worth = lambda c: near.get(c, 0.0) - resolution * total[c] * degree[n] / two_m  # noqa: B023, E731
-            best = own
-            for c in sorted(near):
-                if worth(c) > worth(best) + 1e-15:
-                    best = c
-            gained += worth(best) - worth(own)
-            total[best] += degree[n]
-            if best != own:
-                member[n], moved = best, True
-        if not moved or gained < least_gain:
-            return member
-
-
-def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """(node, community): each connected component is one group, since its sweeps are sequential."""
-    labels = connected_components(edges).withColumnRenamed("node", "a")
-    placed = edges.select("a", "b", "weight").join(labels, "a")
+                pull[label[other]] = pull.get(label[other], 0.0) + w
+            weight_of[home] -= degree[n]
+            rate = resolution * degree[n] / two_m
+            score = {c: w - rate * weight_of[c] for c, w in pull.items()}
+            stay = score.get(home, -rate * weight_of[home])
+            top = max((v for c, v in score.items() if c != home), default=stay)
+            if top > stay:
+                label[n] = min(c for c, v in score.items() if v == top and c != home)
+                moves, gained = moves + 1, gained + 2 * (top - stay) / two_m
+            weight_of[label[n]] += degree[n]
+        if not moves or gained < LEAST_GAIN:
+            break
+    return label
+
+
+def communities_of(edges: list[tuple], two_m: float, resolution: float) -> dict:
+    """Node -> the smallest node of its community, after as many levels of folded graphs as change anything.
+
+    ``edges``: (a, b, weight), each pair once.  ``two_m``: twice the weight of
+    the whole graph, of which these edges may be a part.
+    """
+    links: dict = {}
+    loops: dict = {}
+    for a, b, w in edges:
+        links.setdefault(a, {}), links.setdefault(b, {})
+        if a == b:
+            loops[a] = loops.get(a, 0.0) + w
+        else:
+            links[a][b] = links[a].get(b, 0.0) + w
+            links[b][a] = links[b].get(a, 0.0) + w
+    home = {n: n for n in links}
+    for _ in range(MAX_LEVELS if two_m > 0 else 0):
+        label = _sweeps(links, loops, two_m, resolution)
+        least: dict = {}
+        for n, c in label.items():
+            least[c] = min(least.get(c, n), n)
+        label = {n: least[c] for n, c in label.items()}
+        home = {n: label[c] for n, c in home.items()}
+        if len(least) in (1, len(links)):
+            break
+        folded: dict = {c: {} for c in least.values()}
+        inner: dict = {}
+        for n, near in links.items():
+            for other, w in near.items():
+                if label[n] != label[other]:
+                    folded[label[n]][label[other]] = folded[label[n]].get(label[other], 0.0) + w
+                elif n < other:
+                    inner[label[n]] = inner.get(label[n], 0.0) + w
+        for n, w in loops.items():
+            inner[label[n]] = inner.get(label[n], 0.0) + w
+        links, loops = folded, inner
+    return home
+
+
+def local_moves(edges: DataFrame, two_m: float, resolution: float, rounds: int) -> DataFrame:
+    """(node, label) of one level in rounds of joins; ``edges``: a, b, weight, each pair once, loops allowed.
+
+    A round sums each node's weight by neighbouring community and takes the best
+    one.  Only half of the nodes, by a hash that changes with the round, may
+    move, and only to a community of a smaller label on even rounds and of a
+    larger one on odd ones, so two nodes don't swap places.  Gains count
+    communities as they stood before the round.
+    """
+    flat = edges.filter(F.col("a") != F.col("b"))
+    both = saved(flat.select("a", "b", "weight").unionByName(flat.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "moves-both")
+    ends = both.select(F.col("a").alias("node"), "weight").unionByName(edges.filter(F.col("a") == F.col("b")).select(F.col("a").alias("node"), (2 * F.col("weight")).alias("weight")))
+    state = saved(ends.groupBy("node").agg(F.sum("weight").alias("degree")).withColumn("label", F.col("node")), "moves-0")
+    idle = 0
+    for k in range(1, rounds + 1):
+        totals = state.groupBy("label").agg(F.sum("degree").alias("total"))
+        pull = both.join(state.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"), "label").agg(F.sum("weight").alias("pull"))
+        home = state.select("node", "degree", F.col("label").alias("home"))
+        turn = F.pmod(F.xxhash64(F.col("node"), F.lit(k // 2)), F.lit(2)) == k % 2
+        own = F.col("label") == F.col("home")
+        score = F.col("pull") - F.lit(resolution / two_m) * F.col("degree") * (F.col("total") - F.when(own, F.col("degree")).otherwise(0.0))
+        rated = home.join(pull, "node").join(totals, "label").withColumn("score", score)
+        way = (F.col("label") < F.col("home")) if k % 2 == 0 else (F.col("label") > F.col("home"))
+        best = rated.groupBy("node").agg(
+            F.max(F.when(~own & way, F.col("score"))).alias("top"),
+            F.min_by("label", F.when(~own & way, -F.col("score"))).alias("to"),
+            F.max(F.when(own, F.col("score"))).alias("stay_linked"),
+        )
+        alone = home.join(totals, F.col("home") == F.col("label")).select("node", (F.lit(-resolution / two_m) * F.col("degree") * (F.col("total") - F.col("degree"))).alias("stay_alone"))
+        stay = F.coalesce("stay_linked", "stay_alone")
+        moving = turn & F.coalesce(F.col("top") > stay + F.lit(1e-12), F.lit(False))
+        moved = state.join(best, "node", "left").join(alone, "node").select("node", "degree", F.when(moving, F.col("to")).otherwise(F.col("label")).alias("label"), F.when(moving, 2 * (F.col("top") - stay) / F.lit(two_m)).alias("gain"))
+        moved = saved(moved, f"moves-{k}")
+        gained = moved.agg(F.sum("gain")).first()[0] or 0.0
+        state = moved.drop("gain")
+        idle = idle + 1 if gained < LEAST_GAIN else 0
+        if idle >= 6:  # halves and ways have changed
+            break
+    return state.select("node", "label")
+
+
+def louvain(edges: DataFrame, resolution: float = 1.0, exact_edges: int = EXACT_EDGES, rounds: int = 40) -> DataFrame:
+    """(node, community): communities of greatest modularity, named by their smallest node.
+
+    ``edges``: a, b, weight, undirected.  Connected components of at most
+    ``exact_edges`` edges are computed by sequential sweeps and levels, many to
+    a task.  Larger ones take distributed rounds (local_moves) and are folded,
+    level by level, until they are small enough or nothing merges; their
+    communities can differ from those of sequential sweeps.
+    """
     kind = edges.schema["a"].dataType.simpleString()
+    given = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("weight").cast("double").alias("weight"))
+    now = saved(given.groupBy("a", "b").agg(F.sum("weight").alias("weight")), "louvain-edges")
+    two_m = 2 * (now.agg(F.sum("weight")).first()[0] or 0.0)
+    folds: list[DataFrame] = []
+    done = []
 
     def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        links: dict = {}
-        for a, b, w in zip(pdf["a"], pdf["b"], pdf["weight"]):
-            links.setdefault(a, {})[b] = links.setdefault(a, {}).get(b, 0.0) + w
-            links.setdefault(b, {})[a] = links.setdefault(b, {}).get(a, 0.0) + w
-        found = louvain_part(sorted(links), links, resolution)
+        found = communities_of(list(zip(pdf["a"], pdf["b"], pdf["weight"])), two_m, resolution)
         return pd.DataFrame(sorted(found.items()), columns=["node", "community"])
 
-    return placed.groupBy("component").applyInPandas(apply, f"node {kind}, community {kind}")
+    for level in range(MAX_LEVELS):
+        placed = now.join(connected_components(now).withColumnRenamed("node", "a"), "a")
+        sizes = saved(placed.groupBy("component").agg(F.count("*").alias("n")), "louvain-sizes")
+        large = sizes.filter(F.col("n") > exact_edges).select("component")
+        some = large.take(1)
+        small = placed.join(large, "component", "left_anti") if some else placed
+        exact = saved(small.groupBy("component").applyInPandas(apply, f"node {kind}, community {kind}"), "louvain-exact")
+        for fold in reversed(folds):
+            exact = fold.join(exact.withColumnsRenamed({"node": "label"}), "label").select("node", "community")
+        done.append(exact)
+        if not some:
+            break
+        big = saved(placed.join(large, "component", "left_semi").drop("component"), "louvain-large")
+        label = local_moves(big, two_m, resolution, rounds)
+        least = label.groupBy("label").agg(F.min("node").alias("least"))
+        fold = saved(label.join(least, "label").select("node", F.col("least").alias("label")), f"louvain-fold-{level}")
+        folds.append(fold)
+        before, after = fold.count(), fold.select("label").distinct().count()
+        ends = [fold.select(F.col("node").alias(x), F.col("label").alias(f"l_{x}")) for x in ("a", "b")]
+        folded = big.join(ends[0], "a").join(ends[1], "b").groupBy(F.least("l_a", "l_b").alias("a"), F.greatest("l_a", "l_b").alias("b")).agg(F.sum("weight").alias("weight"))
+        now = saved(folded, f"louvain-{level}")
+        if after == before or level + 1 == MAX_LEVELS:
+            rest = now.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", F.col("node"))
+            for fold in reversed(folds):
+                rest = fold.join(rest.withColumnsRenamed({"node": "label"}), "label").select("node", "community")
+            done.append(rest)
+            break
+    made = done[0]
+    for more in done[1:]:
+        made = made.unionByName(more)
+    return made
+
+
+def gang_edges(edges: DataFrame, template: float = 1.0, mirror: float = 0.5) -> DataFrame:
+    """Weights for community mode: edges (a, b, kind, weight), template and mirror kinds scaled, pairs summed."""
+    factor = F.when(F.col("kind").isin("shared_template", "template"), template).when(F.col("kind") == "mirror_near", mirror).otherwise(1.0)
+    return edges.groupBy("a", "b").agg(F.sum(F.col("weight") * factor).alias("weight"))
+
+
+def gangs_by_community(edges: DataFrame, least: float = 0.0, template: float = 1.0, mirror: float = 0.5, resolution: float = 1.0) -> DataFrame:
+    """(node, community) of edges (a, b, kind, weight) whose scaled weight is at least ``least``."""
+    return louvain(gang_edges(edges, template, mirror).filter(F.col("weight") >= least), resolution)
+
+
+def owner_edges(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Edges (a, b) between groups that own linked hosts.
+
+    ``members``: name, host, ord.  A host belongs to the group that named it
+    first.  ``links``: a, b (hosts).  Hosts without an owner, and links inside
+    a group, give nothing.
+    """
+    owner = members.groupBy("host").agg(F.min_by("name", F.struct("ord", "name")).alias("name"))
+    of = lambda x: owner.select(F.col("host").alias(x), F.col("name").alias(f"of_{x}"))
+    met = links.join(of("a"), "a").join(of("b"), "b").filter(F.col("of_a") != F.col("of_b"))
+    return met.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct()
+
+
+def union_edges(*kinds: tuple[str, DataFrame]) -> DataFrame:
+    """Edges (a, b, kinds) of several kinds, each pair once."""
+    made = None
+    for kind, edges in kinds:
+        part = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(kind).alias("kind"))
+        made = part if made is None else made.unionByName(part)
+    return made.groupBy("a", "b").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+
+
+def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """what, kind, n: nodes and edges by kind, and totals (kind null)."""
+    part = lambda df, what: df.rollup("kind").agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "kind", "n")
+    return part(nodes, "node").unionByName(part(edges, "edge"))
 
 
 def redirect_chain(hops: DataFrame, starts: DataFrame, most: int = 5) -> DataFrame:
@@ -162,8 +342,6 @@ def crawl(links: DataFrame, starts: DataFrame, depth: int, most: int) -> DataFra
 
     One join a level; urls seen before are left out by an anti join.
     """
-    from pyspark.sql import Window
-
     level = starts.select(F.col("url").alias("start"), "url", F.lit(0).alias("level")).distinct()
     seen = level
     for k in range(1, depth + 1):

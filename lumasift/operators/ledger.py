@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumasift.scratch import saved
+
 #: Status that each event type sets.
 STATUS = {"added": "pending", "approved": "approved", "rejected": "rejected", "submitted": "submitted"}
 #: Transitions that may follow a status.
@@ -35,6 +37,17 @@ def projection(events: DataFrame) -> DataFrame:
     )
 
 
+def query(events: DataFrame, entry_id: int | None = None, event_type: str | None = None, seq_from: int | None = None, seq_to: int | None = None) -> DataFrame:
+    """Events in order that meet all conditions given."""
+    if seq_from is not None and seq_to is not None and seq_from > seq_to:
+        raise ValueError(f"seq_from {seq_from} lies behind seq_to {seq_to}")
+    tests = (("entry_id", entry_id, "=="), ("event_type", event_type, "=="), ("seq", seq_from, ">="), ("seq", seq_to, "<="))
+    for name, value, how in tests:
+        if value is not None:
+            events = events.filter(F.col(name) == value if how == "==" else F.col(name) >= value if how == ">=" else F.col(name) <= value)
+    return events.orderBy("seq")
+
+
 def reachable(start: Column, end: Column) -> Column:
     """Whether transitions lead from one status to another."""
     steps = {s: set(n) for s, n in NEXT.items()}
@@ -92,8 +105,6 @@ def merkle_root(leaves: DataFrame, order: str, leaf: str) -> DataFrame:
     # positions without one task for all rows: counts of range partitions first
     ranged = leaves.select(order, leaf).repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
     ranged = ranged.withColumn("__nth", F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1)
-    from lumasift.scratch import saved
-
     ranged = saved(ranged, "merkle-leaves")
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__size"))
     before = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -123,17 +134,25 @@ def timer_stats(samples: DataFrame, name: str, order: str, value: str, last: int
     return sized.groupBy(name).agg(F.max("n").alias("n"), F.avg(value).alias("mean"), F.max(F.when(F.col("rank") == pick, F.col(value))).alias("p95"), F.max(value).alias("max"))
 
 
-def span_tree(spans: DataFrame, max_depth: int = 32) -> DataFrame:
+def span_tree(spans: DataFrame, max_depth: int = 10_000) -> DataFrame:
     """trace_id, span_id, depth, root: spans below roots (no parent, or an absent one).
 
-    A bounded loop of joins, one level at a time, on (trace, parent).
+    One join on (trace, parent) and one table a level, until a level is empty;
+    spans in a circle have no root and are absent.  Deeper trees than
+    ``max_depth`` are an error.
     """
+    spans = saved(spans.select("trace_id", "span_id", "parent_span_id"), "spans")
     known = spans.select(F.col("trace_id").alias("known_trace"), F.col("span_id").alias("known_id"))
     rooted = spans.join(known, (F.col("trace_id") == F.col("known_trace")) & (F.col("parent_span_id") == F.col("known_id")), "left_anti")
-    level = rooted.select("trace_id", "span_id", F.lit(0).alias("depth"), F.col("span_id").alias("root"))
+    level = saved(rooted.select("trace_id", "span_id", F.lit(0).alias("depth"), F.col("span_id").alias("root")), "spans-0")
     children = spans.select(F.col("trace_id").alias("of_trace"), F.col("span_id").alias("child_id"), F.col("parent_span_id").alias("parent_id")).filter(F.col("parent_id").isNotNull())
-    found = level
-    for depth in range(1, max_depth + 1):
+    found, depth = level, 0
+    while True:
+        depth += 1
         level = level.join(children, (F.col("trace_id") == F.col("of_trace")) & (F.col("span_id") == F.col("parent_id"))).select("trace_id", F.col("child_id").alias("span_id"), F.lit(depth).alias("depth"), "root")
+        level = saved(level, f"spans-{depth}")
+        if not level.take(1):
+            return found
+        if depth >= max_depth:
+            raise ValueError(f"spans lie deeper than {max_depth}")
         found = found.unionByName(level)
-    return found

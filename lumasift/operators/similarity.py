@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumasift.operators.components import connected_components
+from lumasift.scratch import saved
+
 
 def from_hex(text: Column) -> Column:
     """16 hex digits as the signed long of the same bits."""
@@ -34,39 +39,117 @@ def band(h: Column, first: int, width: int) -> Column:
     return F.shiftrightunsigned(h, first).bitwiseAND(F.lit((1 << width) - 1).cast("long")) if width < 64 else h
 
 
-def with_bands(prints: DataFrame, bands: int, h: str = "h") -> DataFrame:
-    keys = F.array(*[F.struct(F.lit(k).alias("band"), band(F.col(h), at, w).alias("key")) for k, (at, w) in enumerate(band_layout(bands))])
-    return prints.withColumn("__k", F.explode(keys)).select("*", F.col("__k.band").alias("band"), F.col("__k.key").alias("key")).drop("__k")
+def flips(width: int, radius: int) -> list[int]:
+    """Masks of up to ``radius`` bits of ``width``."""
+    return [sum(1 << b for b in some) for n in range(radius + 1) for some in combinations(range(width), n)]
+
+
+def bands_for(n: int, d: int, most_probes: int = 1_000) -> int:
+    """The number of bands that makes an exact join of n fingerprints cheapest.
+
+    Two fingerprints within d bits have a band of m that differs in at most
+    d // m bits.  Fewer bands are wider and meet less by chance, but need more
+    probes: the cost is n probes of each band and n^2 chance meetings.
+    """
+
+    def cost(m: int) -> float:
+        width = 64 // m
+        probes = m * sum(comb(width, k) for k in range(d // m + 1))
+        return n * probes + n * n * probes / 2.0**width if probes <= most_probes else float("inf")
+
+    return min(range(1, min(d + 1, 64) + 1), key=cost)
+
+
+def hamming_join(left: DataFrame, right: DataFrame, d: int, bands: int | None = None, radius: int | None = None, on: str | None = None) -> DataFrame:
+    """Pairs (sha, other, distance) of ``left`` and ``right`` (sha, h) within d bits, if given with equal values of ``on``.
+
+    Fingerprints meet by an equi-join on (band, key), where the keys of ``left``
+    are probed with up to ``radius`` flipped bits.  With the default d // bands
+    no pair is lost (one band of a near pair differs no more than that); the
+    default number of bands follows from the row count.  A smaller radius is
+    faster and may lose pairs.  A pair counts in the first band that it meets
+    in, so nothing needs a distinct.
+    """
+    bands = bands or bands_for(right.count(), d)
+    radius = d // bands if radius is None else radius
+    layout = band_layout(bands)
+    keys = lambda h: F.array(*[F.struct(F.lit(k).alias("band"), band(F.col(h), at, w).alias("key")) for k, (at, w) in enumerate(layout)])
+    masks = F.array(*[F.array(*[F.lit(signed(x)).cast("long") for x in flips(w, radius)]) for _, w in layout])
+    within = lambda name: (F.col(on) if on else F.lit(0)).alias(name)
+    probed = left.select("sha", "h", within("within"), F.explode(keys("h")).alias("k")).select("sha", "h", "within", "k.band", F.col("k.key").alias("own"))
+    probed = probed.select("sha", "h", "within", "band", F.explode(F.transform(F.get(masks, F.col("band")), lambda x: F.col("own").bitwiseXOR(x))).alias("key"))
+    there = right.select(F.col("sha").alias("other"), F.col("h").alias("h2"), within("within2"), F.explode(keys("h")).alias("k")).select("other", "h2", "within2", F.col("k.band").alias("band2"), F.col("k.key").alias("key2"))
+    met = probed.join(there, (F.col("band") == F.col("band2")) & (F.col("key") == F.col("key2")) & F.col("within").eqNullSafe(F.col("within2"))).withColumn("diff", F.col("h").bitwiseXOR(F.col("h2")))
+    first = F.array_position(F.array(*[F.bit_count(band(F.col("diff"), at, w)) <= radius for at, w in layout]), F.lit(True)) - 1
+    return met.filter(F.bit_count("diff") <= d).filter(first == F.col("band")).select("sha", "other", F.bit_count("diff").alias("distance"))
+
+
+def self_join(prints: DataFrame, d: int, bands: int | None = None, radius: int | None = None) -> DataFrame:
+    return hamming_join(prints, prints, d, bands, radius).filter(F.col("sha") < F.col("other"))
 
 
-def hamming_join(left: DataFrame, right: DataFrame, d: int, bands: int | None = None) -> DataFrame:
-    """Pairs (sha, other, distance) of ``left`` and ``right`` (sha, h) within d bits.
+def near_groups(prints: DataFrame, d: int) -> DataFrame:
+    """(node, component) of fingerprints that chains of steps within d bits connect; single ones are absent.
 
-    Equal bands make candidates: with more bands than d no pair is lost (one
-    band must agree), which is the default; fewer bands are faster and may lose
-    pairs.  A pair is checked once, in its first equal band, so nothing needs a
-    distinct.
+    Equal fingerprints are one node of the join, so a value that many rows share
+    makes no pairs of them.
     """
-    bands = bands or d + 1
-    a = with_bands(left.select("sha", "h"), bands)
-    b = with_bands(right.select(F.col("sha").alias("other"), F.col("h").alias("h2")), bands, "h2").withColumnsRenamed({"band": "band2", "key": "key2"})
-    diff = F.col("h").bitwiseXOR(F.col("h2"))
-    pairs = a.join(b, (F.col("band") == F.col("band2")) & (F.col("key") == F.col("key2"))).withColumn("diff", diff)
-    first = F.array_position(F.array(*[band(F.col("diff"), at, w) == 0 for at, w in band_layout(bands)]), F.lit(True)) - 1
-    return pairs.filter(F.bit_count("diff") <= d).filter(first == F.col("band")).select("sha", "other", F.bit_count("diff").alias("distance"))
+    owner = prints.groupBy("h").agg(F.min("sha").alias("owner"), F.count("*").alias("n"))
+    owner = saved(owner, "near-owners")
+    edges = self_join(owner.select(F.col("owner").alias("sha"), "h"), d).select(F.col("sha").alias("a"), F.col("other").alias("b"))
+    alone = owner.filter(F.col("n") > 1).select(F.col("owner").alias("a"), F.col("owner").alias("b"))
+    groups = connected_components(edges.unionByName(alone)).withColumnRenamed("node", "owner")
+    return prints.join(owner.select("h", "owner"), "h").join(groups, "owner").select(F.col("sha").alias("node"), "component")
 
 
-def self_join(prints: DataFrame, d: int, bands: int | None = None) -> DataFrame:
-    return hamming_join(prints, prints, d, bands).filter(F.col("sha") < F.col("other"))
+def reversed_bits(h: Column) -> Column:
+    """The 64 bits in reverse order."""
+    pieces = [F.shiftleft(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(1).cast("long")), 63 - k) for k in range(64)]
+    made = pieces[0]
+    for piece in pieces[1:]:
+        made = made.bitwiseOR(piece)
+    return made
 
 
-def find_similar(prints: DataFrame, queries: DataFrame, d: int = 8, cap: int = 200) -> DataFrame:
-    """The ``cap`` nearest fingerprints of each query within d bits, itself excluded."""
-    near = hamming_join(queries, prints, d).filter(F.col("sha") != F.col("other"))
+def near_channels(prints: DataFrame, mirrored: DataFrame, d: int) -> DataFrame:
+    """channel, site, other_site, hits, weight: near fingerprints (sha, site, h) of unlike sites, plain and mirror.
+
+    Hits are distinct fingerprints of ``site``; the weight is their share of the
+    site's, at most 1.  A pair that the plain channel has doesn't count as mirror.
+    """
+    sites = prints.select("sha", "site")
+
+    def hits(other: DataFrame, channel: str) -> DataFrame:
+        near = hamming_join(prints.select("sha", "h"), other.select("sha", "h"), d)
+        placed = near.join(sites, "sha").join(sites.select(F.col("sha").alias("other"), F.col("site").alias("other_site")), "other")
+        return placed.filter(F.col("site") != F.col("other_site")).select(F.lit(channel).alias("channel"), "site", "other_site", "sha", "other")
+
+    plain = saved(hits(prints, "plain"), "near-plain")
+    every = plain.unionByName(hits(mirrored, "mirror").join(plain.select("sha", "other"), ["sha", "other"], "left_anti"))
+    sizes = prints.groupBy("site").agg(F.count("*").alias("n"))
+    counted = every.groupBy("channel", "site", "other_site").agg(F.count_distinct("sha").alias("hits"))
+    return counted.join(sizes, "site").select("channel", "site", "other_site", "hits", F.least(F.lit(1.0), F.col("hits") / F.col("n")).alias("weight"))
+
+
+def find_similar(prints: DataFrame, queries: DataFrame, d: int = 8, cap: int = 200, other_site: bool = False) -> DataFrame:
+    """The ``cap`` nearest fingerprints of each query within d bits, itself excluded.
+
+    Both have sha and h; rows without h take no part.  With ``other_site`` both
+    have site as well, and rows of the query's own site are left out.
+    """
+    asked, known = (x.filter(F.col("h").isNotNull()) for x in (queries, prints))
+    near = hamming_join(asked, known, d).filter(F.col("sha") != F.col("other"))
+    if other_site:
+        near = near.join(asked.select("sha", F.col("site").alias("own_site")), "sha").join(known.select(F.col("sha").alias("other"), "site"), "other").filter(~F.col("own_site").eqNullSafe(F.col("site")))
     place = F.row_number().over(Window.partitionBy("sha").orderBy("distance", "other"))
     return near.withColumn("place", place).filter(F.col("place") <= cap)
 
 
+def print_of_kind(kind: str, columns: list[str], fallback: str = "phash") -> Column:
+    """The fingerprint of a kind, or the plain one where its column is absent or null."""
+    return F.coalesce(F.col(kind), F.col(fallback)) if kind in columns else F.col(fallback)
+
+
 def table_masks(tables: int = 8, key_bits: int = 16, seed: int = 20261003) -> list[list[int]]:
     """Bits that each table's key takes, from seeded permutations."""
     rng = random.Random(seed)
@@ -78,8 +161,12 @@ def table_masks(tables: int = 8, key_bits: int = 16, seed: int = 20261003) -> li
     return out
 
 
-def multi_table_pairs(prints: DataFrame, d: int, tables: int = 8, key_bits: int = 16, probes: int = 1) -> DataFrame:
-    """Candidates by several keys of permuted bits, right keys probed up to ``probes`` flipped bits, then verified."""
+def multi_table_pairs(prints: DataFrame, d: int, tables: int = 8, key_bits: int = 16, probes: int = 2) -> DataFrame:
+    """Candidates by several keys of permuted bits, right keys probed up to ``probes`` flipped bits, then verified.
+
+    It may lose pairs: a pair at distance d is met by a table with the chance
+    that at most ``probes`` of the d bits are among its key's.
+    """
     masks = table_masks(tables, key_bits)
 
     def key(h: Column, bits: list[int]) -> Column:
@@ -90,7 +177,7 @@ def multi_table_pairs(prints: DataFrame, d: int, tables: int = 8, key_bits: int
 
     keyed = lambda h: F.array(*[F.struct(F.lit(t).alias("t"), key(h, bits).alias("key")) for t, bits in enumerate(masks)])
     left = prints.select("sha", "h", F.explode(keyed(F.col("h"))).alias("k")).select("sha", "h", "k.t", "k.key")
-    deltas = [0] + [1 << b for b in range(key_bits)] * (probes > 0)
+    deltas = flips(key_bits, probes)
     right = prints.select(F.col("sha").alias("other"), F.col("h").alias("h2"), F.explode(keyed(F.col("h"))).alias("k")).select("other", "h2", F.col("k.t").alias("t2"), F.explode(F.array(*[F.col("k.key").bitwiseXOR(F.lit(x).cast("long")) for x in deltas])).alias("key2"))
     near = left.join(right, (F.col("t") == F.col("t2")) & (F.col("key") == F.col("key2")) & (F.col("sha") < F.col("other")))
     return near.filter(hamming(F.col("h"), F.col("h2")) <= d).select("sha", "other", hamming(F.col("h"), F.col("h2")).alias("distance")).distinct()

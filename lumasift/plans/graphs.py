@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lumasift.functions import url as U
 from lumasift.operators import graph as G
 from lumasift.operators import similarity as H
-from lumasift.operators.components import connected_components
 from lumasift.plans.decision import q6, sql6
 from lumasift.plans.sql_views import with_views
+from lumasift.plans.urls_text import _HOSTED, _KEYED
+from lumasift.scratch import saved
 from lumasift.sources import views as V
 
-D_NEAR = 20
+D_NEAR = 8
 
 
 def hamming_join_exact(spark, sf):
@@ -19,7 +22,7 @@ def hamming_join_exact(spark, sf):
 
 
 def hamming_join_lsh(spark, sf):
-    return H.self_join(V.fingerprints(spark, sf).select("sha", "h"), D_NEAR, bands=8)
+    return H.self_join(V.fingerprints(spark, sf).select("sha", "h"), D_NEAR, bands=8, radius=0)
 
 
 def hamming_multi_table(spark, sf):
@@ -34,15 +37,45 @@ def hash_distance_topk(spark, sf):
 _PAIRS = "SELECT a.sha, b.sha AS other, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM fingerprints a JOIN fingerprints b ON a.sha < b.sha"
 
 
+def lossy_recall(spark, sf):
+    """Shares of the pairs within the distance that the lossy joins find."""
+    prints = V.fingerprints(spark, sf).select("sha", "h")
+    every = saved(H.self_join(prints, D_NEAR).select("sha", "other"), "pairs")
+    found = None
+    for name, query in (("bands", hamming_join_lsh), ("tables", hamming_multi_table)):
+        part = query(spark, sf).join(every, ["sha", "other"]).agg(F.lit(name).alias("kind"), F.count("*").alias("found"))
+        found = part if found is None else found.unionByName(part)
+    total = every.agg(F.count("*").alias("pairs"))
+    return found.crossJoin(total).select("kind", "pairs", q6(F.col("found") / F.col("pairs")).alias("recall"))
+
+
 def near_dup_weights(spark, sf):
-    """Per pair of sites the near hits, as a share of the first site's fingerprints, at most 1."""
+    """Per pair of sites the near hits, as a share of the first site's fingerprints, at most 1, for plain and mirror channels.
+
+    The mirror channel compares with fingerprints whose bits are reversed, and
+    leaves out hits that the plain channel has.
+    """
     prints = V.fingerprints(spark, sf)
-    near = H.hamming_join(prints, prints, D_NEAR).filter(F.col("sha") != F.col("other"))
-    site = prints.select("sha", "site")
-    placed = near.join(site, "sha").join(site.select(F.col("sha").alias("other"), F.col("site").alias("other_site")), "other").filter(F.col("site") != F.col("other_site"))
-    sizes = prints.groupBy("site").agg(F.count("*").alias("n"))
-    hits = placed.groupBy("site", "other_site").agg(F.count_distinct("sha").alias("hits"))
-    return hits.join(sizes, "site").select("site", "other_site", "hits", q6(F.least(F.lit(1.0), F.col("hits") / F.col("n"))).alias("weight"))
+    mirrored = prints.withColumn("h", H.reversed_bits(F.col("h")))
+    return H.near_channels(prints, mirrored, D_NEAR).select("channel", "site", "other_site", "hits", q6(F.col("weight")).alias("weight"))
+
+
+_NEAR = f"""
+hits AS (SELECT 'plain' AS channel, a.site, b.site AS other_site, a.sha, b.sha AS other FROM fingerprints a JOIN fingerprints b ON a.site <> b.site AND bit_count(xor(a.h, b.h)) <= {D_NEAR}),
+mirrored AS (SELECT sha, site, CAST(reverse(CAST(h AS VARCHAR)) AS BIT) AS h FROM fingerprints),
+more AS (SELECT 'mirror' AS channel, a.site, b.site AS other_site, a.sha, b.sha AS other FROM fingerprints a JOIN mirrored b ON a.site <> b.site AND bit_count(xor(a.h, b.h)) <= {D_NEAR}),
+every AS (SELECT * FROM hits UNION ALL SELECT * FROM more ANTI JOIN hits USING (sha, other))
+SELECT channel, x.site, other_site, hits, {{weight}} AS weight FROM (SELECT channel, site, other_site, count(DISTINCT sha) AS hits FROM every GROUP BY ALL) x JOIN (SELECT site, count(*) AS n FROM fingerprints GROUP BY site) s ON x.site = s.site
+"""
+
+
+def redteam_recall(spark, sf):
+    """Share of altered fingerprints that a join within the distance still ties to their original, by how many bits were flipped."""
+    prints = V.fingerprints(spark, sf)
+    original, altered = (prints.filter(F.pmod("sha", F.lit(3)) == k) for k in (0, 1))
+    near = H.hamming_join(altered.select("sha", "h"), original.select("sha", "h"), D_NEAR).filter(F.col("other") == F.col("sha") - 1)
+    rows = altered.select("sha", "family").join(near.select("sha", F.lit(1).alias("hit")), "sha", "left")
+    return rows.groupBy("family").agg(F.count("*").alias("n"), q6(F.count("hit") / F.count("*")).alias("recall"))
 
 
 def hash_registry(spark, sf):
@@ -88,16 +121,31 @@ GROUP BY x.site, y.site
 
 
 def shared_media_touched(spark, sf):
-    touched = V.media(spark, sf).filter(F.pmod("site", F.lit(10)) == 3).select("site")
-    e = G.shared_media_of(V.media(spark, sf), touched)
-    return e.select("a", "b", "shared", q6(F.col("weight")).alias("weight"))
+    """The edges of sites that were active in the newest hour of events."""
+    e = V.table(spark, sf, "events")
+    last = e.agg(F.date_trunc("hour", F.max("ts")).alias("hour"))
+    touched = e.crossJoin(F.broadcast(last)).filter(F.col("ts") >= F.col("hour")).select(F.col("user_id").alias("site"))
+    edges = G.shared_media_of(V.media(spark, sf), touched)
+    return edges.select("a", "b", "shared", q6(F.col("weight")).alias("weight"))
+
+
+_TOUCHED = "SELECT DISTINCT user_id FROM events WHERE ts >= (SELECT date_trunc('hour', max(ts)) FROM events)"
 
 
 def edge_changes(spark, sf):
-    """Against a table without a tenth of the edges and with some that are gone."""
+    """Edges of all media against those of the first half of each site's events."""
     new = G.shared_media(V.media(spark, sf)).select("a", "b")
-    old = new.filter((F.col("a") + F.col("b")) % 10 != 0).unionByName(V.table(spark, sf, "region").select((-F.col("r_regionkey") - 1).alias("a"), F.col("r_regionkey").alias("b")).withColumns({"a": F.col("a").cast("long"), "b": F.col("b").cast("long")}))
-    return G.edge_changes(old, new)
+    nth = F.ntile(2).over(Window.partitionBy("user_id").orderBy("event_id"))
+    early = V.table(spark, sf, "events").select("user_id", "value", nth.alias("half")).filter("half = 1")
+    old = early.select((F.col("user_id") + 1).alias("site"), F.floor(F.col("value") * 100 + 0.5).cast("long").alias("media"))
+    return G.edge_changes(G.shared_media(old).select("a", "b"), new)
+
+
+_CHANGES = """
+old AS (SELECT DISTINCT user_id + 1 AS site, CAST(floor(value * 100 + 0.5) AS BIGINT) AS media FROM (SELECT *, ntile(2) OVER (PARTITION BY user_id ORDER BY event_id) AS half FROM events) WHERE half = 1),
+olds AS (SELECT DISTINCT x.site AS a, y.site AS b FROM old x JOIN old y ON x.media = y.media AND x.site < y.site), news AS (SELECT a, b FROM sm)
+SELECT a, b, 'new' AS change FROM (SELECT * FROM news EXCEPT SELECT * FROM olds) UNION ALL SELECT a, b, 'stale' FROM (SELECT * FROM olds EXCEPT SELECT * FROM news)
+"""
 
 
 def _kinds(spark, sf):
@@ -109,8 +157,9 @@ _KINDS = f"SELECT a, b, CASE WHEN (a + b) % 3 = 0 THEN 'shared_template' ELSE 's
 
 
 def related_sites(spark, sf):
-    starts = V.media(spark, sf).agg(F.min("site").alias("site"))
-    r = G.related(_kinds(spark, sf), starts, 2)
+    """What each site whose number is divisible by 100 reaches in two hops: a search, whose queries grow with the table."""
+    starts = V.media(spark, sf).filter(F.pmod("site", F.lit(100)) == 0).select("site").distinct()
+    r = G.related(saved(_kinds(spark, sf), "kinds"), starts, 2)
     return r.select("start", "site", F.concat_ws(",", "via").alias("via"), q6(F.col("weight")).alias("weight"))
 
 
@@ -122,22 +171,63 @@ SELECT start, site, string_agg(DISTINCT kind, ',' ORDER BY kind) AS via, {sql6('
 
 
 def graph_stats(spark, sf):
-    return _kinds(spark, sf).groupBy("kind").agg(F.count("*").alias("edges"))
+    """Nodes and edges by kind, with totals."""
+    media = V.media(spark, sf)
+    nodes = media.select(F.lit("site").alias("kind"), F.col("site").alias("id")).unionByName(media.select(F.lit("image").alias("kind"), F.col("media").alias("id"))).distinct()
+    return G.graph_counts(nodes, _kinds(spark, sf))
+
+
+_STATS = "SELECT 'node' AS what, kind, count(*) AS n FROM (SELECT DISTINCT 'site' AS kind, site AS id FROM media UNION ALL SELECT DISTINCT 'image', media FROM media) GROUP BY ROLLUP (kind) UNION ALL SELECT 'edge', kind, count(*) FROM kinds GROUP BY ROLLUP (kind)"
 
 
 def components(spark, sf):
-    """Components of pairs of near fingerprints."""
-    near = H.self_join(V.fingerprints(spark, sf).select("sha", "h"), 19)
-    return connected_components(near, "sha", "other")
+    """Components of near fingerprints."""
+    return H.near_groups(V.fingerprints(spark, sf).select("sha", "h"), D_NEAR)
 
 
 _COMPONENTS = """
-WITH RECURSIVE fingerprints AS ({prints}), e AS (SELECT a.sha AS a, b.sha AS b FROM fingerprints a JOIN fingerprints b ON a.sha <> b.sha AND bit_count(xor(a.h, b.h)) <= 19),
+WITH RECURSIVE fingerprints AS ({prints}), e AS (SELECT a.sha AS a, b.sha AS b FROM fingerprints a JOIN fingerprints b ON a.sha <> b.sha AND bit_count(xor(a.h, b.h)) <= 8),
 r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a)
 SELECT node, min(reach) AS component FROM r GROUP BY node
 """
 
 
+def _host_groups(spark, sf):
+    """Pages as members of groups by the top label of their host, and links between hosts by redirects of equal page numbers."""
+    pages = V.table(spark, sf, "pages").select("page_id", U.host(F.col("url")).alias("host"), U.canonical_key(F.col("url")).alias("key"))
+    members = pages.filter(F.col("host") != "").select(F.concat_ws("-", "key", F.pmod("page_id", F.lit(7)).cast("string")).alias("name"), "host", F.col("page_id").alias("ord"))
+    nxt = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("host").alias("b"))
+    links = pages.join(nxt, "page_id").select(F.col("host").alias("a"), "b")
+    return members, links
+
+
+def group_owner_edges(spark, sf):
+    """Groups whose hosts are linked; a host belongs to the group that names it first."""
+    return G.owner_edges(*_host_groups(spark, sf))
+
+
+_OWNERS = """
+hosts AS (SELECT page_id, host, key FROM keyed),
+members AS (SELECT key || '-' || (page_id % 7) AS name, host, page_id AS ord FROM hosts WHERE host <> ''),
+owner AS (SELECT host, arg_min(name, ord) AS name FROM members GROUP BY host),
+links AS (SELECT x.host AS a, y.host AS b FROM hosts x JOIN hosts y ON y.page_id = x.page_id + 1)
+"""
+_OWNED = "SELECT DISTINCT least(p.name, q.name) AS a, greatest(p.name, q.name) AS b FROM links JOIN owner p ON links.a = p.host JOIN owner q ON links.b = q.host WHERE p.name <> q.name"
+
+
+def edge_union(spark, sf):
+    """Edges of groups by owned hosts and by shared hosts, with their kinds."""
+    members, links = _host_groups(spark, sf)
+    return G.union_edges(("owner", G.owner_edges(members, links)), ("fingerprint", G.fingerprint_edges(members.select("name", F.col("host").alias("sha")), 0.2))).select("a", "b", F.concat_ws(",", "kinds").alias("kinds"))
+
+
+def graph_rows(spark, sf):
+    """Edges between sites for a table, of a graph that has images as well."""
+    media = V.media(spark, sf).select(F.concat(F.lit("site:"), F.col("site").cast("string")).alias("src"), F.concat(F.lit("image:"), F.col("media").cast("string")).alias("dst"), F.lit("has").alias("kind"), F.lit(1.0).alias("weight"))
+    between = _kinds(spark, sf).select(F.concat(F.lit("site:"), F.col("a").cast("string")).alias("src"), F.concat(F.lit("site:"), F.col("b").cast("string")).alias("dst"), "kind", "weight")
+    return G.site_rows(media.unionByName(between)).withColumn("weight", q6(F.col("weight")))
+
+
 def gangs_connectivity(spark, sf):
     edges = _kinds(spark, sf).filter(F.col("weight") >= 0.02).withColumn("kind", F.when(F.col("a") % 11 == 0, "mirror_near").otherwise(F.col("kind")))
     return G.gangs(edges)
@@ -160,18 +250,24 @@ WITH media AS (SELECT DISTINCT user_id % 40 AS site, CAST(floor(value) AS BIGINT
 
 
 def merged_groups(spark, sf):
-    e = V.entries(spark, sf).withColumn("name", F.pmod("site", F.lit(60)))
-    groups = e.groupBy("name").agg(F.count("*").alias("size"), F.max("agg4").alias("agg4"), F.max_by("verdict", F.when(F.col("verdict") == "nsfw", 2).when(F.col("verdict") == "suspect", 1).otherwise(0)).alias("verdict"))
-    edges = V.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("a"), (F.col("n_nationkey") * 2 + 1).cast("long").alias("b"))
+    """Groups of pages merged along owned and shared hosts."""
+    members, links = _host_groups(spark, sf)
+    members = saved(members, "members")
+    groups = members.groupBy("name").agg(F.count("*").alias("size"), F.count_distinct("host").alias("urls"), F.max(F.pmod("ord", F.lit(1000))).alias("agg4"), F.max_by(F.element_at(F.array(*map(F.lit, ("clean", "suspect", "nsfw"))), F.pmod("ord", F.lit(3)).cast("int") + 1), F.pmod("ord", F.lit(3))).alias("verdict"))
+    edges = G.union_edges(("owner", G.owner_edges(members, links)), ("fingerprint", G.fingerprint_edges(members.select("name", F.col("host").alias("sha")), 0.2)))
     return G.merge_groups(groups, edges)
 
 
-_MERGED = """
-WITH RECURSIVE entries AS ({entries}), g AS (SELECT site % 60 AS name, count(*) AS size, max(agg4) AS agg4, max(CASE verdict WHEN 'nsfw' THEN 2 WHEN 'suspect' THEN 1 ELSE 0 END) AS r FROM entries GROUP BY 1),
-e AS (SELECT n_nationkey AS a, n_nationkey * 2 + 1 AS b FROM nation UNION SELECT n_nationkey * 2 + 1, n_nationkey FROM nation),
+_MERGED = f"""
+g AS (SELECT name, count(*) AS size, count(DISTINCT host) AS urls, max(ord % 1000) AS agg4, max(ord % 3) AS r FROM members GROUP BY name),
+sizes AS (SELECT name, count(DISTINCT host) AS n FROM members GROUP BY name),
+prints AS (SELECT x.name AS a, y.name AS b, count(DISTINCT x.host)::DOUBLE AS o FROM members x JOIN members y ON x.host = y.host AND x.name < y.name GROUP BY ALL),
+e0 AS ({_OWNED} UNION SELECT a, b FROM prints JOIN sizes p ON a = p.name JOIN sizes q ON b = q.name WHERE o / (p.n + q.n - o) >= 0.2),
+e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
 x AS (SELECT a AS node, a AS reach FROM e UNION SELECT x.node, e.b FROM x JOIN e ON x.reach = e.a),
-c AS (SELECT name, coalesce((SELECT min(reach) FROM x WHERE node = name), name) AS component, size, agg4, r FROM g)
-SELECT component, count(*) AS groups, CAST(sum(size) AS BIGINT) AS size, max(agg4) AS agg4, CASE max(r) WHEN 2 THEN 'nsfw' WHEN 1 THEN 'suspect' ELSE 'clean' END AS verdict, arg_min(name, (-size, name)) AS lead FROM c GROUP BY component
+lowest AS (SELECT node, min(reach) AS component FROM x GROUP BY node),
+c AS (SELECT g.*, coalesce(component, name) AS component FROM g LEFT JOIN lowest ON node = name)
+SELECT component, count(*) AS groups, CAST(sum(size) AS BIGINT) AS size, max(agg4) AS agg4, CASE max(r) WHEN 2 THEN 'nsfw' WHEN 1 THEN 'suspect' ELSE 'clean' END AS verdict, arg_min(name, (-size, -urls, name)) AS lead, string_agg(name, ',' ORDER BY name) AS names FROM c GROUP BY component
 """
 
 
@@ -200,15 +296,20 @@ def louvain(spark, sf):
     return G.louvain(G.shared_media(V.media(spark, sf)).select("a", "b", "weight"))
 
 
+def gangs_community(spark, sf):
+    """Communities over scaled kinds; no SQL says this, tests compare with sequential sweeps."""
+    return G.gangs_by_community(_kinds(spark, sf), 0.0, template=0.8)
+
+
 def redirect_chains(spark, sf):
-    n = V.table(spark, sf, "nation")
-    hops = n.filter(F.col("n_nationkey") % 5 != 0).select(F.col("n_nationkey").alias("src"), (F.col("n_nationkey") * 3 % 25).alias("dst"))
-    return G.redirect_chain(hops, n.select(F.col("n_nationkey").alias("url")), 3)
+    """Where up to three redirects lead, from every customer: each order sends its customer on to another."""
+    hops = V.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("src")).agg(F.min(F.col("o_orderkey")).alias("k")).filter(F.col("k") % 5 != 0).select("src", F.pmod(F.col("k") * 3, F.lit(1000)).alias("dst"))
+    return G.redirect_chain(hops, V.table(spark, sf, "customer").select(F.col("c_custkey").alias("url")), 3)
 
 
 _CHAINS = """
-WITH RECURSIVE h AS (SELECT n_nationkey AS src, n_nationkey * 3 % 25 AS dst FROM nation WHERE n_nationkey % 5 <> 0),
-w AS (SELECT n_nationkey AS start, n_nationkey AS last, 0 AS n, [n_nationkey] AS seen FROM nation
+WITH RECURSIVE h AS (SELECT o_custkey AS src, min(o_orderkey) * 3 % 1000 AS dst FROM orders GROUP BY o_custkey HAVING min(o_orderkey) % 5 <> 0),
+w AS (SELECT c_custkey AS start, c_custkey AS last, 0 AS n, [c_custkey] AS seen FROM customer
   UNION ALL SELECT start, dst, n + 1, list_append(seen, dst) FROM w JOIN h ON last = src WHERE n < 3 AND NOT list_contains(seen, dst))
 SELECT start, arg_max(last, n) AS last, CAST(max(n) AS INTEGER) AS n FROM w GROUP BY start
 """
@@ -223,31 +324,42 @@ def _recursive(tail: str) -> str:
     return f"{views}, e0 AS (SELECT a, b FROM kinds WHERE weight >= 0.02 AND a % 11 <> 0), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a) {tail}"
 
 
+def _on_hosts(sql: str) -> str:
+    """``sql`` behind members, owner and links."""
+    return f"{with_views('', hosted=_HOSTED, keyed=_KEYED).strip()}, {_OWNERS.strip()} {sql}"
+
+
 def _prints(sql: str) -> str:
     return with_views(sql, "FINGERPRINTS")
 
 
-from lumasift.plans.sql_views import ENTRIES, FINGERPRINTS  # noqa: E402
+from lumasift.plans.sql_views import FINGERPRINTS  # noqa: E402
 
 QUERIES = {
     "hamming_join_exact": (hamming_join_exact, _prints(f"SELECT * FROM ({_PAIRS}) WHERE distance <= {D_NEAR}")),
     "hamming_join_lsh": (hamming_join_lsh, None),
     "hamming_multi_table": (hamming_multi_table, None),
-    "hash_distance_topk": (hash_distance_topk, _prints("SELECT sha, other, distance, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY distance, other) AS place FROM (SELECT a.sha, b.sha AS other, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM fingerprints a JOIN fingerprints b ON a.sha <> b.sha WHERE true) WHERE distance <= 20) WHERE place <= 5")),
-    "near_dup_weights": (near_dup_weights, _prints(f"SELECT x.site, x.other_site, hits, {sql6('least(1.0::DOUBLE, hits::DOUBLE / n)')} AS weight FROM (SELECT a.site, b.site AS other_site, count(DISTINCT a.sha) AS hits FROM fingerprints a JOIN fingerprints b ON a.sha <> b.sha AND a.site <> b.site WHERE bit_count(xor(a.h, b.h)) <= {D_NEAR} GROUP BY ALL) x JOIN (SELECT site, count(*) AS n FROM fingerprints GROUP BY site) s ON x.site = s.site")),
-    "hash_registry": (hash_registry, "SELECT count(*) AS n, count(DISTINCT label) AS sites FROM embeddings"),
+    "hash_distance_topk": (hash_distance_topk, _prints(f"SELECT sha, other, distance, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY distance, other) AS place FROM (SELECT a.sha, b.sha AS other, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM fingerprints a JOIN fingerprints b ON a.sha <> b.sha) WHERE distance <= {D_NEAR}) WHERE place <= 5")),
+    "lossy_recall": (lossy_recall, None),
+    "near_dup_weights": (near_dup_weights, with_views("", "FINGERPRINTS").strip() + ", " + _NEAR.strip().replace("{weight}", sql6("least(1.0::DOUBLE, hits::DOUBLE / n)"))),
+    "redteam_recall": (redteam_recall, _prints(f"SELECT a.family, count(*) AS n, {sql6('avg(CASE WHEN bit_count(xor(a.h, b.h)) <= 8 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS recall FROM fingerprints a JOIN fingerprints b ON b.sha = a.sha - 1 WHERE a.sha % 3 = 1 GROUP BY a.family")),
+    "hash_registry": (hash_registry, _prints("SELECT count(*) AS n, count(DISTINCT site) AS sites FROM fingerprints")),
     "image_hashes": (image_hashes, None),
     "image_hash_family": (image_hash_family, None),
     "site_bfs": (site_bfs, None),
     "shared_media_edges": (shared_media_edges, _media(f"SELECT a, b, shared, {sql6('weight')} AS weight FROM sm", sm=_SHARED)),
-    "shared_media_touched": (shared_media_touched, _media(f"SELECT a, b, shared, {sql6('weight')} AS weight FROM sm WHERE a % 10 = 3 OR b % 10 = 3", sm=_SHARED)),
-    "edge_changes": (edge_changes, _media("SELECT a, b, 'new' AS change FROM sm WHERE (a + b) % 10 = 0 UNION ALL SELECT -r_regionkey - 1, r_regionkey, 'stale' FROM region", sm=_SHARED)),
-    "related_sites": (related_sites, _media(_RELATED, kinds=_KINDS, two="SELECT a, b, kind, weight FROM kinds UNION ALL SELECT b, a, kind, weight FROM kinds", st="SELECT min(site) AS s FROM media")),
-    "graph_stats": (graph_stats, _media("SELECT kind, count(*) AS edges FROM kinds GROUP BY kind", kinds=_KINDS)),
+    "shared_media_touched": (shared_media_touched, _media(f"SELECT a, b, shared, {sql6('weight')} AS weight FROM sm WHERE a IN (SELECT * FROM touched) OR b IN (SELECT * FROM touched)", sm=_SHARED, touched=_TOUCHED)),
+    "edge_changes": (edge_changes, with_views("", "MEDIA", sm=_SHARED).strip() + ", " + _CHANGES.strip()),
+    "related_sites": (related_sites, _media(_RELATED, kinds=_KINDS, two="SELECT a, b, kind, weight FROM kinds UNION ALL SELECT b, a, kind, weight FROM kinds", st="SELECT DISTINCT site AS s FROM media WHERE site % 100 = 0")),
+    "graph_stats": (graph_stats, _media(_STATS, kinds=_KINDS)),
     "components": (components, _COMPONENTS.replace("{prints}", FINGERPRINTS)),
     "gangs_connectivity": (gangs_connectivity, _recursive(_GANGS)),
     "fingerprint_groups": (fingerprint_groups, _FPG.strip() + f" SELECT a, b, shared, {sql6('weight')} AS weight FROM ({_SHARED}) WHERE weight >= 0.25"),
-    "merged_groups": (merged_groups, _MERGED.replace("{entries}", ENTRIES)),
+    "group_owner_edges": (group_owner_edges, _on_hosts(_OWNED)),
+    "edge_union": (edge_union, _on_hosts(f"SELECT a, b, string_agg(kind, ',' ORDER BY kind) AS kinds FROM (SELECT a, b, 'owner' AS kind FROM ({_OWNED}) UNION ALL SELECT a, b, 'fingerprint' FROM (SELECT x.name AS a, y.name AS b, count(DISTINCT x.host)::DOUBLE AS o FROM members x JOIN members y ON x.host = y.host AND x.name < y.name GROUP BY ALL) JOIN (SELECT name, count(DISTINCT host) AS n FROM members GROUP BY name) p ON a = p.name JOIN (SELECT name, count(DISTINCT host) AS n FROM members GROUP BY name) q ON b = q.name WHERE o / (p.n + q.n - o) >= 0.2) GROUP BY a, b")),
+    "graph_rows": (graph_rows, _media(f"SELECT CAST(a AS VARCHAR) AS source, CAST(b AS VARCHAR) AS target, kind, {sql6('weight')} AS weight FROM kinds", kinds=_KINDS)),
+    "merged_groups": (merged_groups, _on_hosts("").replace("WITH ", "WITH RECURSIVE ", 1).strip() + ", " + _MERGED.strip()),
+    "gangs_community": (gangs_community, None),
     "merge_reasons": (merge_reasons, _media("SELECT a, b, reason FROM (SELECT a, b, CASE WHEN a % 10 = b % 10 THEN 'same_site' WHEN weight >= 0.02 THEN 'overlap' WHEN shared >= 2 THEN 'shared_image' WHEN (a + b) % 4 = 0 THEN 'template' END AS reason FROM sm) WHERE reason IS NOT NULL", sm=_SHARED)),
     "modularity": (modularity, _media(_MODULARITY, sm=_SHARED)),
     "louvain": (louvain, None),

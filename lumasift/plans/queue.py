@@ -11,7 +11,7 @@ from lumasift.operators import decision as D
 from lumasift.operators import grouping as G
 from lumasift.operators import ledger as L
 from lumasift.plans.decision import _ASSESS, _ENSEMBLE, q6, sql6
-from lumasift.plans.sql_views import with_views
+from lumasift.plans.sql_views import LEDGER, with_views
 from lumasift.plans.urls_text import _HOSTED, _KEYED
 from lumasift.sources import views as V
 
@@ -248,6 +248,13 @@ def merkle_root(spark, sf):
     return L.merkle_root(leaves, "seq", "leaf")
 
 
+_MERKLE = """
+WITH RECURSIVE ledger AS ({ledger}), leaves AS (SELECT list(sha256(seq || '|' || event_type || '|' || note) ORDER BY seq) AS l, count(*) AS n FROM ledger),
+up AS (SELECT l, n FROM leaves UNION ALL SELECT list_transform(range(0, CAST((len(l) + 1) // 2 AS BIGINT)), lambda i: sha256(unhex(l[2 * i + 1] || coalesce(l[2 * i + 2], l[2 * i + 1])))), n FROM up WHERE len(l) > 1)
+SELECT l[1] AS root, n AS leaves FROM up WHERE len(l) = 1
+"""
+
+
 def span_tree(spark, sf):
     """Orders as roots, their lines as children of the line before."""
     line = V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
@@ -256,7 +263,7 @@ def span_tree(spark, sf):
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("span_id"),
         F.when(F.col("l_linenumber") > 1, F.concat_ws("-", F.col("l_orderkey").cast("string"), (F.col("l_linenumber") - 1).cast("string"))).alias("parent_span_id"),
     ).distinct()
-    return L.span_tree(spans, 8)
+    return L.span_tree(spans)
 
 
 _SPANS = """
@@ -368,7 +375,7 @@ QUERIES = {
     "illegal_transitions": (illegal_transitions, _on_ledger(f"SELECT entry_id, seq, from_status, to_status FROM (SELECT *, lag(to_status) OVER (PARTITION BY entry_id ORDER BY seq) AS from_status FROM (SELECT *, {_STATUS} AS to_status FROM ledger) WHERE to_status IS NOT NULL) WHERE from_status IS NOT NULL AND NOT ((from_status = 'pending' AND to_status IN ('approved', 'rejected')) OR (from_status = 'approved' AND to_status = 'submitted'))")),
     "approvals_reconcile": (approvals_reconcile, _on_ledger(_APPROVALS)),
     "ledger_health": (ledger_health, _on_ledger("SELECT max(seq) AS latest_seq, count(*) AS events, arg_max(event_type, seq) AS last_type FROM ledger")),
-    "merkle_root": (merkle_root, None),
+    "merkle_root": (merkle_root, _MERKLE.replace("{ledger}", LEDGER)),
     "span_tree": (span_tree, _SPANS),
     "telemetry_p95": (telemetry_p95, _P95),
     "snapshot_diff": (snapshot_diff, _SNAPS),

@@ -29,15 +29,15 @@ FROM lineitem
 MEDIA = "SELECT DISTINCT user_id AS site, CAST(floor(value * 100 + 0.5) AS BIGINT) AS media FROM events"
 
 FINGERPRINTS = """
-SELECT vec_id AS sha, label AS site,
-       CAST(list_aggregate(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), 'string_agg', '') AS BIT) AS h
-FROM embeddings
+SELECT vec_id * 3 + copy AS sha, label + CAST(copy AS INTEGER) AS site, CAST(vec_id % 12 AS INTEGER) AS family,
+       CAST(list_aggregate(list_transform(embedding, lambda x, i: CASE WHEN (x > 0) <> ((copy >= 1 AND i > len(embedding) - vec_id % 12) <> (copy = 2 AND i <= 4)) THEN '1' ELSE '0' END), 'string_agg', '') AS BIT) AS h
+FROM embeddings, range(0, 3) c(copy)
 """
 
 LEDGER = """
 SELECT conv_id * 1000 + turn AS seq, conv_id AS entry_id,
        CASE turn % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'approved' WHEN 2 THEN 'annotated' ELSE 'rejected' END AS event_type,
-       turn, role AS actor, substr(text, 1, 20) AS note
+       turn, role AS actor, text AS note
 FROM conversations
 """
 

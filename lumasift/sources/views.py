@@ -68,11 +68,18 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sign bits of embeddings as a signed 64-bit hash: sha, site, h."""
+    """sha, site, h (signed 64 bits), family: sign bits of embeddings, and two altered copies of each.
+
+    The first copy has the last ``family`` (0 to 11) bits flipped, the second
+    one the first four bits as well.
+    """
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    indexed = F.transform("embedding", lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L")))
-    h = F.aggregate(indexed, F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
-    return emb.select(F.col("vec_id").alias("sha"), F.col("label").alias("site"), h.alias("h"))
+    family = F.pmod("vec_id", F.lit(12)).cast("int")
+    copies = emb.select("vec_id", "label", "embedding", family.alias("family"), F.explode(F.array(*map(F.lit, range(3)))).alias("copy"))
+    flip = lambda i: ((F.col("copy") >= 1) & (i >= F.size("embedding") - F.col("family"))) != ((F.col("copy") == 2) & (i < 4))
+    bits = F.transform("embedding", lambda x, i: F.when((x > 0) != flip(i), F.expr("1L")).otherwise(F.expr("0L")))
+    h = F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
+    return copies.select((F.col("vec_id") * 3 + F.col("copy")).alias("sha"), (F.col("label") + F.col("copy")).alias("site"), h.alias("h"), "family")
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +92,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind.alias("event_type"),
         "turn",
         F.col("role").alias("actor"),
-        F.substring("text", 1, 20).alias("note"),
+        F.col("text").alias("note"),
     )
 
 

@@ -1,11 +1,14 @@
 import hashlib
 import json
+import math
 import random
+from itertools import product
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumasift.functions import mathx as M
 from lumasift.operators import decision as D
 from lumasift.operators import graph as G
 from lumasift.operators import html, ledger, search
@@ -75,17 +78,46 @@ def test_components_against_union_find(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_hamming_joins(spark):
-    rng = random.Random(7)
+def near_prints(seed, flips):
+    rng = random.Random(seed)
     prints = [(i, H.signed(rng.getrandbits(64))) for i in range(60)]
-    prints += [(100 + i, H.signed((h & (1 << 64) - 1) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))) for i, h in prints]
+    for i, h in list(prints):
+        x = h & (1 << 64) - 1
+        for b in rng.sample(range(64), flips[i % len(flips)]):
+            x ^= 1 << b
+        prints.append((100 + i, H.signed(x)))
+    return prints
+
+
+@pytest.mark.parametrize("bands", [None, 3, 9])
+def test_hamming_joins_lose_nothing(spark, bands):
+    prints = near_prints(7, range(1, 12)) + [(500, 5), (501, 5)]
     df = spark.createDataFrame(prints, "sha long, h long")
-    exact = {tuple(r) for r in H.self_join(df, 4).collect()}
-    brute = {(a, b, ((x ^ y) & (1 << 64) - 1).bit_count()) for a, x in prints for b, y in prints if a < b and ((x ^ y) & (1 << 64) - 1).bit_count() <= 4}
-    assert exact == brute and len(exact) >= 60
-    assert {tuple(r) for r in H.self_join(df, 4, bands=2).collect()} <= exact
-    assert {tuple(r) for r in H.multi_table_pairs(df, 4).collect()} <= exact
+    d = 8
+    exact = [tuple(r) for r in H.self_join(df, d, bands).collect()]
+    brute = sorted((a, b, ((x ^ y) & (1 << 64) - 1).bit_count()) for a, x in prints for b, y in prints if a < b and ((x ^ y) & (1 << 64) - 1).bit_count() <= d)
+    assert sorted(exact) == brute and len(exact) >= 15
+
+
+def test_lossy_joins_have_recall(spark):
+    prints = near_prints(8, range(1, 9))
+    df = spark.createDataFrame(prints, "sha long, h long")
+    every = {tuple(r) for r in H.self_join(df, 8).collect()}
+    for found in (H.self_join(df, 8, bands=8, radius=0), H.multi_table_pairs(df, 8)):
+        some = {tuple(r) for r in found.collect()}
+        assert some <= every and len(some) / len(every) >= 0.9
     assert spark.range(1).select(H.hamming(H.from_hex(F.lit("f" * 16)), H.from_hex(F.lit("7" + "f" * 15)))).first()[0] == 1
+    assert spark.range(1).select(H.reversed_bits(F.lit(1).cast("long")), H.reversed_bits(F.lit(6).cast("long"))).first()[:] == (-(1 << 63), 3 << 61)
+
+
+def test_bands_follow_the_size():
+    assert H.bands_for(10, 8) > H.bands_for(10**9, 8) and all(len(H.flips(8, r)) == n for r, n in ((0, 1), (1, 9), (2, 37)))
+
+
+def test_near_groups_of_equal_prints(spark):
+    df = spark.createDataFrame([(k, 77) for k in range(9)] + [(20, 76), (30, -1), (31, -2), (40, 1 << 40)], "sha long, h long")
+    got = {r["node"]: r["component"] for r in H.near_groups(df, 2).collect()}
+    assert got == {**{k: 0 for k in range(9)}, 20: 0, 30: 30, 31: 30} or got == {**{k: 0 for k in range(9)}, 20: 0, 30: 30, 31: 30, 40: 40}
 
 
 def test_image_hashes_and_nulls(spark):
@@ -106,31 +138,279 @@ def test_incremental_links_equal_full(spark):
     assert {tuple(r) for r in G.shared_media_of(df, touched).collect()} == full
 
 
-def test_louvain_two_cliques(spark):
-    edges = [(a, b, 1.0) for g in (0, 10) for a in range(g, g + 4) for b in range(a + 1, g + 4)] + [(3, 10, 0.1)]
+def sequential_communities(edges, resolution=1.0):
+    """Sweeps and folded levels on plain dictionaries, with every gain taken from modularity itself."""
+    weight = {}
+    for a, b, w in edges:
+        weight[a, b] = weight.get((a, b), 0) + w
+    two_m = 2 * sum(weight.values())
+    home = {n: n for e in weight for n in e}
+
+    def quality(label, weight):
+        inside, total = {}, {}
+        for (a, b), w in weight.items():
+            total[label[a]] = total.get(label[a], 0) + w
+            total[label[b]] = total.get(label[b], 0) + w
+            if label[a] == label[b]:
+                inside[label[a]] = inside.get(label[a], 0) + 2 * w
+        return sum(inside.get(c, 0) / two_m - resolution * (t / two_m) ** 2 for c, t in total.items())
+
+    while True:
+        nodes = sorted({n for e in weight for n in e})
+        label = {n: n for n in nodes}
+        while True:
+            before, moved = quality(label, weight), 0
+            for n in nodes:
+                near = sorted({label[b if a == n else a] for a, b in weight if n in (a, b) and a != b})
+                stay = quality(label, weight)
+                options = [(quality({**label, n: c}, weight) - stay, c) for c in near if c != label[n]]
+                gain = max((g for g, _ in options), default=0)
+                if gain > 1e-12:
+                    label[n] = min(c for g, c in options if abs(g - gain) < 1e-12)
+                    moved += 1
+            if not moved or quality(label, weight) - before < 1e-7:
+                break
+        least = {}
+        for n in nodes:
+            least[label[n]] = min(least.get(label[n], n), n)
+        label = {n: least[c] for n, c in label.items()}
+        home = {n: label[c] for n, c in home.items()}
+        folded = {}
+        for (a, b), w in weight.items():
+            key = tuple(sorted((label[a], label[b])))
+            folded[key] = folded.get(key, 0) + w
+        if len(least) in (1, len(nodes)):
+            return home, quality({n: home[n] for n in home}, {tuple(sorted((a, b))): w for a, b, w in edges})
+        weight = folded
+
+
+def random_graph(seed, blocks=4, size=6):
+    rng = random.Random(seed)
+    edges = []
+    for a in range(blocks * size):
+        for b in range(a + 1, blocks * size):
+            if rng.random() < (0.7 if a // size == b // size else 0.06):
+                edges.append((a, b, float(rng.randrange(1, 8))))
+    return edges
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_louvain_against_sequential_sweeps(spark, seed):
+    edges = random_graph(seed) + [(100, 101, 1.0), (101, 102, 1.0)]
     got = {r["node"]: r["community"] for r in G.louvain(spark.createDataFrame(edges, "a long, b long, weight double")).collect()}
-    assert len({got[n] for n in range(4)}) == 1 and len({got[n] for n in range(10, 14)}) == 1 and got[0] != got[10]
+    assert got == sequential_communities(edges)[0]
 
 
-def test_bursts(spark):
-    assert S.burst_states([1.0]) == []
-    times = [0.0, 10.0, 20.0, 30.0, 30.1, 30.2, 30.3, 30.4, 30.5, 40.0, 50.0]
-    states = S.burst_states(times, s=3.0)
-    assert states[:3] == [0, 0, 0] and max(states[3:8]) == 1 and states[-1] == 0
-    df = spark.createDataFrame([("k", t) for t in times] + [("one", 1.0)], "k string, t double")
-    found = S.bursts(df, "k", "t", s=3.0).collect()
-    assert len(found) == 1 and found[0]["start"] == 30.0 and found[0]["end"] == 30.5
+def test_louvain_in_rounds_is_about_as_good(spark):
+    """No component is small enough for one task, so all levels take distributed rounds."""
+    edges = random_graph(5)
+    want, best = sequential_communities(edges)
+    df = spark.createDataFrame(edges, "a long, b long, weight double")
+    parts = G.louvain(df, exact_edges=0, rounds=16)
+    got = {r["node"]: r["community"] for r in parts.collect()}
+    assert set(got) == set(want) and all(got[c] == c for c in set(got.values()))
+    assert G.modularity(df, parts).first()["modularity"] >= 0.95 * best
 
 
-def test_select_round_passes_over(spark):
-    df = spark.createDataFrame([(1, 1, 10.0, 6.0), (1, 2, 9.0, 6.0), (1, 3, 1.0, 4.0)], "k long, id long, value double, cost double")
-    assert sorted(r["id"] for r in S.select_round(df, "k", "value", "cost", 10.0).collect()) == [1, 3]
+def test_media_in_blocks(spark):
+    rng = random.Random(12)
+    rows = [(s, 0) for s in range(40)] + [(rng.randrange(40), rng.randrange(1, 30)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "site long, media long")
+    sets = {}
+    for s, m in rows:
+        sets.setdefault(s, set()).add(m)
+    want = sorted((a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and sets[a] & sets[b])
+    for block in (3, 7, 512):
+        assert sorted((r["a"], r["b"], r["shared"]) for r in G.shared_media(df, block=block).collect()) == want
+
+
+def all_paths(times, s, gamma, levels):
+    """Least cost of any sequence of states, and that sequence."""
+    gaps = [b - a for a, b in zip(times, times[1:])]
+    base = len(times) / (times[-1] - times[0])
+    best = None
+    for path in product(range(levels), repeat=len(gaps)):
+        cost, before = 0.0, 0
+        for q, g in zip(path, gaps):
+            rate = base * s**q
+            cost += rate * g - math.log(rate) + gamma * max(0, q - before) * math.log(s)
+            before = q
+        if best is None or cost < best[0] - 1e-12:
+            best = (cost, path)
+    return best[1], gaps, base
+
+
+@pytest.mark.parametrize("levels,parts", [(2, None), (2, 5), (3, 4)])
+def test_bursts_against_all_paths(spark, levels, parts):
+    rng = random.Random(levels)
+    keys = {k: sorted({round(t, 3) for t in [rng.uniform(0, 100) for _ in range(5)] + [40 + rng.uniform(0, 2) for _ in range(4)]}) for k in range(4)}
+    df = spark.createDataFrame([(k, t) for k, ts in keys.items() for t in ts] + [(99, 1.0)], "k long, t double")
+    want, tree = [], []
+    for k, ts in keys.items():
+        path, gaps, base = all_paths(ts, 2.0, 1.0, levels)
+        for level in range(1, levels):
+            i = 0
+            while i < len(path):
+                j = i
+                while j < len(path) and path[j] >= level:
+                    j += 1
+                if j > i:
+                    low = [base * 2.0 ** (level - 1)] * (j - i)
+                    high = [base * 2.0**q for q in path[i:j]]
+                    saved = sum(math.log(h / l) - (h - l) * g for h, l, g in zip(high, low, gaps[i:j]))
+                    tree.append((k, ts[i], ts[j], level, round(saved, 6)))
+                    if level == 1:
+                        want.append((k, ts[i], ts[j], max(path[i:j]), round(saved, 6)))
+                i = j + 1
+    shape = lambda df: sorted((r["k"], r["start"], r["end"], r["level"], round(r["weight"], 6)) for r in df.collect())
+    assert shape(S.bursts(df, "k", "t", levels=levels, parts=parts)) == sorted(want) and want
+    assert shape(S.bursts(df, "k", "t", levels=levels, parts=parts, nested=True)) == sorted(tree)
+
+
+def test_burst_factor_and_ttl(spark):
+    found = spark.createDataFrame([("a", 10.0, 20.0, 3.0), ("a", 90.0, 95.0, 100.0), ("b", 0.0, 1.0, 1.0)], "k string, start double, end double, weight double")
+    got = {r["k"]: r["factor"] for r in S.burst_factor(found, "k", F.lit(44.0)).collect()}
+    assert abs(got["a"] - 0.75 * 0.5) < 1e-12 and abs(got["b"] - 0.5 * 2 ** (-43 / 24)) < 1e-12
+    assert spark.range(1).select(S.suggested_ttl(48.0, F.lit(1.0)), S.suggested_ttl(7.0, F.lit(0.9)), S.suggested_ttl(48.0, F.lit(0.0))).first()[:] == (48 * (1 - 0.8), 6.0, 48.0)
+
+
+def test_calibrated_ttl_against_a_replay(spark):
+    found = spark.createDataFrame([(1, 10.0, 30.0, 4.0), (1, 200.0, 220.0, 1.5)], "site long, start double, end double, weight double")
+    spans = spark.createDataFrame([(1, 0.0, 400.0), (2, 5.0, 300.0)], "site long, lo double, hi double")
+    truths = [(1, 25.0), (1, 26.0), (1, 215.0), (2, 290.0)]
+
+    def replay(half, shrink):
+        hits = visits = 0
+        for site, lo, hi in ((1, 0.0, 400.0), (2, 5.0, 300.0)):
+            now, times = lo, []
+            while True:
+                f = 0.0
+                for k, a, b, w in ((1, 10.0, 30.0, 4.0), (1, 200.0, 220.0, 1.5)):
+                    if k == site and now >= a:
+                        f = max(f, w / (w + 1) * (1 if now <= b else 2 ** (-(now - b) / half)))
+                now += min(720, max(6, 72 * (1 - shrink * f)))
+                if now > hi:
+                    break
+                times.append(now)
+            anchor = lo
+            for k, g in truths:
+                if k == site:
+                    hits += any(anchor < x <= g for x in times)
+                    anchor = g
+            visits += len(times)
+        return hits, visits
+
+    rows = S.calibrate_ttl(found, spans, spark.createDataFrame(truths, "site long, at double"), "site", [6.0, 48.0], [0.5, 0.9]).collect()
+    assert {(r["half_life"], r["shrink"]): (r["hits"], r["rescans"]) for r in rows} == {(h, s): replay(h, s) for h in (6.0, 48.0) for s in (0.5, 0.9)}
+    for r in rows:
+        beaten = any(o["hits"] >= r["hits"] and o["waste"] <= r["waste"] and (o["hits"], -o["waste"]) != (r["hits"], -r["waste"]) for o in rows)
+        assert r["pareto"] == (not beaten) and r["truths"] == 4
+
+
+def test_conformal_modes(spark):
+    fit = lambda rows, target=0.8: S.conformal_threshold(S.suffix_counts(spark.createDataFrame(rows, "p4 long, y long"), "p4", "y").withColumnRenamed("p4", "score"), target).first()
+    sure = fit([(9000, 1)] * 60 + [(1000, 0)] * 60)
+    assert (sure["selection_mode"], sure["threshold"], sure["n"], sure["n_candidates"]) == ("ltt", 9000.0, 120, 2) and abs(sure["lower_bound"] - 0.05 ** (1 / 60)) < 1e-12
+    assert abs(sure["p_value"] - 0.8**60) < 1e-12
+    advisory = fit([(9000, 1)] * 60 + [(8000, 1)] * 4 + [(8000, 0)] * 16 + [(1000, 0)] * 60)
+    assert (advisory["selection_mode"], advisory["threshold"], advisory["ltt_threshold"]) == ("ltt_advisory", 8000.0, 9000.0)
+    assert fit([(9000, 1)] * 5 + [(10, 0)] * 40)["selection_mode"] == "empirical_fallback"
+    assert fit([(9000, 1)] * 20)["selection_mode"] == fit([(9000, 0)] * 40)["selection_mode"] == "degraded"
+    with pytest.raises(ValueError):
+        fit([(1, 1)], 0.4)
+    assert abs(S.upper_tail(3, 5, 0.4) - sum(math.comb(5, j) * 0.4**j * 0.6 ** (5 - j) for j in (3, 4, 5))) < 1e-12
+
+
+def test_intervals_against_normal_ones(spark):
+    rng = random.Random(2)
+    rows = [("a", rng.randrange(100)) for _ in range(900)]
+    values = np.array([v for _, v in rows])
+    r = M.bootstrap_mean(spark.createDataFrame(rows, "k string, v long"), "k", "v").first()
+    half = 1.96 * values.std() / 30
+    assert r["mean"] == values.mean() and abs(r["lo"] - (values.mean() - half)) < 0.3 * half and abs(r["hi"] - (values.mean() + half)) < 0.3 * half
+    p = M.sign_flip_test(spark.createDataFrame([("x", v) for v in (3, 4, 5, 6, 7, 8)] + [("y", v) for v in (3, -3, 4, -4)], "k string, v long"), "k", "v").collect()
+    got = {r["k"]: r["p"] for r in p}
+    assert abs(got["x"] - 2 / 64) < 0.015 and got["y"] == 1.0
+    drift = S.drift_interval(spark.createDataFrame([("s", [50, 50], [60, 40])], "source string, ref array<long>, cur array<long>")).first()
+    draws = sorted((x / 100 - 0.5) * math.log((x / 100) / (1 - x / 100)) for x in (random.Random(k).getrandbits(1) and 60 or 60 for k in range(1)))
+    assert drift["psi_lo"] < draws[0] < drift["psi_hi"]
+    assert abs(M.norm_ppf(0.975) - 1.959964) < 1e-6
+
+
+def test_checkpoints_equal_all_rows(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("abc"), rng.random() < 0.7, float(rng.randrange(1000))) for _ in range(120)]
+    df = lambda part: spark.createDataFrame(part, "provider string, correct boolean, t double")
+    point = None
+    for lo in range(0, 120, 40):
+        point = S.bayes_checkpoint(df(rows[lo : lo + 40]), 300.0, point)
+    got = {r["provider"]: r["weight"] for r in S.checkpoint_weights(point, F.lit(1200.0), 300.0).collect()}
+    want = {r["provider"]: r["weight"] for r in S.bayes_weights(df(rows), F.lit(1200.0), 300.0).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    with pytest.raises(Exception, match="later than"):
+        S.checkpoint_weights(point, F.lit(1.0), 300.0).collect()
+
+
+def test_adaptive_band_falls_back(spark):
+    few = spark.createDataFrame([(0.5, 1.0, False, None)] * 5, "score double, cost double, escalated boolean, correct boolean")
+    assert S.adaptive_band(few, 0.2, 0.8, 0.5).first()[:2] == (0.2, 0.8)
+    many = spark.createDataFrame([(0.01 * k, 1.0 + 2 * (k % 2), bool(k % 2), None) for k in range(100)], few.schema)
+    assert S.adaptive_band(many, 0.2, 0.8, None).first()[:2] == (0.2, 0.8)
+    low, high, _ = S.adaptive_band(many, 0.2, 0.8, 0.3).first()
+    assert (low, high) == (0.26, 0.74)  # a fifth narrower at most
+
+
+def test_select_round_against_a_loop(spark):
+    rng = random.Random(3)
+    rows = [(k, i, float(rng.randrange(1, 50)), float(rng.randrange(1, 12))) for k in range(4) for i in range(25)]
+    want = []
+    for k in range(4):
+        left = 20.0
+        for _, i, v, c in sorted((r for r in rows if r[0] == k), key=lambda r: (-r[2] / r[3], r[1])):
+            if c <= left:
+                left -= c
+                want.append((k, i))
+    df = spark.createDataFrame(rows, "k long, id long, value double, cost double")
+    assert sorted((r["k"], r["id"]) for r in S.select_round(df, "k", "value", "cost", 20.0).collect()) == sorted(want)
+
+
+def test_send_gate_against_a_loop(spark):
+    rng = random.Random(4)
+    rows, at = [], 0
+    for site in (1, 2):
+        base = [rng.getrandbits(64) for _ in range(4)]
+        for _ in range(40):
+            h = rng.choice(base)
+            for _ in range(rng.randrange(0, 5)):
+                h ^= 1 << rng.randrange(64)
+            rows.append((site, at, f"s{rng.randrange(60)}" if rng.random() < 0.3 else f"u{at}", H.signed(h), rng.choice((10, 300)), rng.choice((10, 300))))
+            at += 1
+    want = {}
+    for site in (1, 2):
+        seen, sent = set(), []
+        for s, pos, sha, h, w, t in (r for r in rows if r[0] == site):
+            if sha in seen:
+                want[pos] = "copy"
+            elif w < 200 and t < 200:
+                want[pos] = "small"
+            elif any(((h ^ x) & (1 << 64) - 1).bit_count() <= 4 for x in sent):
+                want[pos] = "near"
+            else:
+                want[pos] = "sent"
+                sent.append(h)
+            seen.add(sha)
+    df = spark.createDataFrame(rows, "site long, pos long, sha string, h long, width long, height long")
+    got = {r["pos"]: r["decision"] for r in S.send_gate(df, "site", "pos").collect()}
+    assert got == want and {"copy", "small", "near", "sent"} == set(want.values())
 
 
-def test_send_gate(spark):
-    rows = [(1, 0, "a", 0, 300, 300), (1, 1, "a", 0, 300, 300), (1, 2, "b", 7, 300, 300), (1, 3, "c", 0x7FFF, 10, 10), (1, 4, "d", 0x7FFF, 300, 10)]
-    df = spark.createDataFrame(rows, "site long, pos long, sha string, h long, width long, height long")
-    assert [r["decision"] for r in S.send_gate(df, "site", "pos").orderBy("pos").collect()] == ["sent", "copy", "near", "small", "sent"]
+def test_deep_spans_and_bounds(spark):
+    rows = [(1, str(k), str(k - 1) if k else None) for k in range(40)] + [(1, "x", "gone"), (2, "a", "b"), (2, "b", "a")]
+    df = spark.createDataFrame(rows, "trace_id long, span_id string, parent_span_id string")
+    got = {(r["span_id"]): (r["depth"], r["root"]) for r in ledger.span_tree(df).collect()}
+    assert got == {**{str(k): (k, "0") for k in range(40)}, "x": (0, "x")}
+    with pytest.raises(ValueError):
+        ledger.span_tree(df, 10)
 
 
 def test_page_text():
