@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+import json
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,6 +91,42 @@ def reliable_weights(brier: DataFrame, least: int = 5, eps: float = 0.05) -> Dat
     return brier.withColumn("raw", raw).withColumn("weight", F.col("raw") / F.sum("raw").over(everything)).drop("raw")
 
 
+def member_weights(members: DataFrame, weights: DataFrame) -> DataFrame:
+    """(provider, weight) of the members, norming to 1: known weights, the mean of those for the others, all alike if none is known.
+
+    ``weights``: provider, weight (null: too few rows).  One row a provider.
+    """
+    known = weights.filter(F.col("weight").isNotNull()).select("provider", "weight")
+    mean = known.agg(F.avg("weight").alias("mean"))
+    filled = members.select("provider").distinct().join(known, "provider", "left").crossJoin(F.broadcast(mean)).select("provider", F.coalesce("weight", "mean", F.lit(1.0)).alias("raw"))
+    return filled.select("provider", (F.col("raw") / F.sum("raw").over(Window.partitionBy(F.lit(0)))).alias("weight"))
+
+
+def reliable_aggs(scores: DataFrame, weights: DataFrame) -> DataFrame:
+    """site, agg: the mean of each site's providers' mean scores, weighed by reliability.
+
+    ``scores``: site, provider, p4; ``weights``: provider, weight (null: too few
+    rows).  A provider's share doesn't grow with its images.  A provider without
+    a weight takes the mean of those that the site has; without any, all are alike.
+    """
+    means = scores.groupBy("site", "provider").agg((F.avg("p4") / F.lit(10000.0)).alias("mean")).join(weights.select("provider", "weight"), "provider", "left")
+    at = Window.partitionBy("site")
+    used = means.withColumn("w", F.coalesce("weight", F.avg("weight").over(at), F.lit(1.0)))
+    return used.groupBy("site").agg((F.sum(F.col("w") * F.col("mean")) / F.sum("w")).alias("agg"))
+
+
+def fuse_reliable(sites: DataFrame, aggs: DataFrame, page: Column, url: Column, text: Column) -> DataFrame:
+    """As fuse(), with the reliability-weighed score in the place of the images'; sites without one keep theirs."""
+    own = sites.join(aggs.withColumnRenamed("agg", "agg_reliable"), "site", "left").withColumn("agg_images", F.col("agg"))
+    fused = fuse(own.withColumn("agg", F.coalesce("agg_reliable", "agg")), page, url, text)
+    return fused.withColumn("agg_reliable", F.col("agg")).withColumn("agg", F.col("agg_images")).drop("agg_images").withColumn("needs_review", F.col("needs_review") | (F.col("verdict") != "clean"))
+
+
+def rules_digest(rules: Sequence[Mapping]) -> str:
+    """SHA-256 of rules as canonical JSON, for audit rows."""
+    return hashlib.sha256(json.dumps([dict(r) for r in rules], sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
 def policy(reports: DataFrame, rules: Sequence[Mapping], fallback: str = "queue") -> DataFrame:
     """``action`` and ``rule`` of the first rule whose conditions all hold.
 
@@ -136,10 +174,14 @@ def triage(entries: DataFrame, now: Column, boost: Column | None = None) -> Data
     return waiting.withColumn("priority", score if boost is None else score + boost)
 
 
-def disagreement(scores: DataFrame, metric: str = "range") -> DataFrame:
-    """Per image: n and d, the range or the population deviation; 0 for one score."""
+#: Measures of disagreement by name: functions from a column of scores to an aggregate.
+METRICS: dict[str, Callable[[Column], Column]] = {"range": lambda x: F.max(x) - F.min(x), "std": F.stddev_pop}
+
+
+def disagreement(scores: DataFrame, metric: str | Callable[[Column], Column] = "range") -> DataFrame:
+    """Per image: n and d by a named measure or one of the caller's; 0 for one score."""
     x = F.col("p4") / F.lit(10000.0)
-    d = F.max(x) - F.min(x) if metric == "range" else F.stddev_pop(x)
+    d = (METRICS[metric] if isinstance(metric, str) else metric)(x)
     return scores.groupBy("site", "path").agg(F.count("*").alias("n"), d.alias("d"))
 
 
@@ -205,3 +247,38 @@ def kernel_gate(labelled: DataFrame) -> DataFrame:
     made = F.array(*[F.struct(F.lit(k).alias("rule"), c.alias("holds")) for k, c in rules.items()])
     digest = F.sha2(F.to_json(F.struct(*[c.cast("long").alias(k) for k, c in figures.items()])), 256)
     return one.crossJoin(ece).select(F.explode(made).alias("x"), digest.alias("digest")).select("x.rule", "x.holds", "digest")
+
+
+#: Classifiers by name: functions from a column of file names or urls to a probability.
+CLASSIFIERS: dict[str, Callable[[Column], Column]] = {}
+
+
+def classifier(name: str) -> Callable:
+    """Registers a function from a column to a probability column."""
+
+    def register(made: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        CLASSIFIERS[name] = made
+        return made
+
+    return register
+
+
+@classifier("stub")
+def stub(name: Column) -> Column:
+    """From words in a file name."""
+    return F.when(name.rlike("(?i)pill|cheap"), 0.95).when(name.rlike("(?i)spam|blog"), 0.6).otherwise(0.05)
+
+
+def classify(rows: DataFrame, column: str, names: Sequence[str]) -> DataFrame:
+    """``rows`` with a column of each named classifier; an unknown name is an error."""
+    unknown = [n for n in names if n not in CLASSIFIERS]
+    if unknown:
+        raise ValueError(f"no classifier is called {', '.join(unknown)}")
+    return rows.withColumns({n: CLASSIFIERS[n](F.col(column)) for n in names})
+
+
+def route(scores: DataFrame, band: Callable[[Column], tuple[Column, Column]], key: str = "model") -> DataFrame:
+    """Per key how many scores lie in the band that ``band`` gives for it: these go to the costly model."""
+    p = F.col("p4") / F.lit(10000.0)
+    low, high = band(F.col(key))
+    return scores.groupBy(key).agg(F.count("*").alias("n"), F.count(F.when(p.between(low, high), 1)).alias("escalated"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumasift.plans import decision, graphs, more, queue, stats, streams, urls_text
+from lumasift.plans import decision, graphs, more, queue, records, stats, streams, urls_text
 
-_MODULES = (decision, urls_text, queue, stats, graphs, streams, more)
+_MODULES = (decision, urls_text, queue, stats, graphs, streams, more, records)
 
 
 def _all() -> dict:
