@@ -2,16 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumasift.functions.text import metric_name
 
+#: Rows of a table in a report.
+REPORT_ROWS = 1000
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+
+def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
+    """CSV with a header; with ``columns`` these only, in order, empty where ``df`` lacks one, and the header behind a byte order mark."""
+    if columns is None:
+        df.write.mode("overwrite").csv(path, header=True)
+        return
+    made = df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c) for c in columns])
+    made.withColumnRenamed(columns[0], "\ufeff" + columns[0]).write.mode("overwrite").csv(path, header=True)
+
+
+def write_archive(df: DataFrame, path: str) -> None:
+    """JSON lines in the place of what was there: written beside it, then renamed, so readers meet the old or the new one."""
+    spark = df.sparkSession
+    draft = f"{path}.{uuid.uuid4().hex}"
+    df.write.json(draft)
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    old, new = of(path), of(draft)
+    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{draft} couldn't take the place of {path}")
+
+
+def markdown_report(title: str, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Lines (nth, line) of a report with a table for each small, ordered DataFrame.
+
+    A report is for people to read: tables of more than ``REPORT_ROWS`` rows are an error.
+    """
+    lines = [f"# {title}"]
+    spark = None
+    for name, df in tables.items():
+        spark = df.sparkSession
+        rows = df.limit(REPORT_ROWS + 1).collect()
+        if len(rows) > REPORT_ROWS:
+            raise ValueError(f"{name} has more than {REPORT_ROWS} rows")
+        row = lambda cells: "| " + " | ".join("" if c is None else str(c).replace("|", "\\|") for c in cells) + " |"
+        lines += [f"## {name}", row(df.columns), row(["---"] * len(df.columns)), *map(row, rows)]
+    return spark.createDataFrame(list(enumerate(lines)), "nth long, line string")
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -24,9 +63,12 @@ def write_leads(urls: DataFrame, path: str) -> None:
 
 
 def write_costs(by_model: DataFrame, by_run: DataFrame, path: str) -> None:
-    """Cost rows by model and by run, with their totals, as one Parquet table."""
-    rows = by_model.withColumnRenamed("model", "key").withColumn("by", F.lit("model")).unionByName(by_run.withColumnRenamed("run_id", "key").withColumn("by", F.lit("run_id")))
-    rows.write.mode("overwrite").parquet(path)
+    """Cost rows by model and by run (calls, images), and their totals (key null), as one Parquet table."""
+    parts = [by_model.withColumnRenamed("model", "key").withColumn("by", F.lit("model")), by_run.withColumnRenamed("run_id", "key").withColumn("by", F.lit("run_id"))]
+    rows = parts[0].unionByName(parts[1])
+    sums = [c for c in rows.columns if c not in ("key", "by")]
+    totals = rows.groupBy("by").agg(*[F.sum(c).alias(c) for c in sums]).withColumn("key", F.lit(None).cast("string"))
+    rows.unionByName(totals).write.mode("overwrite").parquet(path)
 
 
 def exposition(counters: DataFrame, gauges: DataFrame) -> DataFrame:
