@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,30 +14,50 @@ def occurrences(text: Column, word: str) -> Column:
     return ((F.length(text) - gone) / F.lit(len(word))).cast("long")
 
 
-def lexicon_hits(text: Column, words: Sequence[str]) -> tuple[Column, Column]:
-    """How many of the words occur, and how often they occur in all."""
-    counts = F.array(*[occurrences(text, w) for w in words])
-    return F.size(F.filter(counts, lambda c: c > 0)).cast("long"), F.aggregate(counts, F.lit(0).cast("long"), lambda a, c: a + c)
+def lexicon_counts(text: Column, words: Sequence[str]) -> Column:
+    """How often each of the words occurs."""
+    return F.array(*[occurrences(text, w) for w in words])
+
+
+def lexicon_hits(counts: Column) -> Column:
+    """How many words occur at all."""
+    return F.size(F.filter(counts, lambda c: c > 0)).cast("long")
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
 
 
 def text_risk(title: Column, body: Column, first: Sequence[str], second: Sequence[str], third: Sequence[str]) -> Column:
-    """Struct: distinct hits of three lexicons, density per mille, blobs, title flag, risk."""
-    text = F.concat_ws(" ", title, body)
-    u1, total1 = lexicon_hits(text, first)
-    u2, _ = lexicon_hits(text, second)
-    u3, _ = lexicon_hits(text, third)
-    density = F.when(F.length(text) > 0, total1 / F.length(text) * 1000).otherwise(0.0)
-    blobs = (F.regexp_count(text, F.lit(r"[A-Za-z0-9+/]{40,}={0,2}")) + F.regexp_count(text, F.lit(r"[0-9a-fA-F]{32,}"))).cast("long")
-    in_title = lexicon_hits(title, first)[0] > 0
-    risk = (
-        F.least(F.lit(0.35), F.lit(0.10) * u1)
-        + F.when(density < 5, F.lit(0.03) * density).otherwise(F.lit(0.15))
-        + F.least(F.lit(0.24), F.lit(0.08) * u2)
-        + F.least(F.lit(0.15), F.lit(0.05) * u3)
-        + F.least(F.lit(0.12), F.lit(0.06) * blobs)
-        + F.when(in_title, 0.10).otherwise(0.0)
-    )
-    return F.struct(u1.alias("u1"), u2.alias("u2"), u3.alias("u3"), density.alias("density"), blobs.alias("blobs"), in_title.alias("in_title"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), risk)).alias("risk"))
+    """Struct: distinct hits of three lexicons, density per mille, blobs, title flag, risk.
+
+    Each word is counted once a text: counts are bound before anything is made of them.
+    """
+
+    def counted(text: Column) -> Column:
+        blobs = (F.regexp_count(text, F.lit(r"[A-Za-z0-9+/]{40,}={0,2}")) + F.regexp_count(text, F.lit(r"[0-9a-fA-F]{32,}"))).cast("long")
+        counts = [lexicon_counts(text, w).alias(f"c{k}") for k, w in enumerate((first, second, third), 1)]
+        return bound(F.struct(*counts, lexicon_counts(title, first).alias("ct"), F.length(text).alias("n"), blobs.alias("blobs")), rated)
+
+    def rated(x: Column) -> Column:
+        total = F.aggregate(x["c1"], F.lit(0).cast("long"), lambda a, c: a + c)
+        density = F.when(x["n"] > 0, total / x["n"] * 1000).otherwise(0.0)
+        hits = [lexicon_hits(x[f"c{k}"]).alias(f"u{k}") for k in (1, 2, 3)]
+        return bound(F.struct(*hits, density.alias("density"), x["blobs"].alias("blobs"), (lexicon_hits(x["ct"]) > 0).alias("in_title")), summed)
+
+    def summed(x: Column) -> Column:
+        risk = (
+            F.least(F.lit(0.35), F.lit(0.10) * x["u1"])
+            + F.when(x["density"] < 5, F.lit(0.03) * x["density"]).otherwise(F.lit(0.15))
+            + F.least(F.lit(0.24), F.lit(0.08) * x["u2"])
+            + F.least(F.lit(0.15), F.lit(0.05) * x["u3"])
+            + F.least(F.lit(0.12), F.lit(0.06) * x["blobs"])
+            + F.when(x["in_title"], 0.10).otherwise(0.0)
+        )
+        return F.struct(*[x[c].alias(c) for c in ("u1", "u2", "u3", "density", "blobs", "in_title")], F.greatest(F.lit(0.0), F.least(F.lit(1.0), risk)).alias("risk"))
+
+    return bound(F.concat_ws(" ", title, body), counted)
 
 
 def char_ngrams(df: DataFrame, id_col: str, text: Column, sizes: Sequence[int] = (2, 3)) -> DataFrame:

@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumasift.functions import text as T
+from lumasift.scratch import saved
 
 
 def bm25(docs: DataFrame, queries: DataFrame, terms: Column, query_terms: Column, k1: float = 1.5, b: float = 0.75, top: int = 5) -> DataFrame:
     """query_id, doc_id, score, place: the ``top`` documents of each query.
 
     ``docs`` has doc_id, ``queries`` has query_id.  Only postings of the
-    queries' terms are shuffled; the statistics are one partial aggregation.
-    Ties go to the smaller doc_id.
+    queries' terms are shuffled, and they are written once; the statistics are
+    one partial aggregation, and each task passes on its best rows of a query
+    only.  Ties go to the smaller doc_id.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(query_terms)).alias("term"))
     sized = docs.select("doc_id", terms.alias("terms"))
@@ -25,9 +27,12 @@ def bm25(docs: DataFrame, queries: DataFrame, terms: Column, query_terms: Column
         .groupBy("doc_id", "dl", "term")
         .agg(F.count("*").alias("f"))
     )
+    postings = saved(postings, "postings")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    # a row a term of the queries; as a table it is broadcast if it is small
     weighed = df.crossJoin(F.broadcast(stats)).select("term", idf.alias("idf"), (F.col("total") / F.col("n")).alias("avgdl"))
+    weighed = saved(weighed, "term-weights")
     part = F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
     # sums of whole millionths don't depend on their order
     scored = postings.join(weighed, "term").join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.floor(part * 1e6 + 0.5).cast("long")).alias("micro"))

@@ -10,7 +10,7 @@ from lumasift.operators import graph as G
 from lumasift.operators import similarity as H
 from lumasift.plans.decision import q6, sql6
 from lumasift.plans.sql_views import with_views
-from lumasift.plans.urls_text import _HOSTED, _KEYED
+from lumasift.plans.urls_text import _HOSTED, _KEYED, _LINKS
 from lumasift.scratch import saved
 from lumasift.sources import views as V
 
@@ -108,6 +108,16 @@ def site_bfs(spark, sf):
     return G.crawl(links, pages.select("url"), 2, 8)
 
 
+_BFS = """
+, links AS (SELECT DISTINCT p.url AS src, l.link AS dst FROM ({links}) l JOIN pages p ON p.page_id = l.page_id),
+l0 AS (SELECT DISTINCT url AS start, url FROM pages),
+l1 AS (SELECT DISTINCT start, dst AS url FROM l0 JOIN links ON url = src EXCEPT SELECT start, url FROM l0),
+l2 AS (SELECT DISTINCT start, dst AS url FROM l1 JOIN links ON url = src EXCEPT (SELECT start, url FROM l0 UNION SELECT start, url FROM l1)),
+every AS (SELECT *, 0 AS level FROM l0 UNION ALL SELECT *, 1 FROM l1 UNION ALL SELECT *, 2 FROM l2)
+SELECT start, url, level FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY level, url) AS place FROM every) WHERE place <= 8
+"""
+
+
 def shared_media_edges(spark, sf):
     e = G.shared_media(V.media(spark, sf))
     return e.select("a", "b", "shared", q6(F.col("weight")).alias("weight"))
@@ -346,7 +356,7 @@ QUERIES = {
     "hash_registry": (hash_registry, _prints("SELECT count(*) AS n, count(DISTINCT site) AS sites FROM fingerprints")),
     "image_hashes": (image_hashes, None),
     "image_hash_family": (image_hash_family, None),
-    "site_bfs": (site_bfs, None),
+    "site_bfs": (site_bfs, with_views("", hosted=_HOSTED, keyed=_KEYED).strip() + _BFS.replace("{links}", _LINKS)),
     "shared_media_edges": (shared_media_edges, _media(f"SELECT a, b, shared, {sql6('weight')} AS weight FROM sm", sm=_SHARED)),
     "shared_media_touched": (shared_media_touched, _media(f"SELECT a, b, shared, {sql6('weight')} AS weight FROM sm WHERE a IN (SELECT * FROM touched) OR b IN (SELECT * FROM touched)", sm=_SHARED, touched=_TOUCHED)),
     "edge_changes": (edge_changes, with_views("", "MEDIA", sm=_SHARED).strip() + ", " + _CHANGES.strip()),

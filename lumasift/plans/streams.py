@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,23 @@ from lumasift.streaming import processors as S
 
 def _stream(spark, sf, name: str) -> DataFrame:
     path = f"{sf}/{name}.parquet"
-    # a pattern, since the stream source takes no single file
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    # a pattern of this name alone, since the stream source takes no single file
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+@contextmanager
+def _settings(spark, settings: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _drain(df: DataFrame, label: str) -> DataFrame:
@@ -39,7 +56,10 @@ def _scores(spark, sf) -> DataFrame:
 
 
 def stream_sprt(spark, sf):
-    return _drain(S.sprt(_scores(spark, sf).select("site", "seq", (F.col("f") * 100).alias("p4"))), "stream-sprt")
+    """Settled tests; events of the newest moment are not behind the watermark and don't count."""
+    scores = _scores(spark, sf).select("site", "seq", (F.col("f") * 100).alias("p4"), F.col("ts").cast("timestamp").alias("ts"))
+    with _settings(spark, ROCKSDB):
+        return _drain(S.sprt(scores), "stream-sprt")
 
 
 def stream_sessions(spark, sf):
@@ -61,17 +81,42 @@ def stream_windows(spark, sf):
     return done.groupBy("event_type").agg(F.count("*").alias("windows"), F.sum("n").alias("events"))
 
 
-_SCORES = "SELECT user_id AS site, event_id AS seq, ((CAST(floor(value * 100 + 0.5) AS BIGINT) * 31) % 100) * 100 AS p4 FROM events"
+def stream_first(spark, sf):
+    """The first event of each user and type, as a stream without repeats finds it."""
+    e = _stream(spark, sf, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    return _drain(S.first_of_each(e, "ts", ["user_id", "event_type"], "60 days"), "stream-first").select("user_id", "event_type")
+
+
+def stream_quiet(spark, sf):
+    """Final sessions of users, counted."""
+    e = _stream(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    done = _drain(S.quiet_sessions(e, "ts", "user_id", "30 minutes", "0 seconds"), "stream-quiet")
+    return done.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
+
+
+_QUIET = """
+WITH q AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+x AS (SELECT user_id, g, max(ts) AS last, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM q) GROUP BY ALL)
+SELECT user_id, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS events FROM x WHERE last + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) GROUP BY user_id
+"""
+_FINAL = """
+WITH w AS (SELECT event_type, date_trunc('day', ts) AS d, count(*) AS n FROM events GROUP BY ALL)
+SELECT event_type, count(*) AS windows, CAST(sum(n) AS BIGINT) AS events FROM w WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY event_type
+"""
+
+_SCORES = "SELECT user_id AS site, event_id AS seq, ((CAST(floor(value * 100 + 0.5) AS BIGINT) * 31) % 100) * 100 AS p4, ts FROM events"
 
 QUERIES = {
     "stream_sprt": (
         stream_sprt,
         f"""WITH r AS (SELECT site, row_number() OVER w AS n, sum(x * ln(0.9::DOUBLE / 0.5) + (1 - x) * ln((1 - 0.9::DOUBLE) / (1 - 0.5))) OVER (w ROWS UNBOUNDED PRECEDING) AS total
-        FROM (SELECT site, seq, greatest(0.01::DOUBLE, least(0.99::DOUBLE, p4 / 10000.0::DOUBLE)) AS x FROM ({_SCORES})) WINDOW w AS (PARTITION BY site ORDER BY seq)),
+        FROM (SELECT site, seq, greatest(0.01::DOUBLE, least(0.99::DOUBLE, p4 / 10000.0::DOUBLE)) AS x FROM ({_SCORES}) WHERE ts < (SELECT max(ts) FROM events)) WINDOW w AS (PARTITION BY site ORDER BY seq)),
         s AS (SELECT *, CASE WHEN total >= ln(0.95::DOUBLE / 0.05) THEN 'nsfw' WHEN total <= ln(0.05::DOUBLE / 0.95) THEN 'clean' END AS state FROM r)
         SELECT site, arg_min(state, n) AS state, min(n) AS used FROM s WHERE state IS NOT NULL GROUP BY site""",
     ),
     "stream_sessions": (stream_sessions, f"SELECT site AS name, count(*) AS scans, max(p4) AS agg_max, arg_max(p4, seq) AS last_agg, CAST(sum(seq % 5) AS BIGINT) AS hits FROM ({_SCORES}) GROUP BY site"),
     "stream_ledger": (stream_ledger, with_views("SELECT entry_id, arg_max(CASE event_type WHEN 'added' THEN 'pending' ELSE event_type END, seq) FILTER (WHERE event_type <> 'annotated') AS status, count(*) AS events FROM ledger GROUP BY entry_id", "LEDGER")),
-    "stream_windows": (stream_windows, None),
+    "stream_windows": (stream_windows, _FINAL),
+    "stream_first": (stream_first, "SELECT DISTINCT user_id, event_type FROM events"),
+    "stream_quiet": (stream_quiet, _QUIET),
 }

@@ -149,24 +149,25 @@ SELECT query_id, doc_id, micro / 1e6 AS score, place FROM (SELECT *, CAST(row_nu
 
 
 def tfidf_cosine(spark, sf):
-    items = table(spark, sf, "benchmark")
-    seeds = items.filter(F.col("item_id") < 10).select(F.col("item_id").alias("id"), "text", (F.pmod("item_id", F.lit(2)) == 0).alias("positive"))
-    texts = items.filter(F.col("item_id") >= 10).select(F.col("item_id").alias("id"), "text")
+    """All turns of conversations against two classes of benchmark texts."""
+    seeds = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text", (F.pmod("item_id", F.lit(2)) == 0).alias("positive"))
+    texts = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     found = search.tfidf_kernel(texts, seeds)
     return found.select("id", *[F.floor(F.col(c) * 1e5 + 0.5).cast("long").alias(c) for c in ("cos_pos", "cos_neg", "risk")])
 
 
-_TFIDF = """
-WITH g AS (SELECT item_id AS id, gram, count(*) AS c FROM (
-  SELECT item_id, unnest(list_transform(range(1, length(text)), lambda i: substr(text, i, 2))) AS gram FROM benchmark
-  UNION ALL SELECT item_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3))) AS gram FROM benchmark) GROUP BY ALL),
-tf AS (SELECT id, gram, c::DOUBLE / sum(c) OVER (PARTITION BY id) AS tf FROM g),
-n AS (SELECT count(*) AS n FROM benchmark WHERE item_id < 10),
-df AS (SELECT gram, count(*) AS df FROM g WHERE id < 10 GROUP BY gram),
-cen AS (SELECT gram, coalesce(sum(tf * (ln((n + 1)::DOUBLE / (df + 1)) + 1)) FILTER (WHERE id % 2 = 0), 0) / 5 AS pos, coalesce(sum(tf * (ln((n + 1)::DOUBLE / (df + 1)) + 1)) FILTER (WHERE id % 2 = 1), 0) / 5 AS neg
-        FROM tf JOIN df USING (gram), n WHERE id < 10 GROUP BY gram),
+def _gram_counts(source: str) -> str:
+    return f"""SELECT id, gram, count(*) AS c FROM (SELECT id, unnest(list_transform(range(1, length(text)), lambda i: substr(text, i, 2))) AS gram FROM {source}
+  UNION ALL SELECT id, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3))) AS gram FROM {source}) GROUP BY ALL"""
+
+
+_TFIDF = f"""
+WITH b AS (SELECT item_id AS id, text FROM benchmark), t AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations), g AS ({_gram_counts('b')}), h AS ({_gram_counts('t')}),
+n AS (SELECT count(*) AS n, count(*) FILTER (WHERE id % 2 = 0) AS np, count(*) FILTER (WHERE id % 2 = 1) AS nn FROM b),
+df AS (SELECT gram, count(*) AS df FROM g GROUP BY gram), tf AS (SELECT id, gram, c::DOUBLE / sum(c) OVER (PARTITION BY id) AS tf FROM g), uf AS (SELECT id, gram, c::DOUBLE / sum(c) OVER (PARTITION BY id) AS tf FROM h),
+cen AS (SELECT gram, coalesce(sum(tf * (ln((n + 1)::DOUBLE / (df + 1)) + 1)) FILTER (WHERE id % 2 = 0), 0) / any_value(np) AS pos, coalesce(sum(tf * (ln((n + 1)::DOUBLE / (df + 1)) + 1)) FILTER (WHERE id % 2 = 1), 0) / any_value(nn) AS neg FROM tf JOIN df USING (gram), n GROUP BY gram),
 nrm AS (SELECT sqrt(sum(pos * pos)) AS lp, sqrt(sum(neg * neg)) AS ln FROM cen),
-v AS (SELECT id, tf * (ln((n + 2)::DOUBLE / (coalesce(df, 0) + 2)) + 1) AS v, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg FROM tf LEFT JOIN df USING (gram) LEFT JOIN cen USING (gram), n WHERE id >= 10),
+v AS (SELECT id, tf * (ln((n + 2)::DOUBLE / (coalesce(df, 0) + 2)) + 1) AS v, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg FROM uf LEFT JOIN df USING (gram) LEFT JOIN cen USING (gram), n),
 r AS (SELECT id, sum(v * pos) / (sqrt(sum(v * v)) * any_value(lp)) AS cp, sum(v * neg) / (sqrt(sum(v * v)) * any_value(ln)) AS cn FROM v, nrm GROUP BY id)
 SELECT id, CAST(floor(cp * 1e5 + 0.5) AS BIGINT) AS cos_pos, CAST(floor(cn * 1e5 + 0.5) AS BIGINT) AS cos_neg, CAST(floor(greatest(0.0, least(1.0, 0.5 + 2 * (cp - cn))) * 1e5 + 0.5) AS BIGINT) AS risk FROM r
 """

@@ -16,11 +16,14 @@ _removed_at_exit: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder below ``spark.checkpoint.dir``, which all executors share.
 
-    Where that setting is absent (tests on one machine) a local folder stands in.
+    Where that setting is absent a local folder stands in on one machine (a local
+    master); on a cluster it is an error, as executors share no such folder.
     The folder is removed when the driver's Python ends.
     """
     base = spark.conf.get(CHECKPOINT, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT} has to name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "lumasift-shared")
     path = f"{base.rstrip('/')}/lumasift-{spark.sparkContext.applicationId}"
     if path not in _removed_at_exit:

@@ -8,35 +8,76 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lumasift.operators.ledger import STATUS
 
 
-def sprt(events: DataFrame, key: str = "site", alpha: float = 0.05, beta: float = 0.05, p0: float = 0.5, p1: float = 0.9) -> DataFrame:
+class _Sprt(StatefulProcessor):
+    """Wald's test of one key: scores wait until the watermark has passed them, and count in order of time."""
+
+    def __init__(self, key: str, limits: tuple[float, float], steps: tuple[float, float], forget_ms: int):
+        self.key, self.limits, self.steps, self.forget_ms = key, limits, steps, forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.test = handle.getValueState("test", "total double, n long, settled boolean, last long")
+        self.waiting = handle.getListState("waiting", "at long, seq long, p4 long")
+
+    def rows(self, found: list[tuple]) -> pd.DataFrame:
+        # plain objects: texts of the newer string type arrive in chunks, which the sender of rows doesn't take
+        return pd.DataFrame(found, columns=[self.key, "state", "used"], dtype=object)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        if not (self.test.exists() and self.test.get()[2]):
+            at = new["ts"].astype("datetime64[us]").astype("int64") // 1000
+            self.waiting.appendList([(int(t), int(s), int(p)) for t, s, p in zip(at, new["seq"], new["p4"])])
+            for t in set(at.tolist()):
+                self.handle.registerTimer(int(t))
+        yield self.rows([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        total, n, settled, last = self.test.get() if self.test.exists() else (0.0, 0, False, 0)
+        rows = sorted(tuple(r) for r in self.waiting.get())
+        due, later = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
+        found = []
+        for at, _, p4 in [] if settled else due:
+            x = min(0.99, max(0.01, p4 / 10000.0))
+            total, n, last = total + x * self.steps[0] + (1 - x) * self.steps[1], n + 1, at
+            if total >= self.limits[0] or total <= self.limits[1]:
+                settled = True
+                found.append((key[0], "nsfw" if total >= self.limits[0] else "clean", n))
+                break
+        if not later and now >= last + self.forget_ms:  # nothing new for long: the key's state ends
+            self.test.clear()
+            self.waiting.clear()
+        else:
+            self.test.update((total, n, settled, last))
+            if due:
+                self.waiting.clear() if settled or not later else self.waiting.put(later)
+                self.handle.registerTimer(max(last, now) + self.forget_ms)
+        yield self.rows(found)
+
+    def close(self) -> None:
+        pass
+
+
+def sprt(events: DataFrame, key: str = "site", alpha: float = 0.05, beta: float = 0.05, p0: float = 0.5, p1: float = 0.9, late: str = "0 seconds", forget_hours: float = 24 * 90) -> DataFrame:
     """(key, state, used) once a key's test settles; later scores are absorbed.
 
-    ``events``: key, seq, p4.  State is the running ratio, the count, and
-    whether it has settled.
+    ``events``: key, seq, p4, ts.  Scores may come out of order by ``late``: they
+    are taken in order of ts and seq once the watermark has passed them.  State
+    is the running ratio, the count, whether it has settled, and waiting scores;
+    it ends when a key has been quiet for ``forget_hours``, so a key that comes
+    back later starts anew.  Needs a state store with timers (RocksDB).
     """
-    up, down = math.log((1 - beta) / alpha), math.log(beta / (1 - alpha))
-    gain, loss = math.log(p1 / p0), math.log((1 - p1) / (1 - p0))
-
-    def step(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total, n, settled = state.get if state.exists else (0.0, 0, False)
-        for part in [] if settled else [pd.concat(list(parts)).sort_values("seq")]:
-            for p4 in part["p4"]:
-                x = min(0.99, max(0.01, p4 / 10000.0))
-                total += x * gain + (1 - x) * loss
-                n += 1
-                if total >= up or total <= down:
-                    settled = True
-                    yield pd.DataFrame({key: [k[0]], "state": ["nsfw" if total >= up else "clean"], "used": [n]})
-                    break
-        state.update((total, n, settled))
-
+    limits = (math.log((1 - beta) / alpha), math.log(beta / (1 - alpha)))
+    steps = (math.log(p1 / p0), math.log((1 - p1) / (1 - p0)))
     kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, state string, used long", "total double, n long, settled boolean", "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", late).groupBy(key).transformWithStateInPandas(_Sprt(key, limits, steps, int(forget_hours * 3_600_000)), f"{key} {kind}, state string, used long", "append", "EventTime")
 
 
 def sessions(events: DataFrame) -> DataFrame:
@@ -82,8 +123,15 @@ def ledger_fold(events: DataFrame) -> DataFrame:
 
 
 def window_counts(events: DataFrame, time: str, kind: str, every: str = "1 hour", late: str = "30 minutes") -> DataFrame:
-    """Events by window and kind; windows are final once the watermark has passed them."""
-    return events.withWatermark(time, late).groupBy(F.window(time, every).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")
+    """Events by window and kind; windows are final once the watermark has passed them.  ``every``: a length, or a length and a step."""
+    length, _, step = every.partition("/")
+    window = F.window(time, length.strip(), step.strip()) if step else F.window(time, length)
+    return events.withWatermark(time, late).groupBy(window.alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")
+
+
+def quiet_sessions(events: DataFrame, time: str, key: str, gap: str = "30 minutes", late: str = "30 minutes") -> DataFrame:
+    """key, start, end, n of runs of events without a gap; final once the watermark has passed them."""
+    return events.withWatermark(time, late).groupBy(key, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def first_of_each(events: DataFrame, time: str, keys: list[str], late: str = "30 minutes") -> DataFrame:

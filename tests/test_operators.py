@@ -1,3 +1,4 @@
+import datetime
 import hashlib
 import json
 import math
@@ -451,12 +452,20 @@ def test_image_size():
 
 
 def test_stream_equals_batch(spark, tmp_path):
+    """Scores come up to an hour late, in four batches; a key is quiet for so long that it starts anew."""
+    from lumasift.plans.streams import ROCKSDB, _settings
+
     rng = random.Random(5)
-    rows = [(rng.randrange(6), i, rng.randrange(10001)) for i in range(120)]
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(rng.randrange(6), i, rng.randrange(10001), start + datetime.timedelta(minutes=10 * i)) for i in range(120)]
+    rows += [(50, 200, 100, start), (50, 201, 100, start + datetime.timedelta(minutes=10)), (51, 900, 5000, start + datetime.timedelta(days=9))]
+    shuffled = sorted(rows, key=lambda r: (r[3] + datetime.timedelta(minutes=rng.randrange(50)), r[1]))
+    schema = "site long, seq long, p4 long, ts timestamp"
     for k in range(4):
-        spark.createDataFrame(rows[30 * k : 30 * k + 30], "site long, seq long, p4 long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("site long, seq long, p4 long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    processors.sprt(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        spark.createDataFrame(shuffled[31 * k : 31 * k + 31], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with _settings(spark, ROCKSDB):
+        processors.sprt(stream, late="1 hour", forget_hours=48).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     got = {r["site"]: (r["state"], r["used"]) for r in spark.read.schema("site long, state string, used long").parquet(str(tmp_path / "out")).collect()}
-    batch = S.sprt(spark.createDataFrame(rows, "site long, seq long, p4 long"), "site", "seq", F.col("p4") / 10000.0).collect()
-    assert got == {r["site"]: (r["state"], r["used"]) for r in batch if r["state"] != "undecided"}
+    batch = S.sprt(spark.createDataFrame(rows, schema), "site", "seq", F.col("p4") / 10000.0).collect()
+    assert got == {r["site"]: (r["state"], r["used"]) for r in batch if r["state"] != "undecided"} and got[50] == ("clean", 2)
