@@ -34,15 +34,15 @@ class _Sprt(StatefulProcessor):
         if not (self.test.exists() and self.test.get()[2]):
             at = new["ts"].astype("datetime64[us]").astype("int64") // 1000
             self.waiting.appendList([(int(t), int(s), int(p)) for t, s, p in zip(at, new["seq"], new["p4"])])
-            for t in set(at.tolist()):
-                self.handle.registerTimer(int(t))
+            self.handle.registerTimer(int(at.min()) + 1)
         yield self.rows([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        # one timer stands for all that waits: it settles what the watermark has passed, and the next one follows
+        now = timerValues.getCurrentWatermarkInMs()
         total, n, settled, last = self.test.get() if self.test.exists() else (0.0, 0, False, 0)
         rows = sorted(tuple(r) for r in self.waiting.get())
-        due, later = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
+        due, later = [r for r in rows if r[0] < now], [r for r in rows if r[0] >= now]
         found = []
         for at, _, p4 in [] if settled else due:
             x = min(0.99, max(0.01, p4 / 10000.0))
@@ -56,9 +56,12 @@ class _Sprt(StatefulProcessor):
             self.waiting.clear()
         else:
             self.test.update((total, n, settled, last))
-            if due:
-                self.waiting.clear() if settled or not later else self.waiting.put(later)
+            if settled or not later:
+                self.waiting.clear()
                 self.handle.registerTimer(max(last, now) + self.forget_ms)
+            else:
+                self.waiting.put(later)
+                self.handle.registerTimer(later[0][0] + 1)
         yield self.rows(found)
 
     def close(self) -> None:
