@@ -107,3 +107,25 @@ def test_fold(spark):
 
     got = {r["id"]: r["h"] for r in spark.range(50).select("id", common.held_out(F.col("id")).alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in range(50)}
+
+
+def test_repeated_rows_and_a_sample_by_threshold(spark, corpus):
+    """An id that very many rows repeat is learned once, and far more rows than the sample are thinned out before a shuffle."""
+    rows = [r for r in corpus if r[2]] * 2 + [(0, corpus[0][1], "en")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, sample=50)
+    assert sorted(x for of in model.languages.values() for x in of) == sorted(LANGS)
+    got = langid.predict(df, model).collect()
+    assert len(got) == len(rows) and len({r["lang_pred"] for r in got if r["doc_id"] == 0}) == 1
+
+
+def test_toxicity_of_repeated_and_very_long_texts(spark, toxic):
+    rows, labels = toxic
+    long = rows[0][1] + " " + "calm words here " * 60_000 + "moronzz vilezz scumzz"
+    docs = spark.createDataFrame([*rows, rows[1], rows[1], (7000, long), (7000, long)], "doc_id long, text string")
+    marks = spark.createDataFrame([*labels, *labels], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.train(docs, marks)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], set()).add((r["score"], r["predicted"]))
+    assert len(got) == len(rows) + 4 and all(len(v) == 1 for v in by.values()) and 0 <= next(iter(by[7000]))[0] <= 1

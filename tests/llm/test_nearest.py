@@ -46,3 +46,22 @@ def test_few_rows_and_none(spark):
 def test_chi_square():
     assert abs(N.chi_square_quantile(0.95, 10) - 18.307) < 1e-3
     assert abs(N.chi_square_cdf(N.chi_square_quantile(0.5, 4), 4) - 0.5) < 1e-9
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (2, [3.0, 0.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 5, "x") for i, v in rows], "vec_id long, embedding array<double>, rank int, leaf string")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in N.nearest(df).collect())
+    # each row of a repeated id asks, and its twin is a candidate of its own
+    assert got == sorted([(0, 1, 0, 0.0), (0, 2, 1, 0.1), (0, 3, 1, 0.1), (0, 4, 2, 2.0)] * 2)
+
+
+def test_many_small_leaves_keep_recall(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, 100, 10)
+    got = {}
+    for r in N.nearest(df, block_rows=64).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert sum(len(got[q] & {i for _, i in best}) for q, best in want.items()) / sum(map(len, want.values())) >= 0.9
