@@ -184,7 +184,7 @@ def conformal_threshold(spark, sf):
     """The deepest score of precision .8 or more, and how sure that is."""
     c = S.conformal_threshold(S.suffix_counts(_calibration(spark, sf), "p4", "label").withColumnRenamed("p4", "score"), 0.8)
     shown = [q6(F.col(x)).alias(x) for x in ("empirical_precision", "p_value", "corrected_alpha")]
-    return c.select(F.col("threshold").cast("long").alias("threshold"), "n", *shown, "n_candidates", "selection_mode", F.col("ltt_threshold").cast("long").alias("ltt_threshold"))
+    return c.select(F.col("threshold").cast("long").alias("threshold"), "n", *shown, "n_candidates", "selection_mode", F.coalesce(F.col("ltt_threshold").cast("long"), F.lit(-1).cast("long")).alias("ltt_threshold"))
 
 
 _CONFORMAL = f"""
@@ -193,7 +193,7 @@ c AS (SELECT p4, CAST(sum(n) OVER w AS BIGINT) AS m, CAST(sum(pos) OVER w AS BIG
 t AS (SELECT c.*, least(1.0, list_sum(list_transform(range(k, m + 1), lambda j: exp(lgamma(m + 1) - CASE WHEN j > 0 THEN lgamma(j + 1) ELSE 0 END - CASE WHEN m > j THEN lgamma(m - j + 1) ELSE 0 END + j * ln(0.8::DOUBLE) + (m - j) * ln(0.2::DOUBLE))))) AS p FROM c WHERE k >= 0.8::DOUBLE * m),
 b AS (SELECT p4, m, k, p FROM t ORDER BY m DESC LIMIT 1), z AS (SELECT count(*) AS cand, max(m) AS n FROM c), l AS (SELECT p4, m FROM t, z WHERE k > 0.8::DOUBLE * m AND p <= 0.05::DOUBLE / cand ORDER BY m DESC LIMIT 1)
 SELECT b.p4 AS threshold, n, {sql6('k::DOUBLE / b.m')} AS empirical_precision, {sql6('p')} AS p_value, {sql6('0.05::DOUBLE / cand')} AS corrected_alpha, cand AS n_candidates,
-  CASE WHEN l.m IS NULL THEN 'empirical_fallback' WHEN l.m = b.m THEN 'ltt' ELSE 'ltt_advisory' END AS selection_mode, l.p4 AS ltt_threshold FROM b CROSS JOIN z LEFT JOIN l ON true
+  CASE WHEN l.m IS NULL THEN 'empirical_fallback' WHEN l.m = b.m THEN 'ltt' ELSE 'ltt_advisory' END AS selection_mode, coalesce(l.p4, -1) AS ltt_threshold FROM b CROSS JOIN z LEFT JOIN l ON true
 """
 
 
