@@ -126,7 +126,7 @@ def modularity(edges: DataFrame, parts: DataFrame, resolution: float = 1.0) -> D
 # -- communities ----------------------------------------------------------------------------------
 
 #: Edges of a connected component up to which one task computes it; larger ones take distributed rounds.
-EXACT_EDGES = 200_000
+EXACT_EDGES = 1_000_000
 #: Most sweeps and levels, and the gain in modularity below which a sweep is the last.
 MAX_SWEEPS, MAX_LEVELS, LEAST_GAIN = 100, 32, 1e-7
 
