@@ -1,8 +1,8 @@
-"""Queries op1 to op10 and the SQL of those that SQL can express."""
+"""Queries op1 to op13 and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from lumasift.llm import exact_dedup, langid, mixing, nearest, ngram_join, packing, secrets, token_files, toxicity, url_filter
+from lumasift.llm import exact_dedup, langid, merkle, mixing, nearest, ngram_join, packing, secrets, token_files, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_secrets": secrets.query,
         "op9_mix_sources": mixing.query,
         "op10_url_filter": url_filter.query,
+        "op11_merkle_manifest": merkle.query,
     }
 
 
@@ -25,4 +26,5 @@ def oracles() -> dict:
         "op1_exact_dedup": exact_dedup.ORACLE,
         "op6_ngram_join": ngram_join.ORACLE,
         "op10_url_filter": url_filter.ORACLE,
+        "op11_merkle_manifest": merkle.ORACLE,
     }
