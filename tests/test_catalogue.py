@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lumasift.plans import catalogue
@@ -21,7 +22,7 @@ def duck():
 
 
 def plain(value):
-    if value is None or (isinstance(value, float) and math.isnan(value)):
+    if value is None or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
         return None
     if isinstance(value, float):
         return round(value, 6) + 0.0
