@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumasift.llm import exact_dedup, langid, licenses, merkle, mixing, nearest, ngram_join, packing, secrets, token_files, toxicity, url_filter
+from lumasift.llm import exact_dedup, langid, licenses, merkle, mixing, nearest, ngram_join, packing, secrets, token_files, toxicity, url_filter, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_mix_sources": mixing.query,
         "op10_url_filter": url_filter.query,
         "op11_merkle_manifest": merkle.query,
+        "op12_whitening": whitening.query,
         "op13_license_scan": licenses.query,
     }
 
