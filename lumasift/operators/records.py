@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumasift.operators.audit import leaf_hash
 from lumasift.scratch import saved
 
 #: Hyperbole, what replaces it, words of promise, and marks of a formal text.
@@ -78,11 +79,8 @@ def keyword_stats(lines: DataFrame) -> DataFrame:
 
 
 def canonical_leaf(row: Column) -> Column:
-    """SHA-256 of a record as canonical JSON: a map of its fields, keys in order, no blanks."""
-    pairs = F.array_sort(F.map_entries(row))
-    quoted = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n")
-    body = F.array_join(F.transform(pairs, lambda p: F.concat(F.lit('"'), quoted(p["key"]), F.lit('":'), F.when(p["value"].isNull(), "null").otherwise(F.concat(F.lit('"'), quoted(p["value"]), F.lit('"'))))), ",")
-    return F.sha2(F.concat(F.lit("{"), body, F.lit("}")), 256)
+    """SHA-256 of a record (struct or map, of any values) as canonical JSON: keys in order, no blanks, nulls kept."""
+    return leaf_hash(F.to_json(row, {"ignoreNullFields": "false"}))
 
 
 def append(ledger: DataFrame, events: DataFrame, order: str) -> DataFrame:
@@ -134,23 +132,6 @@ def proven_root(leaf: Column, proof: Column) -> Column:
     return F.aggregate(proof, leaf, lambda h, p: F.when(p["side"] == "right", join(h, p["h"])).otherwise(join(p["h"], h)))
 
 
-def verify_audit(lines: DataFrame) -> DataFrame:
-    """nth, kind, ok: what is wrong with an audit log.
-
-    ``lines``: nth, prev, hash, body, degraded.  Each line's hash is that of the
-    hash before it and its body; a degraded line (written without a chain) starts
-    a new segment with its own body alone.  kind: chain, body, or degraded.
-    """
-    # the line before is met by an equi-join, so no task holds the log
-    before = lines.select((F.col("nth") + 1).alias("nth"), F.col("hash").alias("before"))
-    met = lines.join(before, "nth", "left")
-    start = F.col("degraded") | F.col("before").isNull()
-    chained = F.when(start, F.coalesce(F.col("prev"), F.lit("")) == "").otherwise(F.col("prev") == F.col("before"))
-    whole = F.col("hash") == F.sha2(F.concat(F.coalesce("prev", F.lit("")), "body"), 256)
-    kind = F.when(~whole, "body").when(~chained, "chain").when(F.col("degraded"), "degraded").otherwise("fine")
-    return met.select("nth", kind.alias("kind"), (whole & chained).alias("ok"))
-
-
 def four_eyes(approvals: DataFrame, need: int = 2) -> DataFrame:
     """entry_id, reviewers, ok: entries that as many people approved as they need, none of whom added them.
 

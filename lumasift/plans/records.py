@@ -178,26 +178,6 @@ SELECT i, CAST((SELECT ceil(log2(count(*))) FROM ledger) AS INTEGER) AS steps, t
 """
 
 
-def audit_verification(spark, sf):
-    """Kinds of lines in a chain of hashes over the parts table, where some bodies, some links and some chains are broken."""
-    lines = V.table(spark, sf, "part").select(F.col("p_partkey").alias("nth"), F.col("p_name").alias("body"))
-    degraded = F.pmod("nth", F.lit(97)) == 0
-    prev = F.when(degraded | (F.pmod(F.col("nth") - 1, F.lit(97)) == 0), "").otherwise("x")
-    # every line links to a fixed text, so that the expected kinds can be said in SQL
-    made = lines.select("nth", prev.alias("prev"), "body", degraded.alias("degraded"))
-    hashed = made.withColumn("hash", F.when(F.pmod("nth", F.lit(53)) == 0, "broken").otherwise(F.sha2(F.concat("prev", "body"), 256)))
-    return R.verify_audit(hashed).groupBy("kind", "ok").agg(F.count("*").alias("n"))
-
-
-_CHAIN = """
-, l AS (SELECT p_partkey AS nth, CASE WHEN p_partkey % 97 = 0 OR (p_partkey - 1) % 97 = 0 THEN '' ELSE 'x' END AS prev, p_partkey % 97 = 0 AS degraded, p_name AS body FROM part),
-h AS (SELECT *, CASE WHEN nth % 53 = 0 THEN 'broken' ELSE sha256(prev || body) END AS hash FROM l),
-m AS (SELECT h.*, b.hash AS before FROM h LEFT JOIN h b ON b.nth = h.nth - 1),
-k AS (SELECT hash = sha256(prev || body) AS whole, CASE WHEN degraded OR before IS NULL THEN prev = '' ELSE prev = before END AS chained, degraded FROM m)
-SELECT CASE WHEN NOT whole THEN 'body' WHEN NOT chained THEN 'chain' WHEN degraded THEN 'degraded' ELSE 'fine' END AS kind, whole AND chained AS ok, count(*) AS n FROM k GROUP BY ALL
-"""
-
-
 def four_eyes(spark, sf):
     e = V.ledger(spark, sf).withColumn("actor", F.concat("actor", F.pmod("turn", F.lit(3)).cast("string")))
     return R.four_eyes(e, 1)
@@ -377,7 +357,6 @@ QUERIES = {
     "appended_ledger": (appended_ledger, with_views("SELECT seq, entry_id, event_type FROM ledger UNION ALL SELECT (SELECT max(seq) FROM ledger) + row_number() OVER (ORDER BY o_orderkey), o_orderkey, 'added' FROM orders", "LEDGER")),
     "record_leaves": (record_leaves, with_views(_quoted(_LEAF), "LEDGER")),
     "merkle_proofs": (merkle_proofs, with_views(_PROOFS, "LEDGER")),
-    "audit_verification": (audit_verification, "WITH unused AS (SELECT 1)" + _CHAIN),
     "four_eyes": (four_eyes, with_views("SELECT entry_id, CAST(len(o) AS INTEGER) AS reviewers, len(o) >= 1 AS ok FROM (SELECT entry_id, list_filter(seen, lambda x: NOT list_contains(author, x)) AS o FROM (SELECT entry_id, coalesce(list(DISTINCT actor || (turn % 3)) FILTER (WHERE event_type = 'approved'), []) AS seen, coalesce(list(DISTINCT actor || (turn % 3)) FILTER (WHERE event_type = 'added'), []) AS author FROM ledger GROUP BY entry_id))", "LEDGER")),
     "model_search": (model_search, "SELECT *, CAST(row_number() OVER (ORDER BY rank DESC, vision DESC, name) AS INTEGER) AS place FROM (SELECT name, vision, CAST(contains(lower(name), 'brand#1') AS INTEGER) + CAST(contains(lower(name), '7') AS INTEGER) AS rank FROM (SELECT p_name || '-' || p_brand || '-' || p_partkey AS name, p_size % 3 = 0 AS vision FROM part) WHERE contains(lower(name), 'red') AND contains(lower(name), 'ring'))"),
     "keyword_stats": (keyword_stats, "SELECT count(DISTINCT w) AS kept, count(*) - count(DISTINCT w) AS dropped FROM (SELECT CASE WHEN p_partkey % 9 <> 0 AND p_partkey % 11 <> 0 THEN p_name || ' ' || p_brand END AS w FROM part)"),
