@@ -9,6 +9,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,21 +205,66 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _squares(column: pa.Array, side: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that hold side^2 numbers, and these as pictures."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(lengths == side * side)
+    values = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, side, side)
+    whole = ~np.isnan(values).any(axis=(1, 2))
+    return rows[whole], values[whole]
+
+
+def _placed(rows: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """``values`` at their rows among n, null elsewhere."""
+    found = [None] * n
+    for row, value in zip(rows.tolist(), values.tolist()):
+        found[row] = value
+    return pa.array(found, pa.list_(pa.int64()) if values.ndim > 1 else pa.int64())
+
+
+def packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of up to 64 bits as signed longs, the first bit highest."""
+    wide = np.zeros((*bits.shape[:-1], 64), np.uint8)
+    wide[..., 64 - bits.shape[-1] :] = bits
+    return np.packbits(wide, axis=-1).view(">i8")[..., 0].astype(np.int64)
+
+
+def low_frequencies(gray: np.ndarray, k: int) -> np.ndarray:
+    """k x k low frequencies of square pictures above their median (without the first), packed."""
+    n = gray.shape[-1]
+    basis = np.cos((2 * np.arange(n)[None, :] + 1) * np.arange(k)[:, None] * np.pi / (2 * n))
+    f = (basis @ gray @ basis.T).reshape(*gray.shape[:-2], k * k)
+    return packed(f > np.median(f[..., 1:], axis=-1, keepdims=True))
+
+
+def least_view(gray: np.ndarray) -> np.ndarray:
+    """Of the hashes of a picture and its three mirrors the least, as unsigned numbers."""
+    views = np.stack([low_frequencies(v, 8) for v in (gray, gray[:, :, ::-1], gray[:, ::-1], gray[:, ::-1, ::-1])], 1)
+    return views[np.arange(len(views)), views.view(np.uint64).argmin(1)]
+
+
+def halved(gray: np.ndarray) -> np.ndarray:
+    n = gray.shape[-1] // 2
+    return gray.reshape(len(gray), n, 2, n, 2).mean((2, 4))
+
+
+def quarter_hashes(gray: np.ndarray) -> np.ndarray:
+    return np.stack([low_frequencies(gray[:, y : y + 16, x : x + 16], 8) for y in (0, 16) for x in (0, 16)], 1)
+
+
+def pyramid_hashes(gray: np.ndarray) -> np.ndarray:
+    return np.stack([low_frequencies(v, 6) for v in (gray, halved(gray), halved(halved(gray)))], 1)
+
+
 def image_hashes(images: DataFrame, id_col: str, pixels_col: str) -> DataFrame:
-    """id, phash, mirror_hash and ahash from 1024 gray values a row (others give null)."""
+    """id, phash, mirror_hash and ahash from 1024 gray values a row (others give null); a batch is one array."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for pixels in batch.column(1).to_pylist():
-                if pixels is None or len(pixels) != 1024 or any(x is None for x in pixels):
-                    rows.append((None, None, None))
-                    continue
-                g = np.array(pixels, float).reshape(32, 32)
-                flips = min(phash_bits(v) for v in (g, g[:, ::-1], g[::-1], g[::-1, ::-1]))
-                rows.append((signed(phash_bits(g)), signed(flips), signed(ahash_bits(g.reshape(8, 4, 8, 4).mean((1, 3))))))
-            columns = list(zip(*rows)) if rows else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), pa.int64()) for c in columns)], names=[id_col, "phash", "mirror_hash", "ahash"])
+            rows, g = _squares(batch.column(1))
+            small = g.reshape(-1, 8, 4, 8, 4).mean((2, 4)).reshape(-1, 64)
+            hashes = (low_frequencies(g, 8), least_view(g), packed(small > small.mean(axis=1, keepdims=True)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(_placed(rows, h, batch.num_rows) for h in hashes)], names=[id_col, "phash", "mirror_hash", "ahash"])
 
     kind = images.schema[id_col].dataType.simpleString()
     return images.select(id_col, pixels_col).mapInArrow(apply, f"{id_col} {kind}, phash long, mirror_hash long, ahash long")
@@ -232,11 +278,6 @@ def low_bits(gray: np.ndarray, k: int) -> int:
     return int("".join("1" if b else "0" for b in f > np.median(f[1:])), 2)
 
 
-def _halved(gray: np.ndarray) -> np.ndarray:
-    n = len(gray) // 2
-    return gray.reshape(n, 2, n, 2).mean((1, 3))
-
-
 def wide_hashes(images: DataFrame, id_col: str, pixels_col: str) -> DataFrame:
     """id, quads (64 bits of each quarter) and pyramid (36 bits of each of three scales) from 1024 gray values a row.
 
@@ -245,16 +286,8 @@ def wide_hashes(images: DataFrame, id_col: str, pixels_col: str) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            quads, pyramids = [], []
-            for pixels in batch.column(1).to_pylist():
-                if pixels is None or len(pixels) != 1024 or any(x is None for x in pixels):
-                    quads.append(None)
-                    pyramids.append(None)
-                    continue
-                g = np.array(pixels, float).reshape(32, 32)
-                quads.append([signed(low_bits(g[y : y + 16, x : x + 16], 8)) for y in (0, 16) for x in (0, 16)])
-                pyramids.append([low_bits(v, 6) for v in (g, _halved(g), _halved(_halved(g)))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(quads, pa.list_(pa.int64())), pa.array(pyramids, pa.list_(pa.int64()))], names=[id_col, "quads", "pyramid"])
+            rows, g = _squares(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(_placed(rows, h, batch.num_rows) for h in (quarter_hashes(g), pyramid_hashes(g)))], names=[id_col, "quads", "pyramid"])
 
     kind = images.schema[id_col].dataType.simpleString()
     return images.select(id_col, pixels_col).mapInArrow(apply, f"{id_col} {kind}, quads array<long>, pyramid array<long>")

@@ -27,7 +27,7 @@ SKIN_WEIGHTS, SKIN_BIAS, SKIN_CAP = (1.5, 1.2, 0.3), -0.35, 0.98
 #: Cells a side, gray step of an edge, samples a side.
 CELLS, EDGE, SAMPLES = 8, 40, 64
 #: Angles, bands, samples of each, radii as shares of the side, share below which a band has no structure.
-ANGLES, BANDS, FINE_ANGLES, FINE_RADII, OUTER, INNER, FLAT = 32, 4, 128, 32, 0.45, 0.10, 0.06
+ANGLES, BANDS, FINE_ANGLES, FINE_RADII, OUTER, INNER, FLAT, NO_STRUCTURE = 32, 4, 128, 32, 0.45, 0.10, 0.06, 1e-9
 #: Side of the square that tiles are cut from, and the ladder of centre crops.
 TILE_SIDE, LADDER = 128, (2**-0.5, 2**-1.5)
 #: Sides below which a picture is enlarged and from which it is cut in four.
@@ -213,7 +213,7 @@ def ring_hash(gray: np.ndarray) -> int:
     p = ring_profile(gray)
     basis = np.cos((2 * np.arange(ANGLES)[None, :] + 1) * np.arange(9)[:, None] * np.pi / (2 * ANGLES))
     c = p @ basis.T
-    return _above_median(c[:, 1:] ** 2, np.abs(c[:, 1:]).max(1) <= 1e-9 * np.abs(c[:, 0]))
+    return _above_median(c[:, 1:] ** 2, np.abs(c[:, 1:]).max(1) <= NO_STRUCTURE * np.abs(c[:, 0]))
 
 
 def tile_hash(gray: np.ndarray) -> list[int]:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lumasift.operators import redteam as A
 from lumasift.operators import vision as P
 from lumasift.plans.decision import q6
 from lumasift.plans.sql_views import with_views
-from lumasift.scratch import fresh_path
+from lumasift.scratch import fresh_path, saved
 from lumasift.sources import readers, sinks
 from lumasift.sources import views as V
 
@@ -49,6 +54,46 @@ def noise_consensus(spark, sf):
     return P.noise_consensus(_pictures(spark, sf), 12.0, copies=24).select("id", "label", "votes", q6(F.col("radius")).alias("radius"))
 
 
+def _waves(spark, sf, side: int = 64):
+    """Pictures of ``side`` pixels whose 64 lowest frequencies are an embedding's numbers, in three tints."""
+    wave = np.cos((2 * np.arange(side)[None, :] + 1) * np.arange(8)[:, None] * np.pi / (2 * side))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                c = np.stack([np.resize(np.nan_to_num(np.array(v, float)), 64) for v in part.column(1).to_pylist()]).reshape(-1, 8, 8)
+                gray = 128 + 90 * np.tanh(wave.T @ c @ wave)
+                rgb = np.clip(np.floor(gray[..., None] * np.array([1.0, 0.9, 0.8]) + 0.5), 0, 255).astype(np.uint8)
+                size = pa.array([side] * len(rgb), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), size, size, pa.array([x.tobytes() for x in rgb])], names=["id", "width", "height", "rgb"])
+
+    emb = V.table(spark, sf, "embeddings").filter(F.size("embedding") > 0).select("vec_id", "embedding")
+    return emb.mapInArrow(draw, "id long, width int, height int, rgb binary")
+
+
+def _attacked(spark, sf):
+    return saved(A.attacked_hashes(_waves(spark, sf)), "attacked")
+
+
+def picture_redteam(spark, sf):
+    """Recall of every hash kind under every attack at every strength, over all pictures."""
+    return A.recall(_attacked(spark, sf)).select("family", "strength", "kind", "n", "hits", q6(F.col("recall")).alias("recall"))
+
+
+def picture_redteam_weakest(spark, sf):
+    """Recall of a family, its lowest, and the first strength that gets a picture past a kind."""
+    w = A.weakest(A.recall(_attacked(spark, sf)))
+    return w.select("family", "kind", q6(F.col("recall")).alias("recall"), q6(F.col("worst")).alias("worst"), "least")
+
+
+def picture_redteam_search(spark, sf):
+    """Attacked pictures that a search among all originals ties to their own: exact, and by equal bands alone."""
+    hashes = _attacked(spark, sf)
+    exact, lossy = A.search_recall(hashes), A.search_recall(hashes, bands=8, radius=0)
+    return exact.join(lossy.select("family", "strength", F.col("found").alias("banded")), ["family", "strength"])
+
+
 def list_round_trip(spark, sf):
     """Urls of pages written as a list and read back, with a comment, blanks and repeats."""
     urls = V.table(spark, sf, "pages").select("url")
@@ -114,6 +159,9 @@ QUERIES = {
     "likeness": (likeness, None),
     "picture_variants": (picture_variants, None),
     "noise_consensus": (noise_consensus, None),
+    "picture_redteam": (picture_redteam, None),
+    "picture_redteam_weakest": (picture_redteam_weakest, None),
+    "picture_redteam_search": (picture_redteam_search, None),
     "list_round_trip": (list_round_trip, "SELECT DISTINCT url, '' AS reason FROM pages UNION ALL SELECT 'ftp://x.y', 'scheme'"),
     "json_round_trip": (json_round_trip, with_views("SELECT provider, count(*) AS rows, CAST(sum(images) AS BIGINT) AS images, CAST(2 AS BIGINT) AS bad FROM cost_rows GROUP BY provider", "COST_ROWS")),
     "csv_round_trip": (csv_round_trip, with_views("SELECT id, status, agg4, true AS empty FROM entries", "ENTRIES")),
