@@ -7,9 +7,13 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumasift.operators import sequential as Q
+from lumasift.plans.decision import q6, sql6
 from lumasift.plans.sql_views import with_views
+from lumasift.plans.stats import _GATE
 from lumasift.scratch import fresh_path
 from lumasift.sources import sinks
+from lumasift.sources import views as V
 from lumasift.streaming import processors as S
 
 
@@ -74,6 +78,25 @@ def stream_ledger(spark, sf):
     return _drain_latest(S.ledger_fold(events), "stream-ledger", ["entry_id"], "events")
 
 
+def stream_gate(spark, sf):
+    """Decisions of the send gate by site; each fingerprint comes once more as a copy.  The newest row is not behind the watermark."""
+    prints = V.prints_of(_stream(spark, sf, "embeddings"))
+    size = lambda k: F.pmod(F.col("sha") * k, F.lit(400))
+    images = prints.select("site", F.explode(F.array(F.col("sha") * 2, F.col("sha") * 2 + 1)).alias("pos"), F.col("sha").cast("string").alias("sha"), "h", size(37).alias("width"), size(53).alias("height"))
+    with _settings(spark, ROCKSDB):
+        done = _drain(S.send_gate(images.withColumn("ts", F.timestamp_seconds(F.col("pos") + 86400)), near_bits=6), "stream-gate")
+    return done.groupBy("site", "decision").agg(F.count("*").alias("n"))
+
+
+def stream_reliability(spark, sf):
+    """Weights from sums that a stream of outcomes keeps, as of a hundred steps after the last."""
+    rows = _scores(spark, sf).select(F.col("event_type").alias("provider"), ((F.col("f") >= 50) == (F.pmod("seq", F.lit(3)) == 0)).alias("correct"), F.col("seq").cast("double").alias("t"))
+    with _settings(spark, ROCKSDB):
+        sums = _drain_latest(S.reliability(rows, 2000.0), "stream-reliability", ["provider"], "n")
+    w = Q.checkpoint_weights(sums, F.lit(sums.agg(F.max("anchor")).first()[0] + 100), 2000.0)
+    return w.select("provider", q6(F.col("mean")).alias("mean"), q6(F.col("weight")).alias("weight"))
+
+
 def stream_windows(spark, sf):
     """Counts of final windows by event type, summed (open windows at the end aren't final)."""
     e = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -106,7 +129,17 @@ SELECT event_type, count(*) AS windows, CAST(sum(n) AS BIGINT) AS events FROM w
 
 _SCORES = "SELECT user_id AS site, event_id AS seq, ((CAST(floor(value * 100 + 0.5) AS BIGINT) * 31) % 100) * 100 AS p4, ts FROM events"
 
+_GATED = _GATE.replace("UNION ALL SELECT site, 'copy' FROM small)", "UNION ALL SELECT site, 'copy' FROM small WHERE sha < (SELECT max(sha) FROM small))")
+_WEIGHTS = f"""
+WITH r AS (SELECT event_type AS provider, (p4 >= 5000) = (seq % 3 = 0) AS correct, exp(-ln(2.0::DOUBLE) * ((SELECT max(event_id) + 100.0::DOUBLE FROM events) - seq) / 2000.0::DOUBLE) AS w FROM ({_SCORES.replace("SELECT user_id", "SELECT event_type, user_id")})),
+o AS (SELECT provider, coalesce(sum(w) FILTER (WHERE correct), 0) AS good, coalesce(sum(w) FILTER (WHERE NOT correct), 0) AS bad FROM r GROUP BY provider),
+m AS (SELECT provider, (1 - sh) * ((1 + good) / (2 + good + bad)) + sh * pool AS mean FROM (SELECT *, CASE WHEN good + bad < 5 THEN 1.0 ELSE 10.0::DOUBLE / (10.0::DOUBLE + good + bad) END AS sh FROM o), (SELECT (1 + sum(good)) / (2 + sum(good) + sum(bad)) AS pool FROM o))
+SELECT provider, {sql6('mean')} AS mean, {sql6('mean / sum(mean) OVER ()')} AS weight FROM m
+"""
+
 QUERIES = {
+    "stream_gate": (stream_gate, with_views("", "FINGERPRINTS").replace("WITH ", "WITH RECURSIVE ", 1).strip() + _GATED),
+    "stream_reliability": (stream_reliability, _WEIGHTS),
     "stream_sprt": (
         stream_sprt,
         f"""WITH r AS (SELECT site, row_number() OVER w AS n, sum(x * ln(0.9::DOUBLE / 0.5) + (1 - x) * ln((1 - 0.9::DOUBLE) / (1 - 0.5))) OVER (w ROWS UNBOUNDED PRECEDING) AS total

@@ -73,7 +73,12 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     The first copy has the last ``family`` (0 to 11) bits flipped, the second
     one the first four bits as well.
     """
-    emb = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    return prints_of(table(spark, sf_dir, "embeddings"))
+
+
+def prints_of(embeddings: DataFrame) -> DataFrame:
+    """As fingerprints(), of a table or stream of embeddings."""
+    emb = embeddings.select("vec_id", "label", "embedding")
     family = F.pmod("vec_id", F.lit(12)).cast("int")
     copies = emb.select("vec_id", "label", "embedding", family.alias("family"), F.explode(F.array(*map(F.lit, range(3)))).alias("copy"))
     flip = lambda i: ((F.col("copy") >= 1) & (i >= F.size("embedding") - F.col("family"))) != ((F.col("copy") == 2) & (i < 4))

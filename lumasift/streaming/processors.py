@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lumasift.operators.ledger import STATUS
+from lumasift.operators.similarity import band_layout
 
 
 class _Sprt(StatefulProcessor):
@@ -83,6 +84,143 @@ def sprt(events: DataFrame, key: str = "site", alpha: float = 0.05, beta: float
     return events.withWatermark("ts", late).groupBy(key).transformWithStateInPandas(_Sprt(key, limits, steps, int(forget_hours * 3_600_000)), f"{key} {kind}, state string, used long", "append", "EventTime")
 
 
+class _Gate(StatefulProcessor):
+    """One site's gate: what it has seen by content, and hashes that were sent by band."""
+
+    def __init__(self, key: str, near_bits: int, least_px: int, forget_ms: int, in_order: bool, ttl_ms: int | None):
+        self.key, self.near_bits, self.least_px, self.forget_ms, self.in_order, self.ttl_ms = key, near_bits, least_px, forget_ms, in_order, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getMapState("seen", "sha string", "at long", self.ttl_ms)
+        self.sent = handle.getMapState("sent", "band int, part long", "hashes array<long>", self.ttl_ms)
+        if self.in_order:
+            self.waiting = handle.getListState("waiting", "at long, pos long, sha string, h long, width long, height long")
+            self.last = handle.getValueState("last", "at long")
+
+    def decide(self, row: tuple) -> str:
+        at, _, sha, h, width, height = row
+        if self.seen.containsKey((sha,)):
+            return "copy"
+        self.seen.updateValue((sha,), (at,))
+        if width < self.least_px and height < self.least_px:
+            return "small"
+        if h is None:
+            return "sent"
+        # hashes within d bits agree in one of d + 1 bands
+        wide = h & (1 << 64) - 1
+        keys = [(k, wide >> first & (1 << width) - 1) for k, (first, width) in enumerate(band_layout(self.near_bits + 1))]
+        keys = [(k, part - (1 << 64) if part >= 1 << 63 else part) for k, part in keys]
+        met = [list(self.sent.getValue(key)[0]) if self.sent.containsKey(key) else [] for key in keys]
+        if any(((h ^ other) & (1 << 64) - 1).bit_count() <= self.near_bits for row in met for other in row):
+            return "near"
+        for key, row in zip(keys, met):
+            self.sent.updateValue(key, (row + [h],))
+        return "sent"
+
+    def rows(self, key, found: list[tuple]) -> pd.DataFrame:
+        decided = [(key[0], r[1], r[2], self.decide(r)) for r in found]
+        return pd.DataFrame(decided, columns=[self.key, "pos", "sha", "decision"], dtype=object)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        at = new["ts"].astype("datetime64[us]").astype("int64") // 1000
+        found = [(int(t), int(p), str(s), None if pd.isna(h) else int(h), int(w), int(v)) for t, p, s, h, w, v in zip(at, new["pos"], new["sha"], new["h"], new["width"], new["height"])]
+        if not self.in_order:
+            yield self.rows(key, sorted(found, key=lambda r: r[:2]))
+            return
+        self.waiting.appendList(found)
+        self.handle.registerTimer(int(at.min()) + 1)
+        yield self.rows(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        last = self.last.get()[0] if self.last.exists() else 0
+        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:2])
+        due, later = [r for r in rows if r[0] < now], [r for r in rows if r[0] >= now]
+        runs: list[list[tuple]] = [[]]
+        for row in due:
+            if last and row[0] >= last + self.forget_ms:  # quiet for long before this row
+                runs.append([])
+            runs[-1].append(row)
+            last = max(last, row[0])
+        out = self.rows(key, runs[0])
+        for run in runs[1:]:
+            self.seen.clear()
+            self.sent.clear()
+            out = pd.concat([out, self.rows(key, run)])
+        self.waiting.clear()
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(later[0][0] + 1)
+            self.last.update((last,))
+        elif now >= last + self.forget_ms:  # nothing new for long: the site's state ends
+            for state in (self.seen, self.sent, self.last):
+                state.clear()
+        else:
+            self.last.update((last,))
+            self.handle.registerTimer(max(last, now) + self.forget_ms)
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def send_gate(images: DataFrame, site: str = "site", least_px: int = 200, near_bits: int = 4, late: str | None = "0 seconds", forget_hours: float = 24 * 90) -> DataFrame:
+    """(site, pos, sha, decision) as sequential.send_gate has them: sent, copy, small or near.
+
+    ``images``: site, pos, sha, h, width, height, ts.  With ``late`` rows wait
+    until the watermark has passed them and are decided in order of ts and pos;
+    a site's state ends when it has been quiet for ``forget_hours``.  Without
+    ``late`` rows are decided as they come, in order within a batch, and what the
+    gate remembers of an image lasts ``forget_hours`` of processing time.
+    A site's state is a map of its contents and one of the bands of sent hashes,
+    in the state store (RocksDB), never one object.
+    """
+    kind = images.schema[site].dataType.simpleString()
+    images = images.withColumn("h", F.col("h").cast("string"))  # digits: longs beside nulls would lose bits in pandas
+    forget_ms = int(forget_hours * 3_600_000)
+    schema = f"{site} {kind}, pos long, sha string, decision string"
+    if late is None:
+        return images.groupBy(site).transformWithStateInPandas(_Gate(site, near_bits, least_px, forget_ms, False, forget_ms), schema, "append", "ProcessingTime")
+    return images.withWatermark("ts", late).groupBy(site).transformWithStateInPandas(_Gate(site, near_bits, least_px, forget_ms, True, None), schema, "append", "EventTime")
+
+
+class _Reliability(StatefulProcessor):
+    """A provider's faded sums as of its newest time."""
+
+    def __init__(self, half_life: float):
+        self.half_life = half_life
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sums = handle.getValueState("sums", "good double, bad double, n long, anchor double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        good, bad, n, anchor = self.sums.get() if self.sums.exists() else (0.0, 0.0, 0, None)
+        for part in rows:
+            t, right = part["t"].to_numpy(float), part["correct"].to_numpy(bool)
+            newest = float(t.max()) if anchor is None else max(anchor, float(t.max()))
+            kept = 1.0 if anchor is None else 0.5 ** ((newest - anchor) / self.half_life)
+            # rows that come late are older than the anchor, and fade to it
+            w = 0.5 ** ((newest - t) / self.half_life)
+            good, bad, n, anchor = good * kept + float(w[right].sum()), bad * kept + float(w[~right].sum()), n + len(t), newest
+        self.sums.update((good, bad, n, anchor))
+        yield pd.DataFrame([(key[0], good, bad, n, anchor)], columns=["provider", "good", "bad", "n", "anchor"], dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def reliability(outcomes: DataFrame, half_life: float) -> DataFrame:
+    """After each batch (update mode) provider, good, bad, n, anchor, as sequential.bayes_checkpoint has them, each as of its own anchor.
+
+    ``outcomes``: provider, correct, t.  Rows may come in any order: the anchor
+    never moves back, and a row before it counts as faded.
+    """
+    kind = outcomes.schema["provider"].dataType.simpleString()
+    return outcomes.groupBy("provider").transformWithStateInPandas(_Reliability(half_life), f"provider {kind}, good double, bad double, n long, anchor double", "update", "None")
+
+
 def sessions(events: DataFrame) -> DataFrame:
     """Running groups after each batch (update mode): name, scans, agg_max, last_agg, hits.
 
