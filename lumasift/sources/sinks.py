@@ -24,16 +24,47 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) ->
 
 
 def write_archive(df: DataFrame, path: str) -> None:
-    """JSON lines in the place of what was there: written beside it, then renamed, so readers meet the old or the new one."""
+    """JSON lines as an archive's new content: a folder of its own, which a pointer file names once it is whole.
+
+    The pointer is replaced in one step, so read_archive() meets the old content
+    or the new one; the old folder stays for readers that are at it, and goes with
+    the write after the next.
+    """
     spark = df.sparkSession
-    draft = f"{path}.{uuid.uuid4().hex}"
-    df.write.json(draft)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    top = jvm.Path(path)
+    fs = top.getFileSystem(conf)
+    fs.mkdirs(top)
+    kept = [p.split("/")[-1] for p in (_archived(spark, path),) if p]
+    folder = uuid.uuid4().hex
+    df.write.json(f"{path}/{folder}")
+    draft = jvm.Path(f"{path}/_current.{folder}")
+    out = fs.create(draft, False)
+    out.write(bytearray(folder.encode()))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+    over[0] = jvm.Options.Rename.OVERWRITE
+    jvm.FileContext.getFileContext(fs.getUri(), conf).rename(draft, jvm.Path(f"{path}/_current"), over)
+    for status in fs.listStatus(top):
+        if status.isDirectory() and status.getPath().getName() not in (folder, *kept):
+            fs.delete(status.getPath(), True)
+
+
+def _archived(spark: SparkSession, path: str) -> str | None:
     of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    old, new = of(path), of(draft)
-    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"{draft} couldn't take the place of {path}")
+    pointer = of(f"{path}/_current")
+    if not pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(pointer):
+        return None
+    return f"{path}/{spark.read.option('wholetext', True).text(str(pointer.toString())).first()[0].strip()}"
+
+
+def read_archive(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """What write_archive() wrote last."""
+    folder = _archived(spark, path)
+    if folder is None:
+        raise FileNotFoundError(path)
+    return (spark.read.schema(schema) if schema else spark.read).json(folder)
 
 
 def markdown_report(title: str, tables: Mapping[str, DataFrame]) -> DataFrame:

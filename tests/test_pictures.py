@@ -194,7 +194,7 @@ def test_manifests_and_archives(spark, tmp_path):
     assert got == {k: report for k in ("manifest.json", "root.zip", "nested.zip")}
     for n in (3, 2):
         sinks.write_archive(spark.range(n), f"file://{tmp_path}/archive")
-        assert spark.read.json(f"file://{tmp_path}/archive").count() == n
+        assert sinks.read_archive(spark, f"file://{tmp_path}/archive").count() == n
     with pytest.raises(ValueError):
         sinks.markdown_report("t", {"big": spark.range(2000)})
     vp8 = b"RIFF\0\0\0\0WEBPVP8 " + b"\0" * 7 + b"\x9d\x01\x2a" + (640).to_bytes(2, "little") + (480).to_bytes(2, "little")
