@@ -185,6 +185,39 @@ def burst_path(gaps: np.ndarray, log_base: float, s: float, gamma: float, levels
     return best, path[::-1]
 
 
+def burst_paths(gaps: np.ndarray, lengths: np.ndarray, log_base: np.ndarray, s: float, gamma: float, levels: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The states of burst_path() for many keys at once: ``gaps`` of the keys in a row, the other arrays one value a key.
+
+    A step goes over all keys that are long enough; an ``end`` of -1 is the cheapest.
+    """
+    offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    log_rates = np.repeat(log_base, lengths)[:, None] + math.log(s) * np.arange(levels)[None, :]
+    costs = np.exp(log_rates + np.log(gaps)[:, None]) - log_rates
+    rise = np.array([[gamma * max(0, q - p) * math.log(s) for p in range(levels)] for q in range(levels)])
+    longest_first = np.argsort(-lengths, kind="stable")
+    lengths, offsets, end = lengths[longest_first], offsets[longest_first], end[longest_first]
+    best = np.where(np.arange(levels)[None, :] == begin[longest_first][:, None], 0.0, np.inf)
+    # how many keys have more than i gaps
+    active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0] if len(lengths) else 0), side="right")
+    back = np.zeros(costs.shape, np.int8)
+    for i, m in enumerate(active.tolist()):
+        options = best[:m, None, :] + rise[None, :, :]
+        rows = offsets[:m] + i
+        back[rows] = options.argmin(2)
+        best[:m] = options.min(2) + costs[rows]
+    state = np.where(end < 0, best.argmin(1), end)
+    path = np.zeros(len(gaps), np.int64)
+    for i, m in zip(range(len(active) - 1, -1, -1), active[::-1].tolist()):
+        rows = offsets[:m] + i
+        path[rows] = state[:m]
+        state[:m] = back[rows, state[:m]]
+    return path
+
+
+#: Distinct times that a task takes on, about, and those below which a part isn't worth a task.
+BURST_ROWS, BURST_LEAST = 100_000, 5_000
+
+
 def bursts(events: DataFrame, key: str, t: str, s: float = 2.0, gamma: float = 1.0, levels: int = 2, nested: bool = False, parts: int | None = None) -> DataFrame:
     """key, start, end, level, weight of each burst of a key's events (distinct times; two at least).
 
@@ -193,29 +226,27 @@ def bursts(events: DataFrame, key: str, t: str, s: float = 2.0, gamma: float = 1
     its time.  With ``nested`` a row is a longest run of state ``level`` or
     above, weighed against the level below: the tree of bursts within bursts.
 
-    Times are range-partitioned, so a key with very many events is many parts.
-    Each part gives its least cost from any first to any last state; a fold over
-    a key's parts fixes the states between them; then each part finds its path.
+    Times are range-partitioned into parts of alike size, and a call takes all
+    keys of a part as arrays.  Only a key in several parts needs more: each of
+    its parts gives its least cost from any first to any last state, and a fold
+    over these tables fixes the states between them.
     """
     kind = events.schema[key].dataType.simpleString()
-    times = events.select(F.col(key).alias("k"), F.col(t).cast("double").alias("t")).filter(F.col("t").isNotNull()).distinct()
-    ranged = times.repartitionByRange(parts, "k", "t") if parts else times.repartitionByRange("k", "t")
-    ranged = saved(ranged.withColumn("part", F.spark_partition_id()), "burst-times")
-    ends = saved(ranged.groupBy("k", "part").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n")), "burst-ends")
-    rate = ends.groupBy("k").agg(F.sum("n").alias("n"), (F.max("hi") - F.min("lo")).alias("total")).filter("n >= 2").select("k", (F.log("n") - F.log("total")).alias("log_base"))
-    before = F.lag("hi").over(Window.partitionBy("k").orderBy("part"))
-    heads = ends.withColumn("before", before).join(rate, "k").select("k", "part", "before", "log_base")
-    pieces = saved(ranged.join(heads, ["k", "part"]), "burst-pieces")
-
-    def gaps_of(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Times from the last one of the part before on, and their gaps."""
-        at = np.sort(pdf["t"].to_numpy())
-        first = pdf["before"].iloc[0]
-        at = at if pd.isna(first) else np.append(first, at)
-        return at, np.diff(at)
+    times = saved(events.select(F.col(key).alias("k"), F.col(t).cast("double").alias("t")).filter(F.col("t").isNotNull()).distinct(), "burst-distinct")
+    if parts is None:
+        n = times.count()
+        parts = max(-(-n // BURST_ROWS), min(events.sparkSession.sparkContext.defaultParallelism, -(-n // BURST_LEAST)), 1)
+    ranged = saved(times.repartitionByRange(parts, "k", "t").withColumn("part", F.spark_partition_id()), "burst-times")
+    ends = ranged.groupBy("k", "part").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n"))
+    whole = Window.partitionBy("k")  # a row a part that the key is in
+    n, total = F.sum("n").over(whole), F.max("hi").over(whole) - F.min("lo").over(whole)
+    ends = ends.withColumns({"before": F.lag("hi").over(whole.orderBy("part")), "all": n, "split": F.count("*").over(whole) > 1, "log_base": F.log(n) - F.log(total)})
+    heads = saved(ends.filter(F.col("all") >= 2).select(F.col("k").alias("of"), F.col("part").alias("in"), "before", "log_base", "split"), "burst-heads")
+    pieces = saved(ranged.join(heads, F.col("k").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in"))).drop("of", "in"), "burst-pieces")
 
     def through(pdf: pd.DataFrame) -> pd.DataFrame:
-        gaps = gaps_of(pdf)[1]
+        at, first = np.sort(pdf["t"].to_numpy()), pdf["before"].iloc[0]
+        gaps = np.diff(at if pd.isna(first) else np.append(first, at))
         costs = [burst_path(gaps, pdf["log_base"].iloc[0], s, gamma, levels, p)[0] for p in range(levels)]
         return pd.DataFrame({"k": [pdf["k"].iloc[0]], "part": [pdf["part"].iloc[0]], "costs": [sum(costs, [])]})
 
@@ -233,28 +264,64 @@ def bursts(events: DataFrame, key: str, t: str, s: float = 2.0, gamma: float = 1
         return pd.DataFrame(rows, columns=["k", "part", "begin_state", "end_state"])
 
     def runs(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, gaps = gaps_of(pdf)
-        log_base, log_s = pdf["log_base"].iloc[0], math.log(s)
-        path = burst_path(gaps, log_base, s, gamma, levels, int(pdf["begin_state"].iloc[0]), int(pdf["end_state"].iloc[0]))[1]
-        rows = []
+        codes = pd.factorize(pdf["k"], use_na_sentinel=False)[0]
+        order = np.lexsort([pdf["t"].to_numpy(), codes])
+        codes, at = codes[order], pdf["t"].to_numpy()[order]
+        head = np.append(True, codes[1:] != codes[:-1])
+        since = np.where(head, pdf["before"].to_numpy(float)[order], np.append(np.nan, at[:-1]))
+        # a gap ends at each time but the first of a key
+        held = ~np.isnan(since)
+        order, codes, at, since = order[held], codes[held], at[held], since[held]
+        if not len(order):
+            return pd.DataFrame(columns=["k", "part", "level", "start", "end", "top", "weight", "opens", "closes"])
+        gaps, head = at - since, np.append(True, codes[1:] != codes[:-1])
+        lengths = np.diff(np.append(np.flatnonzero(head), len(codes)))
+        of = lambda name, fill: pdf[name].fillna(fill).to_numpy()[order][head]
+        log_base = pdf["log_base"].to_numpy(float)[order]
+        path = burst_paths(gaps, lengths, log_base[head], s, gamma, levels, of("begin_state", 0).astype(int), of("end_state", -1).astype(int))
+        tail, log_s, found = np.append(head[1:], True), math.log(s), []
         for level in range(1, levels):
-            inside = np.array([q >= level for q in path], np.int8)
-            edge = np.diff(np.concatenate([[0], inside, [0]]))
-            for i, j in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
-                over = np.array(path[i:j]) - (level - 1)
-                saves = (over * log_s - np.exp(log_base + (level - 1) * log_s + np.log(gaps[i:j])) * np.expm1(over * log_s)).sum()
-                rows.append((pdf["k"].iloc[0], pdf["part"].iloc[0], level, at[i], at[j], max(path[i:j]), saves, i == 0, j == len(path)))
-        return pd.DataFrame(rows, columns=["k", "part", "level", "start", "end", "top", "weight", "opens", "closes"])
-
-    paths = pieces.groupBy("k", "part").applyInPandas(through, f"k {kind}, part int, costs array<double>").groupBy("k").applyInPandas(fold, f"k {kind}, part int, begin_state int, end_state int")
-    found = pieces.join(paths, ["k", "part"]).groupBy("k", "part").applyInPandas(runs, f"k {kind}, part int, level int, start double, end double, top int, weight double, opens boolean, closes boolean")
+            inside = path >= level
+            first = np.flatnonzero(inside & (head | ~np.append(False, inside[:-1])))
+            last = np.flatnonzero(inside & (tail | ~np.append(inside[1:], False)))
+            if not len(first):
+                continue
+            over = np.where(inside, path - (level - 1), 0)
+            saves = np.where(inside, over * log_s - np.exp(log_base + (level - 1) * log_s + np.log(gaps)) * np.expm1(over * log_s), 0.0)
+            bounds = np.column_stack([first, last + 1]).ravel()
+            sums = np.add.reduceat(np.append(saves, 0.0), bounds)[::2]
+            tops = np.maximum.reduceat(np.append(path, 0), bounds)[::2]
+            keys = pdf["k"].iloc[order[first]].reset_index(drop=True)
+            found.append(pd.DataFrame({"k": keys, "part": pdf["part"].iloc[0], "level": level, "start": since[first], "end": at[last], "top": tops, "weight": sums, "opens": head[first], "closes": tail[last]}))
+        return pd.concat(found) if found else pd.DataFrame(columns=["k", "part", "level", "start", "end", "top", "weight", "opens", "closes"])
+
+    split = pieces.filter("split").groupBy("k", "part").applyInPandas(through, f"k {kind}, part int, costs array<double>")
+    paths = saved(split.groupBy("k").applyInPandas(fold, f"k {kind}, part int, begin_state int, end_state int"), "burst-paths").withColumnsRenamed({"k": "of", "part": "in"})
+    held = pieces.join(paths, F.col("k").eqNullSafe(F.col("of")) & (F.col("part") == F.col("in")), "left").drop("of", "in")
+    found = held.repartition(parts, "part").groupBy("part").applyInPandas(runs, f"k {kind}, part int, level int, start double, end double, top int, weight double, opens boolean, closes boolean")
     found = saved(found if nested else found.filter("level = 1"), "burst-runs")
     # runs that reach a part's end go on in the next one
     order = Window.partitionBy("k", "level").orderBy("start")
     joins = F.coalesce(F.col("opens") & F.lag("closes").over(order) & (F.lag("end").over(order) == F.col("start")), F.lit(False))
     numbered = found.withColumn("fresh", F.when(joins, 0).otherwise(1)).withColumn("nth", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = numbered.groupBy("k", "level", "nth").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("top").alias("top"), F.sum("weight").alias("weight"))
-    return whole.select(F.col("k").alias(key), "start", "end", (F.col("level") if nested else F.col("top")).alias("level"), "weight")
+    joined = numbered.groupBy("k", "level", "nth").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("top").alias("top"), F.sum("weight").alias("weight"))
+    return joined.select(F.col("k").alias(key), "start", "end", (F.col("level") if nested else F.col("top")).alias("level"), "weight")
+
+
+def burst_tree(found: DataFrame, key: str, levels: int) -> DataFrame:
+    """Nested bursts (bursts() with ``nested``) with the start of their parent, a level below (null at level 1), and how many children they have.
+
+    A burst lies in one of the level below, the last that began by then: so the
+    sweep over begins is a running value, and a key's rows are sorted, not held.
+    """
+    order = Window.partitionBy(key).orderBy("start", "level").rowsBetween(Window.unboundedPreceding, -1)
+    parent = F.lit(None).cast("double")
+    for level in range(2, levels):
+        parent = F.when(F.col("level") == level, F.last(F.when(F.col("level") == level - 1, F.col("start")), ignorenulls=True).over(order)).otherwise(parent)
+    placed = found.withColumn("parent", parent)
+    born = placed.filter("parent IS NOT NULL").groupBy(F.col(key).alias("of"), (F.col("level") - 1).alias("at"), F.col("parent").alias("began")).agg(F.count("*").alias("children"))
+    met = F.col(key).eqNullSafe(F.col("of")) & (F.col("level") == F.col("at")) & (F.col("start") == F.col("began"))
+    return placed.join(born, met, "left").drop("of", "at", "began").withColumn("children", F.coalesce("children", F.lit(0)).cast("long"))
 
 
 def burst_factor(found: DataFrame, key: str, now: Column, half_life: float = 24.0) -> DataFrame:

@@ -343,6 +343,12 @@ def bursts_nested(spark, sf):
     return b.select("user_id", "start", "end", "level", q6(F.col("weight")).alias("weight"))
 
 
+def bursts_tree(spark, sf):
+    """Nested bursts with their parents and the number of their children."""
+    b = S.burst_tree(S.bursts(_times(spark, sf), "user_id", "t", levels=4, nested=True), "user_id", 4)
+    return b.select("user_id", "level", "start", "end", "parent", "children", q6(F.col("weight")).alias("weight"))
+
+
 def burst_factor_ttl(spark, sf):
     """Rescan times shortened by bursts, as of the last event."""
     e = _times(spark, sf)
@@ -527,6 +533,7 @@ QUERIES = {
     "gap_stats": (gap_stats, "SELECT user_id, count(*) AS gaps, min(gap) AS shortest, max(gap) AS longest, CAST(sum(gap) AS BIGINT) AS total FROM (SELECT user_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) - event_id AS gap FROM events) WHERE gap IS NOT NULL GROUP BY user_id"),
     "bursts": (bursts, None),
     "bursts_nested": (bursts_nested, None),
+    "bursts_tree": (bursts_tree, None),
     "burst_factor_ttl": (burst_factor_ttl, None),
     "ttl_calibration": (ttl_calibration, None),
     "first_rescans": (first_rescans, _iv("").strip() + _FIRST),

@@ -39,13 +39,14 @@ def write_archive(df: DataFrame, path: str) -> None:
     kept = [p.split("/")[-1] for p in (_archived(spark, path),) if p]
     folder = uuid.uuid4().hex
     df.write.json(f"{path}/{folder}")
-    draft = jvm.Path(f"{path}/_current.{folder}")
+    draft = jvm.Path(f"{path}/CURRENT.{folder}")
     out = fs.create(draft, False)
     out.write(bytearray(folder.encode()))
     out.close()
-    over = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
-    over[0] = jvm.Options.Rename.OVERWRITE
-    jvm.FileContext.getFileContext(fs.getUri(), conf).rename(draft, jvm.Path(f"{path}/_current"), over)
+    rename = getattr(jvm, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    jvm.FileContext.getFileContext(fs.getUri(), conf).rename(draft, jvm.Path(f"{path}/CURRENT"), over)
     for status in fs.listStatus(top):
         if status.isDirectory() and status.getPath().getName() not in (folder, *kept):
             fs.delete(status.getPath(), True)
@@ -53,7 +54,7 @@ def write_archive(df: DataFrame, path: str) -> None:
 
 def _archived(spark: SparkSession, path: str) -> str | None:
     of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    pointer = of(f"{path}/_current")
+    pointer = of(f"{path}/CURRENT")
     if not pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(pointer):
         return None
     return f"{path}/{spark.read.option('wholetext', True).text(str(pointer.toString())).first()[0].strip()}"

@@ -469,3 +469,25 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {r["site"]: (r["state"], r["used"]) for r in spark.read.schema("site long, state string, used long").parquet(str(tmp_path / "out")).collect()}
     batch = S.sprt(spark.createDataFrame(rows, schema), "site", "seq", F.col("p4") / 10000.0).collect()
     assert got == {r["site"]: (r["state"], r["used"]) for r in batch if r["state"] != "undecided"} and got[50] == ("clean", 2)
+
+
+def test_burst_tree_against_containment(spark):
+    """Parents are the one burst of the level below that holds a burst; a key has a third of the rows, in several parts."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(6):
+        at = 0.0
+        for _ in range(400 if k == 0 else 60):
+            at += rng.expovariate(rng.choice([0.05, 1.0, 20.0, 400.0]) if rng.random() < 0.3 else 1.0)
+            rows.append((None if k == 5 else k, at))
+    df = spark.createDataFrame(rows, "k long, t double")
+    found = S.bursts(df, "k", "t", levels=4, nested=True, parts=6)
+    one = S.bursts(df, "k", "t", levels=4, nested=True, parts=1)
+    shape = lambda d: sorted((str(r["k"]), r["level"], r["start"], r["end"], round(r["weight"], 6)) for r in d.collect())
+    assert shape(found) == shape(one)
+    tree = S.burst_tree(found, "k", 4).collect()
+    for r in tree:
+        over = [x for x in tree if x["k"] == r["k"] and x["level"] == r["level"] - 1 and x["start"] <= r["start"] and r["end"] <= x["end"]]
+        assert [x["start"] for x in over] == ([] if r["level"] == 1 else [r["parent"]])
+        assert r["children"] == sum(x["k"] == r["k"] and x["level"] == r["level"] + 1 and x["parent"] == r["start"] for x in tree)
+    assert {r["level"] for r in tree} == {1, 2, 3}
