@@ -60,19 +60,51 @@ def _bound(value: Column, use) -> Column:
 def canonical_key(url: Column) -> Column:
     """The registrable domain; hosts of one label and addresses stay; empty if unparseable.
 
-    Only the last two labels decide, so there is no loop.  Addresses of version
-    6 are lower-cased, not compressed.
+    Only the last two labels decide, so there is no loop.  Addresses of version 6
+    are compressed, so all their forms share a key.
     """
     return _bound(host(url), key_of_host)
 
 
+def compressed(name: Column) -> Column:
+    """An address of version 6 in its shortest form; what is none stays as it is.
+
+    ``::`` stands for as many zero groups as are missing; then the first of the
+    longest runs of two or more zero groups becomes ``::``, and leading zeros go.
+    """
+    # a dotted end is two groups
+    tail = r"^(.*:)(25[0-5]|2[0-4]\d|1?\d?\d)\.(25[0-5]|2[0-4]\d|1?\d?\d)\.(25[0-5]|2[0-4]\d|1?\d?\d)\.(25[0-5]|2[0-4]\d|1?\d?\d)$"
+    byte = lambda k: F.coalesce(F.regexp_extract(name, tail, k).try_cast("int"), F.lit(0))
+    pair = lambda a, b: F.lower(F.hex(byte(a) * 256 + byte(b)))
+    plain = F.when(name.rlike(tail), F.concat(F.regexp_extract(name, tail, 1), pair(2, 3), F.lit(":"), pair(4, 5))).otherwise(name)
+
+    def groups(text: Column) -> Column:
+        return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":"))
+
+    def filled(x: Column) -> Column:
+        left, right = groups(x[0]), groups(F.coalesce(F.get(x, 1), F.lit("")))
+        missing = 8 - F.size(left) - F.size(right)
+        whole = F.when(F.size(x) == 1, left).when((F.size(x) == 2) & (missing >= 1), F.concat(left, F.array_repeat(F.lit("0"), missing), right))
+        sound = (F.size(whole) == 8) & F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(sound, F.transform(whole, lambda g: F.regexp_replace(g, "^0+(?=.)", "")))
+
+    def short(g: Column) -> Column:
+        marks = F.array_join(F.transform(g, lambda x: F.when(x == "0", "z").otherwise("x")), "")
+        cut = lambda at, n: F.concat(F.array_join(F.slice(g, F.lit(1), at - 1), ":"), F.lit("::"), F.array_join(F.slice(g, at + n, F.lit(8)), ":"))
+        runs = [F.when(F.instr(marks, "z" * n) > 0, cut(F.instr(marks, "z" * n), n)) for n in range(8, 1, -1)]
+        return F.coalesce(*runs, F.array_join(g, ":"))
+
+    return _bound(F.split(plain, "::"), lambda x: _bound(filled(x), lambda g: F.coalesce(F.when(g.isNotNull(), short(g)), name)))
+
+
 def key_of_host(name: Column) -> Column:
     labels = F.split(name, r"\.")
     n = F.size(labels)
     last2 = F.concat_ws(".", F.slice(labels, -2, 2))
     tail = lambda k: F.concat_ws(".", F.slice(labels, -k, k))
     return (
-        F.when((n == 1) | is_ip(name) | name.rlike(r"(^|\.)(\.|$)"), name)
+        F.when(name.contains(":"), compressed(name))
+        .when((n == 1) | is_ip(name) | name.rlike(r"(^|\.)(\.|$)"), name)
         .when((n >= 3) & last2.isin(*MULTI_SUFFIXES), tail(3))
         .when(F.element_at(labels, -1).rlike(r"^[a-z]{2,}$"), tail(2))
         .otherwise(name)

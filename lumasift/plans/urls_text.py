@@ -228,7 +228,28 @@ def image_links(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.size(T.image_sources(F.col("html"))).cast("long").alias("images"), F.size(T.hrefs(F.col("html"))).cast("long").alias("links"))
 
 
+def address_keys(spark, sf):
+    """Keys of addresses of version 6 made from page ids: padded, and with their first zero group left out."""
+    g = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(F.pmod(F.col("page_id") * (i + 3), F.lit(5)) < 2, F.lit(0)).otherwise(F.pmod(F.col("page_id") * 7919 * (i + 1) + i, F.lit(65536))).cast("long"))
+    pages = table(spark, sf, "pages").select("page_id", g.alias("g"))
+    long = F.array_join(F.transform("g", lambda x: F.format_string("%04X", x)), ":")
+    zero = F.array_position(F.col("g"), F.lit(0).cast("long")).cast("int")
+    bare = F.transform("g", lambda x: F.lower(F.hex(x)))
+    short = F.when(zero > 0, F.concat(F.array_join(F.slice(bare, F.lit(1), zero - 1), ":"), F.lit("::"), F.array_join(F.slice(bare, zero + 1, F.lit(8)), ":"))).otherwise(F.array_join(bare, ":"))
+    key = lambda text: U.canonical_key(F.concat(F.lit("http://["), text, F.lit("]:8080/x")))
+    return pages.select("page_id", key(long).alias("key"), key(short).alias("key_short"))
+
+
+_ADDRESSES = f"""
+WITH g AS (SELECT page_id, list_transform(range(8), lambda i: CASE WHEN page_id * (i + 3) % 5 < 2 THEN 0 ELSE (page_id * 7919 * (i + 1) + i) % 65536 END) AS g FROM pages),
+m AS (SELECT page_id, list_transform(g, lambda x: format('{{:x}}', x)) AS t, list_aggregate(list_transform(g, lambda x: CASE WHEN x = 0 THEN 'z' ELSE 'x' END), 'string_agg', '') AS marks FROM g),
+r AS (SELECT *, CASE {' '.join(f"WHEN contains(marks, '{'z' * n}') THEN {n}" for n in range(8, 1, -1))} ELSE 0 END AS n FROM m),
+k AS (SELECT page_id, CASE WHEN n = 0 THEN array_to_string(t, ':') ELSE array_to_string(t[: instr(marks, repeat('z', n)) - 1], ':') || '::' || array_to_string(t[instr(marks, repeat('z', n)) + n :], ':') END AS key FROM r)
+SELECT page_id, key, key AS key_short FROM k
+"""
+
 QUERIES = {
+    "address_keys": (address_keys, _ADDRESSES),
     "canonical_urls": (canonical_urls, _keyed("SELECT page_id, host, key, coalesce(nullif(key, ''), substr(url, 1, 80)) AS name FROM keyed")),
     "alias_labels": (alias_labels, _keyed(_ALIAS)),
     "url_risk": (url_risk, _keyed(_RISK)),

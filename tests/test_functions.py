@@ -73,3 +73,23 @@ def test_ngrams_of_short_texts(spark):
     df = spark.createDataFrame([(1, "ab"), (2, "a"), (3, None), (4, "abab")], "id long, text string")
     got = {(r["id"], r["gram"]): r["c"] for r in T.char_ngrams(df, "id", F.col("text")).collect()}
     assert got == {(1, "ab"): 1, (4, "ab"): 2, (4, "ba"): 1, (4, "aba"): 1, (4, "bab"): 1}
+
+
+def test_addresses_of_version_6(spark):
+    import ipaddress
+    import random
+
+    from lumasift.functions import url as U
+
+    rng, rows = random.Random(6), []
+    for _ in range(300):
+        a = ipaddress.IPv6Address(sum((0 if rng.random() < 0.5 else rng.getrandbits(16)) << (16 * k) for k in range(8)))
+        rows += [(a.exploded.upper(), a), (str(a), a)]
+    rows = [(t, ":".join(str(a).split(":")) if "." not in str(a) else None) for t, a in rows]
+    rows = [(t, want) for t, want in rows if want]
+    odd = ["::", "::1", "1::", "2001:DB8:0:0:1:0:0:1", "fe80::1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8", "::2:3:4:5:6:7:8"]
+    rows += [(t, str(ipaddress.IPv6Address(t)) if t != "fe80::1:2:3:4:5:6:7" else "fe80:0:1:2:3:4:5:6") for t in odd if t != "fe80::1:2:3:4:5:6:7"]
+    rows += [("64:ff9b::192.0.2.33", "64:ff9b::c000:221"), ("1:2:3", "1:2:3"), ("1::2::3", "1::2::3"), ("g::1", "g::1"), ("1:2:3:4:5:6:7::8:9", "1:2:3:4:5:6:7::8:9"), ("12345::", "12345::")]
+    df = spark.createDataFrame([(f"http://[{t}]/a", want) for t, want in rows], "url string, want string")
+    got = df.select("url", "want", U.canonical_key(F.col("url")).alias("key")).collect()
+    assert [(r["url"], r["key"]) for r in got] == [(r["url"], r["want"]) for r in got]
