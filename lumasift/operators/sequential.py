@@ -32,6 +32,39 @@ def sprt(scores: DataFrame, key: str, order: str, p: Column, alpha: float = 0.05
     return crossed.groupBy(key).agg(F.coalesce(F.min_by("state", hit), F.lit("undecided")).alias("state"), F.coalesce(F.min(hit), F.max("n")).alias("used"))
 
 
+def next_images(scores: DataFrame, key: str, image: str, p: Column, max_send: int = 8, budget: int | None = None, alpha: float = 0.05, beta: float = 0.05) -> DataFrame:
+    """key, image, nth, state: images to look at, the least certain of a key first, until its test settles.
+
+    A key sends at most ``max_send``; ``state`` is its test's after the image.
+    A ``budget`` over all keys is spent in rounds: every open key's next image,
+    keys in order, as long as it lasts.  Only a key's first images are ranked on,
+    and rounds are numbered by counts, so neither a large key nor a large round is
+    sorted by one task beyond its ``max_send`` rows.
+    """
+    # distances that differ in rounding alone are ties, which go to the smaller image
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.round(F.abs(F.col("p") - 0.5), 9), image))
+    first = scores.select(key, image, p.alias("p")).withColumn("nth", rank).filter(F.col("nth") <= max_send)
+    x = F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col("p")))
+    up, down = math.log((1 - beta) / alpha), math.log(beta / (1 - alpha))
+    llr = x * F.lit(math.log(0.9 / 0.5)) + (1 - x) * F.lit(math.log((1 - 0.9) / (1 - 0.5)))
+    before = Window.partitionBy(key).orderBy("nth")
+    run = first.withColumn("total", F.sum(llr).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    run = run.withColumn("state", F.when(F.col("total") >= up, "nsfw").when(F.col("total") <= down, "clean").otherwise("continue"))
+    settled = F.coalesce(F.max(F.when(F.col("state") != "continue", 1).otherwise(0)).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sent = run.withColumn("settled", settled).filter("settled = 0").select(key, image, "nth", "state")
+    if budget is None:
+        return sent
+    sent = saved(sent, "next-images")
+    rounds = sent.groupBy("nth").count().orderBy("nth").collect()  # one row a round, max_send at most
+    left, whole = budget, 0
+    for r in rounds:
+        if r["count"] > left:
+            break
+        left, whole = left - r["count"], r["nth"]
+    last = sent.filter(F.col("nth") == whole + 1).orderBy(key).limit(left) if left else sent.limit(0)
+    return sent.filter(F.col("nth") <= whole).unionByName(last)
+
+
 def confidence_sequence(scores: DataFrame, key: str, order: str, p: Column, delta: float = 0.05) -> DataFrame:
     """Running mean with the stitched radius after each score."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -314,14 +314,14 @@ def prometheus_text(spark, sf):
     lines = counts.select(F.concat(T.metric_name(F.concat(F.lit("event."), F.col("event_type"))), F.lit("_total "), F.col("n").cast("string")).alias("line"))
     timers = L.timer_stats(V.table(spark, sf, "events").select("event_type", "event_id", F.floor(F.col("value") * 100 + 0.5).cast("long").alias("v")), "event_type", "event_id", "v")
     name = T.metric_name(F.concat(F.lit("timer."), F.col("event_type")))
-    gauges = timers.select(F.explode(F.array(F.concat(name, F.lit("_count "), F.col("n").cast("string")), F.concat(name, F.lit("_p95 "), F.col("p95").cast("string")), F.concat(name, F.lit("_max "), F.col("max").cast("string")))).alias("line"))
+    gauges = timers.select(F.explode(F.array(F.concat(name, F.lit("_count "), F.col("n").cast("string")), F.concat(name, F.lit("_avg "), (F.floor(F.col("mean") * 1000 + 0.5) / 1000).cast("decimal(20,3)").cast("string")), F.concat(name, F.lit("_p95 "), F.col("p95").cast("string")), F.concat(name, F.lit("_max "), F.col("max").cast("string")))).alias("line"))
     return lines.unionByName(gauges).orderBy("line")
 
 
 _PROM = f"""
 WITH t AS ({_P95})
 SELECT 'event_' || regexp_replace(event_type, '[^a-zA-Z0-9_:]', '_', 'g') || '_total ' || count(*) AS line FROM events GROUP BY event_type
-UNION ALL SELECT unnest(['timer_' || event_type || '_count ' || n, 'timer_' || event_type || '_p95 ' || p95, 'timer_' || event_type || '_max ' || max]) FROM t
+UNION ALL SELECT unnest(['timer_' || event_type || '_count ' || n, 'timer_' || event_type || '_avg ' || CAST(floor(mean * 1000 + 0.5) / 1000 AS DECIMAL(20, 3)), 'timer_' || event_type || '_p95 ' || p95, 'timer_' || event_type || '_max ' || max]) FROM t
 """
 
 

@@ -29,6 +29,25 @@ SELECT site, coalesce(arg_min(state, n) FILTER (WHERE state IS NOT NULL), 'undec
 """
 
 
+def next_images(spark, sf):
+    """Images that sites' tests take, least certain first, six a site at most."""
+    return S.next_images(V.image_score(spark, sf), "site", "seq", prob(), 6)
+
+
+def next_images_budget(spark, sf):
+    """As next_images, with one image for every three rows of the table in all: rounds over all sites."""
+    scores = V.image_score(spark, sf)
+    return S.next_images(scores, "site", "seq", prob(), 6, budget=scores.count() // 3)
+
+
+_NEXT = """
+WITH k AS (SELECT site, seq, row_number() OVER (PARTITION BY site ORDER BY abs(p4 - 5000), seq) AS nth, greatest(0.01::DOUBLE, least(0.99::DOUBLE, p4 / 10000.0::DOUBLE)) AS x FROM iv),
+r AS (SELECT *, sum(x * ln(0.9::DOUBLE / 0.5) + (1 - x) * ln((1 - 0.9::DOUBLE) / (1 - 0.5))) OVER (PARTITION BY site ORDER BY nth ROWS UNBOUNDED PRECEDING) AS total FROM k WHERE nth <= 6),
+s AS (SELECT site, seq, CAST(nth AS INTEGER) AS nth, CASE WHEN total >= ln(0.95::DOUBLE / 0.05) THEN 'nsfw' WHEN total <= ln(0.05::DOUBLE / 0.95) THEN 'clean' ELSE 'continue' END AS state FROM r),
+n AS (SELECT *, coalesce(max(CASE WHEN state <> 'continue' THEN 1 ELSE 0 END) OVER (PARTITION BY site ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS settled FROM s)
+"""
+
+
 def conf_sequence(spark, sf):
     c = S.confidence_sequence(V.image_score(spark, sf), "site", "seq", prob())
     return c.select("site", "seq", "n", q6(F.col("mean")).alias("mean"), q6(F.col("radius")).alias("radius"))
@@ -531,6 +550,8 @@ QUERIES = {
     "volatility_interval": (volatility_interval, _iv(_VOL)),
     "rescan_decisions": (rescan_decisions, _iv("SELECT site, reason IS NOT NULL AS due, coalesce(reason, 'fresh') AS reason FROM (SELECT site, CASE WHEN before4 IS NULL THEN 'first' WHEN abs(now4 - before4) >= 3000 THEN 'changed' WHEN seq < (SELECT max(seq) * 0.9::DOUBLE FROM iv) THEN 'ttl' END AS reason FROM (SELECT site, max(p4) FILTER (WHERE back = 1) AS now4, max(p4) FILTER (WHERE back = 2) AS before4, max(seq) AS seq FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY seq DESC) AS back FROM iv) WHERE back <= 2 GROUP BY site))")),
     "gap_stats": (gap_stats, "SELECT user_id, count(*) AS gaps, min(gap) AS shortest, max(gap) AS longest, CAST(sum(gap) AS BIGINT) AS total FROM (SELECT user_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) - event_id AS gap FROM events) WHERE gap IS NOT NULL GROUP BY user_id"),
+    "next_images": (next_images, _iv(_NEXT + "SELECT site, seq, nth, state FROM n WHERE settled = 0")),
+    "next_images_budget": (next_images_budget, _iv(_NEXT + "SELECT site, seq, nth, state FROM (SELECT *, row_number() OVER (ORDER BY nth, site) AS place FROM n WHERE settled = 0) WHERE place <= (SELECT count(*) // 3 FROM iv)")),
     "bursts": (bursts, None),
     "bursts_nested": (bursts_nested, None),
     "bursts_tree": (bursts_tree, None),

@@ -491,3 +491,31 @@ def test_burst_tree_against_containment(spark):
         assert [x["start"] for x in over] == ([] if r["level"] == 1 else [r["parent"]])
         assert r["children"] == sum(x["k"] == r["k"] and x["level"] == r["level"] + 1 and x["parent"] == r["start"] for x in tree)
     assert {r["level"] for r in tree} == {1, 2, 3}
+
+
+def test_next_images_against_a_loop(spark):
+    rng = random.Random(12)
+    rows = [(s, i, rng.choice([0.02, 0.5, 0.97, rng.random()])) for s in range(9) for i in range(rng.randrange(1, 15))]
+    df = spark.createDataFrame(rows, "site long, image long, p double")
+
+    def loop(most):
+        found = {}
+        for s in range(9):
+            total, own = 0.0, []
+            for _, i, p in sorted((round(abs(p - 0.5), 9), i, p) for k, i, p in rows if k == s)[:most]:
+                x = min(0.99, max(0.01, p))
+                total += x * math.log(0.9 / 0.5) + (1 - x) * math.log(0.1 / 0.5)
+                own.append(i)
+                if total >= math.log(19) or total <= -math.log(19):
+                    break
+            found[s] = own
+        return found
+
+    for most in (1, 5, 20):
+        want = loop(most)
+        got = S.next_images(df, "site", "image", F.col("p"), most).orderBy("site", "nth").collect()
+        assert {s: [r["image"] for r in got if r["site"] == s] for s in range(9)} == want
+        for budget in (0, 4, 17, 10_000):
+            spent = [(n, s, i) for s, own in want.items() for n, i in enumerate(own)]
+            cut = S.next_images(df, "site", "image", F.col("p"), most, budget).collect()
+            assert sorted((r["nth"] - 1, r["site"], r["image"]) for r in cut) == sorted(spent)[:budget]
