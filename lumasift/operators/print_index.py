@@ -8,7 +8,7 @@ pair counts in the first table that it meets in, so nothing needs a distinct.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lumasift.operators.similarity import flips, hamming, table_masks
@@ -42,12 +42,17 @@ class PrintIndex:
         # a task writes whole buckets, so a batch adds a file a bucket
         rows.select("t", "key", "other", "h2").repartition(self.buckets, "t", "key").write.format("parquet").bucketBy(self.buckets, "t", "key").sortBy("t", "key").mode("append").saveAsTable(self.name)
 
-    def search(self, queries: DataFrame, d: int, probes: int = 2) -> DataFrame:
-        """(sha, other, distance) of fingerprints within d bits of each query (sha, h) that a probe meets."""
+    def search(self, queries: DataFrame, d: int, probes: int = 2, observed: Observation | None = None) -> DataFrame:
+        """(sha, other, distance) of fingerprints within d bits of each query (sha, h) that a probe meets.
+
+        ``observed`` gets the pairs that were met (``met``) when the search runs.
+        """
         masks = F.array(*[F.lit(x).cast("long") for x in flips(self.key_bits, probes)])
         asked = queries.filter(F.col("h").isNotNull()).select("sha", "h", F.inline(self._keys(F.col("h"))))
         asked = asked.select("sha", "h", "t", F.explode(F.transform(masks, lambda m: F.col("key").bitwiseXOR(m))).alias("key"))
-        near = asked.join(self.spark.table(self.name).hint("merge"), ["t", "key"]).filter(hamming(F.col("h"), F.col("h2")) <= d)
+        met = asked.join(self.spark.table(self.name).hint("merge"), ["t", "key"])
+        met = met if observed is None else met.observe(observed, F.count(F.lit(1)).alias("met"))
+        near = met.filter(hamming(F.col("h"), F.col("h2")) <= d)
         diff = F.col("h").bitwiseXOR(F.col("h2"))
         first = F.array_position(F.array(*[F.bit_count(key_of(diff, bits)) <= probes for bits in self.masks]), F.lit(True)) - 1
         return near.filter(first == F.col("t")).select("sha", "other", hamming(F.col("h"), F.col("h2")).alias("distance"))

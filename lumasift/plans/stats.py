@@ -35,9 +35,9 @@ def next_images(spark, sf):
 
 
 def next_images_budget(spark, sf):
-    """As next_images, with one image for every three rows of the table in all: rounds over all sites."""
+    """As next_images, with one image for every twenty rows of the table in all: rounds over all sites."""
     scores = V.image_score(spark, sf)
-    return S.next_images(scores, "site", "seq", prob(), 6, budget=scores.count() // 3)
+    return S.next_images(scores, "site", "seq", prob(), 6, budget=scores.count() // 20)
 
 
 _NEXT = """
@@ -551,7 +551,7 @@ QUERIES = {
     "rescan_decisions": (rescan_decisions, _iv("SELECT site, reason IS NOT NULL AS due, coalesce(reason, 'fresh') AS reason FROM (SELECT site, CASE WHEN before4 IS NULL THEN 'first' WHEN abs(now4 - before4) >= 3000 THEN 'changed' WHEN seq < (SELECT max(seq) * 0.9::DOUBLE FROM iv) THEN 'ttl' END AS reason FROM (SELECT site, max(p4) FILTER (WHERE back = 1) AS now4, max(p4) FILTER (WHERE back = 2) AS before4, max(seq) AS seq FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY seq DESC) AS back FROM iv) WHERE back <= 2 GROUP BY site))")),
     "gap_stats": (gap_stats, "SELECT user_id, count(*) AS gaps, min(gap) AS shortest, max(gap) AS longest, CAST(sum(gap) AS BIGINT) AS total FROM (SELECT user_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) - event_id AS gap FROM events) WHERE gap IS NOT NULL GROUP BY user_id"),
     "next_images": (next_images, _iv(_NEXT + "SELECT site, seq, nth, state FROM n WHERE settled = 0")),
-    "next_images_budget": (next_images_budget, _iv(_NEXT + "SELECT site, seq, nth, state FROM (SELECT *, row_number() OVER (ORDER BY nth, site) AS place FROM n WHERE settled = 0) WHERE place <= (SELECT count(*) // 3 FROM iv)")),
+    "next_images_budget": (next_images_budget, _iv(_NEXT + "SELECT site, seq, nth, state FROM (SELECT *, row_number() OVER (ORDER BY nth, site) AS place FROM n WHERE settled = 0) WHERE place <= (SELECT count(*) // 20 FROM iv)")),
     "bursts": (bursts, None),
     "bursts_nested": (bursts_nested, None),
     "bursts_tree": (bursts_tree, None),

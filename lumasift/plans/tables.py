@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lumasift.operators import checks as C
 from lumasift.operators import exact as E
 from lumasift.operators.print_index import PrintIndex
 from lumasift.operators.similarity import self_join, table_masks
+from lumasift.operators import vision as P
 from lumasift.plans.decision import q6, sql6
 from lumasift.plans.sql_views import with_views
+from lumasift.plans.streams import _settings
 from lumasift.scratch import fresh_path, saved
+from lumasift.sources import archives as Z
 from lumasift.sources import views as V
 from lumasift.sources.keyed import KeyedTable
 
@@ -87,7 +95,76 @@ b AS (SELECT id, CASE WHEN status = 'submitted' AND agg4 < 3000 THEN 'closed' EL
 SELECT * FROM b UNION ALL SELECT id, 'back', agg4 FROM entries WHERE id % 14 = 0
 """
 
+def kernel_checks(spark, sf):
+    """Kernels run on the tables, their measured work against baselines."""
+    prints = saved(V.fingerprints(spark, sf).select("sha", "h"), "check-prints")
+    index = PrintIndex(spark, f"prints_{uuid.uuid4().hex}", fresh_path(spark, "check-index"), buckets=16)
+    index.add(prints)
+    scores = saved(V.image_score(spark, sf).select("site", "model", "seq"), "check-scores")
+    place = F.row_number().over(Window.partitionBy("model").orderBy("seq"))
+    images = scores.withColumn("nth", place).filter("nth <= 20").select(F.col("model").alias("key"), "nth")
+    emb = V.table(spark, sf, "embeddings").filter("vec_id < 64").select("vec_id", F.posexplode("embedding").alias("at", "v"))
+    square = emb.filter("at < 64").select(F.col("vec_id").alias("i"), F.col("at").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
+    texts = V.table(spark, sf, "documents").select(F.concat(F.lit("泛滥成灾"), "text", F.lit("铺天盖地")).alias("text"))
+    edges = V.media(spark, sf).select(F.concat(F.lit("s"), F.col("site").cast("string")).alias("a"), F.concat(F.lit("m"), F.col("media").cast("string")).alias("b"))
+    items = scores.withColumn("nth", place).filter("nth <= 10").select(F.col("model").alias("key"), F.col("seq").alias("id"), F.col("seq").cast("double").alias("value"), F.lit(1.0).alias("cost"))
+    checks = [
+        C.Check("lsh", "compared share", 1.0, False, lambda: C.lsh_compares(index, prints, 8)),
+        C.Check("sprt", "images used", 20.0, False, lambda: C.sprt_used(images)),
+        C.Check("reliability", "good weight", 0.5, True, lambda: C.good_weight(scores.select(F.col("seq").cast("double").alias("t")))),
+        C.Check("matmul", "multiply-adds", 262144.0, None, lambda: C.multiply_adds(square)),
+        C.Check("style", "hype words", 0.0, None, lambda: C.hype_left(texts)),
+        C.Check("components", "edges within", 1.0, None, lambda: C.edges_within(edges)),
+        C.Check("scheduler", "picked", 4.0, None, lambda: C.picked(items, 4.0)),
+    ]
+    try:
+        return C.run(spark, checks).select("kernel", "metric", q6(F.col("value")).alias("value"), "baseline", "status")
+    finally:
+        index.drop()
+
+
+_CHECKS = f"""
+, n AS (SELECT count(*)::DOUBLE AS n FROM fingerprints),
+m AS (SELECT count(*) AS met FROM fingerprints a, fingerprints b, (SELECT unnest({_MASKS}) AS m) k WHERE list_sum(list_transform(m, lambda x: get_bit(xor(a.h, b.h), x::INTEGER))) <= 2),
+y AS (SELECT event_id::DOUBLE AS t, event_id % 2 = 0 AS even FROM events),
+g AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (even)::DOUBLE AS good FROM y),
+p AS (SELECT n, good, (1 + n + good) / (2 + 2 * n) AS pool, 10 / (10 + n) AS share FROM g),
+w AS (SELECT (1 - share) * (1 + n) / (2 + n) + share * pool AS a, (1 - share) * (1 + good) / (2 + n) + share * pool AS b FROM p),
+x AS (SELECT 'lsh' AS kernel, 'compared share' AS metric, met / (n * n) AS value, 1.0::DOUBLE AS baseline FROM m, n
+  UNION ALL SELECT 'sprt', 'images used', 2.0, 20.0 UNION ALL SELECT 'reliability', 'good weight', a / (a + b), 0.5 FROM w
+  UNION ALL SELECT 'matmul', 'multiply-adds', (SELECT sum(len(embedding))::DOUBLE * 64 FROM embeddings WHERE vec_id < 64), 262144.0
+  UNION ALL SELECT 'style', 'hype words', 0.0, 0.0 UNION ALL SELECT 'components', 'edges within', 1.0, 1.0 UNION ALL SELECT 'scheduler', 'picked', 4.0, 4.0)
+SELECT kernel, metric, {sql6('value')} AS value, baseline, 'pass' AS status FROM x
+"""
+
+
+def picture_archives(spark, sf):
+    """Members of archives that this query wrote, of 40 pixels' width or more, with the sum of their pixels."""
+    folder = fresh_path(spark, "archives")
+    emb = V.table(spark, sf, "embeddings").select(F.col("vec_id").cast("long").alias("id"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            data = [Z.png(((np.arange((16 + i % 48) * (8 + i % 5)) + i) % 256).reshape(8 + i % 5, 16 + i % 48).astype(np.uint8)) for i in ids]
+            yield pa.RecordBatch.from_pydict({"archive": [f"a{i % 7}.zip" for i in ids], "member": [f"p{i}.png" for i in ids], "data": data})
+
+    Z.write_archives(emb.mapInArrow(draw, "archive string, member string, data binary"), folder)
+    with _settings(spark, Z.PUSHDOWN):
+        found = saved(Z.read_archives(spark, folder).filter(F.col("width") >= 40).select("archive", F.col("member").alias("path"), F.col("data").alias("content")), "archive-members")
+    pixels = P.decoded(found.select("path", "content"))
+    total = F.aggregate(F.sequence(F.lit(1), F.length("rgb"), F.lit(3)), F.lit(0).cast("long"), lambda s, k: s + F.conv(F.hex(F.substring("rgb", k, 1)), 16, 10).cast("long"))
+    return pixels.select(F.col("path").alias("member"), "width", "height", total.alias("total"))
+
+
+_ARCHIVES = """
+SELECT 'p' || vec_id || '.png' AS member, CAST(16 + vec_id % 48 AS INTEGER) AS width, CAST(8 + vec_id % 5 AS INTEGER) AS height,
+  CAST(list_sum(list_transform(range((16 + vec_id % 48) * (8 + vec_id % 5)), lambda i: (i + vec_id) % 256)) AS BIGINT) AS total FROM embeddings WHERE 16 + vec_id % 48 >= 40
+"""
+
 QUERIES = {
+    "kernel_checks": (kernel_checks, with_views("", "FINGERPRINTS").strip() + _CHECKS),
+    "picture_archives": (picture_archives, _ARCHIVES),
     "exact_sums": (exact_sums, with_views("SELECT site, sum(p4)::DOUBLE / 8192.0::DOUBLE AS total FROM image_score GROUP BY site", "IMAGE_SCORE")),
     "exact_ensemble": (exact_ensemble, with_views("", "IMAGE_SCORE").strip() + _ENSEMBLE),
     "print_index": (print_index, with_views("", "FINGERPRINTS").strip() + _INDEX),
