@@ -41,12 +41,18 @@ def shared_media(rows: DataFrame, site: str = "site", media: str = "media", bloc
     return _weighted(pairs, own)
 
 
-def shared_media_of(rows: DataFrame, touched: DataFrame, site: str = "site", media: str = "media") -> DataFrame:
-    """As shared_media, only pairs with a touched site (column site): their media are joined, not all."""
-    own = rows.select(F.col(site).alias("a"), F.col(media).alias("m")).distinct()
-    mine = own.join(touched.select(F.col("site").alias("a")).distinct(), "a", "left_semi")
-    other = own.select(F.col("a").alias("b"), "m")
-    met = mine.join(other, "m").filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "m").distinct()
+def shared_media_of(rows: DataFrame, touched: DataFrame, site: str = "site", media: str = "media", block: int = MEDIA_BLOCK) -> DataFrame:
+    """As shared_media, only pairs with a touched site (column site): their media are joined, not all.
+
+    The sites of a medium are dealt to blocks, and a touched site meets each of
+    them, so a medium that very many sites share is many small tasks.
+    """
+    own = saved(rows.select(F.col(site).alias("a"), F.col(media).alias("m")).distinct(), "media-own")
+    blocks = own.groupBy("m").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    mine = own.join(touched.select(F.col("site").alias("a")).distinct(), "a", "left_semi").join(blocks, "m")
+    mine = mine.select("a", "m", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("cell"))
+    other = own.join(blocks, "m").select(F.col("a").alias("b"), "m", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("cell"))
+    met = mine.join(other, ["m", "cell"]).filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "m").distinct()
     return _weighted(met.groupBy("a", "b").agg(F.count("*").alias("shared")), own)
 
 

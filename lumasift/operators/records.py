@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumasift.operators.audit import leaf_hash
+from lumasift.operators.ranks import numbered
 from lumasift.scratch import saved
 
 #: Hyperbole, what replaces it, words of promise, and marks of a formal text.
@@ -60,7 +61,8 @@ def search_models(models: DataFrame, words: str, prefer: Sequence[str] = ()) ->
     for w in words.lower().split():
         models = models.filter(F.lower("name").contains(w))
     rank = F.size(F.filter(F.array(*map(F.lit, prefer)), lambda p: F.contains(F.lower(F.col("name")), p))) if prefer else F.lit(0)
-    return models.withColumn("rank", rank).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("rank"), F.desc("vision"), "name")))
+    ranked = numbered(models.withColumn("rank", rank), [], [F.desc("rank"), F.desc("vision"), F.asc("name")], "models")
+    return ranked.withColumn("place", (F.col("i") + 1).cast("int")).drop("i", "n")
 
 
 def is_vision(name: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumasift.operators import decision as D
+from lumasift.operators import ranks as K
 from lumasift.operators import sequential as S
 from lumasift.plans.decision import q6, sql6
 from lumasift.plans.sql_views import ENTRIES, with_views
@@ -222,7 +223,7 @@ def conformal_selected(spark, sf):
 
 def _drift_histograms(spark, sf):
     e = V.image_score(spark, sf)
-    half = e.groupBy("model").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY seq)").alias("mid"))
+    half = K.discrete_percentile(e, ["model"], "seq", 0.5).withColumnRenamed("seq", "mid")
     k = F.least(F.floor(F.col("p4") / 1000), F.lit(9))
     rows = e.join(half, "model").withColumn("bin", k).withColumn("late", F.col("seq") > F.col("mid"))
     cells = lambda late: F.array(*[F.count(F.when((F.col("late") == late) & (F.col("bin") == b), 1)) for b in range(10)])
@@ -237,7 +238,7 @@ def drift_interval(spark, sf):
 
 def drift_by_window(spark, sf):
     """PSI of each tenth of a model's scores against the first one and against the one before."""
-    e = V.image_score(spark, sf).withColumn("part", F.ntile(10).over(Window.partitionBy("model").orderBy("seq")))
+    e = K.numbered(V.image_score(spark, sf).select("model", "seq", "p4"), ["model"], [F.col("seq").asc()]).withColumn("part", K.tile(F.col("i"), F.col("n"), 10))
     k = F.least(F.floor(F.col("p4") / 1000), F.lit(9))
     hist = saved(e.groupBy("model", "part").agg(F.array(*[F.count(F.when(k == b, 1)) for b in range(10)]).alias("h")), "histograms")
     out = None
@@ -263,7 +264,7 @@ SELECT source, {sql6('psi')} AS psi, CASE WHEN psi < 0.1 THEN 'stable' WHEN psi
 
 def drift_conditional(spark, sf):
     """How the share of large images moved within each score bin, between a model's halves."""
-    e = V.image_score(spark, sf).withColumn("late", F.ntile(2).over(Window.partitionBy("model").orderBy("seq")) == 2)
+    e = K.numbered(V.image_score(spark, sf).select("model", "seq", "p4", "width"), ["model"], [F.col("seq").asc()]).withColumn("late", K.tile(F.col("i"), F.col("n"), 2) == 2)
     rows = e.select(F.col("model").alias("source"), F.least(F.floor(F.col("p4") / 2500), F.lit(3)).alias("given"), F.when(F.col("width") >= 200, 1).otherwise(0).alias("outcome"), "late")
     cells = rows.groupBy("source", "given", "outcome").agg(F.count(F.when(~F.col("late"), 1)).alias("ref"), F.count(F.when(F.col("late"), 1)).alias("cur"))
     both = cells.select("source", "given").distinct().withColumn("outcome", F.explode(F.array(F.lit(0), F.lit(1))))

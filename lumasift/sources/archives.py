@@ -28,7 +28,7 @@ from lumasift.sources.readers import image_size
 SCHEMA = "archive string, member string, size long, width int, height int, data binary"
 #: Members of a partition, bytes of a member's head, and members of a batch.
 MEMBERS, HEAD, AT_ONCE = 500, 4096, 64
-#: Allows pushFilters().
+#: Lets a source take filters.
 PUSHDOWN = {"spark.sql.python.filterPushdown.enabled": "true"}
 
 _HOLDS = {
@@ -50,14 +50,6 @@ class _Reader(DataSourceReader):
     def __init__(self, folder: str):
         self.folder, self.filters = folder.removeprefix("file://"), []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            known = type(f) in _HOLDS and len(f.attribute) == 1 and f.attribute[0] in ("archive", "member", "size", "width", "height")
-            if known:
-                self.filters.append(f)
-            else:
-                yield f
-
     def _keeps(self, name: str, value: object) -> bool:
         """Whether all filters on a column hold; null meets none."""
         own = [f for f in self.filters if f.attribute[0] == name]
@@ -103,6 +95,16 @@ class _Reader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=names)
 
 
+class _PushedReader(_Reader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            known = type(f) in _HOLDS and len(f.attribute) == 1 and f.attribute[0] in ("archive", "member", "size", "width", "height")
+            if known:
+                self.filters.append(f)
+            else:
+                yield f
+
+
 class PictureArchive(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -115,8 +117,17 @@ class PictureArchive(DataSource):
         return _Reader(self.options["path"])
 
 
+class PushedArchive(PictureArchive):
+    """The same name, where the session allows a source to take filters."""
+
+    def reader(self, schema) -> DataSourceReader:
+        return _PushedReader(self.options["path"])
+
+
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    spark.dataSource.register(PictureArchive)
+    """Members of the folder's archives; filters are pushed down where PUSHDOWN is set, when this is called and when it runs."""
+    pushed = all(spark.conf.get(k, "false") == v for k, v in PUSHDOWN.items())
+    spark.dataSource.register(PushedArchive if pushed else PictureArchive)
     return spark.read.format("picture_archive").load(folder)
 
 

@@ -41,13 +41,13 @@ def test_filters_rule_out_before_unpacking(tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         for i in range(5):
             z.writestr(f"{i}.png", Z.png(np.zeros((3, 10 + i), np.uint8)))
-    reader = Z._Reader(f"file://{tmp_path}")
+    reader = Z._PushedReader(f"file://{tmp_path}")
     left = list(reader.pushFilters([GreaterThan(("width",), 12), EqualTo(("data",), b""), IsNull(("width",))]))
     assert [type(f) for f in left] == [EqualTo, IsNull]
     (part,) = reader.partitions()
     assert [r for b in reader.read(part) for r in b.column(1).to_pylist()] == ["3.png", "4.png"]
     assert Z._Reader(str(tmp_path)).partitions()[0].stop == 5
-    none = Z._Reader(str(tmp_path))
+    none = Z._PushedReader(str(tmp_path))
     list(none.pushFilters([EqualTo(("archive",), "b.zip")]))
     assert none.partitions() == []
 
