@@ -14,6 +14,15 @@ one row, one open document is left of each, and these are folded in turn: a
 reduction tree whose levels shrink by ``FAN_IN``.  Moves keep the source's words
 exactly; only the last open document of a source is rounded by a draw.
 
+So that it is not a large one, the ``FIRST`` largest open documents of a source
+are settled before: the other of the pair is then all smaller ones together.  A
+document of size s and open mass m fills with the chance m / s, and the others
+lose s - m words in proportion to their masses, or it empties and they get m
+words in proportion to their rooms; expectations stay.  If the others can bear
+only one of the two, that one is taken, as no mix near the target has the other;
+if neither, the document waits for the tree.  What is done to the others is one
+affine map a source, so it costs a row a source.
+
 Draws are hashes of the documents' ids, sizes and the place in the tree, so a
 rerun agrees.  A hot source is many chains, dealt by hash.
 
@@ -32,7 +41,7 @@ from lumasift.llm.common import saved
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
-SHARE, CAP, FAN_IN = 1.5, 2.0, 64
+SHARE, CAP, FAN_IN, FIRST = 1.5, 2.0, 64, 64
 _SEED = 20240917
 
 
@@ -141,6 +150,52 @@ def _settled(items: DataFrame, fan_in: int) -> DataFrame:
     return done.unionByName(left.select("source", F.col("unit").withField("mass", last).alias("unit")))
 
 
+_FIRST = f"struct<a:double,b:double,mass:double,size:double,units:array<{_UNIT}>>"
+
+
+def _largest_first(units: Column, mass: Column, size: Column) -> Column:
+    """The largest documents of a source after each was drawn against all smaller ones.
+
+    {a, b: an open document's share p is a * p + b now; units: the documents with
+    their mass}.  ``mass`` and ``size``: of all open documents of the source.
+    """
+    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), mass.alias("mass"), size.alias("size"), F.array().cast(f"array<{_UNIT}>").alias("units")).cast(_FIRST)
+
+    def step(acc: Column, u: Column) -> Column:
+        left_mass, left_size = F.greatest(F.lit(0.0), acc["mass"] - u["mass"]), F.greatest(F.lit(0.0), acc["size"] - u["size"])
+        now = F.greatest(F.lit(0.0), F.least(u["size"], acc["a"] * u["mass"] + acc["b"] * u["size"]))
+        others = F.greatest(F.lit(0.0), F.least(left_size, acc["a"] * left_mass + acc["b"] * left_size))
+        held = F.struct(now.alias("now"), others.alias("others"), (left_size - others).alias("room"))
+
+        def drawn(x: Column) -> Column:
+            need = u["size"] - x["now"]
+            can_fill, can_empty = (x["others"] >= need) & (x["others"] > 0), (x["room"] >= x["now"]) & (x["room"] > 0)
+            fills = can_fill & (~can_empty | (_draw(u["draw"], F.lit(-2)) * u["size"] < x["now"]))
+            keep = F.when(fills, F.lit(1.0) - need / x["others"]).when(can_empty, F.lit(1.0) - x["now"] / x["room"]).otherwise(F.lit(1.0))
+            settled = F.when(fills, u["size"]).when(can_empty, F.lit(0.0)).otherwise(x["now"])
+            moved = F.when(fills | ~can_empty, keep * acc["b"]).otherwise(F.lit(1.0) - keep + keep * acc["b"])
+            return F.struct((keep * acc["a"]).alias("a"), moved.alias("b"), left_mass.alias("mass"), left_size.alias("size"), F.array_append(acc["units"], _unit(u, settled)).alias("units")).cast(_FIRST)
+
+        return _bind(held, drawn)
+
+    return F.aggregate(units, start, step)
+
+
+def _without_large(units: DataFrame, first: int) -> tuple[DataFrame, DataFrame]:
+    """Open units (source, unit) as (the ``first`` largest of each source, settled where that can be; the others with their mass now)."""
+    order = F.struct((-F.col("unit.size")).alias("size"), F.col("unit.draw").alias("draw"))
+    totals = units.groupBy("source").agg(F.sum("unit.mass").alias("mass"), F.sum("unit.size").alias("size"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy(order))
+    top = units.withColumn("place", place).filter(F.col("place") <= first).groupBy("source").agg(F.array_sort(F.collect_list(F.struct(order.alias("order"), "unit"))).alias("top"))
+    met = top.join(totals.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+    settled = saved(met.select("source", F.element_at("top", -1)["order"].alias("bound"), _largest_first(F.transform("top", lambda x: x["unit"]), F.col("mass"), F.col("size")).alias("x")), "mix-largest")
+    large = settled.select("source", F.explode("x.units").alias("unit"))
+    maps = settled.select(F.col("source").alias("of"), "bound", "x.a", "x.b")
+    share = F.greatest(F.lit(0.0), F.least(F.col("unit.size"), F.col("a") * F.col("unit.mass") + F.col("b") * F.col("unit.size")))
+    rest = units.join(maps, F.col("source").eqNullSafe(F.col("of"))).filter(order > F.col("bound")).select("source", F.col("unit").withField("mass", share).alias("unit"))
+    return large, rest
+
+
 def decide(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, fan_in: int = FAN_IN) -> DataFrame:
     """A row per distinct (doc_id, text, source): size, source_size, target, rows, copies, more.
 
@@ -171,7 +226,9 @@ def decide(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float =
         )
     )
     unit = F.col("unit")
-    settled = _settled(units.filter(_is_open(unit)), fan_in).unionByName(units.filter(~_is_open(unit)))
+    large, rest = _without_large(units.filter(_is_open(unit)), FIRST)
+    drawn = large.unionByName(rest)
+    settled = _settled(drawn.filter(_is_open(unit)), fan_in).unionByName(drawn.filter(~_is_open(unit))).unionByName(units.filter(~_is_open(unit)))
     extra = F.when((unit["mass"] > 0) & (unit["mass"] > unit["size"] / 2), 1).otherwise(0)
     key = F.col("unit.key")
     return settled.select(

@@ -77,3 +77,37 @@ def test_word_count_matches_the_pattern(spark):
     texts = ["", " ", "a", " a\tb\x0bc\x0cd\re\n", "x x", "é ü", None]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "text string").select(M.word_count(M.F.col("text"))).collect()]
     assert got == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="test tables are absent")
+def test_sources_of_the_given_table_come_within_a_hundredth(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source")
+    got = M.query(spark, "/root/testdata/sf0.01").join(docs, "doc_id").collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+    assert len(target) == 20 and all(abs(taken[s] - t) <= 0.01 * t for s, t in target.items())
+
+
+def test_long_texts_are_settled_against_all_others(spark):
+    """One text is longer than half of its source; one source is a single text, one has two."""
+    rng = random.Random(9)
+    rows = [(0, "w " * 30_000, "a")] + [(i, "w " * rng.randrange(1, 400), "a") for i in range(1, 150)] + [(500, "w " * 9_000, "b"), (501, "w " * 700, "c"), (502, "w " * 40, "c")]
+    got = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    of = {r[0]: r[2] for r in rows}
+    for s in "abc":
+        own = [r for r in got if of[r["doc_id"]] == s]
+        least = min(r["size"] for r in own)
+        off = abs(sum(r["taken"] for r in own) - own[0]["target"])
+        assert off <= (400 if s == "a" else max(r["size"] for r in own)) and least
+
+
+def test_expectations_stay(spark):
+    """Over many sources of alike documents, those that the others can bear either way are taken as often as the target says."""
+    sizes = list(range(60, 35, -1))
+    rows = [(100 * s + i, "w " * n, f"s{s:03d}") for s in range(300) for i, n in enumerate(sizes)]
+    got = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1,), share=0.6).collect()
+    share = [sum(r["taken"] for r in got if r["doc_id"] % 100 == i) / n / 300 for i, n in enumerate(sizes)]
+    assert all(abs(x - 0.6) < 0.1 for x in share[:18]) and abs(sum(share[:18]) / 18 - 0.6) < 0.03
