@@ -69,7 +69,8 @@ def _waves(spark, sf, side: int = 64):
                 yield pa.RecordBatch.from_arrays([part.column(0), size, size, pa.array([x.tobytes() for x in rgb])], names=["id", "width", "height", "rgb"])
 
     emb = V.table(spark, sf, "embeddings").filter(F.size("embedding") > 0).select("vec_id", "embedding")
-    return emb.mapInArrow(draw, "id long, width int, height int, rgb binary")
+    # pictures cost far more than their rows: one part a core at least
+    return emb.repartition(spark.sparkContext.defaultParallelism, "vec_id").mapInArrow(draw, "id long, width int, height int, rgb binary")
 
 
 def _attacked(spark, sf):
