@@ -138,3 +138,26 @@ def truncated(text: Column, columns: int) -> Column:
         return F.struct(used.alias("used"), F.when(fits, F.concat(state["kept"], sign)).otherwise(state["kept"]).alias("kept"), fits.alias("open"))
 
     return F.when(display_width(text) <= columns, text).otherwise(F.concat(F.aggregate(signs, start, add, lambda s: s["kept"]), F.lit("…")))
+
+
+def iso_utc(text: Column) -> Column:
+    """A time in ISO form, dashed or compact, with or without seconds, fractions and an offset (none: UTC); null for anything else."""
+    steps = (
+        (r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])", "$1-$2-$3"),
+        (r"^([\d-]{10}[T ]\d{2})(\d{2})(?=$|\d{2}|[Z+-])", "$1:$2"),
+        (r"^([\d-]{10}[T ]\d{2}:\d{2})(\d{2})(?=$|[.,Z+-])", "$1:$2"),
+        # offsets of hours alone, or without a colon
+        (r"^(.{11,}[+-]\d{2})(\d{2})$", "$1:$2"),
+        (r"^(.{11,}[+-]\d{2})$", "$1:00"),
+        (r"^([\d-]{10}[T ]\d{2})(?=$|Z|[+-])", "$1:00"),
+        (r"^([\d-]{10})$", "$1T00:00"),
+        (r"^([\d-]{10}[T ]\d{2}:\d{2})(?=$|Z|[+-])", "$1:00"),
+        # without an offset the session's zone would count
+        (r"^(.{11,}(?<!Z)(?<![+-]\d{2}:\d{2}))$", "$1Z"),
+        (",", "."),
+    )
+    plain = F.trim(text)
+    for pattern, made in steps:
+        plain = F.regexp_replace(plain, pattern, made)
+    sound = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})$"
+    return F.transform(F.array(plain), lambda x: F.when(x.rlike(sound), x.try_cast("timestamp")))[0]

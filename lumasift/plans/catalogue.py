@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumasift.plans import audits, decision, graphs, more, pictures, queue, records, stats, streams, tables, urls_text
+from lumasift.plans import audits, decision, files, graphs, more, pictures, queue, records, stats, streams, tables, urls_text
 
-_MODULES = (decision, urls_text, queue, stats, graphs, streams, more, records, pictures, audits, tables)
+_MODULES = (decision, urls_text, queue, stats, graphs, streams, more, records, pictures, audits, tables, files)
 
 
 def _all() -> dict:

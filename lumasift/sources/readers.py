@@ -161,7 +161,8 @@ def markdown_chunks(spark: SparkSession, path: str) -> DataFrame:
     """(file, nth, title, text, snippet) of the ``##`` sections of Markdown files."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", r"(?m)^## +").alias("parts"))
     chunks = files.select("file", F.posexplode("parts").alias("nth", "part")).filter(F.col("nth") > 0)
-    title, text = F.trim(F.substring_index("part", "\n", 1)), F.trim(F.regexp_replace("part", r"^[^\n]*\n?", ""))
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    title, text = bare(F.substring_index("part", "\n", 1)), bare(F.regexp_replace("part", r"^[^\n]*\n?", ""))
     return chunks.select("file", "nth", title.alias("title"), text.alias("text"), F.left(F.regexp_replace(text, r"\s+", " "), F.lit(80)).alias("snippet"))
 
 

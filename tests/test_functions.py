@@ -93,3 +93,21 @@ def test_addresses_of_version_6(spark):
     df = spark.createDataFrame([(f"http://[{t}]/a", want) for t, want in rows], "url string, want string")
     got = df.select("url", "want", U.canonical_key(F.col("url")).alias("key")).collect()
     assert [(r["url"], r["key"]) for r in got] == [(r["url"], r["want"]) for r in got]
+
+
+def test_iso_times_as_python_reads_them(spark):
+    import datetime
+
+    forms = ["2024-01-01T12:34:56.123456+08:00", "2024-01-01T12:34:56.123456+0800", "20240101T123456", "2024-01-01", "20240101", "2024-01-01 12:34", "2024-01-01T12", "2024-01-01T12:34:56Z", "2024-01-01T12+05"]
+    forms += ["2024-13-01", "x", "2024-01-01T123456.5-0330", "2024-01-01T12:34:56,5", "2024-01", "2024-01-01T25:00", "", "2024-02-30", "20240101T1234Z"]
+
+    def want(text):
+        try:
+            t = datetime.datetime.fromisoformat(text)
+        except ValueError:
+            return None
+        return t.replace(tzinfo=t.tzinfo or datetime.timezone.utc).astimezone(datetime.timezone.utc)
+
+    df = spark.createDataFrame([(t,) for t in forms] + [(None,)], "t string")
+    got = {r["t"]: r["u"] for r in df.select("t", F.unix_micros(T.iso_utc(F.col("t"))).alias("u")).collect()}
+    assert got == {t: None if want(t) is None else round(want(t).timestamp() * 1_000_000) for t in forms} | {None: None}
