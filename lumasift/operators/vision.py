@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from lumasift.functions.mathx import beta_quantile, norm_ppf
 from lumasift.operators.similarity import low_bits, signed
 
-#: Channels of PNG colour types, and the most pixels that are decoded.
-CHANNELS, MOST_PIXELS = {0: 1, 2: 3, 4: 2, 6: 4}, 64_000_000
+#: Channels of PNG colour types.
+CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 #: The box of skin colours in Cb and Cr, weights of the three features, bias, cap.
 SKIN_CB, SKIN_CR = (77, 127), (133, 173)
 SKIN_WEIGHTS, SKIN_BIAS, SKIN_CAP = (1.5, 1.2, 0.3), -0.35, 0.98
@@ -35,18 +35,30 @@ SMALL_PX, LARGE_PX = 300, 600
 
 
 def decode_png(data: bytes | None) -> np.ndarray | None:
-    """Height x width x 3 bytes of an 8-bit PNG without interlacing; None for anything else or broken."""
-    if not data or data[:8] != b"\x89PNG\r\n\x1a\n":
-        return None
-    at, packed, head = 8, [], None
+    """Height x width x 3 bytes of a PNG; None where png_pixels() has a reason."""
+    return png_pixels(data)[0]
+
+
+def png_pixels(data: bytes | None) -> tuple[np.ndarray | None, str | None]:
+    """Height x width x 3 bytes of a PNG of 8 or 16 bits (the high ones count) or with a palette, and why there are none.
+
+    Reasons: empty, no png, broken, unsupported (interlaced, or fewer bits).
+    """
+    if not data:
+        return None, "empty"
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        return None, "no png"
+    at, packed, head, palette = 8, [], None, None
     try:
         while at < len(data):
             n, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
             body = data[at + 8 : at + 8 + n]
             if zlib.crc32(kind + body) != int.from_bytes(data[at + 8 + n : at + 12 + n], "big"):
-                return None
+                return None, "broken"
             if kind == b"IHDR":
                 head = body
+            elif kind == b"PLTE":
+                palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
             elif kind == b"IDAT":
                 packed.append(body)
             elif kind == b"IEND":
@@ -54,21 +66,22 @@ def decode_png(data: bytes | None) -> np.ndarray | None:
             at += 12 + n
         w, h = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
         c = CHANNELS[head[9]]
-        if head[8] != 8 or head[12] or not 0 < w * h <= MOST_PIXELS:
-            return None
-        raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(h, 1 + w * c)
+        if head[8] not in (8, 16) or head[12] or not w * h:
+            return None, "unsupported"
+        wide = c * head[8] // 8  # bytes of a pixel
+        raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(h, 1 + w * wide)
     except (KeyError, TypeError, IndexError, ValueError, zlib.error):
-        return None
-    rows, above = np.zeros((h, w, c), np.uint8), np.zeros((w, c), np.int64)
+        return None, "broken"
+    rows, above = np.zeros((h, w, wide), np.uint8), np.zeros((w, wide), np.int64)
     for y in range(h):
-        line = raw[y, 1:].reshape(w, c).astype(np.int64)
+        line = raw[y, 1:].reshape(w, wide).astype(np.int64)
         kind = raw[y, 0]
         if kind == 1:
             line = np.cumsum(line, 0)
         elif kind == 2:
             line = line + above
         elif kind in (3, 4):
-            left, corner = np.zeros(c, np.int64), np.zeros(c, np.int64)
+            left, corner = np.zeros(wide, np.int64), np.zeros(wide, np.int64)
             for x in range(w):
                 up = above[x]
                 if kind == 3:
@@ -80,23 +93,30 @@ def decode_png(data: bytes | None) -> np.ndarray | None:
                 left, corner = (line[x] + guess) & 255, up
                 line[x] = left
         elif kind:
-            return None
+            return None, "broken"
         above = line & 255
         rows[y] = above
-    return rows[:, :, :3] if c >= 3 else np.repeat(rows[:, :, :1], 3, 2)
+    rows = rows[:, :, :: head[8] // 8]
+    if head[9] == 3:
+        if palette is None or rows.max() >= len(palette):
+            return None, "broken"
+        return palette[rows[:, :, 0]], None
+    return (rows[:, :, :3] if c >= 3 else np.repeat(rows[:, :, :1], 3, 2)), None
 
 
-def decoded(files: DataFrame) -> DataFrame:
-    """path, width, height, rgb of rows of the binaryFile source; null where a file can't be decoded."""
+def decoded(files: DataFrame, at_once: int = 64) -> DataFrame:
+    """path, width, height, rgb, reason of rows of the binaryFile source; where a file can't be decoded, reason says why."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                x = decode_png(batch.column(1)[k].as_py())
-                size = (None, None, None) if x is None else (x.shape[1], x.shape[0], x.tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([size[0]], pa.int32()), pa.array([size[1]], pa.int32()), pa.array([size[2]], pa.binary())], names=["path", "width", "height", "rgb"])
-
-    return files.select("path", "content").mapInArrow(apply, "path string, width int, height int, rgb binary")
+        for whole in batches:
+            for start in range(0, whole.num_rows, at_once):
+                batch = whole.slice(start, at_once)
+                made = [png_pixels(x) for x in batch.column(1).to_pylist()]
+                sizes = [(None, None, None) if x is None else (x.shape[1], x.shape[0], x.tobytes()) for x, _ in made]
+                columns = [pa.array([size[k] for size in sizes], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array([r for _, r in made], pa.string())], names=["path", "width", "height", "rgb", "reason"])
+
+    return files.select("path", "content").mapInArrow(apply, "path string, width int, height int, rgb binary, reason string")
 
 
 def _per_image(images: DataFrame, make: Callable[[np.ndarray], tuple], columns: str, kinds: list[pa.DataType]) -> DataFrame:

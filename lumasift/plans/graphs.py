@@ -312,15 +312,15 @@ def gangs_community(spark, sf):
 
 
 def redirect_chains(spark, sf):
-    """Where up to three redirects lead, from every customer: each order sends its customer on to another."""
+    """Where up to five redirects lead, from every customer: each order sends its customer on to another."""
     hops = V.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("src")).agg(F.min(F.col("o_orderkey")).alias("k")).filter(F.col("k") % 5 != 0).select("src", F.pmod(F.col("k") * 3, F.lit(1000)).alias("dst"))
-    return G.redirect_chain(hops, V.table(spark, sf, "customer").select(F.col("c_custkey").alias("url")), 3)
+    return G.redirect_chain(hops, V.table(spark, sf, "customer").select(F.col("c_custkey").alias("url")))
 
 
 _CHAINS = """
 WITH RECURSIVE h AS (SELECT o_custkey AS src, min(o_orderkey) * 3 % 1000 AS dst FROM orders GROUP BY o_custkey HAVING min(o_orderkey) % 5 <> 0),
 w AS (SELECT c_custkey AS start, c_custkey AS last, 0 AS n, [c_custkey] AS seen FROM customer
-  UNION ALL SELECT start, dst, n + 1, list_append(seen, dst) FROM w JOIN h ON last = src WHERE n < 3 AND NOT list_contains(seen, dst))
+  UNION ALL SELECT start, dst, n + 1, list_append(seen, dst) FROM w JOIN h ON last = src WHERE n < 5 AND NOT list_contains(seen, dst))
 SELECT start, arg_max(last, n) AS last, CAST(max(n) AS INTEGER) AS n FROM w GROUP BY start
 """
 

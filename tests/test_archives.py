@@ -60,3 +60,21 @@ def test_checks_pass_fail_and_break(spark):
     got = [tuple(r) for r in C.run(spark, checks).collect()]
     assert [(r[0], r[2], r[4], r[5]) for r in got] == [("a", 0.5, "pass", None), ("b", 0.5, "fail", None), ("c", 1.0, "pass", None), ("d", None, "fail", "OSError")]
     assert C.measured(spark.range(17).filter("id < 5")) == 5
+
+
+def test_palettes_sixteen_bits_and_reasons(spark):
+    import zlib
+
+    chunk = lambda kind, body: len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+    head = lambda w, h, depth, colour, laced=0: b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", w.to_bytes(4, "big") + h.to_bytes(4, "big") + bytes([depth, colour, 0, 0, laced]))
+    end = lambda raw: chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    colours = bytes([10, 20, 30, 40, 50, 60])
+    palette = head(2, 2, 8, 3) + chunk(b"PLTE", colours) + end(bytes([0, 0, 1, 2, 1, 0]))
+    wide = head(2, 1, 16, 2) + end(bytes([1, *range(1, 7), *range(1, 7)]))
+    files = [("palette", palette), ("wide", wide), ("index", head(1, 1, 8, 3) + chunk(b"PLTE", colours) + end(bytes([0, 9]))), ("laced", head(1, 1, 8, 0, 1) + end(b"\0\0")), ("bits", head(1, 1, 4, 0) + end(b"\0\0")), ("torn", palette[:-20]), ("text", b"text"), ("none", None)]
+    rows = P.decoded(spark.createDataFrame([(n, None if d is None else bytearray(d)) for n, d in files], "path string, content binary"), at_once=3).collect()
+    got = {r["path"]: (r["width"], r["height"], None if r["rgb"] is None else list(r["rgb"]), r["reason"]) for r in rows}
+    # the second row is what stands above it plus 1 and 0
+    assert got["palette"] == (2, 2, [10, 20, 30, 40, 50, 60, 40, 50, 60, 40, 50, 60], None)
+    assert got["wide"] == (2, 1, [1, 3, 5, 2, 6, 10], None)
+    assert {n: got[n][3] for n in ("index", "laced", "bits", "torn", "text", "none")} == {"index": "broken", "laced": "unsupported", "bits": "unsupported", "torn": "broken", "text": "no png", "none": "empty"}

@@ -39,7 +39,7 @@ def png(pixels, colour, filters):
 
 def test_png_of_all_filters_and_colours():
     rng = np.random.default_rng(1)
-    for colour, c in P.CHANNELS.items():
+    for colour, c in ((0, 1), (2, 3), (4, 2), (6, 4)):
         x = rng.integers(0, 256, (7, 5, c), dtype=np.uint8)
         got = P.decode_png(png(x, colour, [0, 1, 2, 3, 4]))
         assert (got == (x[:, :, :3] if c >= 3 else x[:, :, :1])).all() and got.shape == (7, 5, 3)
