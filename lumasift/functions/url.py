@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Public suffixes of two labels.
 MULTI_SUFFIXES = ("com.cn", "net.cn", "org.cn", "gov.cn", "edu.cn", "ac.cn", "com.hk", "com.tw", "com.sg", "co.jp", "co.uk", "com.au")
+#: Those of the plain key, and the characters that stand for a url without a key there.
+PLAIN_SUFFIXES, PLAIN_CHARS = ("com.cn", "net.cn", "org.cn", "gov.cn", "edu.cn", "ac.cn"), 60
 #: Top domains that count as suspicious.
 SUSPICIOUS_TLDS = ("xyz", "top", "info", "su", "ru", "cc", "tk", "ml", "ga", "cf", "gq", "biz", "click", "link", "loan")
 #: What each url feature adds to the risk.
@@ -116,6 +118,22 @@ def canonical_name(url: Column) -> Column:
     return F.coalesce(F.nullif(canonical_key(url), F.lit("")), F.left(url, F.lit(80)))
 
 
+def plain_key(url: Column) -> Column:
+    """The key that case groups fall back to: fewer suffixes, and any last label counts as a top domain."""
+
+    def key(name: Column) -> Column:
+        labels = F.split(name, r"\.")
+        long = (F.size(labels) >= 3) & F.concat_ws(".", F.slice(labels, -2, 2)).isin(*PLAIN_SUFFIXES)
+        return F.when(is_ip(name) | (F.size(labels) < 2), name).when(long, F.concat_ws(".", F.slice(labels, -3, 3))).otherwise(F.concat_ws(".", F.slice(labels, -2, 2)))
+
+    return _bound(host(url), key)
+
+
+def plain_name(url: Column) -> Column:
+    """The plain key, or the first characters of the url."""
+    return F.coalesce(F.nullif(plain_key(url), F.lit("")), F.left(F.trim(F.coalesce(url, F.lit(""))), F.lit(PLAIN_CHARS)))
+
+
 def same_site(a: Column, b: Column) -> Column:
     return (canonical_key(a) == canonical_key(b)) & (canonical_key(a) != "")
 

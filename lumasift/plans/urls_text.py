@@ -248,7 +248,21 @@ k AS (SELECT page_id, CASE WHEN n = 0 THEN array_to_string(t, ':') ELSE array_to
 SELECT page_id, key, key AS key_short FROM k
 """
 
+def plain_keys(spark, sf):
+    """Keys and names that case groups fall back to, of pages and of what stands behind their scheme."""
+    p = table(spark, sf, "pages").select("page_id", "url", F.regexp_replace("url", "^[a-z]+://", "").alias("bare"))
+    return p.select("page_id", U.plain_key(F.col("url")).alias("key"), U.plain_name(F.col("url")).alias("name"), U.plain_name(F.col("bare")).alias("bare_name"))
+
+
+_PLAIN = f"""
+WITH hosted AS ({_HOSTED}), k AS (SELECT page_id, url, CASE WHEN regexp_full_match(host, '([0-9]{{1,3}}\\.){{3}}[0-9]{{1,3}}') OR len(labels) = 1 THEN host
+  WHEN len(labels) >= 3 AND list_contains(['com.cn','net.cn','org.cn','gov.cn','edu.cn','ac.cn'], labels[-2] || '.' || labels[-1]) THEN labels[-3] || '.' || labels[-2] || '.' || labels[-1]
+  ELSE labels[-2] || '.' || labels[-1] END AS key FROM hosted)
+SELECT page_id, key, CASE WHEN key <> '' THEN key ELSE left(trim(url), 60) END AS name, left(regexp_replace(url, '^[a-z]+://', ''), 60) AS bare_name FROM k
+"""
+
 QUERIES = {
+    "plain_keys": (plain_keys, _PLAIN),
     "address_keys": (address_keys, _ADDRESSES),
     "canonical_urls": (canonical_urls, _keyed("SELECT page_id, host, key, coalesce(nullif(key, ''), substr(url, 1, 80)) AS name FROM keyed")),
     "alias_labels": (alias_labels, _keyed(_ALIAS)),

@@ -111,3 +111,9 @@ def test_iso_times_as_python_reads_them(spark):
     df = spark.createDataFrame([(t,) for t in forms] + [(None,)], "t string")
     got = {r["t"]: r["u"] for r in df.select("t", F.unix_micros(T.iso_utc(F.col("t"))).alias("u")).collect()}
     assert got == {t: None if want(t) is None else round(want(t).timestamp() * 1_000_000) for t in forms} | {None: None}
+
+
+def test_plain_keys(spark):
+    urls = {"http://a.b.com.cn/x": "b.com.cn", "http://a.co.uk": "co.uk", "https://x.y.museum": "y.museum", "http://x.123": "x.123", "http://localhost:8": "localhost", "http://10.0.0.1/": "10.0.0.1", "nothing": "", "": "", "http://[::1]/": "::1"}
+    got = {r["u"]: (r["k"], r["n"]) for r in spark.createDataFrame([(u,) for u in urls], "u string").select("u", U.plain_key(F.col("u")).alias("k"), U.plain_name(F.col("u")).alias("n")).collect()}
+    assert got == {u: (k, k or u) for u, k in urls.items()}
