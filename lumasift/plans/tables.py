@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lumasift.operators import checks as C
 from lumasift.operators import exact as E
+from lumasift.operators.graph_store import GraphStore
 from lumasift.operators.print_index import PrintIndex
 from lumasift.operators.similarity import self_join, table_masks
 from lumasift.operators import vision as P
@@ -162,7 +163,31 @@ SELECT 'p' || vec_id || '.png' AS member, CAST(16 + vec_id % 48 AS INTEGER) AS w
   CAST(list_sum(list_transform(range((16 + vec_id % 48) * (8 + vec_id % 5)), lambda i: (i + vec_id) % 256)) AS BIGINT) AS total FROM embeddings WHERE 16 + vec_id % 48 >= 40
 """
 
+def graph_store_export(spark, sf):
+    """A kept graph after media and edges came in two batches that overlap, and a site was removed."""
+    e = V.table(spark, sf, "events").select(F.lit("image").alias("kind"), F.floor(F.col("value") * 100 + 0.5).cast("string").alias("key"), F.col("user_id").cast("string").alias("site"), F.date_format("ts", "yyyy-MM-dd").alias("at"), "event_id")
+    o = V.table(spark, sf, "orders").select(F.concat(F.lit("site:"), F.pmod("o_custkey", F.lit(150)).cast("string")).alias("src"), F.concat(F.lit("site:"), F.pmod("o_orderkey", F.lit(97)).cast("string")).alias("dst"), F.lit("redirect").alias("kind"), (F.pmod("o_orderkey", F.lit(8)) / 8).alias("weight"), F.col("o_orderdate").cast("string").alias("created_at"), "o_orderkey")
+    g = GraphStore(spark, fresh_path(spark, "graph"))
+    g.add_media(e.filter(F.pmod("event_id", F.lit(3)) != 0))
+    g.add_media(e.filter(F.pmod("event_id", F.lit(3)) != 1))
+    g.add_edges(o.filter(F.pmod("o_orderkey", F.lit(3)) != 0))
+    g.add_edges(o.filter(F.pmod("o_orderkey", F.lit(3)) != 1))
+    g.remove_site("7")
+    return g.export().select("part", "line")
+
+
+_GRAPH = """
+WITH m AS (SELECT 'image:' || CAST(floor(value * 100 + 0.5) AS BIGINT) AS id, user_id AS site, strftime(ts, '%Y-%m-%d') AS at_day FROM events),
+n AS (SELECT id, 'image' AS kind, count(DISTINCT site) FILTER (site <> 7) AS sites, min(at_day) AS f, max(at_day) AS l FROM m GROUP BY id),
+s AS (SELECT 'site:' || site AS id, min(at_day) AS f, max(at_day) AS l FROM m WHERE site <> 7 GROUP BY site),
+e AS (SELECT 'site:' || (o_custkey % 150) AS src, 'site:' || (o_orderkey % 97) AS dst, max((o_orderkey % 8) / 8.0::DOUBLE) AS w, min(CAST(o_orderdate AS VARCHAR)) AS c FROM orders GROUP BY ALL)
+SELECT 0 AS part, '{"id":"' || id || '","kind":"image","meta":{"first":"' || f || '","last":"' || l || '","sites":' || sites || '}}' AS line FROM n
+UNION ALL SELECT 0, '{"id":"' || id || '","kind":"site","meta":{"first":"' || f || '","last":"' || l || '"}}' FROM s
+UNION ALL SELECT 1, '{"src":"' || src || '","dst":"' || dst || '","kind":"redirect","weight":' || w || ',"created_at":"' || c || '"}' FROM e WHERE src <> 'site:7' AND dst <> 'site:7'
+"""
+
 QUERIES = {
+    "graph_store_export": (graph_store_export, _GRAPH),
     "kernel_checks": (kernel_checks, with_views("", "FINGERPRINTS").strip() + _CHECKS),
     "picture_archives": (picture_archives, _ARCHIVES),
     "exact_sums": (exact_sums, with_views("SELECT site, sum(p4)::DOUBLE / 8192.0::DOUBLE AS total FROM image_score GROUP BY site", "IMAGE_SCORE")),

@@ -89,3 +89,28 @@ def test_index_in_batches_equals_the_join(spark, tmp_path):
     back = PrintIndex(spark, "prints_again", f"file://{tmp_path}/index", buckets=8)
     assert {tuple(r) for r in back.search(df, 12).filter("sha < other").collect()} == want
     back.drop()
+
+
+def test_graph_is_kept_and_writes_are_idempotent(spark, tmp_path):
+    from lumasift.operators.graph_store import GraphStore
+
+    rng = random.Random(11)
+    rows = [(rng.choice(["image", "template"]), rng.choice(["k1", "k2", "k3", "", None]), rng.choice(["a", "b", "c", "d", None]), f"2024-01-{rng.randrange(10, 28)}") for _ in range(60)]
+    df = spark.createDataFrame(rows, "kind string, key string, site string, at string")
+    edges = spark.createDataFrame([("site:a", "site:b", "mirror", 0.5, "2024-01-02"), ("site:a", "site:b", "mirror", 0.25, "2024-01-01"), ("site:b", "site:c", "redirect", 1.0, "2024-01-03")], "src string, dst string, kind string, weight double, created_at string")
+    g = GraphStore(spark, f"file://{tmp_path}/g")
+    g.add_media(df.limit(30))
+    g.add_media(df)
+    g.add_edges(edges)
+    before = sorted(r["line"] for r in g.export().collect())
+    g.add_media(df)
+    g.add_edges(edges.limit(1))
+    assert sorted(r["line"] for r in g.export().collect()) == before
+    sound = [r for r in rows if r[1] and r[2]]
+    want = {f"{k}:{key}": len({s for a, b, s, _ in sound if (a, b) == (k, key)}) for k, key, _, _ in sound}
+    assert {r["id"]: r["sites"] for r in g.nodes.rows().filter("kind <> 'site'").collect()} == want
+    assert {(r["src"], r["dst"]): (r["weight"], r["created_at"]) for r in g.edges.rows().collect()} == {("site:a", "site:b"): (0.5, "2024-01-01"), ("site:b", "site:c"): (1.0, "2024-01-03")}
+    g.remove_site("b")
+    want = {f"{k}:{key}": len({s for a, b, s, _ in sound if (a, b) == (k, key)} - {"b"}) for k, key, _, _ in sound}
+    assert {r["id"]: r["sites"] for r in g.nodes.rows().filter("kind <> 'site'").collect()} == want
+    assert g.edges.rows().count() == 0 and {r["id"] for r in g.nodes.rows().filter("kind = 'site'").collect()} == {"site:a", "site:c", "site:d"}
