@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from lumasift.functions import text as T
 from lumasift.functions import url as U
 from lumasift.operators import search
+from lumasift.operators.audit import prefix_roots
+from lumasift.operators.ranks import numbered
 from lumasift.plans.decision import q6, sql6
+from lumasift.scratch import saved
 from lumasift.sources.views import table
 
 _HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
@@ -179,6 +182,45 @@ def site_fingerprint(spark, sf):
     return pages.groupBy("host").agg(F.left(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_set("url"))), 256), F.lit(16)).alias("fingerprint"))
 
 
+def _site_items(spark, sf):
+    """host, item: each host's page urls (u:) and hashes of its pictures' addresses (i:), each once."""
+    pages = table(spark, sf, "pages").select(U.host(F.col("url")).alias("host"), "url", "html")
+    urls = pages.select("host", F.concat(F.lit("u:"), "url").alias("item"))
+    images = pages.select("host", F.explode(T.image_sources(F.col("html"))).alias("src")).select("host", F.concat(F.lit("i:"), F.sha2("src", 256)).alias("item"))
+    return urls.unionByName(images).distinct()
+
+
+def site_fingerprint_images(spark, sf):
+    """Per host 16 hex digits over its sorted page urls and picture hashes."""
+    of = lambda k: F.array_sort(F.collect_set(F.when(F.col("item").startswith(k), F.col("item"))))
+    sets = _site_items(spark, sf).groupBy("host").agg(of("u:").alias("urls"), of("i:").alias("images"))
+    images = F.when(F.size("images") > 0, F.concat(F.lit("\nimages:\n"), F.array_join("images", "\n"))).otherwise("")
+    return sets.select("host", F.left(F.sha2(F.concat(F.lit("pages:\n"), F.array_join("urls", "\n"), images), 256), F.lit(16)).alias("fingerprint"))
+
+
+def site_tree(spark, sf):
+    """Per host the root of a hash tree over its sorted urls and picture hashes: no host's items are ever together."""
+    items = _site_items(spark, sf)
+    placed = saved(numbered(items, ["host"], [F.col("item").asc()], "site-items").select(F.col("host").alias("tree"), "i", "n", F.sha2("item", 256).alias("h")), "site-leaves")
+    sizes = placed.filter("i = 0").select("tree", F.col("n").alias("count"))
+    return prefix_roots(placed, sizes).select(F.col("tree").alias("host"), F.col("count").alias("items"), "root")
+
+
+_ITEMS = f"""
+WITH RECURSIVE hosted AS ({_HOSTED}), x AS (SELECT host, 'u:' || url AS item FROM hosted
+  UNION SELECT host, 'i:' || sha256(src) FROM (SELECT host, unnest(regexp_extract_all(html, '(?is)<img\\s[^>]*src=["'']([^"'']*)["'']', 1)) AS src FROM hosted))
+"""
+_WITH_IMAGES = _ITEMS + """
+, g AS (SELECT host, string_agg(item, chr(10) ORDER BY item) FILTER (item LIKE 'u:%') AS u, string_agg(item, chr(10) ORDER BY item) FILTER (item LIKE 'i:%') AS i FROM x GROUP BY host)
+SELECT host, substr(sha256('pages:' || chr(10) || u || CASE WHEN i IS NULL THEN '' ELSE chr(10) || 'images:' || chr(10) || i END), 1, 16) AS fingerprint FROM g
+"""
+_SITE_TREE = _ITEMS + """
+, up AS (SELECT host, list(sha256(item) ORDER BY item) AS row, count(*) AS items FROM x GROUP BY host
+  UNION ALL SELECT host, list_transform(range(1, len(row) + 1, 2), lambda k: sha256(unhex(row[k] || coalesce(row[k + 1], row[k])))), items FROM up WHERE len(row) > 1)
+SELECT host, items, row[1] AS root FROM up WHERE len(row) = 1
+"""
+
+
 def template_simhash(spark, sf):
     """64 votes of the hashes of a url's shape tokens, as hex."""
     shape = F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://[^/]*", ""), r"[0-9]+", "0")
@@ -262,6 +304,8 @@ SELECT page_id, key, CASE WHEN key <> '' THEN key ELSE left(trim(url), 60) END A
 """
 
 QUERIES = {
+    "site_fingerprint_images": (site_fingerprint_images, _WITH_IMAGES),
+    "site_tree": (site_tree, _SITE_TREE),
     "plain_keys": (plain_keys, _PLAIN),
     "address_keys": (address_keys, _ADDRESSES),
     "canonical_urls": (canonical_urls, _keyed("SELECT page_id, host, key, coalesce(nullif(key, ''), substr(url, 1, 80)) AS name FROM keyed")),
