@@ -10,7 +10,7 @@ from lumasift.operators import ranks as K
 from lumasift.operators import sequential as S
 from lumasift.plans.decision import q6, sql6
 from lumasift.plans.sql_views import ENTRIES, with_views
-from lumasift.scratch import saved
+from lumasift.scratch import fresh_path, saved
 from lumasift.sources import views as V
 
 
@@ -118,6 +118,16 @@ def bayes_checkpointed(spark, sf):
     return w.select("provider", q6(F.col("mean")).alias("mean"), q6(F.col("weight")).alias("weight"))
 
 
+def bayes_folded(spark, sf):
+    """Folds of 256 rows, saved, loaded, and later rows folded in: what all rows give."""
+    rows = _outcomes(spark, sf)
+    path = fresh_path(spark, "reliability")
+    S.save_checkpoint(S.folded_checkpoint(rows.filter(F.col("t") % 3 != 1), 2000.0), path, 2000.0)
+    both = S.bayes_checkpoint(rows.filter(F.col("t") % 3 == 1), 2000.0, S.load_checkpoint(spark, path, 2000.0))
+    w = S.checkpoint_weights(both, F.lit(rows.agg(F.max("t")).first()[0] + 100), 2000.0)
+    return w.select("provider", q6(F.col("mean")).alias("mean"), q6(F.col("weight")).alias("weight"))
+
+
 def _bayes(now: str, where: str) -> str:
     return f"""
 WITH r AS (SELECT model AS provider, (p4 >= 5000) = (seq % 3 = 0) AS correct, exp(-ln(2.0::DOUBLE) * ({now} - seq) / 2000.0::DOUBLE) AS w FROM iv WHERE {where}),
@@ -533,6 +543,7 @@ QUERIES = {
     "brier_weights": (brier_weights, _iv(_BRIER)),
     "bayes_weights": (bayes_weights, _iv(_BAYES)),
     "bayes_checkpointed": (bayes_checkpointed, _iv(_CHECKPOINTED)),
+    "bayes_folded": (bayes_folded, _iv(_CHECKPOINTED)),
     "brier_ece": (brier_ece, _on_labels(f"SELECT n, {sql6('brier')} AS brier, {sql6('gap / n')} AS ece FROM (SELECT avg((p4 / 10000.0::DOUBLE - label) * (p4 / 10000.0::DOUBLE - label)) AS brier FROM labelled), (SELECT sum(n * abs(avg_prob - freq)) AS gap, CAST(sum(n) AS BIGINT) AS n FROM bins)", bins=_BINS)),
     "reliability_bins": (reliability_bins, _on_labels("SELECT bin, n, floor(avg_prob * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS avg_prob, floor(freq * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS freq FROM bins", bins=_BINS)),
     "confusion_grid": (confusion_grid, _on_labels(_CONFUSION)),

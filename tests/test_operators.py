@@ -519,3 +519,19 @@ def test_next_images_against_a_loop(spark):
             spent = [(n, s, i) for s, own in want.items() for n, i in enumerate(own)]
             cut = S.next_images(df, "site", "image", F.col("p"), most, budget).collect()
             assert sorted((r["nth"] - 1, r["site"], r["image"]) for r in cut) == sorted(spent)[:budget]
+
+
+def test_folds_saved_and_loaded(spark, tmp_path):
+    rng = random.Random(21)
+    rows = [(rng.choice("ab"), rng.random() < 0.8, float(rng.randrange(4000))) for _ in range(700)]
+    df = spark.createDataFrame(rows, "provider string, correct boolean, t double")
+    once = {r["provider"]: r for r in S.bayes_checkpoint(df, 300.0).collect()}
+    for every in (1, 64, 10_000):
+        for r in S.folded_checkpoint(df, 300.0, every).collect():
+            want = once[r["provider"]]
+            assert abs(r["good"] - want["good"]) < 1e-9 and abs(r["bad"] - want["bad"]) < 1e-9 and (r["n"], r["anchor"]) == (want["n"], want["anchor"])
+    path = f"file://{tmp_path}/kept"
+    S.save_checkpoint(S.bayes_checkpoint(df, 300.0), path, 300.0)
+    assert {r["provider"]: r["good"] for r in S.load_checkpoint(spark, path, 300.0).collect()} == {k: r["good"] for k, r in once.items()}
+    with pytest.raises(ValueError):
+        S.load_checkpoint(spark, path, 60.0)
