@@ -44,3 +44,22 @@ def test_touched_sites_of_a_hot_medium(spark):
     touched = spark.createDataFrame([(3,), (4,), (200,)], "site long")
     every = {tuple(r) for r in G.shared_media(df).filter("a IN (3, 4) OR b IN (3, 4)").collect()}
     assert {tuple(r) for r in G.shared_media_of(df, touched, block=9).collect()} == every and len(every) > 100
+
+
+def test_shared_media_shuffles_no_pairs(spark):
+    """60 sites that all share 40 media meet 70,800 times; what is shuffled is the rows, at most once a block."""
+    df = spark.createDataFrame([(s, f"m{m}") for s in range(60) for m in range(40)], "site long, media string")
+    for block in (7, 4096):
+        edges = G.shared_media(df, block=block)
+        assert edges.count() == 60 * 59 // 2 and edges.agg({"shared": "min", "weight": "min"}).first().asDict() == {"min(shared)": 40, "min(weight)": 1.0}
+        plan = edges._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("hashpartitioning") <= 2
+
+
+def test_media_changes_count_side_by_side(spark):
+    rng = random.Random(4)
+    old, new = ({(rng.randrange(30), rng.randrange(60)) for _ in range(150)} for _ in range(2))
+    frames = [spark.createDataFrame(sorted(rows) + [(None, 1), (3, None)], "site long, media long") for rows in (old, new)]
+    want = {tuple(r) for r in G.edge_changes(*(G.shared_media(df).select("a", "b") for df in frames)).collect()}
+    rows = [tuple(r) for r in G.media_changes(*frames, block=9).collect()]
+    assert set(rows) == want and len(rows) == len(want) and {r[2] for r in rows} == {"new", "stale"}
