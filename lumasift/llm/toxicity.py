@@ -31,6 +31,7 @@ GRAMS, BITS = (3, 4, 5), 18
 SAMPLE, FEATURES, MIN_DOCS, ALPHA = 4000, 3000, 4, 1.0
 THRESHOLD = 0.7
 _SAMPLE_PARTS = 16
+_AT_ONCE = 256
 _ROUNDS, _RIDGE = 150, 1.0
 
 
@@ -62,8 +63,12 @@ def present(column: pa.Array, place: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def score_texts(column: pa.Array, model: Model) -> np.ndarray:
-    docs, features = present(column, model.place)
-    z = model.bias + np.bincount(docs, model.weights[features], minlength=len(column))[: len(column)]
+    """Scores of texts, ``_AT_ONCE`` at a time: what is made of them is several times as large."""
+    z = np.full(len(column), model.bias)
+    for lo in range(0, len(column), _AT_ONCE):
+        part = column.slice(lo, _AT_ONCE)
+        docs, features = present(part, model.place)
+        z[lo : lo + len(part)] += np.bincount(docs, model.weights[features], minlength=len(part))
     return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
 
 
@@ -110,10 +115,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features:
         n = np.zeros(2, np.int64)
         for batch in batches:
             y = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for lo in range(0, len(y), 256):
-                d, f = present(batch.column(1).slice(lo, 256), everything)
+            for lo in range(0, len(y), _AT_ONCE):
+                d, f = present(batch.column(1).slice(lo, _AT_ONCE), everything)
                 for cls in (0, 1):
-                    df[cls] += np.bincount(f[y[lo : lo + 256][d] == cls], minlength=1 << BITS).astype(np.uint32)
+                    df[cls] += np.bincount(f[y[lo : lo + _AT_ONCE][d] == cls], minlength=1 << BITS).astype(np.uint32)
             n += np.bincount(y, minlength=2)
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(n, pa.int64()), pa.array([c.tobytes() for c in df], pa.binary())], names=["y", "n", "df"])
 
@@ -173,8 +178,9 @@ def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = score_texts(batch.column(at), shared.value) < threshold
-            yield batch.filter(pa.array(keep))
+            keep = pa.array(score_texts(batch.column(at), shared.value) < threshold)
+            for lo in range(0, batch.num_rows, 1024):  # no second copy of the whole batch
+                yield batch.slice(lo, 1024).filter(keep.slice(lo, 1024))
 
     return docs.mapInArrow(apply, docs.schema)
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumasift.llm import common, langid, toxicity
@@ -129,3 +130,16 @@ def test_toxicity_of_repeated_and_very_long_texts(spark, toxic):
     for r in got:
         by.setdefault(r["doc_id"], set()).add((r["score"], r["predicted"]))
     assert len(got) == len(rows) + 4 and all(len(v) == 1 for v in by.values()) and 0 <= next(iter(by[7000]))[0] <= 1
+
+
+def test_toxicity_scores_few_texts_at_a_time(monkeypatch):
+    rng = np.random.default_rng(7)
+    place = np.arange(1 << toxicity.BITS, dtype=np.int32)
+    model = toxicity.Model(place, rng.normal(size=len(place)), 0.25)
+    texts = [" ".join(rng.choice(["bad", "good", "day", "worse", ""], k)) for k in rng.integers(0, 30, 1000)] + [None, ""]
+    seen, present = [], toxicity.present
+    monkeypatch.setattr(toxicity, "present", lambda column, place: seen.append(len(column)) or present(column, place))
+    scores = toxicity.score_texts(pa.array(texts), model)
+    assert max(seen) <= 256 and sum(seen) == len(texts)
+    alone = [toxicity.score_texts(pa.array([t], pa.string()), model)[0] for t in texts]
+    assert scores.tolist() == alone
