@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumasift.operators import vision as P
-from lumasift.operators.similarity import hamming_join, least_distance, least_view, low_frequencies, packed, pyramid_hashes, quarter_hashes, summed_distance
+from lumasift.operators.similarity import least_distance, least_view, low_frequencies, meets, packed, pyramid_hashes, quarter_hashes, summed_distance
 
 #: Attacks with their strengths, weakest first.
 ATTACKS = {
@@ -235,10 +235,11 @@ def recall(hashes: DataFrame) -> DataFrame:
 
 def search_recall(hashes: DataFrame, d: int = 8, bands: int | None = None, radius: int | None = None) -> DataFrame:
     """family, strength, n, found: attacked pictures whose original a join over all originals' plain hashes returns."""
-    each = hashes.withColumn("sha", F.struct("id", "family", "strength")).select("sha", F.col("phash")[0].alias("h"))
-    known = hashes.filter(F.col("family") == "none").select(F.col("id").alias("sha"), F.col("phash")[0].alias("h"))
-    met = hamming_join(each, known, d, bands, radius).filter(F.col("sha.id") == F.col("other")).select("sha", F.lit(1).alias("met"))
-    return each.join(met, "sha", "left").groupBy("sha.family", "sha.strength").agg(F.count("*").alias("n"), F.count("met").alias("found"))
+    # a search returns the own original if these two are near and share a band, whatever others there are
+    own = hashes.filter(F.col("family") == "none").select("id", F.col("phash")[0].alias("own"))
+    diff = F.col("phash")[0].bitwiseXOR(F.col("own"))
+    met = (F.bit_count(diff) <= d) & (meets(diff, bands, d // bands if radius is None else radius) if bands else F.lit(True))
+    return hashes.join(own, "id", "left").groupBy("family", "strength").agg(F.count("*").alias("n"), F.count(F.when(met, 1)).alias("found"))
 
 
 def weakest(rates: DataFrame, floor: float = 0.9) -> DataFrame:

@@ -535,3 +535,28 @@ def test_folds_saved_and_loaded(spark, tmp_path):
     assert {r["provider"]: r["good"] for r in S.load_checkpoint(spark, path, 300.0).collect()} == {k: r["good"] for k, r in once.items()}
     with pytest.raises(ValueError):
         S.load_checkpoint(spark, path, 60.0)
+
+
+@pytest.mark.parametrize("block", [5, 16, 1 << 15])
+def test_near_prints_in_blocks(spark, block):
+    """Every pair once, also with empty blocks, equal prints, nulls and two tables; nothing but the blocks is shuffled."""
+    prints = near_prints(9, range(1, 10)) + [(500, 5), (501, 5)]
+    df = spark.createDataFrame(prints + [(600, None)], "sha long, h long")
+    near = lambda x, y: ((x ^ y) & (1 << 64) - 1).bit_count() <= 8
+    got = H._near(df, None, 8, block)
+    assert sorted(tuple(r)[:2] for r in got.collect()) == sorted((a, b) for a, x in prints for b, y in prints if a < b and near(x, y))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("hashpartitioning") <= 2
+    both = H._near(df.filter("sha % 2 = 0"), df, 8, block)
+    assert sorted(tuple(r)[:2] for r in both.collect()) == sorted((a, b) for a, x in prints for b, y in prints if a % 2 == 0 and near(x, y))
+
+
+def test_lossy_pairs_are_those_that_keys_let_meet(spark):
+    prints = near_prints(10, range(1, 13))
+    df = spark.createDataFrame(prints, "sha long, h long")
+    pairs = [(a, b, (x ^ y) & (1 << 64) - 1) for a, x in prints for b, y in prints if a < b and ((x ^ y) & (1 << 64) - 1).bit_count() <= 12]
+    banded = sorted((a, b) for a, b, diff in pairs if any(diff >> at & (1 << w) - 1 == 0 for at, w in H.band_layout(8)))
+    keyed = sorted((a, b) for a, b, diff in pairs if any(sum(diff >> k & 1 for k in bits) <= 2 for bits in H.table_masks()))
+    assert sorted(tuple(r)[:2] for r in H.self_join(df, 12, bands=8, radius=0).collect()) == banded
+    assert sorted(tuple(r)[:2] for r in H.multi_table_pairs(df, 12).collect()) == keyed
+    assert len(banded) < len(pairs)
