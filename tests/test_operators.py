@@ -213,6 +213,37 @@ def test_louvain_in_rounds_is_about_as_good(spark):
     assert G.modularity(df, parts).first()["modularity"] >= 0.95 * best
 
 
+def test_sites_of_equal_media_are_one_node(spark):
+    """Copies of sites make no edges of their own, and communities are those of all pairs."""
+    rng = random.Random(3)
+    sets = [frozenset([(g, rng.randrange(12)) for _ in range(5)] + [(9, rng.randrange(9))]) for g in range(3) for _ in range(6)]
+    rows = [(s + 18 * k, 100 * g + m) for s, own in enumerate(sets) for k in range(4) for g, m in own] + [(900, None), (901, None), (902, 7777), (903, 7777), (903, None), (904, 5555), (None, 1)]
+    df = spark.createDataFrame(rows, "site long, media long")
+    members, edges = G.twin_edges(df)
+    plain = G.shared_media(df)
+    assert edges.agg({"pairs": "sum"}).first()[0] == plain.count() and edges.count() <= 18 * 19 // 2 + 2
+    for tags in ((), (F.pmod("a", F.lit(3)),)):
+        members, edges = G.twin_edges(df, *tags)
+        of = {}
+        for r in members.collect():
+            of.setdefault(r["twin"], []).append(r["node"])
+        want = {(r["a"], r["b"]): (r["shared"], round(r["weight"], 9)) for r in plain.collect()}
+        got = {}
+        for r in edges.collect():
+            for x in of[r["a"]]:
+                for y in of[r["b"]]:
+                    if r["a"] != r["b"] or x < y:
+                        got[min(x, y), max(x, y)] = (r["shared"], round(r["weight"], 9))
+        assert got == want and all(min(x) == t for t, x in of.items())
+    members, edges = G.twin_edges(df)
+    found = {r["node"]: r["community"] for r in G.of_twins(members, G.louvain(edges.select("a", "b", (F.col("weight") * F.col("pairs")).alias("weight")))).collect()}
+    whole = [(r["a"], r["b"], r["weight"]) for r in plain.collect()]
+    want, best = sequential_communities(whole)
+    parts = spark.createDataFrame(list(found.items()), "node long, community long")
+    assert set(found) == set(want) and all(found[c] == c for c in set(found.values()))
+    assert G.modularity(plain, parts).first()["modularity"] >= 0.999 * best
+
+
 def test_media_in_blocks(spark):
     rng = random.Random(12)
     rows = [(s, 0) for s in range(40)] + [(rng.randrange(40), rng.randrange(1, 30)) for _ in range(200)]
