@@ -91,6 +91,38 @@ def test_index_in_batches_equals_the_join(spark, tmp_path):
     back.drop()
 
 
+def test_many_queries_are_compared_whole(spark, tmp_path):
+    """The same rows as by probes, without a row for each meeting; meetings are counted from keys."""
+    from pyspark.sql import Observation
+
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    rows = [(i, S.signed(base[i % 40] ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(14))))) for i in range(200)]
+    df = spark.createDataFrame([*rows, (999, None)], "sha long, h long")
+    index = PrintIndex(spark, "prints_many", f"file://{tmp_path}/index", buckets=8)
+    index.add(df)
+    index.add(df.filter("sha < 5"))
+    of = lambda found: sorted(tuple(r) for r in found.collect())
+    seen = Observation()
+    some = df.filter("sha % 3 = 0")
+    want = of(index.search(some, 12, observed=seen))
+    whole = index.search(some, 12, many=1)
+    assert of(whole) == want and len(want) > 100
+    assert index.met(queries=some) == seen.get["met"]
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    index.drop()
+    index = PrintIndex(spark, "prints_all", f"file://{tmp_path}/all", buckets=8)
+    index.add(df)
+    pairs = [tuple(r) for r in index.pairs(12).collect()]
+    assert sorted(r[:3] for r in pairs if r[3]) == of(index.search(df, 12).filter("sha < other"))
+    assert sorted(r[:3] for r in pairs) == of(S.self_join(df, 12)) and len(pairs) > sum(r[3] for r in pairs)
+    seen = Observation()
+    index.search(df, 12, observed=seen).collect()
+    assert index.met() == seen.get["met"]
+    index.drop()
+
+
 def test_graph_is_kept_and_writes_are_idempotent(spark, tmp_path):
     from lumasift.operators.graph_store import GraphStore
 
