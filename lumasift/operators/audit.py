@@ -198,9 +198,11 @@ def _running(lines: DataFrame, block: int) -> tuple[DataFrame, int]:
     parsed = saved(parsed.withColumn("turn", F.when(F.col("kind") == "degraded", "D").when(F.col("kind").isin("leaf", "no leaf"), "L")), "log-parsed")
     total = parsed.agg(F.max("nth")).first()[0] or 0
 
-    earlier, later = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    earlier, later = (Window.orderBy(way).rowsBetween(Window.unboundedPreceding, -1) for way in (F.asc("block"), F.desc("block")))
     inside = Window.partitionBy("block").orderBy("nth")
-    before, behind = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(1, Window.unboundedFollowing)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    # in falling order: a frame that only grows is a running value, one that shrinks is folded anew for every line
+    behind = Window.partitionBy("block").orderBy(F.desc("nth")).rowsBetween(Window.unboundedPreceding, -1)
     leaf, turn_at = (F.col("kind") == "leaf").cast("long"), F.when(F.col("turn").isNotNull(), F.col("nth"))
     signal = F.col("kind").isin("leaf", "checkpoint", "degraded").cast("int")
 

@@ -2,6 +2,7 @@ import hashlib
 import hmac
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,3 +167,16 @@ def test_bytes_end_the_reading_and_signatures(spark):
     for key in (b"k", b"long" * 40):
         (r,) = spark.range(1).select(A.signature(F.lit("ab"), F.lit(3), key).alias("s")).collect()
         assert r["s"] == sign("ab", 3, key)
+
+
+def test_a_long_block_is_a_running_value(spark):
+    """Ends of degraded ranges in one block of 60,000 lines: work that grows with the square of a block takes minutes."""
+    nth = F.col("id")
+    line = F.when(nth.isin(2, 31_000), '{"event":"merkle_degraded","reason":"disk"}').when(nth.isin(30_000, 60_000), '{"merkle_leaf":"x"}').otherwise('{"a":1}')
+    lines = spark.range(1, 60_001, 1, 4).select(nth.alias("nth"), line.alias("line"))
+    began = time.monotonic()
+    placed, total = A._running(lines, A.BLOCK)
+    ends = sorted(tuple(r) for r in placed.filter("kind = 'degraded'").select("nth", "ends").collect())
+    assert ends == [(2, 29_999), (31_000, 59_999)] and total == 60_000
+    assert placed.agg(F.max("segment")).first()[0] == 2
+    assert time.monotonic() - began < 40
