@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -162,19 +162,32 @@ def style_score(text: Column) -> Column:
     return F.struct(*[c.alias(k) for k, c in made.items()], sum(made.values(), F.lit(0)).alias("total"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def polished(text: Column) -> Column:
     """``text`` without hyperbole, cut behind a sentence, with the closing statement; blank text stays."""
-    plain = F.coalesce(text, F.lit(""))
-    for word in sorted(NEUTRAL, key=len, reverse=True):
-        plain = F.replace(plain, F.lit(word), F.lit(NEUTRAL[word]))
-    plain = F.rtrim(plain)
     room = MOST_CHARS - len(CLOSING) - 1
-    window = F.left(plain, F.lit(room))
-    sentence = F.regexp_extract(window, r"(?s)^(.*。)", 1)
-    body = F.when(F.length(plain) > room, F.when(sentence != "", sentence).otherwise(window)).otherwise(plain)
-    closed = F.when(F.endswith(body, F.lit(CLOSING)), body).when(body.rlike(r"[。！？；!?…]$"), F.concat(body, F.lit(CLOSING))).otherwise(F.concat(body, F.lit("。" + CLOSING)))
-    done = F.endswith(plain, F.lit(CLOSING)) & (F.length(plain) <= MOST_CHARS)
-    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", F.coalesce(text, F.lit(""))).when(done, plain).otherwise(closed)
+
+    def cut(plain: Column) -> Column:
+        window = F.left(plain, F.lit(room))
+        sentence = _once(F.regexp_extract(window, r"(?s)^(.*。)", 1), lambda s: F.when(s != "", s).otherwise(window))
+        return F.when(F.length(plain) > room, sentence).otherwise(plain)
+
+    def closed(body: Column) -> Column:
+        return F.when(F.endswith(body, F.lit(CLOSING)), body).when(body.rlike(r"[。！？；!?…]$"), F.concat(body, F.lit(CLOSING))).otherwise(F.concat(body, F.lit("。" + CLOSING)))
+
+    def neutral(given: Column) -> Column:
+        plain = given
+        for word in sorted(NEUTRAL, key=len, reverse=True):
+            plain = F.replace(plain, F.lit(word), F.lit(NEUTRAL[word]))
+        done = lambda p: F.endswith(p, F.lit(CLOSING)) & (F.length(p) <= MOST_CHARS)
+        made = _once(F.rtrim(plain), lambda p: F.when(done(p), p).otherwise(_once(cut(p), closed)))
+        return F.when(F.trim(given) == "", given).otherwise(made)
+
+    return _once(F.coalesce(text, F.lit("")), neutral)
 
 
 def fitted_reason(text: Column) -> Column:

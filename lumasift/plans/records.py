@@ -239,7 +239,9 @@ SELECT p_partkey, len_ok, has_facts, no_hype, formality, len_ok + has_facts + no
 
 
 def polished_texts(spark, sf):
-    return _drafts(spark, sf).select("p_partkey", R.polished(F.col("text")).alias("text"))
+    # a part is few bytes and much work: one task a core at least, however few splits its file has
+    drafts = _drafts(spark, sf).select("p_partkey", "text").repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "p_partkey")
+    return drafts.select("p_partkey", R.polished(F.col("text")).alias("text"))
 
 
 _POLISHED = """

@@ -208,3 +208,15 @@ def test_texts_are_stable(spark):
     assert once["t"] == once["again"] and len(once["t"]) <= R.MOST_CHARS and once["t"].endswith(R.CLOSING) and "全部" not in once["t"]
     assert spark.range(1).select(R.polished(F.lit(None).cast("string")), R.fitted_reason(F.lit(" a\n b "))).first()[:] == ("", "a b")
     assert spark.range(1).select(R.is_vision(F.lit("x-vl-7b")), R.is_vision(F.lit("plain-7b"))).first()[:] == (True, False)
+
+
+def test_polishing_replaces_words_once_a_row(spark):
+    """The plan names each replacement once: a step that is used twice isn't computed twice."""
+    rows = [("大量" * 3 + "内容",), ("话。" * 80 + "尾",), ("话" * 300,), ("好。以上情况本人已人工核实。",), ("  ",), (None,), ("完？",), ("尾部  ",), ("话" * 250 + "以上情况本人已人工核实。",)]
+    df = spark.createDataFrame(rows, "t string").select(R.polished(F.col("t")).alias("t"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("触目惊心") <= 2
+    end = R.CLOSING
+    room = R.MOST_CHARS - len(end) - 1
+    want = ["多张" * 3 + "内容。" + end, "话。" * 80 + "尾。" + end if 161 <= room else None, "话" * room + "。" + end, "好。" + end, "  ", "", "完？" + end, "尾部。" + end, "话" * room + "。" + end]
+    assert [r["t"] for r in df.collect()] == want
