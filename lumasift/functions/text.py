@@ -60,8 +60,8 @@ def text_risk(title: Column, body: Column, first: Sequence[str], second: Sequenc
     return bound(F.concat_ws(" ", title, body), counted)
 
 
-def char_ngrams(df: DataFrame, id_col: str, text: Column, sizes: Sequence[int] = (2, 3)) -> DataFrame:
-    """(id, gram, c): counts of the character n-grams of each text.
+def char_ngrams(df: DataFrame, id_col: str | Sequence[str], text: Column, sizes: Sequence[int] = (2, 3)) -> DataFrame:
+    """(id, gram, c): counts of the character n-grams of each text; the id may be several columns.
 
     Grams are made by one generator over positions and summed map-side first.
     """
@@ -70,9 +70,10 @@ def char_ngrams(df: DataFrame, id_col: str, text: Column, sizes: Sequence[int] =
         starts = F.when(F.length("__text") >= n, F.sequence(F.lit(1), F.length("__text") - (n - 1))).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.substr(F.col("__text"), i, F.lit(n)))
 
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
     parts = [of_size(n) for n in sizes]
-    grams = df.select(F.col(id_col), text.alias("__text")).select(id_col, F.explode(F.concat(*parts)).alias("gram"))
-    return grams.groupBy(id_col, "gram").agg(F.count("*").alias("c"))
+    grams = df.select(*ids, text.alias("__text")).select(*ids, F.explode(F.concat(*parts)).alias("gram"))
+    return grams.groupBy(*ids, "gram").agg(F.count("*").alias("c"))
 
 
 def words(text: Column) -> Column:

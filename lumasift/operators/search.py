@@ -46,7 +46,7 @@ def tfidf_kernel(texts: DataFrame, seeds: DataFrame) -> DataFrame:
     ``texts``: id, text; ``seeds``: id, text, positive.  idf counts the seeds,
     and for a text's own grams the text too; each class is the mean of its
     seeds' tf-idf vectors.  The seeds' table is small and fixed; texts are read
-    once and their grams are aggregated by text.
+    once and their grams are aggregated by text, in the task that the text was sent to.
     """
     grams = T.char_ngrams(seeds, "id", F.col("text"))
     totals = grams.groupBy("id").agg(F.sum("c").alias("all"))
@@ -62,10 +62,12 @@ def tfidf_kernel(texts: DataFrame, seeds: DataFrame) -> DataFrame:
         .agg(F.coalesce(F.sum(F.when(F.col("positive"), F.col("v"))), F.lit(0.0)).alias("pos"), F.coalesce(F.sum(F.when(~F.col("positive"), F.col("v"))), F.lit(0.0)).alias("neg"))
     )
     norms = centroid.agg(F.sqrt(F.sum(F.col("pos") * F.col("pos"))).alias("len_pos"), F.sqrt(F.sum(F.col("neg") * F.col("neg"))).alias("len_neg"))
-    own = T.char_ngrams(texts, "id", F.col("text"))
-    sums = Window.partitionBy("id")
+    # texts go to their ids' tasks whole, and all that follows stays there: grams are never shuffled or sorted
+    sizes = sum((F.greatest(F.length("text") - (n - 1), F.lit(0)) for n in (2, 3)), F.lit(0))
+    placed = texts.select("id", "text").repartition("id").withColumn("all", F.sum(sizes).over(Window.partitionBy("id")))
+    own = T.char_ngrams(placed, ["id", "all"], F.col("text"))
     weighed = (
-        own.withColumn("all", F.sum("c").over(sums)).join(df, "gram", "left").na.fill(0, ["df"]).crossJoin(F.broadcast(n)).join(centroid, "gram", "left").na.fill(0.0, ["pos", "neg"])
+        own.join(df, "gram", "left").na.fill(0, ["df"]).crossJoin(F.broadcast(n)).join(centroid, "gram", "left").na.fill(0.0, ["pos", "neg"])
         .withColumn("v", F.col("c") / F.col("all") * idf(1))
     )
     dots = weighed.groupBy("id").agg(F.sum(F.col("v") * F.col("pos")).alias("dot_pos"), F.sum(F.col("v") * F.col("neg")).alias("dot_neg"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("len"))

@@ -3,6 +3,7 @@ import hashlib
 import json
 import math
 import random
+import re
 from itertools import product
 
 import numpy as np
@@ -591,3 +592,17 @@ def test_lossy_pairs_are_those_that_keys_let_meet(spark):
     assert sorted(tuple(r)[:2] for r in H.self_join(df, 12, bands=8, radius=0).collect()) == banded
     assert sorted(tuple(r)[:2] for r in H.multi_table_pairs(df, 12).collect()) == keyed
     assert len(banded) < len(pairs)
+
+
+def test_grams_of_texts_are_not_shuffled(spark):
+    """Texts are sent to their ids' tasks; counts of grams stay there, and repeated ids count together."""
+    seeds = spark.createDataFrame([(1, "abcabc", True), (2, "xyzxy", False)], "id long, text string, positive boolean")
+    texts = spark.createDataFrame([("1", "abcab"), ("2", "xy"), ("2", "zz"), ("3", "q"), ("4", None), ("5", "")], "id string, text string")
+    found = search.tfidf_kernel(texts, seeds)
+    got = sorted(tuple(r) for r in found.collect())
+    assert [r[0] for r in got] == list("122345") and got[0][1] > 0.5 and got[0][2] == 0.0 and got[1] == got[2] and got[1][2] > 0
+    assert all(r[1:] == (0.0, 0.0, 0.5) for r in got[3:])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # ids of texts are strings, those of seeds longs
+    exchanges = [line for line in plan.splitlines() if re.search(r"hashpartitioning\(id#\d+,", line)]
+    assert exchanges and not any("gram" in line for line in exchanges)
