@@ -606,3 +606,30 @@ def test_grams_of_texts_are_not_shuffled(spark):
     # ids of texts are strings, those of seeds longs
     exchanges = [line for line in plan.splitlines() if re.search(r"hashpartitioning\(id#\d+,", line)]
     assert exchanges and not any("gram" in line for line in exchanges)
+
+
+def test_bm25_adds_up_in_blocks(spark):
+    """Scores of a query and a document are added up within a cell, and only the best leave it; a repeated query counts once."""
+    rng = random.Random(21)
+    docs = [(None if k == 9 else k, " ".join(rng.choice("abcdefghij") for _ in range(rng.randrange(0, 12)))) for k in range(60)] + [(100 + k, "a b c") for k in range(6)]
+    asked = [(k, " ".join(rng.choice("abcdefghijz") for _ in range(rng.randrange(1, 4)))) for k in range(12)] + [(0, "a b"), (0, "a b"), (50, "zz")]
+    df, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, text string")
+    split = lambda text: [w for w in text.split(" ") if w]
+    n, mean = len(docs), sum(len(split(x)) for _, x in docs) / len(docs)
+    df_of = {w: sum(w in split(x) for _, x in docs) for w in "abcdefghij"}
+    wanted = {}
+    for k, x in asked:
+        wanted.setdefault(k, set()).update(split(x))
+    want = []
+    for k, ws in wanted.items():
+        rows = []
+        for d, x in docs:
+            hits = [w for w in ws if w in split(x)]
+            score = sum(math.floor(math.log(1 + (n - df_of[w] + 0.5) / (df_of[w] + 0.5)) * split(x).count(w) * 2.5 / (split(x).count(w) + 1.5 * (0.25 + 0.75 * len(split(x)) / mean)) * 1e6 + 0.5) for w in hits)
+            rows += [(-score, -1 if d is None else d)] if hits else []
+        want += [(k, None if d < 0 else d, -s / 1e6, i + 1) for i, (s, d) in enumerate(sorted(rows)[:5])]
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    for blocks in ((4096, 512), (7, 3)):
+        found = search.bm25(df, q, words, words, doc_block=blocks[0], query_block=blocks[1])
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+        assert "HashAggregate" not in found._jdf.queryExecution().optimizedPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
