@@ -40,7 +40,8 @@ def shape_hashes(spark, sf):
 
 def likeness(spark, sf):
     """Structural similarity of each picture and the next."""
-    p = _pictures(spark, sf)
+    # saved, as both sides of the join would draw every picture
+    p = saved(_pictures(spark, sf), "pictures")
     pairs = p.withColumnRenamed("rgb", "rgb_a").join(p.select((F.col("id") - 1).alias("id"), F.col("rgb").alias("rgb_b")), "id")
     return P.likeness(pairs).select("id", q6(F.col("ssim")).alias("ssim"))
 

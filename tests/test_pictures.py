@@ -220,3 +220,35 @@ def test_polishing_replaces_words_once_a_row(spark):
     room = R.MOST_CHARS - len(end) - 1
     want = ["多张" * 3 + "内容。" + end, "话。" * 80 + "尾。" + end if 161 <= room else None, "话" * room + "。" + end, "好。" + end, "  ", "", "完？" + end, "尾部。" + end, "话" * room + "。" + end]
     assert [r["t"] for r in df.collect()] == want
+
+
+def test_pictures_are_hashed_in_pieces(spark):
+    """Batches of any size are cut before they become arrays; hashes are those of whole batches."""
+    import pyarrow as pa
+
+    from lumasift.operators import similarity as H
+
+    whole = pa.RecordBatch.from_pydict({"id": list(range(1000)), "v": [[float(k)] for k in range(1000)]})
+    assert [b.num_rows for b in H._pieces(iter([whole, whole.slice(0, 3)]))] == [256, 256, 256, 232, 3]
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda k: F.pmod(k * 7 + F.col("id") * k * 3, F.lit(251)).cast("double"))
+    images = spark.range(0, 600, 1, 1).select("id", F.when(F.col("id") % 100 != 0, pixels).alias("p"))
+    for of in (H.image_hashes, H.wide_hashes):
+        got = {r[0]: tuple(r)[1:] for r in of(images, "id", "p").collect()}
+        some = {r[0]: tuple(r)[1:] for r in of(images.filter("id IN (255, 256, 599, 300)"), "id", "p").collect()}
+        assert len(got) == 600 and all(got[k] == some[k] for k in some) and got[599][0] is not None and got[300][0] is None
+
+
+def test_likeness_of_batches(spark):
+    """Pictures of several sizes, in pieces, against one pair at a time; pixels that lack give null."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(40):
+        h, w = ((16, 24), (9, 7), (32, 32))[k % 3]
+        a, b = (rng.integers(0, 256, (h, w, 3), dtype=np.uint8) for _ in range(2))
+        rows.append((k, w, h, a.tobytes(), None if k == 5 else a.tobytes() if k == 6 else b.tobytes()))
+    df = spark.createDataFrame(rows, "id long, width int, height int, rgb_a binary, rgb_b binary")
+    got = {r["id"]: r["ssim"] for r in P.likeness(df, at_once=4).collect()}
+    gray = lambda x, w, h: P.gray_of(np.frombuffer(x, np.uint8).reshape(h, w, 3))
+    assert got[5] is None and got[6] == pytest.approx(1.0)
+    for k, w, h, a, b in rows:
+        assert b is None or got[k] == pytest.approx(P.ssim(gray(a, w, h), gray(b, w, h)), abs=1e-12)
