@@ -112,12 +112,14 @@ def tfidf_kernel(texts: DataFrame, seeds: DataFrame) -> DataFrame:
         .agg(F.coalesce(F.sum(F.when(F.col("positive"), F.col("v"))), F.lit(0.0)).alias("pos"), F.coalesce(F.sum(F.when(~F.col("positive"), F.col("v"))), F.lit(0.0)).alias("neg"))
     )
     norms = centroid.agg(F.sqrt(F.sum(F.col("pos") * F.col("pos"))).alias("len_pos"), F.sqrt(F.sum(F.col("neg") * F.col("neg"))).alias("len_neg"))
+    # a table of known size is broadcast if it is small, so grams of texts are not shuffled to meet it
+    known = saved(df.join(centroid, "gram", "left"), "seed-grams")
     # texts go to their ids' tasks whole, and all that follows stays there: grams are never shuffled or sorted
     sizes = sum((F.greatest(F.length("text") - (n - 1), F.lit(0)) for n in (2, 3)), F.lit(0))
     placed = texts.select("id", "text").repartition("id").withColumn("all", F.sum(sizes).over(Window.partitionBy("id")))
     own = T.char_ngrams(placed, ["id", "all"], F.col("text"))
     weighed = (
-        own.join(df, "gram", "left").na.fill(0, ["df"]).crossJoin(F.broadcast(n)).join(centroid, "gram", "left").na.fill(0.0, ["pos", "neg"])
+        own.join(known, "gram", "left").na.fill(0, ["df"]).na.fill(0.0, ["pos", "neg"]).crossJoin(F.broadcast(n))
         .withColumn("v", F.col("c") / F.col("all") * idf(1))
     )
     dots = weighed.groupBy("id").agg(F.sum(F.col("v") * F.col("pos")).alias("dot_pos"), F.sum(F.col("v") * F.col("neg")).alias("dot_neg"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("len"))
