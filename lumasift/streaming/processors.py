@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,22 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lumasift.operators.ledger import STATUS
 from lumasift.operators.similarity import band_layout
 
+#: Waiting rows of one entry of a list state; numbers of a site's state that a call holds before it forgets them, and what a row counts.
+AT_ONCE, HELD, ROW = 10_000, 1 << 22, 16
+
+
+def _entries(rows: list[tuple]) -> list[tuple]:
+    """Rows as entries of a list state, columns each: an entry costs the same for many rows as for one."""
+    return [tuple(map(list, zip(*rows[k : k + AT_ONCE]))) for k in range(0, len(rows), AT_ONCE)]
+
+
+def _rows(waiting) -> list[tuple]:
+    return [row for entry in waiting.get() for row in zip(*entry)]
+
+
+def _millis(ts: pd.Series) -> np.ndarray:
+    return ts.to_numpy("datetime64[us]").astype(np.int64) // 1000
+
 
 class _Sprt(StatefulProcessor):
     """Wald's test of one key: scores wait until the watermark has passed them, and count in order of time."""
@@ -84,6 +102,50 @@ def sprt(events: DataFrame, key: str = "site", alpha: float = 0.05, beta: float
     return events.withWatermark("ts", late).groupBy(key).transformWithStateInPandas(_Sprt(key, limits, steps, int(forget_hours * 3_600_000)), f"{key} {kind}, state string, used long", "append", "EventTime")
 
 
+class _Held:
+    """What a call has read of a site's maps and not yet written: a band is read once and written once, however many rows meet it."""
+
+    def __init__(self, seen, sent):
+        self.seen, self.sent = seen, sent
+        self.old = (seen.exists(), sent.exists())
+        self.shas: set[str] = set()
+        self.bands: dict[tuple, tuple[array, int]] = {}
+        self.read = 0
+
+    def met(self, sha: str, at: int) -> bool:
+        """Whether the content was seen; from now on it is."""
+        if sha in self.shas:
+            return True
+        self.shas.add(sha)
+        if self.old[0] and self.seen.containsKey((sha,)):
+            return True
+        self.seen.updateValue((sha,), (at,))
+        return False
+
+    def hashes(self, key: tuple) -> array:
+        """Sent hashes of a band; those that are added are written later."""
+        if key not in self.bands:
+            known = array("q", self.sent.getValue(key)[0] if self.old[1] and self.sent.containsKey(key) else [])
+            self.bands[key] = known, len(known)
+            self.read += len(known) + 1
+        return self.bands[key][0]
+
+    def write(self) -> None:
+        for key, (hashes, known) in self.bands.items():
+            if len(hashes) > known:
+                self.sent.updateValue(key, (hashes.tolist(),))
+                self.bands[key] = hashes, len(hashes)
+
+    def relieve(self) -> None:
+        """Bounds the memory of a call, whatever the site's state."""
+        self.read += ROW
+        if self.read >= HELD:
+            self.write()
+            self.shas.clear()
+            self.bands.clear()
+            self.read, self.old = 0, (True, True)
+
+
 class _Gate(StatefulProcessor):
     """One site's gate: what it has seen by content, and hashes that were sent by band."""
 
@@ -92,51 +154,54 @@ class _Gate(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.bands = band_layout(self.near_bits + 1)
         self.seen = handle.getMapState("seen", "sha string", "at long", self.ttl_ms)
         self.sent = handle.getMapState("sent", "band int, part long", "hashes array<long>", self.ttl_ms)
         if self.in_order:
-            self.waiting = handle.getListState("waiting", "at long, pos long, sha string, h long, width long, height long")
+            self.waiting = handle.getListState("waiting", "at array<long>, pos array<long>, sha array<string>, h array<long>, width array<long>, height array<long>")
             self.last = handle.getValueState("last", "at long")
 
-    def decide(self, row: tuple) -> str:
+    def decide(self, row: tuple, held: _Held) -> str:
         at, _, sha, h, width, height = row
-        if self.seen.containsKey((sha,)):
+        if held.met(sha, at):
             return "copy"
-        self.seen.updateValue((sha,), (at,))
         if width < self.least_px and height < self.least_px:
             return "small"
         if h is None:
             return "sent"
         # hashes within d bits agree in one of d + 1 bands
         wide = h & (1 << 64) - 1
-        keys = [(k, wide >> first & (1 << width) - 1) for k, (first, width) in enumerate(band_layout(self.near_bits + 1))]
+        keys = [(k, wide >> first & (1 << width) - 1) for k, (first, width) in enumerate(self.bands)]
         keys = [(k, part - (1 << 64) if part >= 1 << 63 else part) for k, part in keys]
-        met = [list(self.sent.getValue(key)[0]) if self.sent.containsKey(key) else [] for key in keys]
-        if any(((h ^ other) & (1 << 64) - 1).bit_count() <= self.near_bits for row in met for other in row):
+        met = [held.hashes(key) for key in keys]
+        if any((np.bitwise_count(np.frombuffer(hashes, np.uint64) ^ np.uint64(wide)) <= self.near_bits).any() for hashes in met if hashes):
             return "near"
-        for key, row in zip(keys, met):
-            self.sent.updateValue(key, (row + [h],))
+        for hashes in met:
+            hashes.append(h)
         return "sent"
 
     def rows(self, key, found: list[tuple]) -> pd.DataFrame:
-        decided = [(key[0], r[1], r[2], self.decide(r)) for r in found]
+        held, decided = _Held(self.seen, self.sent), []
+        for r in found:
+            decided.append((key[0], r[1], r[2], self.decide(r, held)))
+            held.relieve()
+        held.write()
         return pd.DataFrame(decided, columns=[self.key, "pos", "sha", "decision"], dtype=object)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows))
-        at = new["ts"].astype("datetime64[us]").astype("int64") // 1000
+        at = _millis(new["ts"])
         found = [(int(t), int(p), str(s), None if pd.isna(h) else int(h), int(w), int(v)) for t, p, s, h, w, v in zip(at, new["pos"], new["sha"], new["h"], new["width"], new["height"])]
         if not self.in_order:
             yield self.rows(key, sorted(found, key=lambda r: r[:2]))
             return
-        self.waiting.appendList(found)
+        self.waiting.appendList(_entries(found))
         self.handle.registerTimer(int(at.min()) + 1)
-        yield self.rows(key, [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         last = self.last.get()[0] if self.last.exists() else 0
-        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:2])
+        rows = sorted(_rows(self.waiting), key=lambda r: r[:2])
         due, later = [r for r in rows if r[0] < now], [r for r in rows if r[0] >= now]
         runs: list[list[tuple]] = [[]]
         for row in due:
@@ -151,7 +216,7 @@ class _Gate(StatefulProcessor):
             out = pd.concat([out, self.rows(key, run)])
         self.waiting.clear()
         if later:
-            self.waiting.put(later)
+            self.waiting.put(_entries(later))
             self.handle.registerTimer(later[0][0] + 1)
             self.last.update((last,))
         elif now >= last + self.forget_ms:  # nothing new for long: the site's state ends

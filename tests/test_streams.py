@@ -88,3 +88,47 @@ def test_reliability_in_any_order(spark, tmp_path, batches):
     got, want = weights(sums), weights(want)
     assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for k in got for a, b in zip(got[k], want[k]))
     assert sum(r["n"] for r in sums.collect()) == 200
+
+
+class Kept(dict):
+    """A map state that counts its calls."""
+
+    calls = 0
+
+    def counted(self, got):
+        self.calls += 1
+        return got
+
+    def exists(self):
+        return self.counted(bool(self))
+
+    def containsKey(self, key):
+        return self.counted(key in self)
+
+    def getValue(self, key):
+        return self.counted(self[key])
+
+    def updateValue(self, key, value):
+        self.counted(self.update({key: value}))
+
+
+@pytest.mark.parametrize("held", [processors.HELD, 400])
+def test_gate_reads_and_writes_a_band_once_a_call(monkeypatch, held):
+    monkeypatch.setattr(processors, "HELD", held)
+    rng = random.Random(5)
+    rows = [(k, k, f"s{k // 2}", rng.getrandbits(64) - (1 << 63), 300, 300) for k in range(3000)]
+    gate = processors._Gate("site", 6, 200, 1, True, None)
+    seen, sent = Kept(), Kept()
+    gate.init(type("Handle", (), {"getMapState": lambda _, name, *__: {"seen": seen, "sent": sent}[name], "getListState": lambda *_: None, "getValueState": lambda *_: None})())
+    got = [d for part in (rows[:2001], rows[2001:]) for d in gate.rows((1,), part)["decision"]]
+    want, known, hashes = [], set(), []
+    for _, _, sha, h, _, _ in rows:
+        near = any(((h ^ x) & (1 << 64) - 1).bit_count() <= 6 for x in hashes)
+        want.append("copy" if sha in known else "near" if near else "sent")
+        known.add(sha)
+        if want[-1] == "sent":
+            hashes.append(h)
+    assert got == want and sum(len(v[0]) for v in sent.values()) == 7 * want.count("sent")
+    if held > 400:  # two calls: a look, a read and a write a band each
+        assert sent.calls <= 2 * (3 * len(sent) + 1)
+    assert seen.calls <= 2 * (len(rows) + 1)
