@@ -25,6 +25,11 @@ def _entries(rows: list[tuple]) -> list[tuple]:
     return [tuple(map(list, zip(*rows[k : k + AT_ONCE]))) for k in range(0, len(rows), AT_ONCE)]
 
 
+def _cut(*columns: np.ndarray) -> list[tuple]:
+    """As _entries, of arrays."""
+    return [tuple(c[k : k + AT_ONCE].tolist() for c in columns) for k in range(0, len(columns[0]), AT_ONCE)]
+
+
 def _rows(waiting) -> list[tuple]:
     return [row for entry in waiting.get() for row in zip(*entry)]
 
@@ -42,25 +47,26 @@ class _Sprt(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.test = handle.getValueState("test", "total double, n long, settled boolean, last long")
-        self.waiting = handle.getListState("waiting", "at long, seq long, p4 long")
+        self.waiting = handle.getListState("waiting", "at array<long>, seq array<long>, p4 array<long>")
 
     def rows(self, found: list[tuple]) -> pd.DataFrame:
         # plain objects: texts of the newer string type arrive in chunks, which the sender of rows doesn't take
         return pd.DataFrame(found, columns=[self.key, "state", "used"], dtype=object)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
-        if not (self.test.exists() and self.test.get()[2]):
-            at = new["ts"].astype("datetime64[us]").astype("int64") // 1000
-            self.waiting.appendList([(int(t), int(s), int(p)) for t, s, p in zip(at, new["seq"], new["p4"])])
-            self.handle.registerTimer(int(at.min()) + 1)
-        yield self.rows([])
+        parts = list(rows)
+        test = self.test.get()
+        if test is None or not test[2]:
+            new = [(_millis(p["ts"]), p["seq"].to_numpy(np.int64), p["p4"].to_numpy(np.int64)) for p in parts]
+            self.waiting.appendList([entry for columns in new for entry in _cut(*columns)])
+            self.handle.registerTimer(min(int(at.min()) for at, _, _ in new) + 1)
+        yield from ()  # a table without rows would cost as much as one with some
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # one timer stands for all that waits: it settles what the watermark has passed, and the next one follows
         now = timerValues.getCurrentWatermarkInMs()
-        total, n, settled, last = self.test.get() if self.test.exists() else (0.0, 0, False, 0)
-        rows = sorted(tuple(r) for r in self.waiting.get())
+        total, n, settled, last = self.test.get() or (0.0, 0, False, 0)
+        rows = sorted(_rows(self.waiting))
         due, later = [r for r in rows if r[0] < now], [r for r in rows if r[0] >= now]
         found = []
         for at, _, p4 in [] if settled else due:
@@ -79,9 +85,10 @@ class _Sprt(StatefulProcessor):
                 self.waiting.clear()
                 self.handle.registerTimer(max(last, now) + self.forget_ms)
             else:
-                self.waiting.put(later)
+                self.waiting.put(_entries(later))
                 self.handle.registerTimer(later[0][0] + 1)
-        yield self.rows(found)
+        if found:
+            yield self.rows(found)
 
     def close(self) -> None:
         pass

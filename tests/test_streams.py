@@ -3,6 +3,8 @@
 import datetime
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +134,17 @@ def test_gate_reads_and_writes_a_band_once_a_call(monkeypatch, held):
     if held > 400:  # two calls: a look, a read and a write a band each
         assert sent.calls <= 2 * (3 * len(sent) + 1)
     assert seen.calls <= 2 * (len(rows) + 1)
+
+
+def test_sprt_keeps_waiting_scores_as_columns():
+    kept, timers = [], []
+    state = type("State", (), {"get": lambda _: None, "appendList": lambda _, entries: kept.extend(entries)})()
+    handle = type("Handle", (), {"getValueState": lambda *_: state, "getListState": lambda *_: state, "registerTimer": lambda _, at: timers.append(at)})()
+    test = processors._Sprt("site", (3.0, -3.0), (0.5, -0.5), 1)
+    test.init(handle)
+    n = processors.AT_ONCE + 5
+    part = pd.DataFrame({"seq": range(n), "p4": [5000] * n, "ts": pd.to_datetime(np.arange(n) * 1000 + 7_000_000, unit="us")})
+    assert list(test.handleInputRows((1,), iter([part, part[:3]]), None)) == [] and timers == [7001]
+    # one entry a run of scores, no entry a score, and all of them
+    assert [len(e[0]) for e in kept] == [processors.AT_ONCE, 5, 3]
+    assert [row for e in kept for row in zip(*e)] == [(7000 + k, k, 5000) for k in (*range(n), *range(3))]
