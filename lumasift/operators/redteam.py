@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ STEPS = np.array(
 ).reshape(8, 8)
 #: What a corner mark covers of each side.
 COVER = 0.45
+#: Share of the largest frequency within which rounding could decide whether another one is above the median.
+CLOSE = 1e-10
 #: Bits within which a kind counts as recalled, and its bits.
 WITHIN = {"phash": (8, 64), "mirror": (8, 64), "quads": (32, 256), "pyramid": (4, 36), "tiles": (8, 64), "ring": (4, 32), "dft_ring": (4, 32)}
 
@@ -159,17 +162,52 @@ def ring_hashes(gray: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ring, _band_bits(power, np.sqrt(power.max(2)) <= P.FLAT * np.abs(p.sum(2)))
 
 
-def tile_hashes(gray: np.ndarray) -> np.ndarray:
-    """Pictures x 12 hashes: the whole, nine overlapping halves, two centre crops."""
-    base, quarter = resized(gray, P.TILE_SIDE, P.TILE_SIDE), P.TILE_SIDE // 4
-    parts = [base] + [base[:, y : y + 2 * quarter, x : x + 2 * quarter] for y in range(0, 3 * quarter, quarter) for x in range(0, 3 * quarter, quarter)]
-    for share in P.LADDER:
-        side = round(P.TILE_SIDE * share)
-        at = (P.TILE_SIDE - side) // 2
-        parts.append(base[:, at : at + side, at : at + side])
+def _tile_spans() -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Spans (first, behind the last) of a side of the tile base, and the spans of each tile's height and width."""
+    quarter = P.TILE_SIDE // 4
+    halves = [(at, at + 2 * quarter) for at in range(0, 3 * quarter, quarter)]
+    sides = [round(P.TILE_SIDE * share) for share in P.LADDER]
+    crops = [((P.TILE_SIDE - side) // 2, (P.TILE_SIDE - side) // 2 + side) for side in sides]
+    squares = range(4, 4 + len(crops))
+    return [(0, P.TILE_SIDE), *halves, *crops], [(0, 0), *[(y, x) for y in (1, 2, 3) for x in (1, 2, 3)], *zip(squares, squares)]
+
+
+def tile_hashes_by_steps(gray: np.ndarray) -> np.ndarray:
+    """As tile_hashes, every tile drawn."""
+    base = resized(gray, P.TILE_SIDE, P.TILE_SIDE)
+    spans, tiles = _tile_spans()
+    parts = [base[:, slice(*spans[y]), slice(*spans[x])] for y, x in tiles]
     return np.stack([low_frequencies(resized(x, 32, 32), 8) for x in parts], 1)
 
 
+@cache
+def _tile_waves(n: int) -> np.ndarray:
+    """What the 8 low frequencies of each span of a side take of its ``n`` pixels, as rows."""
+    wave = np.cos((2 * np.arange(32)[None, :] + 1) * np.arange(8)[:, None] * np.pi / 64)
+    base = weights(n, P.TILE_SIDE)
+    return np.concatenate([wave @ weights(hi - lo, 32) @ base[lo:hi] for lo, hi in _tile_spans()[0]])
+
+
+def tile_hashes(gray: np.ndarray) -> np.ndarray:
+    """Pictures x 12 hashes: the whole, nine overlapping halves, two centre crops.
+
+    Scaling, cutting and frequencies are linear, so they are one small matrix a
+    side and no tile is drawn.  Pictures where other rounding could change a bit
+    (flat ones, say) take the steps one by one.
+    """
+    spans, tiles = _tile_spans()
+    f = _tile_waves(gray.shape[1]) @ gray @ _tile_waves(gray.shape[2]).T
+    f = f.reshape(len(gray), len(spans), 8, len(spans), 8)
+    f = np.stack([f[:, y, :, x].reshape(len(gray), 64) for y, x in tiles], 1)
+    middle = np.median(f[..., 1:], axis=-1, keepdims=True)
+    found = packed(f > middle)
+    # one number is the median itself
+    close = ((np.abs(f - middle) <= CLOSE * np.abs(f).max(-1, keepdims=True)).sum(-1) > 1).any(1)
+    if close.any():
+        found[close] = tile_hashes_by_steps(gray[close])
+    return found
+
+
 def all_hashes(gray: np.ndarray) -> dict[str, np.ndarray]:
     """Every kind for a batch of pictures of one size; rows of longs."""
     g = gray.astype(float)

@@ -84,3 +84,15 @@ def test_recall_of_a_table(spark):
     assert all(lossy[k] <= v for k, v in exact.items())
     low = {(r["family"], r["kind"]): r for r in R.weakest(R.recall(hashes)).collect()}
     assert low["none", "phash"]["least"] is None and low["flip", "phash"]["least"] == "h"
+
+
+def test_tile_hashes_draw_no_tile_unless_rounding_could_decide(monkeypatch):
+    rng = np.random.default_rng(6)
+    flat, rows = np.full((2, 40, 64), 200.0), np.repeat(rng.integers(0, 256, (2, 40, 1)), 64, 2).astype(float)
+    plain = rng.integers(0, 256, (6, 40, 64)).astype(float)
+    every = np.concatenate([plain, flat, rows])
+    want = R.tile_hashes_by_steps(every)
+    assert (R.tile_hashes(every) == want).all() and want.shape == (10, 12)
+    drawn = []
+    monkeypatch.setattr(R, "resized", lambda gray, *side: drawn.append(side))
+    assert (R.tile_hashes(plain) == want[:6]).all() and not drawn
